@@ -83,11 +83,11 @@ def recent_ids(a: DataFrame, n: int = 500) -> DataFrame:
 
 def _or_head(a: DataFrame, hit: Column, order: list, limit: int) -> DataFrame:
     """The first rows that pass; if none passes, the first rows of all. One
-    scan: the best rows of both kinds are kept, then the right kind chosen."""
-    chosen = page(a.withColumn("_hit", hit), [F.desc("_hit"), *order], limit)
-    any_hit = chosen.agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("_any"))
+    top-k puts passing rows first; the window then sees at most `limit` rows."""
+    chosen = page(a.withColumn("_hit", F.coalesce(hit, F.lit(False))), [F.desc("_hit"), *order], limit)
+    any_hit = F.max("_hit").over(Window.partitionBy(F.lit(1)))
     return (
-        chosen.join(F.broadcast(any_hit))
+        chosen.withColumn("_any", any_hit)
         .filter(F.col("_hit") | ~F.col("_any"))
         .withColumn("matched", F.col("_hit"))
         .drop("_hit", "_any")

@@ -27,10 +27,15 @@ def page(df: DataFrame, order: list, limit: int | None, offset: int = 0) -> Data
     return ordered if limit is None else ordered.limit(limit)
 
 
+def attach(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame to every row, as a scalar subquery."""
+    value = row.select(F.struct(*row.columns).alias("_row")).scalar()
+    return df.withColumn("_row", value).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in row.columns])
+
+
 def with_total(rows: DataFrame, counted: DataFrame) -> DataFrame:
     """Attach the number of rows of `counted` to every row of a page."""
-    total = counted.agg(F.count(F.lit(1)).alias("total"))
-    return rows.join(F.broadcast(total))  # one row: a scalar, not a product
+    return attach(rows, counted.agg(F.count("*").alias("total")))
 
 
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
@@ -41,7 +46,7 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     )
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     # one row per partition, so this window is as small as the partition count
     shifts = sizes.select(
         "_part",

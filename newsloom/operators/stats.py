@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom.functions import expr as e
+from newsloom.operators.ranking import attach
 
 def _labels(label="sentiment_label"):
     return [F.count_if(F.col(label) == name).alias(name) for name in ("positive", "negative", "neutral")]
@@ -60,7 +61,7 @@ def sentiment_aggregate(an: DataFrame, a: DataFrame) -> DataFrame:
     scores = an.agg(
         F.count("*").alias("analysed"),
         F.coalesce(F.round(F.avg("sentiment_score"), 4), F.lit(0.0)).alias("avg_score"), *_labels())
-    return scores.join(F.broadcast(a.agg(F.count("*").alias("total_news"))))
+    return attach(scores, a.agg(F.count("*").alias("total_news")))
 
 
 def sentiment_summary(scored: DataFrame) -> DataFrame:
@@ -103,10 +104,9 @@ def freshness(a: DataFrame) -> DataFrame:
 
 
 def store_status(a: DataFrame, an: DataFrame) -> DataFrame:
-    return a.agg(
+    return attach(a.agg(
         F.count("*").alias("articles"), F.max("created_at").alias("last_created"),
-        F.max("published_at").alias("last_published")
-    ).join(F.broadcast(an.agg(F.count("*").alias("analysed"))))
+        F.max("published_at").alias("last_published")), an.agg(F.count("*").alias("analysed")))
 
 
 def duplicate_urls(a: DataFrame, k: int | None = 10) -> DataFrame:
@@ -147,4 +147,4 @@ def economic_trend(scored: DataFrame, keywords: str = "keywords", k: int = 10) -
     top = words.agg(F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "seen", "word"))),
         lambda x: x["word"]).alias("dominant_keywords"))
-    return head.join(F.broadcast(top)).withColumn("trend", e.sentiment_label(F.col("average"), 0.15))
+    return attach(head, top).withColumn("trend", e.sentiment_label(F.col("average"), 0.15))

@@ -27,4 +27,5 @@ def load_all() -> None:
     from newsloom.plans import (  # noqa: F401
         listing_queries,
         stats_queries,
+        text_queries,
     )

@@ -219,9 +219,9 @@ def language(spark, sf):
 
 @query("needs_translation", """
  select substr(md5(cast(doc_id as varchar)),1,16) article_id from documents
- where not (length(regexp_replace(text,'[^A-Za-z]','','g')) / greatest(length(replace(text,' ','')),1) > 0.5) or text = ''""")
+ where text = '' or not (length(regexp_replace(text,'[^一-鿿]','','g')) / greatest(length(replace(text,' ','')),1) > 0.3)""")
 def needs_translation(spark, sf):
-    return v.articles(spark, sf).filter(e.needs_translation("content", "en")).select("article_id")
+    return v.articles(spark, sf).filter(e.needs_translation("content", "zh")).select("article_id")
 
 
 @query("valid_text", """
