@@ -21,10 +21,16 @@ DICTIONARY = tuple(dict.fromkeys(
 
 
 def _pattern(dictionary, word: str, han: str, extra=()) -> str:
-    # a Latin dictionary term only counts as a whole word
+    # a Latin dictionary term only counts as a whole word; terms are tried only
+    # where a Han character stands, so other scripts skip the list at once
     terms = [t for t in [*dictionary, *extra] if not t.isascii()]
-    parts = [e.alternation(terms)] if terms else []
-    return "|".join(parts + [word, han])
+    mixed = [t for t in terms if t[0].isascii()]
+    native = [t for t in terms if not t[0].isascii()]
+    parts = [e.alternation(mixed)] if mixed else []
+    parts.append(word)
+    if native:
+        parts.append(rf"(?=\p{{IsHan}})(?:{e.alternation(native)})")
+    return "|".join(parts + [han])
 
 
 def tokens(text, dictionary=DICTIONARY) -> Column:
@@ -65,6 +71,6 @@ def term_table(df: DataFrame, words: Column, key: str = "id", keep_empty: bool =
     documents are hash partitioned by key before they are split into words, so
     this aggregate and every later one per document needs no other shuffle."""
     explode = F.posexplode_outer if keep_empty else F.posexplode
-    split = df.select(F.col(key), words.alias("_words")).repartition(key)
+    split = df.repartition(key).select(F.col(key), words.alias("_words"))
     return split.select(key, explode("_words").alias("_pos", "token")).groupBy(key, "token").agg(
         F.count("token").alias("tf"), F.min("_pos").alias("pos"))

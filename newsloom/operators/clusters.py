@@ -47,6 +47,9 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     # what both have from their first shared word on bounds the cosine
     within = F.col("rest_a") * F.col("rest_b") >= threshold - SLACK
     candidates = one.join(two, "token").filter((F.col("a") < F.col("b")) & within).select("a", "b").distinct()
+    # few bytes but much work per row: keep all shuffle partitions
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates = cut(candidates.repartition(parts, "a", "b"))
     maps = vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("vec"))
     maps = cut(maps)
     scored = candidates.join(maps.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(

@@ -26,6 +26,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from newsloom.plans import (  # noqa: F401
         listing_queries,
+        search_queries,
         stats_queries,
         text_queries,
     )

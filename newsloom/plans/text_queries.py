@@ -27,7 +27,7 @@ KEPT = f"token not in ({STOP_SQL}) and not regexp_full_match(token, '\\p{{Nd}}+'
 
 @query("tokens", TOK + "select id, count(*) n, count(distinct token) words from tok group by id")
 def tokens(spark, sf):
-    terms = t.term_table(v.articles(spark, sf), t.tokens("content"))
+    terms = t.term_table(v.corpus(spark, sf), t.tokens("content"))
     return terms.groupBy("id").agg(F.sum("tf").alias("n"), F.count("*").alias("words"))
 
 
@@ -36,7 +36,7 @@ def tokens(spark, sf):
    row_number() over (partition by id order by count(*) desc, min(pos)) rn
    from tok where {KEPT} group by id, token) where rn <= 8""")
 def keywords(spark, sf):
-    return kw.keyword_rows(v.articles(spark, sf), "content", 8, stop_words=STOP).select(
+    return kw.keyword_rows(v.corpus(spark, sf), "content", 8, stop_words=STOP).select(
         "id", "token", F.col("tf").alias("n"), F.col("rank").alias("rn"))
 
 
@@ -44,7 +44,7 @@ def keywords(spark, sf):
  , c as (select id, token, count(*) n, min(pos) p from tok where {KEPT} group by id, token)
  select token, sum(n)::bigint n from c group by token order by n desc, min((id, p)) limit 20""")
 def top_terms(spark, sf):
-    return kw.corpus_keywords(v.articles(spark, sf), "content", 20, stop_words=STOP)
+    return kw.corpus_keywords(v.corpus(spark, sf), "content", 20, stop_words=STOP)
 
 
 def hot_sql(chars, k):
@@ -66,12 +66,12 @@ def hot_sql(chars, k):
 
 @query("hot_topics", hot_sql(None, 15))
 def hot_topics(spark, sf):
-    return kw.hot_topics(v.articles(spark, sf), 15, None, stop_words=STOP)
+    return kw.hot_topics(v.corpus(spark, sf), 15, None, stop_words=STOP)
 
 
 @query("hot_topics_lead", hot_sql(200, 10))
 def hot_topics_lead(spark, sf):
-    return kw.hot_topics(v.articles(spark, sf), 10, 200, stop_words=STOP)
+    return kw.hot_topics(v.corpus(spark, sf), 10, 200, stop_words=STOP)
 
 
 # --- fingerprints ------------------------------------------------------------
@@ -100,12 +100,12 @@ def segments(df, *columns):
 
 @query("simhash", fp_views("full") + "select id, s0, s1, s2, s3 from seg")
 def simhash(spark, sf):
-    return segments(dedup.fingerprints(v.articles(spark, sf), "full"), "id")
+    return segments(dedup.fingerprints(v.corpus(spark, sf), "full"), "id")
 
 
 @query("simhash_lead", fp_views("lead") + "select id, s0, s1, s2, s3 from seg")
 def simhash_lead(spark, sf):
-    return segments(dedup.fingerprints(v.articles(spark, sf), "lead"), "id")
+    return segments(dedup.fingerprints(v.corpus(spark, sf), "lead"), "id")
 
 
 def dup_pairs_sql(rule, threshold):
@@ -115,7 +115,7 @@ def dup_pairs_sql(rule, threshold):
 
 def dup_pairs_build(rule, threshold):
     def build(spark, sf):
-        _, pairs = dedup.duplicate_groups(v.articles(spark, sf), threshold, rule)
+        _, pairs = dedup.duplicate_groups(v.corpus(spark, sf), threshold, rule)
         return pairs.groupBy("distance").agg(F.sum("article_pairs").alias("article_pairs"))
 
     return build
@@ -133,7 +133,7 @@ query("dup_pair_counts_wide", dup_pairs_sql("full", 10))(dup_pairs_build("full",
    and bit_count(xor(a.fp,b.fp)::uhugeint::varchar::hugeint) <= 4
  union all select s3, s3, 0, n * (n - 1) // 2 from groups where n > 1""")
 def dup_pairs(spark, sf):
-    _, pairs = dedup.duplicate_groups(v.articles(spark, sf), 4, "full")
+    _, pairs = dedup.duplicate_groups(v.corpus(spark, sf), 4, "full")
     a, b = dedup.segment("fp_a", 3), dedup.segment("fp_b", 3)
     return pairs.select(F.least(a, b).alias("lo_s3"), F.greatest(a, b).alias("hi_s3"), "distance", "article_pairs")
 
@@ -149,17 +149,17 @@ def clusters_sql(rule):
 
 @query("near_dup_clusters", clusters_sql("full"))
 def near_dup_clusters(spark, sf):
-    return dedup.near_dup_clusters(v.articles(spark, sf), rule="full").select("id", "cluster", "representative")
+    return dedup.near_dup_clusters(v.corpus(spark, sf), rule="full").select("id", "cluster", "representative")
 
 
 @query("near_dup_lead", clusters_sql("lead"))
 def near_dup_lead(spark, sf):
-    return dedup.near_dup_clusters(v.articles(spark, sf), rule="lead").select("id", "cluster", "representative")
+    return dedup.near_dup_clusters(v.corpus(spark, sf), rule="lead").select("id", "cluster", "representative")
 
 
 def cross_batch(spark, sf):
     """Even ids are the stored articles, odd ids the arriving batch."""
-    prints = dedup.fingerprints(v.articles(spark, sf), "full")
+    prints = dedup.fingerprints(v.corpus(spark, sf), "full")
     return prints.filter("id % 2 = 1"), prints.filter("id % 2 = 0")
 
 
@@ -181,7 +181,7 @@ STAGES = clusters_sql("lead").rsplit("\n select", 1)[0] + """,
 
 @query("dedup_stages", STAGES + "select id, stage from staged")
 def dedup_stages(spark, sf):
-    a = v.articles(spark, sf)
+    a = v.corpus(spark, sf)
     nothing = dedup.fingerprints(a, "lead").filter("fp is null")
     return dedup.dedup_stages(a, nothing).select("id", "stage")
 
@@ -212,27 +212,28 @@ def topic_sql(chars, threshold):
 
 @query("topic_members", topic_sql(None, 0.35) + "select id, cluster from comp")
 def topic_members(spark, sf):
-    members, _ = cl.cluster_members(v.articles(spark, sf), 0.35, None, STOP)
+    members, _ = cl.cluster_members(v.corpus(spark, sf), 0.35, None, STOP)
     return members
 
 
 @query("topic_members_lead", topic_sql(500, 0.4) + "select id, cluster from comp")
 def topic_members_lead(spark, sf):
-    members, _ = cl.cluster_members(v.articles(spark, sf), 0.4, 500, STOP)
+    members, _ = cl.cluster_members(v.corpus(spark, sf), 0.4, 500, STOP)
     return members
 
 
 @query("clusters", topic_sql(None, 0.35) + """,
  top as (select cluster, count(*) "size" from comp group by 1 order by "size" desc, cluster limit 20),
- words as (select cluster, token, sum(tf) n, min((f.id, (select min(pos) from tok k where k.id = f.id and k.token = f.token))) seen
-   from tf f join comp using (id) where cluster in (select cluster from top) group by 1, 2),
+ words as (select cluster, token, sum(tf) n, min((f.id, k.pos)) seen
+   from tf f join comp using (id) join (select id, token, min(pos) pos from tok group by 1, 2) k using (id, token) where cluster in (select cluster from top) group by 1, 2),
+ labels2 as (select c.cluster, substr(arg_min(a.title, (length(a.title), a.title)), 1, 40) "label"
+   from comp c join articles a using (id) group by 1),
  key5 as (select cluster, string_agg(token, ' ' order by rn) keywords from (
    select *, row_number() over (partition by cluster order by n desc, seen) rn from words) where rn <= 5 group by 1)
- select t.cluster, t."size", k.keywords, (select substr(arg_min(a.title, (length(a.title), a.title)), 1, 40)
-   from comp c join articles a using (id) where c.cluster = t.cluster) "label"
- from top t join key5 k using (cluster)""")
+ select t.cluster, t."size", k.keywords, l."label"
+ from top t join key5 k using (cluster) join labels2 l using (cluster)""")
 def clusters(spark, sf):
-    found, _ = cl.cluster_articles(v.articles(spark, sf), 0.35, None, 20, STOP)
+    found, _ = cl.cluster_articles(v.corpus(spark, sf), 0.35, None, 20, STOP)
     return found.select("cluster", "size", F.array_join("keywords", " ").alias("keywords"), "label")
 
 
@@ -265,7 +266,7 @@ BASE_SQL = v.with_views(v.SQL_ARTICLES) + f""", w as (
 
 def scored(spark, sf):
     words = t.all_tokens("content")
-    return v.articles(spark, sf).withColumn("s", se.base_score(words, **BASE))
+    return v.corpus(spark, sf).withColumn("s", se.base_score(words, **BASE))
 
 
 @query("sentiment_base", BASE_SQL + """
@@ -281,7 +282,7 @@ def sentiment_base(spark, sf):
  from (select id, regexp_extract_all(content, '[\\p{{L}}\\p{{Nd}}]{{2,}}') w from articles)""")
 def sentiment_words(spark, sf):
     words = se.sentiment_words(t.tokens("content"), POS, NEG)
-    return v.articles(spark, sf).select("id", words.alias("w")).select(
+    return v.corpus(spark, sf).select("id", words.alias("w")).select(
         "id", F.array_join("w.positive_words", " ").alias("pos_words"),
         F.array_join("w.negative_words", " ").alias("neg_words"))
 
@@ -296,7 +297,7 @@ def finance_overlay(spark, sf):
 
 @query("sentiment_full")
 def sentiment_full(spark, sf):
-    out = se.sentiment(v.articles(spark, sf), "content", base_args=BASE, lexicon=LEXICON)
+    out = se.sentiment(v.corpus(spark, sf), "content", base_args=BASE, lexicon=LEXICON)
     return out.select("id", "sentiment.sentiment_score", "sentiment.sentiment_label", "sentiment.confidence")
 
 
@@ -314,7 +315,7 @@ NB_SQL = TOK + """, y as (select doc_id id, quality = 1 pos from labels),
  select id, s sentiment_score, case when s > 0.15 then 'positive' when s < -0.15 then 'negative' else 'neutral' end sentiment_label,
    abs(s) confidence from sc""")
 def nb_sentiment(spark, sf):
-    a = v.articles(spark, sf).select("id", "content")
+    a = v.corpus(spark, sf).select("id", "content")
     labels = v.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("positive"))
     model = se.nb_train(a.join(labels, "id"), "content")
     return se.nb_sentiment(model, a, "content")
@@ -342,7 +343,7 @@ def breakdown_scored(spark, sf):
  from l""")
 def economic_trend(spark, sf):
     rows = scored(spark, sf).select("id", "s.sentiment_score", "s.sentiment_label")
-    words = kw.keywords(v.articles(spark, sf), "content", 5, stop_words=STOP)
+    words = kw.keywords(v.corpus(spark, sf), "content", 5, stop_words=STOP)
     out = stats.economic_trend(rows.join(words, "id", "left"))
     return out.select("total", "average", "positive", "negative", "trend",
                       F.array_join("dominant_keywords", " ").alias("dominant"))
@@ -355,12 +356,12 @@ def economic_trend(spark, sf):
    array_to_string(list_filter(list_transform(string_split(replace(content, chr(10), ' '), '.')[1:3], lambda p: trim(p)), lambda p: p <> ''), '.')
    || '.' end summary from articles""")
 def summary_lead(spark, sf):
-    return v.articles(spark, sf).select("id", summary.summary_lead("content", 3, ".").alias("summary"))
+    return v.corpus(spark, sf).select("id", summary.summary_lead("content", 3, ".").alias("summary"))
 
 
 @query("summary_rank")
 def summary_rank(spark, sf):
-    return summary.summary_rank(v.articles(spark, sf), "content", 3, joiner=". ")
+    return summary.summary_rank(v.corpus(spark, sf), "content", 3, joiner=". ")
 
 
 COMPANIES = ["The", "Que", "Und", "Der", "Les"]
@@ -377,7 +378,7 @@ GAZETTEERS = {"companies": COMPANIES, "people": PEOPLE, "organizations": [], "in
  select id, array_to_string(companies,' ') companies, array_to_string(people,' ') people,
    array_to_string(indicators,' ') indicators from ent""")
 def entities(spark, sf):
-    found = v.articles(spark, sf).select("id", ent.entities("content", **GAZETTEERS).alias("x"))
+    found = v.corpus(spark, sf).select("id", ent.entities("content", **GAZETTEERS).alias("x"))
     return found.select("id", *[F.array_join(f"x.{k}", " ").alias(k) for k in ("companies", "people", "indicators")])
 
 
@@ -385,7 +386,7 @@ def entities(spark, sf):
  select id, article_id, substr(title,1,50) title, array_to_string(companies,' ') companies, array_to_string(people,' ') people
  from ent where len(companies) > 0 or len(people) > 0""")
 def entities_report(spark, sf):
-    rows = ent.entities_report(v.articles(spark, sf), **GAZETTEERS)
+    rows = ent.entities_report(v.corpus(spark, sf), **GAZETTEERS)
     return rows.select("id", "article_id", "title", *[
         F.array_join(f"entities.{k}", " ").alias(k) for k in ("companies", "people")])
 
@@ -394,7 +395,7 @@ def entities_report(spark, sf):
  select c "key", round(avg(coalesce(s,0)),4) avg_score, count(*) n
  from (select id, unnest(companies[1:5]) c from ent) left join lab using (id) group by 1""")
 def breakdown_entity(spark, sf):
-    a = v.articles(spark, sf)
+    a = v.corpus(spark, sf)
     rows = stats.with_analysis(a, v.analysis(spark, sf)).withColumn(
         "companies", ent.entities("content", **GAZETTEERS)["companies"])
     return stats.sentiment_breakdown(rows, "companies").filter("dimension = 'entity'").select("key", "avg_score", "n")

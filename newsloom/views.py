@@ -23,12 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small input (one file, one row group) as many partitions as
+    there are cores before heavy text work. A large scan already has more
+    splits than cores and is left alone, so it is never shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def doc_key(doc_id) -> F.Column:
     return md5_id(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"))
 
 
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article view for jobs that work through every text."""
+    return _articles(spread(table(spark, sf_dir, "documents"), "doc_id"))
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    return _articles(table(spark, sf_dir, "documents"))
+
+
+def _articles(docs: DataFrame) -> DataFrame:
     hours = F.make_dt_interval(F.lit(0), (F.col("doc_id") % 720).cast("int"), F.lit(0), F.lit(0))
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return docs.select(
