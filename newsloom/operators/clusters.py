@@ -7,9 +7,11 @@ The similarity join is exact and never compares all pairs:
    shorter than the threshold; two vectors with a cosine at or above it must
    share a word of both prefixes, so only prefix words make candidates, and
    those are its rare words.
-3. The first word both share in that order bounds the cosine from above by the
-   lengths of the two remainders; candidates below the threshold are dropped
-   before the exact cosine is computed.
+3. The join on prefix words sums the part of the cosine it sees. Words it does
+   not see lie behind one of the prefixes, so their part is at most the length
+   of that tail times the other vector's length behind the last shared word.
+   Pairs below the threshold even with that part are dropped; only the few left
+   get their exact cosine computed.
 """
 
 from __future__ import annotations
@@ -40,18 +42,30 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     """(a, b, cosine) of all vectors (id, token, df, w) at or above the
     threshold, a < b."""
     rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
-    left = vectors.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)))
-    prefix = cut(left.filter(F.col("rest") >= threshold - SLACK).select("id", "token", "rest"))
-    one = prefix.select("token", F.col("id").alias("a"), F.col("rest").alias("rest_a"))
-    two = prefix.select("token", F.col("id").alias("b"), F.col("rest").alias("rest_b"))
-    # what both have from their first shared word on bounds the cosine
-    within = F.col("rest_a") * F.col("rest_b") >= threshold - SLACK
-    candidates = one.join(two, "token").filter((F.col("a") < F.col("b")) & within).select("a", "b").distinct()
+    square = F.col("w") * F.col("w")
+    left = vectors.withColumn("rest", F.sqrt(F.sum(square).over(rest))).withColumn(
+        "after", F.sqrt(F.greatest(F.col("rest") * F.col("rest") - square, F.lit(0.0))))
+    prefix = left.filter(F.col("rest") >= threshold - SLACK).withColumn(
+        "tail", F.min("after").over(Window.partitionBy("id")))
+    prefix = cut(prefix.select("id", "token", "w", "rest", "after", "tail"))
+
+    def side(name):
+        return prefix.select("token", F.col("id").alias(name), *[
+            F.col(c).alias(f"{c}_{name}") for c in ("w", "rest", "after", "tail")])
+
+    met = side("a").join(side("b"), "token").filter("a < b").groupBy("a", "b").agg(
+        F.sum(F.col("w_a") * F.col("w_b")).alias("dot"),
+        F.max(F.col("rest_a") * F.col("rest_b")).alias("first"),
+        F.min("after_a").alias("after_a"), F.min("after_b").alias("after_b"),
+        F.max("tail_a").alias("tail_a"), F.max("tail_b").alias("tail_b"))
+    unseen = F.greatest(F.col("tail_a") * F.col("after_b"), F.col("tail_b") * F.col("after_a"))
+    candidates = met.filter((F.col("first") >= threshold - SLACK) & (F.col("dot") + unseen >= threshold - SLACK))
     # few bytes but much work per row: keep all shuffle partitions
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    candidates = cut(candidates.repartition(parts, "a", "b"))
+    candidates = cut(candidates.select("a", "b").repartition(parts, "a", "b"))
     maps = vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("vec"))
-    maps = cut(maps)
+    needed = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
+    maps = cut(maps.join(needed, "id", "left_semi"))
     scored = candidates.join(maps.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(
         maps.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
     products = F.map_values(F.map_zip_with("va", "vb", lambda k, x, y: F.coalesce(x * y, F.lit(0.0))))

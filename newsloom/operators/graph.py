@@ -12,6 +12,7 @@ from newsloom import fixed_values as fv
 from newsloom.functions import expr as e
 from newsloom.operators import listing
 from newsloom.operators.ranking import attach, keep_first, page
+from newsloom.session import cut
 
 MAX_ENTITIES, MAX_RELATIONS, MAX_REFS = 50, 20, 50
 RELATION_TYPE = "array<struct<source:string,target:string,relation:string,description:string>>"
@@ -113,8 +114,8 @@ def with_hash(responses: DataFrame, a: DataFrame) -> DataFrame:
 
 def build_graph(responses: DataFrame, created_at: str = "") -> Graph:
     """A graph from nothing; `responses` carries content_hash."""
-    mentions = parse_entities(responses)
-    relations = parse_relations(responses, created_at)
+    mentions = cut(parse_entities(responses))
+    relations = cut(parse_relations(responses, created_at))
     edges = merge_edges(relations)
     return Graph(mentions, relations, add_endpoints(merge_nodes(mentions, created_at), edges), edges)
 
@@ -134,8 +135,9 @@ def incremental_graph(graph: Graph, batch: DataFrame, budget: int | None = None,
     todo = classify_articles(graph, batch).filter("state <> 'same'")
     if budget is not None:
         todo = page(todo, [F.asc("id")], max(budget // 2, 0))
+    todo = cut(todo)
     changed = todo.filter("state = 'changed'").select("article_id")
-    fresh_mentions, fresh_relations = parse_entities(todo), parse_relations(todo, created_at)
+    fresh_mentions, fresh_relations = cut(parse_entities(todo)), cut(parse_relations(todo, created_at))
     mentions = graph.mentions.join(changed, "article_id", "left_anti").unionByName(fresh_mentions)
     relations = graph.relations.join(changed, "article_id", "left_anti").unionByName(fresh_relations)
     touched = fresh_mentions.select("norm").union(

@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from newsloom.plans import (  # noqa: F401
+        ingest_queries,
         listing_queries,
         search_queries,
         stats_queries,

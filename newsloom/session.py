@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,16 +29,32 @@ def build_session(master: str | None = None, app: str = "newsloom", **extra: str
         builder = builder.config(key, value)
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to a session made elsewhere."""
+    """Apply the run-time settings to a session made elsewhere and give its
+    workers this package."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/newsloom", "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the session's own setting, or a
     temporary folder only when Spark runs on this one machine."""
