@@ -29,5 +29,6 @@ def load_all() -> None:
         listing_queries,
         search_queries,
         stats_queries,
+        stream_queries,
         text_queries,
     )

@@ -1,0 +1,82 @@
+"""Sliding-window call limits per client, as a batch replay and as a stream."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from newsloom import fixed_values as fv
+from newsloom.operators.ranking import previous_where, running_count
+from newsloom.streaming.replay import replay
+
+RESULTS = "allowed boolean, remaining int, retry_after int"
+NAMES = ["allowed", "remaining", "retry_after"]
+IDLE_MS = 300_000
+
+
+def decide(accepted: list[float], at: float, limit: int, window: float) -> tuple[bool, int, int]:
+    """One call at time `at`. `accepted` holds the times of accepted calls,
+    oldest first, and is updated; a rejected call leaves no trace."""
+    while accepted and accepted[0] <= at - window:
+        accepted.pop(0)
+    allowed = len(accepted) < limit
+    if allowed:
+        accepted.append(at)
+    wait = max(1, int(accepted[0] + window - at)) if accepted else 1
+    return allowed, max(0, limit - len(accepted)), wait
+
+
+def _rule(position: int, rules: dict, default: tuple) -> Column:
+    value = F.lit(default[position])
+    for path, rule in rules.items():
+        value = F.when(F.col("path") == path, F.lit(rule[position])).otherwise(value)
+    return value
+
+
+def with_rules(requests: DataFrame, rules: dict, default: tuple) -> DataFrame:
+    return requests.withColumns({"limit_n": _rule(0, rules, default), "window_s": _rule(1, rules, default),
+                                 "at": F.unix_micros("ts") / F.lit(1e6)})
+
+
+def rate_limit(requests: DataFrame, tie: str, rules=fv.RATE_RULES, default=fv.DEFAULT_RATE) -> DataFrame:
+    """Requests (client, path, ts, tie) with the limiter's decision. One list
+    of accepted calls per client serves all paths. After a pause as long as the
+    longest window the list is empty, so pauses cut a client's log."""
+    longest = max(w for _, w in [*rules.values(), default])
+    timed = previous_where(with_rules(requests, rules, default), ["client"], "ts", tie, F.lit(True), "_before")
+    pause = F.col("_before").isNull() | (F.unix_micros("ts") - F.unix_micros("_before") >= longest * 1_000_000)
+    pieces = running_count(timed, ["client"], "ts", tie, pause, "piece").drop("_before")
+    done = replay(pieces, ["client", "piece"], ["ts", tie], list,
+                  lambda accepted, row: decide(accepted, row.at, row.limit_n, row.window_s), RESULTS, NAMES)
+    return done.drop("piece", "limit_n", "window_s", "at")
+
+
+class Limiter(StatefulProcessor):
+    """Keeps a client's accepted calls; state idle for 300 s is dropped."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("accepted", "at array<double>", IDLE_MS)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        calls = pd.concat(list(rows)).sort_values(["ts", "tie"], kind="stable").reset_index(drop=True)
+        accepted = list(self.state.get()[0]) if self.state.exists() else []
+        out = [decide(accepted, r.at, r.limit_n, r.window_s) for r in calls.itertuples(index=False)]
+        self.state.update((accepted,))
+        decisions = pd.DataFrame(out, columns=NAMES)
+        yield pd.concat([calls[["client", "path", "ts", "tie"]], decisions], axis=1)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rate_limit(requests: DataFrame, tie: str, rules=fv.RATE_RULES, default=fv.DEFAULT_RATE) -> DataFrame:
+    """The same decisions on a stream of requests arriving in time order."""
+    ready = with_rules(requests, rules, default).select(
+        "client", "path", "ts", F.col(tie).alias("tie"), "at", "limit_n", "window_s")
+    return ready.groupBy("client").transformWithStateInPandas(
+        statefulProcessor=Limiter(),
+        outputStructType=f"client string, path string, ts timestamp, tie bigint, {RESULTS}",
+        outputMode="Append", timeMode="ProcessingTime")

@@ -1,0 +1,37 @@
+"""Replaying a keyed log in time order with a small state per key.
+
+Both users of this module, the call limiter and the source breaker, are defined
+by what happened just before, so a key's rows must be visited in order. To keep
+a busy key from becoming one task, its log is first cut where the state is
+known to be the starting state again; the pieces are then spread over tasks and
+streamed through in sorted batches, holding one state at a time.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def replay(pieces: DataFrame, keys: list[str], order: list[str], start: Callable[[], object],
+           step: Callable[[object, object], tuple], results: str, result_names: list[str]) -> DataFrame:
+    """Add the columns `result_names` to every row. `step(state, row)` changes
+    the state in place and returns the row's results; a new piece (equal
+    `keys`) begins with `start()`."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != last:
+                    last, state = key, start()
+                out.append(step(state, row))
+            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(out, columns=result_names)], axis=1)
+
+    ordered = pieces.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return ordered.mapInPandas(run, f"{fields}, {results}")
