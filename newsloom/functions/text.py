@@ -20,29 +20,32 @@ DICTIONARY = tuple(dict.fromkeys(
     + fv.COMPANIES + fv.ORGANIZATIONS + fv.INDICATORS + [w for w in fv.KEYWORD_STOP_WORDS if len(w) > 1]))
 
 
-def _pattern(dictionary, word: str, han: str, extra=()) -> str:
+def _pattern(dictionary, word: str, extra=(), lone_han: bool = False) -> str:
     # a Latin dictionary term only counts as a whole word; terms are tried only
     # where a Han character stands, so other scripts skip the list at once
     terms = [t for t in [*dictionary, *extra] if not t.isascii()]
     mixed = [t for t in terms if t[0].isascii()]
-    native = [t for t in terms if not t[0].isascii()]
+    native = e.alternation([t for t in terms if not t[0].isascii()])
+    # a pair of characters must not swallow the beginning of a term
+    second = rf"(?!{native})\p{{IsHan}}" if native else r"\p{IsHan}"
+    pair = rf"\p{{IsHan}}(?:{second})" + ("?" if lone_han else "")
     parts = [e.alternation(mixed)] if mixed else []
     parts.append(word)
     if native:
-        parts.append(rf"(?=\p{{IsHan}})(?:{e.alternation(native)})")
-    return "|".join(parts + [han])
+        parts.append(rf"(?=\p{{IsHan}})(?:{native})")
+    return "|".join(parts + [pair])
 
 
 def tokens(text, dictionary=DICTIONARY) -> Column:
     """Words of at least two characters, in reading order."""
     return F.regexp_extract_all(
-        e.text_or_empty(text), F.lit(_pattern(dictionary, WORD + "{2,}", r"\p{IsHan}{2}")), F.lit(0))
+        e.text_or_empty(text), F.lit(_pattern(dictionary, WORD + "{2,}")), F.lit(0))
 
 
 def all_tokens(text, dictionary=DICTIONARY, singles=tuple(fv.BASE_NEGATIONS)) -> Column:
     """Words of any length; the given single characters stand alone."""
     return F.regexp_extract_all(
-        e.text_or_empty(text), F.lit(_pattern(dictionary, WORD + "+", r"\p{IsHan}{1,2}", singles)), F.lit(0))
+        e.text_or_empty(text), F.lit(_pattern(dictionary, WORD + "+", singles, True)), F.lit(0))
 
 
 def search_tokens(text, dictionary=DICTIONARY) -> Column:
