@@ -40,6 +40,16 @@ def dashboard_rows(a: DataFrame, an: DataFrame, now: str, range_name: str = "wee
         g_cat.alias("gc"), g_day.alias("gd"), F.count(F.lit(1)).alias("n"),
         F.round(F.avg("sentiment_score"), 4).alias("avg_sentiment"),
         *[F.count_if(F.col("sentiment_label") == x).alias(x) for x in ("positive", "negative", "neutral")])
+    # an empty range still has an overall row; this second step sees one row per
+    # category and day
+    seed = a.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("day"),
+        F.lit(1).cast("byte").alias("gc"), F.lit(1).cast("byte").alias("gd"), F.lit(0).cast("bigint").alias("n"),
+        F.lit(None).cast("double").alias("avg_sentiment"),
+        *[F.lit(0).cast("bigint").alias(x) for x in ("positive", "negative", "neutral")])
+    sets = sets.unionByName(seed).groupBy("gc", "gd", "category", "day").agg(
+        *[F.max(x).alias(x) for x in ("n", "positive", "negative", "neutral")],
+        F.coalesce(F.max("avg_sentiment"), F.lit(0.0)).alias("avg_sentiment"))
     section = F.when(F.col("gc") == 0, "category").when(F.col("gd") == 0, "day").otherwise("overall")
     key = (
         F.when(F.col("gc") == 0, F.col("category")).when(F.col("gd") == 0, F.col("day"))

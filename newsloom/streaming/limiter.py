@@ -55,28 +55,36 @@ def rate_limit(requests: DataFrame, tie: str, rules=fv.RATE_RULES, default=fv.DE
 
 
 class Limiter(StatefulProcessor):
-    """Keeps a client's accepted calls; state idle for 300 s is dropped."""
+    """Keeps a client's accepted calls; a timer drops state idle for 300 s."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("accepted", "at array<double>", IDLE_MS)
+        self.handle = handle
+        self.state = handle.getValueState("accepted", "at array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         calls = pd.concat(list(rows)).sort_values(["ts", "tie"], kind="stable").reset_index(drop=True)
         accepted = list(self.state.get()[0]) if self.state.exists() else []
         out = [decide(accepted, r.at, r.limit_n, r.window_s) for r in calls.itertuples(index=False)]
         self.state.update((accepted,))
-        decisions = pd.DataFrame(out, columns=NAMES)
-        yield pd.concat([calls[["client", "path", "ts", "tie"]], decisions], axis=1)
+        self.handle.registerTimer(int(calls["at"].iloc[-1] * 1000) + IDLE_MS)
+        yield pd.concat([calls[["client", "path", "ts", "tie"]], pd.DataFrame(out, columns=NAMES)], axis=1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        accepted = self.state.get()[0] if self.state.exists() else []
+        if not accepted or accepted[-1] * 1000 + IDLE_MS <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def stream_rate_limit(requests: DataFrame, tie: str, rules=fv.RATE_RULES, default=fv.DEFAULT_RATE) -> DataFrame:
+def stream_rate_limit(requests: DataFrame, tie: str, rules=fv.RATE_RULES, default=fv.DEFAULT_RATE,
+                      late: str = "1 minute") -> DataFrame:
     """The same decisions on a stream of requests arriving in time order."""
     ready = with_rules(requests, rules, default).select(
-        "client", "path", "ts", F.col(tie).alias("tie"), "at", "limit_n", "window_s")
+        "client", "path", "ts", F.col(tie).alias("tie"), "at", "limit_n", "window_s").withWatermark("ts", late)
     return ready.groupBy("client").transformWithStateInPandas(
         statefulProcessor=Limiter(),
         outputStructType=f"client string, path string, ts timestamp, tie bigint, {RESULTS}",
-        outputMode="Append", timeMode="ProcessingTime")
+        outputMode="Append", timeMode="EventTime")

@@ -28,9 +28,10 @@ def stream_of(spark, df, name):
 
 
 def run_to_table(spark, out, name, mode="append"):
-    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder()).start()
+    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder()).trigger(
+        availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(120), "the stream did not finish"
     finally:
         q.stop()
     return spark.table(name)
