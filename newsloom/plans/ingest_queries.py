@@ -241,26 +241,26 @@ def source_tiers(spark, sf):
 # --- store -------------------------------------------------------------------
 
 def arriving(spark, sf):
-    """Target: ids not divisible by 4. Batch: even ids, each twice, where those
-    divisible by 6 have a new title and come last."""
+    """Target: all but the last days. Batch: everything, each article twice,
+    where French ones have a new title that comes last."""
     a = v.articles(spark, sf)
-    first = a.filter("id % 2 = 0").withColumn("pos", F.col("id"))
-    second = first.withColumn("pos", F.col("id") + 10_000_000).withColumn(
-        "title", F.when(F.col("id") % 6 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
-    return a.filter("id % 4 <> 0"), first.unionByName(second)
+    first = a.withColumn("pos", F.col("id"))
+    second = a.withColumn("pos", F.col("id") + 1_000_000_000_000).withColumn(
+        "title", F.when(F.col("category") == "fr", F.concat("title", F.lit("!"))).otherwise(F.col("title")))
+    return a.filter("published_at < '2024-01-24'"), first.unionByName(second)
 
 
 @query("upsert_classify", ART + """
- select id, case when id % 4 = 0 then 'insert' when id % 6 = 0 then 'update' else 'skip' end "action" from articles where id % 2 = 0""")
+ select id, case when published_at >= '2024-01-24' then 'insert' when category = 'fr' then 'update' else 'skip' end "action" from articles""")
 def upsert_classify(spark, sf):
     target, batch = arriving(spark, sf)
     return store.classify_batch(target, store.last_of_batch(batch)).select("id", "action")
 
 
 @query("upsert_articles", ART + """
- select article_id, title || case when id % 6 = 0 then '!' else '' end title,
-   case when id % 4 = 0 then 'insert' when id % 6 = 0 and id % 2 = 0 then 'update' end "action",
-   case when id % 4 = 0 then null else id end id from articles""")
+ select article_id, title || case when category = 'fr' then '!' else '' end title,
+   case when published_at >= '2024-01-24' then 'insert' when category = 'fr' then 'update' end "action",
+   case when published_at >= '2024-01-24' then null else id end id from articles""")
 def upsert_articles(spark, sf):
     target, batch = arriving(spark, sf)
     out = store.upsert_articles(target, batch, NOW)
@@ -275,28 +275,28 @@ def upsert_analysis(spark, sf):
     return store.upsert_analysis(an, newer).select("article_id", "sentiment_score")
 
 
-@query("table_copy", ART + "select article_id, case when id % 3 = 0 then 'old' else title end title from articles")
+@query("table_copy", ART + "select article_id, case when category = 'en' then 'old' else title end title from articles")
 def table_copy(spark, sf):
-    a = v.articles(spark, sf).select("article_id", "id", "title")
-    target = a.filter("id % 3 = 0").withColumn("title", F.lit("old"))
+    a = v.articles(spark, sf).select("article_id", "category", "title")
+    target = a.filter("category = 'en'").withColumn("title", F.lit("old"))
     return store.copy_table(a, target, "article_id").select("article_id", "title")
 
 
 @query("reconcile", ART + """
- select count(*) source_rows, count(*) filter (id % 3 <> 0) target_rows, count(*) filter (id % 3 = 0) only_source,
-   0::bigint only_target, count(*) filter (id % 3 <> 0 and id % 5 = 0) "different", false equal from articles""")
+ select count(*) source_rows, count(*) filter (category <> 'en') target_rows, count(*) filter (category = 'en') only_source,
+   0::bigint only_target, count(*) filter (category = 'de') "different", false equal from articles""")
 def reconcile(spark, sf):
-    a = v.articles(spark, sf).select("article_id", "id", "title")
-    other = a.filter("id % 3 <> 0").withColumn("title", F.when(F.col("id") % 5 == 0, F.concat("title", F.lit("?"))).otherwise(F.col("title")))
+    a = v.articles(spark, sf).select("article_id", "id", "title", "category")
+    other = a.filter("category <> 'en'").withColumn("title", F.when(F.col("category") == "de", F.concat("title", F.lit("?"))).otherwise(F.col("title")))
     return store.reconcile(a, other, "article_id", ["id", "title"])
 
 
 @query("reconcile_counts", """
- select 'articles' as "table", count(*) source_rows, count(*) filter (doc_id % 3 <> 0) target_rows, false equal from documents
+ select 'articles' as "table", count(*) source_rows, count(*) filter (lang <> 'en') target_rows, false equal from documents
  union all select 'messages', count(*), count(*), true from conversations""")
 def reconcile_counts(spark, sf):
     a, m = v.articles(spark, sf), v.guest_book(spark, sf)
-    return store.reconcile_counts({"articles": a, "messages": m}, {"articles": a.filter("id % 3 <> 0"), "messages": m})
+    return store.reconcile_counts({"articles": a, "messages": m}, {"articles": a.filter("category <> 'en'"), "messages": m})
 
 
 @query("parameter_query", ART + "select category, count(*) n from articles where published_at >= '2024-01-15' group by 1")
@@ -312,22 +312,22 @@ WORK = ART + """, texts as (select distinct substr(md5(content || ':auto:zh'),1,
 
 @query("translation_worklist", WORK + """
  select "key", md5(substr(content,1,2000)) body from texts
- where "key" not in (select substr(md5(content || ':auto:zh'),1,16) from articles where id % 3 = 0)""")
+ where "key" not in (select substr(md5(content || ':auto:zh'),1,16) from articles where category = 'fr')""")
 def translation_worklist(spark, sf):
     a = v.corpus(spark, sf)
     texts = a.select(F.col("content").alias("text"))
-    cache = a.filter("id % 3 = 0").select(tr.cache_key("content", "auto", "zh").alias("key"))
+    cache = a.filter("category = 'fr'").select(tr.cache_key("content", "auto", "zh").alias("key"))
     return tr.translation_worklist(texts, "zh", cache).select("key", F.md5("payload").alias("body"))
 
 
 @query("apply_translations", ART + """
- select id, case when trim(title) = '' then '' when exists (select 1 from articles b where b.id % 3 = 0 and b.title = a.title) then 'T:' || title
+ select id, case when trim(title) = '' then '' when exists (select 1 from articles b where b.category = 'fr' and b.title = a.title) then 'T:' || title
    else '[Translate required] ' || substr(title,1,200) end title,
    case when trim(title) = '' then 'unknown' when length(regexp_replace(title,'[^A-Za-z]','','g')) / greatest(length(replace(title,' ','')),1) > 0.5 then 'en' else 'unknown' end source_lang,
    true was_translated from articles a""")
 def apply_translations(spark, sf):
-    a = v.corpus(spark, sf).select("id", "title")
-    cache = keep_first(a.filter("id % 3 = 0").select(
+    a = v.corpus(spark, sf).select("id", "title", "category")
+    cache = keep_first(a.filter("category = 'fr'").select(
         tr.cache_key("title", "auto", "zh").alias("key"), F.concat(F.lit("T:"), "title").alias("translated"), "id"), ["key"], [F.asc("id")])
     out = tr.apply_translations(a, cache.select("key", "translated"), "zh", ["title"], "title")
     return out.select("id", F.col("title_translated").alias("title"), "source_lang", "was_translated")

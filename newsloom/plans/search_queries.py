@@ -102,20 +102,20 @@ def search_news_fallback(spark, sf):
 
 
 def lagging(spark, sf):
-    """An index that lacks every seventh article, one batch behind."""
+    """An index that lacks the last days' articles."""
     a = v.corpus(spark, sf)
-    return a, se.build_index(a.filter("id % 7 <> 0"))
+    return a, se.build_index(a.filter("published_at < '2024-01-26'"))
 
 
 @query("index_missing", v.with_views(v.SQL_ARTICLES) + """
- select article_id from articles where id % 7 = 0 and id in (select id from articles order by id desc limit 10000)""")
+ select article_id from articles where published_at >= '2024-01-26' and id in (select id from articles order by id desc limit 10000)""")
 def index_missing(spark, sf):
     a, old = lagging(spark, sf)
     return se.missing_from_index(a, old).select("article_id")
 
 
 @query("index_lag", v.with_views(v.SQL_ARTICLES) + """
- select count(*) lag, count(*) > 50 warning from (select id from articles order by id desc limit 10000) where id % 7 = 0""")
+ select count(*) lag, count(*) > 50 warning from (select id, published_at from articles order by id desc limit 10000) where published_at >= '2024-01-26'""")
 def index_lag(spark, sf):
     a, old = lagging(spark, sf)
     return se.index_lag(a, old)
@@ -129,18 +129,18 @@ def index_repair(spark, sf):
 
 
 @query("index_update", v.with_views(v.SQL_ARTICLES) + """
- select count(*) docs, count(*) filter (id % 5 = 0) deleted, round(count(*) filter (id % 5 = 0) * 100
-   / (count(*) + count(*) filter (id % 5 = 0)), 2) deleted_pct, count(*) filter (id % 5 = 0) > 100 compaction_due from articles""")
+ select count(*) docs, count(*) filter (category = 'de') deleted, round(count(*) filter (category = 'de') * 100
+   / (count(*) + count(*) filter (category = 'de')), 2) deleted_pct, count(*) filter (category = 'de') > 100 compaction_due from articles""")
 def index_update(spark, sf):
     a = v.corpus(spark, sf)
-    return se.index_health(se.update_index(se.build_index(a), a.filter("id % 5 = 0"), 1))
+    return se.index_health(se.update_index(se.build_index(a), a.filter("category = 'de'"), 1))
 
 
 @query("index_compaction", POSTINGS + """
- select field, count(*) postings, count(distinct id) docs from post where id % 4 <> 0 group by 1""")
+ select field, count(*) postings, count(distinct id) docs from post where id not in (select id from articles where category = 'es') group by 1""")
 def index_compaction(spark, sf):
     a = v.corpus(spark, sf)
-    small = se.compact(se.delete_from_index(se.build_index(a), a.filter("id % 4 = 0")))
+    small = se.compact(se.delete_from_index(se.build_index(a), a.filter("category = 'es'")))
     return small.postings.groupBy("field").agg(F.count("*").alias("postings"), F.count_distinct("id").alias("docs"))
 
 
@@ -264,17 +264,17 @@ def timeline(spark, sf):
 
 @query("incremental_graph", RESPONSES + """
  select state, count(*) articles, (select count(*) from nodes) nodes, (select count(*) from edges) edges from (
-   select case when id % 3 = 0 then 'new' else 'changed' end state from raw where (id % 3 = 0 or id % 5 = 0)
-     and w <> []) group by 1
+   select case when published_at >= '2024-01-20' then 'new' else 'changed' end state from raw
+   where (published_at >= '2024-01-20' or substr(published_at,1,10) = '2024-01-10') and w <> []) group by 1
  union all select 'new', 0, 0, 0 where false""")
 def incremental_graph(spark, sf):
-    """The stored graph lacks ids divisible by 3 and holds an old text of ids
-    divisible by 5; after the update it must equal a graph of all articles."""
+    """The stored graph lacks the latest articles and holds an old text of one
+    day's articles; after the update it must equal a graph of all articles."""
     now = responses(spark, sf)
-    old = (F.col("id") % 5 == 0) & (F.col("entities_text") != "")
-    before = now.filter("id % 3 <> 0").withColumn(
-        "entities_text", F.when(old, F.concat(F.lit("Oldname\n"), F.col("entities_text"))).otherwise(F.col("entities_text"))
-    ).withColumn("content_hash", F.when(F.col("id") % 5 == 0, "old").otherwise(F.col("content_hash")))
+    old = F.col("published_at").startswith("2024-01-10") & (F.col("entities_text") != "")
+    before = now.filter("published_at < '2024-01-20'").withColumns({
+        "entities_text": F.when(old, F.concat(F.lit("Oldname\n"), F.col("entities_text"))).otherwise(F.col("entities_text")),
+        "content_hash": F.when(old, "old").otherwise(F.col("content_hash"))})
     updated, done = gr.incremental_graph(gr.build_graph(before), now.filter("entities_text <> ''"))
     counts = gr.graph_statistics(updated).select("nodes", "edges")
     return attach(done.groupBy("state").agg(F.count("*").alias("articles")), counts)

@@ -158,14 +158,15 @@ def near_dup_lead(spark, sf):
 
 
 def cross_batch(spark, sf):
-    """Even ids are the stored articles, odd ids the arriving batch."""
-    prints = dedup.fingerprints(v.corpus(spark, sf), "full")
-    return prints.filter("id % 2 = 1"), prints.filter("id % 2 = 0")
+    """The last days' articles arrive, the earlier ones are stored."""
+    a = v.corpus(spark, sf)
+    fresh, stored = a.filter("published_at >= '2024-01-16'"), a.filter("published_at < '2024-01-16'")
+    return dedup.fingerprints(fresh, "full"), dedup.fingerprints(stored, "full")
 
 
 @query("cross_batch", fp_views("full") + """
- select a.id from seg a where a.id % 2 = 1 and a.fp <> 0 and exists (
-   select 1 from seg b where b.id % 2 = 0 and b.fp <> 0 and (a.s0 = b.s0 or a.s1 = b.s1 or a.s2 = b.s2 or a.s3 = b.s3)
+ select a.id from seg a where a.id in (select id from articles where published_at >= '2024-01-16') and a.fp <> 0 and exists (
+   select 1 from seg b where b.id in (select id from articles where published_at < '2024-01-16') and b.fp <> 0 and (a.s0 = b.s0 or a.s1 = b.s1 or a.s2 = b.s2 or a.s3 = b.s3)
      and bit_count(xor(a.fp, b.fp)::uhugeint::varchar::hugeint) <= 3)""")
 def cross_batch_matches(spark, sf):
     fresh, stored = cross_batch(spark, sf)
