@@ -7,7 +7,9 @@ The similarity join is exact and never compares all pairs:
    shorter than the threshold; two vectors with a cosine at or above it must
    share a word of both prefixes, so only prefix words make candidates, and
    those are its rare words.
-3. The join on prefix words sums the part of the cosine it sees. Words it does
+3. A word in very many prefixes is joined only between vectors that it and the
+   commoner words dominate.
+4. The join on the other prefix words sums the part of the cosine it sees. Words it does
    not see lie behind one of the prefixes, so their part is at most the length
    of that tail times the other vector's length behind the last shared word.
    Pairs below the threshold even with that part are dropped; only the few left
@@ -16,6 +18,8 @@ The similarity join is exact and never compares all pairs:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from newsloom import fixed_values as fv
@@ -38,28 +42,65 @@ def weighted_terms(terms: DataFrame, documents: DataFrame) -> DataFrame:
     return raw.withColumn("w", F.col("w") / norm)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, crowd: int = 5000) -> DataFrame:
     """(a, b, cosine) of all vectors (id, token, df, w) at or above the
     threshold, a < b."""
     rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
     square = F.col("w") * F.col("w")
     left = vectors.withColumn("rest", F.sqrt(F.sum(square).over(rest))).withColumn(
         "after", F.sqrt(F.greatest(F.col("rest") * F.col("rest") - square, F.lit(0.0))))
-    prefix = left.filter(F.col("rest") >= threshold - SLACK).withColumn(
-        "tail", F.min("after").over(Window.partitionBy("id")))
-    prefix = cut(prefix.select("id", "token", "w", "rest", "after", "tail"))
+    prefix = left.filter(F.col("rest") >= threshold - SLACK)
+    often = prefix.groupBy("token").agg((F.count("*") > crowd).alias("crowded"))
+    per_vector = Window.partitionBy("id")
+    prefix = prefix.join(often, "token").withColumn("tail", F.min("after").over(per_vector)).withColumn(
+        "common", F.sqrt(F.sum(F.when(F.col("crowded"), square).otherwise(0.0)).over(per_vector)))
+    prefix = cut(prefix.select("id", "token", "w", "rest", "after", "tail", "common", "crowded"))
+    candidates = _rare_candidates(prefix.filter("not crowded"), threshold)
+    crowded = prefix.filter("crowded")
+    if crowded.limit(1).count():
+        candidates = candidates.union(_crowded_candidates(crowded, threshold)).distinct()
+    return _exact(vectors, candidates, threshold)
+
+
+def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    columns = ("w", "rest", "after", "tail", "common")
+    return rows.select("token", *more, F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+
+def _first_bound():
+    """Upper bound of the cosine if this is the first word two vectors share."""
+    return F.col("w_a") * F.col("w_b") + F.col("after_a") * F.col("after_b")
 
-    def side(name):
-        return prefix.select("token", F.col("id").alias(name), *[
-            F.col(c).alias(f"{c}_{name}") for c in ("w", "rest", "after", "tail")])
 
-    met = side("a").join(side("b"), "token").filter("a < b").groupBy("a", "b").agg(
-        F.sum(F.col("w_a") * F.col("w_b")).alias("dot"),
-        F.max(F.col("rest_a") * F.col("rest_b")).alias("first"),
+def _rare_candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that share a word of both prefixes, unless what they share there,
+    in crowded words and behind the prefixes cannot reach the threshold."""
+    met = _side(rows, "a").join(_side(rows, "b"), "token").filter("a < b").groupBy("a", "b").agg(
+        F.sum(F.col("w_a") * F.col("w_b")).alias("dot"), F.max(_first_bound()).alias("first"),
         F.min("after_a").alias("after_a"), F.min("after_b").alias("after_b"),
-        F.max("tail_a").alias("tail_a"), F.max("tail_b").alias("tail_b"))
-    unseen = F.greatest(F.col("tail_a") * F.col("after_b"), F.col("tail_b") * F.col("after_a"))
-    candidates = met.filter((F.col("first") >= threshold - SLACK) & (F.col("dot") + unseen >= threshold - SLACK))
+        F.max("tail_a").alias("tail_a"), F.max("tail_b").alias("tail_b"),
+        F.max(F.col("common_a") * F.col("common_b")).alias("common"))
+    unseen = F.col("common") + F.greatest(F.col("tail_a") * F.col("after_b"), F.col("tail_b") * F.col("after_a"))
+    low = threshold - SLACK
+    return met.filter((F.col("first") >= low) & (F.col("dot") + unseen >= low)).select("a", "b")
+
+
+def _crowded_candidates(rows: DataFrame, threshold: float, levels: int = 8) -> DataFrame:
+    """Pairs whose first shared word is a crowded one. The lengths of both
+    vectors from that word on must multiply to the threshold, so lengths are
+    put on a logarithmic scale and only levels that can reach it are joined:
+    a vector that is mostly rare words meets few others here."""
+    step = -math.log(max(min(threshold, 0.999), 1e-6)) / levels
+    level = F.greatest(F.floor(-F.log(F.least("rest", F.lit(1.0))) / step), F.lit(0))
+    placed = rows.withColumn("level", level).filter(F.col("level") <= levels)
+    one = _side(placed.withColumn("reach", F.explode(F.sequence(F.lit(0), levels - F.col("level")))), "a", "reach")
+    two = _side(placed, "b", "level").withColumnRenamed("level", "reach")
+    # spread a crowded word over its levels and, at run time, over split partitions
+    return one.join(two, ["token", "reach"]).filter(
+        (F.col("a") < F.col("b")) & (_first_bound() >= threshold - SLACK)).select("a", "b").distinct()
+
+
+def _exact(vectors: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
     # few bytes but much work per row: keep all shuffle partitions
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     candidates = cut(candidates.select("a", "b").repartition(parts, "a", "b"))
@@ -74,7 +115,7 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
 
 
 def cluster_members(a: DataFrame, threshold: float = 0.4, chars: int | None = 500,
-                    stop_words=fv.CLUSTER_STOP_WORDS) -> tuple[DataFrame, DataFrame]:
+                    stop_words=fv.CLUSTER_STOP_WORDS, crowd: int = 5000) -> tuple[DataFrame, DataFrame]:
     """(members, terms): members are (id, cluster) of clusters of at least two,
     named by their first id; terms is the term table for further use."""
     words = t.kept_tokens(t.tokens(t.article_text(chars)), stop_words, drop_digits=False)
@@ -85,7 +126,7 @@ def cluster_members(a: DataFrame, threshold: float = 0.4, chars: int | None = 50
     bags = cut(bags)
     first = bags.groupBy("bag").agg(F.min("id").alias("rep"), F.count("*").alias("_n"))
     vectors = cut(weighted_terms(terms, documents).join(first.select(F.col("rep").alias("id")), "id", "left_semi"))
-    pairs = similar_pairs(vectors, threshold)
+    pairs = similar_pairs(vectors, threshold, crowd)
     roots = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     grouped = first.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "cluster", F.coalesce("component", "rep"))

@@ -125,14 +125,14 @@ def brute_clusters(texts, threshold):
     return {i: r for i, r in enumerate(roots) if roots.count(r) > 1}
 
 
-@pytest.mark.parametrize("threshold", [0.25, 0.4, 0.7])
-def test_clusters_against_all_pairs(spark, articles, threshold):
+@pytest.mark.parametrize("threshold, crowd", [(0.25, 5000), (0.4, 3), (0.7, 10), (0.3, 1)])
+def test_clusters_against_all_pairs(spark, articles, threshold, crowd):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(60)]
     weights = [1 / (i + 1) for i in range(60)]  # few common, many rare words
     texts = [" ".join(rng.choices(vocabulary, weights, k=rng.randint(1, 14))) for _ in range(90)] + ["same text here"] * 5
     df = articles(*[{"title": "", "content": x} for x in texts])
-    members, _ = clusters.cluster_members(df, threshold, None)
+    members, _ = clusters.cluster_members(df, threshold, None, crowd=crowd)
     got = {r["id"] - 1: r["cluster"] - 1 for r in members.collect()}
     assert got == brute_clusters(texts, threshold)
 
