@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom import fixed_values as fv
+from newsloom.operators.ranking import attach
 
 
 def request_counts(log: DataFrame) -> DataFrame:
@@ -52,12 +53,9 @@ def minute_counts(log: DataFrame, keys: list[str], **flags: Column) -> DataFrame
     minute; `minute` is the end of the counted minute in epoch minutes."""
     minute = F.floor(F.unix_seconds("ts") / 60) + 1
     counts = log.groupBy(*keys, minute.alias("minute")).agg(*[F.count_if(f).alias(n) for n, f in flags.items()])
-    span = log.agg(F.min(minute).alias("lo"), F.max(minute).alias("hi"))
-    clock = span.filter("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("minute"))
-    series = log.select(*keys).distinct() if keys else None
-    # series are label sets (sources, status classes), a small fixed vocabulary
-    grid = clock if series is None else series.withColumn("_one", F.lit(1)).join(
-        clock.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    span = log.agg(F.min(minute).alias("_lo"), F.max(minute).alias("_hi"))
+    series = attach(log.select(*keys).distinct(), span) if keys else span
+    grid = series.filter("_lo is not null").select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("minute"))
     return grid.join(counts, [*keys, "minute"], "left").na.fill(0, list(flags))
 
 

@@ -8,6 +8,7 @@ from newsloom import views as v
 from newsloom.operators import graph as gr, metrics, search as se
 from newsloom.operators.ranking import attach
 from newsloom.plans.catalog import query
+from newsloom.session import cut
 
 NOW = v.NOW
 EN = r"[\p{L}\p{Nd}]{2,}"
@@ -23,13 +24,15 @@ POSTINGS = v.with_views(v.SQL_ARTICLES) + f""", fields as (
 
 
 def index(spark, sf):
-    return se.build_index(v.corpus(spark, sf))
+    """The index as searches meet it: built once and stored."""
+    built = se.build_index(v.corpus(spark, sf))
+    return se.Index(cut(built.postings), cut(built.docs))
 
 
 @query("index_postings", POSTINGS + """
  select field, count(*) postings, count(distinct term) terms, sum(tf)::bigint tokens from post group by 1""")
 def index_postings(spark, sf):
-    return index(spark, sf).postings.groupBy("field").agg(
+    return se.build_index(v.corpus(spark, sf)).postings.groupBy("field").agg(
         F.count("*").alias("postings"), F.count_distinct("term").alias("terms"), F.sum("tf").alias("tokens"))
 
 

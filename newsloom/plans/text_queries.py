@@ -9,6 +9,7 @@ from newsloom.functions import expr as e, text as t
 from newsloom.operators import clusters as cl, dedup, entities as ent, keywords as kw, sentiment as se
 from newsloom.operators import stats, summary
 from newsloom.plans.catalog import query
+from newsloom.session import cut
 
 NOW = v.NOW
 STOP = ["the", "of", "and", "de", "la", "der"]
@@ -318,7 +319,7 @@ NB_SQL = TOK + """, y as (select doc_id id, quality = 1 pos from labels),
 def nb_sentiment(spark, sf):
     a = v.corpus(spark, sf).select("id", "content")
     labels = v.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("positive"))
-    model = se.nb_train(a.join(labels, "id"), "content")
+    model = cut(se.nb_train(a.join(labels, "id"), "content"))
     return se.nb_sentiment(model, a, "content")
 
 

@@ -25,6 +25,8 @@ def build_session(master: str | None = None, app: str = "newsloom", **extra: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    # checkpoint files go when nothing refers to them any more
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     for key, value in extra.items():
