@@ -49,16 +49,18 @@ def similar_pairs(vectors: DataFrame, threshold: float, crowd: int = 5000) -> Da
     square = F.col("w") * F.col("w")
     left = vectors.withColumn("rest", F.sqrt(F.sum(square).over(rest))).withColumn(
         "after", F.sqrt(F.greatest(F.col("rest") * F.col("rest") - square, F.lit(0.0))))
-    prefix = left.filter(F.col("rest") >= threshold - SLACK)
-    often = prefix.groupBy("token").agg((F.count("*") > crowd).alias("crowded"))
     per_vector = Window.partitionBy("id")
-    prefix = prefix.join(often, "token").withColumn("tail", F.min("after").over(per_vector)).withColumn(
-        "common", F.sqrt(F.sum(F.when(F.col("crowded"), square).otherwise(0.0)).over(per_vector)))
-    prefix = cut(prefix.select("id", "token", "w", "rest", "after", "tail", "common", "crowded"))
-    candidates = _rare_candidates(prefix.filter("not crowded"), threshold)
-    crowded = prefix.filter("crowded")
-    if crowded.limit(1).count():
-        candidates = candidates.union(_crowded_candidates(crowded, threshold)).distinct()
+    prefix = left.filter(F.col("rest") >= threshold - SLACK).withColumn("tail", F.min("after").over(per_vector))
+    prefix = cut(prefix.select("id", "token", "w", "rest", "after", "tail"))
+    often = prefix.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd)
+    if not often.limit(1).count():
+        candidates = _rare_candidates(prefix.withColumn("common", F.lit(0.0)), threshold)
+    else:
+        marked = prefix.join(often.select("token", F.lit(True).alias("crowded")), "token", "left")
+        share = F.sum(F.when(F.col("crowded"), square).otherwise(0.0)).over(per_vector)
+        marked = cut(marked.withColumn("common", F.sqrt(share)))
+        candidates = _rare_candidates(marked.filter("crowded is null"), threshold).union(
+            _crowded_candidates(marked.filter("crowded"), threshold)).distinct()
     return _exact(vectors, candidates, threshold)
 
 
