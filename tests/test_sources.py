@@ -188,3 +188,21 @@ def test_search(spark, articles):
     assert se.search(newer, ["alpha"]).count() == 2 and se.index_health(newer).first()["deleted"] == 1
     assert se.search(se.compact(se.delete_from_index(newer, df.filter("id = 1"))), ["beta"]).first()["id"] == 3
     assert se.index_lag(df, se.build_index(df.filter("id = 1"))).first()["lag"] == 2
+
+
+def test_context_for_a_question(spark, articles):
+    _, g = graph_of(spark, ("\n".join(f"名字{i}" for i in range(8)), ""))
+    a = articles({"i": 1, "title": "关于名字0", "summary": "s", "published_at": "2024-01-30T00:00:00"},
+                 {"i": 2, "title": "名字0旧闻", "published_at": "2024-01-01T00:00:00"}, {"i": 3, "title": "无关"})
+    named = gr.relevant_entities(g, "名字0 怎么样")
+    assert [r["name"] for r in named.collect()] == ["名字0"]
+    text = gr.collect_context(g, a, named, "2024-01-20", "2024-01-31").first()["context"]
+    first, second = text.split("\n\n新闻标题: ")
+    assert first.startswith("实体 '名字0' 的相关信息:\n  - 和 '名字5' 的关系: 提及关系\n") and second.startswith("关于名字0\n新闻摘要: s")
+
+
+def test_roll_entries_take_page_bodies(spark):
+    items = [{"title": "题", "url": "http://b"}, {"title": "", "url": "http://b"}, {"title": "无页", "url": "http://c"}]
+    bodies = spark.createDataFrame([("http://b", BODY)], "url string, body string")
+    got = rows(feeds.sina_roll(landed(spark, {"result": {"data": items}}), bodies, NOW))
+    assert [(r["title"], r["content"], r["source"]) for r in got] == [("题", BODY, "新浪财经")]
