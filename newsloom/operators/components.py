@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.session import cut
+from newsloom.session import cut, discard
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        pairs = cut(_tie_smaller(_tie_larger(pairs)))
+        older, pairs = pairs, cut(_tie_smaller(_tie_larger(pairs)))
+        discard(older)
         after = _signature(pairs)
         if after == before:
             break

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,7 +75,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder and continue from the files, so a
-    lost executor re-reads them instead of recomputing the whole history."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` as Parquet into the shared folder and continue from the files,
+    so a lost executor re-reads them instead of recomputing the whole history.
+    The files are columnar: later steps read only the columns they use. `discard`
+    removes them early; otherwise they go with the folder."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._cut_path = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Remove the files of a table that `cut` wrote, once nothing reads it."""
+    path = getattr(stored, "_cut_path", None)
+    if path:
+        jvm = stored.sparkSession._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(stored.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
