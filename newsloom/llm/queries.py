@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import near_dup
+from newsloom.llm import decontaminate, licenses, near_dup, quality, warc
 from newsloom.llm.common import read
+from newsloom.session import cut
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +22,129 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_dup.with_components(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+@query("op4_quality_rules", rf"""
+with d as (
+  select doc_id, coalesce(text, '') t, 'h' || source host, text,
+    {_WORDS.format("coalesce(text, '')")} w
+  from documents),
+grams as (
+  select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g
+  from d, unnest(range(1, len(w) - 1)) r(i)),
+twice as (select doc_id, g from grams group by all having count(*) > 1),
+inside as (select distinct doc_id, i + k pos from grams join twice using (doc_id, g), unnest([0, 1, 2]) o(k)),
+repeated as (select doc_id, count(*) n from inside group by 1),
+lines as (
+  select doc_id, t, host, l, len({_WORDS.format("l")}) n, array_to_string({_WORDS.format(_LOWER.format("l"))}, ' ') norm
+  from d, unnest(string_split(t, chr(10))) u(l)
+  where len({_WORDS.format("l")}) > 0),
+dups as (select doc_id, count(*) - count(distinct l) n from lines group by 1),
+totals as (select host, count(distinct t) host_docs from d group by 1),
+over_limit as (
+  select host, norm from lines join totals using (host) group by host, norm, host_docs
+  having count(distinct t) > {quality.MIN_DOCS} and count(distinct t) > {quality.MAX_SHARE} * host_docs),
+removed as (select doc_id, sum(n) n from lines join over_limit using (host, norm) group by 1),
+rated as (
+  select d.doc_id, len(w) n_words, length(regexp_replace(d.t, '[\x20\x09-\x0D]', '', 'g')) word_chars,
+    length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) n_symbols,
+    coalesce(dups.n, 0) n_dup_lines, coalesce(repeated.n, 0) n_repeat_words, coalesce(removed.n, 0) removed_words
+  from d left join dups using (doc_id) left join repeated using (doc_id) left join removed using (doc_id)),
+failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from rated)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words::bigint removed_words,
+  not base_failed and not (removed_words > 0 and n_words - removed_words < {quality.MIN_LEFT} * n_words) kept
+from failed""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judge(cut(quality.measure(read(spark, sf_dir, "documents"))))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                       F.col("removed_words").cast("long").alias("removed_words"), "kept")
+
+
+@query("op5_benchmark_decontamination", rf"""
+with d as (select doc_id, {_PLAIN.format("text")} w from documents),
+b as (select item_id, {_PLAIN.format("text")} w from benchmark),
+windows as (
+  select distinct item_id, least(10, len(w)) n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') g
+  from b, unnest(range(1, len(w) - least(10, len(w)) + 2)) r(i) where len(w) > 0),
+sizes as (select distinct n from windows),
+hits as (
+  select doc_id, i, n, item_id
+  from (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') g
+        from d, sizes, unnest(range(1, len(w) - n + 2)) r(i)) join windows using (n, g)),
+places as (select doc_id, count(distinct i + k) n_hit from hits, unnest(range(0, n)) o(k) group by 1),
+items as (
+  select doc_id, count(distinct item_id) n_items, sha256(array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',')) s
+  from hits group by 1)
+select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(s, sha256('')) items_sha256,
+  coalesce(n_hit, 0) > 0 contaminated
+from d left join places using (doc_id) left join items using (doc_id)""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query("op8_license_scan", rf"""
+with d as (select doc_id, coalesce(text, '') t, {_PLAIN.format("text")} w from documents),
+phrases as (
+  select string_split(unnest({_sql_list(p for p, _ in licenses.PHRASES)}), ' ') p, unnest({_sql_list(x for _, x in licenses.PHRASES)}) label),
+places as (
+  select doc_id, i - 1 place, label from d, phrases, unnest(range(1, len(w) - len(p) + 2)) r(i) where w[i:i + len(p) - 1] = p),
+base as (
+  select doc_id, count(*) n, min(place) first_word, max(place) last_word, list(distinct label) labels from places group by 1),
+templates as (
+  select row_number() over () tid, label, list_distinct({_PLAIN.format("t")}) s
+  from (select unnest({_sql_list(t for _, t in licenses.TEMPLATES)}) t, unnest({_sql_list(x for x, _ in licenses.TEMPLATES)}) label)),
+found as (
+  select doc_id, label, len(list_intersect(list_distinct(lw), s)) / len(s)::double share
+  from (select doc_id, {_PLAIN.format("l")} lw from d, unnest(string_split(t, chr(10))) u(l)), templates),
+blocks as (
+  select doc_id, list(distinct label) labels, max(share) share from found where share >= {licenses.THRESHOLD} - 1e-9 group by 1)
+select d.doc_id, len(w) n_words, coalesce(base.n, 0) n_base, first_word, last_word,
+  array_to_string(list_sort(coalesce(base.labels, [])), ',') base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(blocks.labels, [])))), ',') labels,
+  case when base.n > 0 then 1.0::double else coalesce(share, 0.0)::double end score
+from d left join base using (doc_id) left join blocks using (doc_id)""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scan(read(spark, sf_dir, "documents"))
+    n = F.size("places").cast("long")
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    return rows.select(
+        "doc_id", "n_words", n.alias("n_base"), F.array_min("places").alias("first_word"), F.array_max("places").alias("last_word"),
+        joined(F.col("place_labels")).alias("base_labels"), joined(F.concat("place_labels", "block_labels")).alias("labels"),
+        F.when(n > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("block_shares"), F.lit(0.0))).alias("score"))
+
+
+_BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+
+
+@query("op10_warc", f"""
+with p as (select page_id, coalesce(html, '') h from pages),
+g as (select h, min(page_id) first_id from p group by 1),
+x as (
+  select page_id, h, first_id,
+    [cast('0x' || substr(sha1(h), 10 * k + 1, 10) as bigint) for k in range(0, 4)] v
+  from p join g using (h))
+select page_id, strlen(h)::bigint payload_bytes,
+  array_to_string([array_to_string([substr({_BASE32}, ((n >> (35 - 5 * i)) & 31)::int + 1, 1) for i in range(0, 8)], '') for n in v], '')
+    payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end record_type,
+  case when page_id <> first_id then first_id end refers_to
+from x""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(read(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
