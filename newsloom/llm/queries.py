@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import decontaminate, licenses, near_dup, quality, warc
+from newsloom.llm import decontaminate, licenses, near_dup, quality, secrets, warc
 from newsloom.llm.common import read
 from newsloom.session import cut
 
@@ -148,3 +148,35 @@ from x""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.round_trip(read(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _sql_spans(number: int, rule: secrets.Rule) -> str:
+    p = rule.pattern.replace("'", "''")
+    sizes = f"[length(x) for x in regexp_extract_all(t, '{p}', {rule.group})]" if rule.least else "[0 for x in hits]"
+    return f"""
+  select doc_id, {number} kind, '{rule.kind}' name, unnest(range(1, len(hits) + 1)) i, unnest(hits) hit, unnest(gaps[:len(hits)]) gap, unnest({sizes}) size
+  from (select doc_id, t, [length(x) for x in regexp_extract_all(t, '{p}')] hits, [length(x) for x in regexp_split_to_array(t, '{p}')] gaps
+        from d where regexp_matches(t, '{p}'))"""
+
+
+@query("op7_secret_scan", f"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+pieces as ({" union all ".join(_sql_spans(n, r) for n, r in enumerate(secrets.RULES))}),
+placed as (
+  select *, sum(gap + hit) over (partition by doc_id, kind order by i) stop from pieces),
+spans as (
+  select doc_id, kind, stop - hit start, name || ':' || cast(stop - hit as bigint) || ':' || cast(stop as bigint) s
+  from placed where kind > 0 or size >= 6),
+joined as (
+  select doc_id, count(*) filter (kind = 0) n_assign, count(*) filter (kind = 1) n_access, count(*) filter (kind = 2) n_hex,
+    coalesce(string_agg(s, ',' order by start, kind) filter (kind < 3), '') base, string_agg(s, ',' order by start, kind) s
+  from spans group by 1)
+select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex,
+  sha256(coalesce(base, '')) base_sha256, coalesce(s, '') spans
+from d left join joined using (doc_id)""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(read(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"] < len(secrets.BASE_RULES))
+    return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                       F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
