@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import decontaminate, licenses, near_dup, quality, secrets, warc
+from newsloom.llm import chat, decontaminate, licenses, near_dup, quality, secrets, warc
 from newsloom.llm.common import read
 from newsloom.session import cut
 
@@ -180,3 +180,49 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"] < len(secrets.BASE_RULES))
     return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                        F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
+
+
+_ESCAPED = (r"regexp_replace(replace({0}, '\', '\\'), '([<\[])(\|turn\|>|\|text\|>|\|end\|>|/?s>|/?INST\])', '\1\\\2', 'g')")
+
+
+@query("op3_chat_windows", f"""
+with c as (
+  select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o as (
+  select *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + {chat.OVERHEAD} cost,
+    row_number() over w - 1 pos, count(*) over (partition by conv_id) n_turns, first(role) over w first_role,
+    length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + {len(chat.TURN + chat.TEXT + chat.END)} chars
+  from c window w as (partition by conv_id order by turn, role, text)),
+s as (
+  select *, case when first_role = 'system' and n_turns > 1 then first(cost) over w else 0 end reserved,
+    case when first_role = 'system' and n_turns > 1 then first(chars) over w else 0 end system_chars,
+    sum(cost) over w - cost at_all from o window w as (partition by conv_id order by pos)),
+b as (
+  select *, at_all - reserved beg, {chat.BUDGET} - reserved room, greatest(1, floor(({chat.BUDGET} - reserved) / 2)) step
+  from s where not (reserved > 0 and pos = 0)),
+t as (select *, floor(beg / step) * 2 + (cost > step)::int span from b),
+spans as (
+  select conv_id, span, min(beg) start_at, sum(cost) cost, max(room) room, max(system_chars) system_chars, sum(chars) chars
+  from t group by 1, 2),
+r as (select *, greatest(0, least({chat.HISTORY}, room - cost, start_at)) reach from spans),
+repeated as (
+  select r.conv_id, r.span, sum(t.chars) chars from r join t on t.conv_id = r.conv_id and t.beg >= r.start_at - reach and t.beg < r.start_at
+  group by 1, 2),
+lengths as (
+  select conv_id, sum(r.chars + system_chars + coalesce(repeated.chars, 0)) chars, count(*) n_windows
+  from r left join repeated using (conv_id, span) group by 1),
+turns as (
+  select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) turns_sha256,
+    coalesce(string_agg(text, '' order by pos) filter (role = 'assistant'), '') loss
+  from o group by 1)
+select conv_id, n_turns, turns_sha256, length(loss) loss_chars, sha256(loss) loss_sha256, chars::bigint formatted_chars, n_windows
+from turns join lengths using (conv_id)""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    made = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(made)
+    rows = chat.read_back(cut(chat.windows(turns)))
+    return rows.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+                       F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_windows")
