@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import re
 import uuid
 import zlib
@@ -36,7 +35,7 @@ from pyspark.sql.window import Window
 from newsloom.llm.common import map_rows, text_bytes
 from newsloom.session import checkpoint_dir
 
-ARCHIVE_BYTES = 32 << 20     # payload bytes of an archive, about
+MOST_RECORDS = 20_000        # of an archive; its bytes follow from the size of a shuffle partition
 MIN_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
@@ -112,7 +111,7 @@ def parse(data: bytes) -> Record:
 
 
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html",
-          min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+          min_bytes: int = MIN_BYTES, most_records: int = MOST_RECORDS) -> None:
     """Write `pages` as archives into the folder `path`."""
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
@@ -120,18 +119,17 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id")
     # per payload its smallest id; per id and payload, how often: only narrow rows are shuffled
     times = rows.groupBy("sha1", "page_id").agg(F.count("*").alias("times"), F.max(F.octet_length("payload")).alias("bytes"))
-    groups = times.groupBy("sha1").agg(F.min(order).alias("first"), F.sum("times").alias("members"), F.max("bytes").alias("bytes"))
-    shared = groups.filter((F.col("members") > 1) & (F.col("bytes") >= min_bytes)).select(
-        "sha1", F.col("first.page_id").alias("first_id"), F.lit(True).alias("shared"))
-    total = rows.agg(F.sum(F.octet_length("payload")).alias("b"), F.count("*").alias("n")).first()
-    archives = max(1, math.ceil(((total["b"] or 0) + 1000 * total["n"]) / archive_bytes))
-    joined = rows.join(shared, "sha1", "left")
-    # copies of one row get numbers; only they meet in a window
-    again = times.filter("times > 1").select(F.col("sha1").alias("s"), F.col("page_id").alias("p"))
-    joined = joined.join(again, (F.col("sha1") == F.col("s")) & F.col("page_id").eqNullSafe(F.col("p")), "left")
-    numbered = joined.filter("s is not null").withColumn(
+    groups = times.groupBy("sha1").agg(F.min(order).alias("first"), F.sum("times").alias("members"),
+                                       F.max("times").alias("times"), F.max("bytes").alias("bytes"))
+    shared = groups.filter("members > 1").select(
+        "sha1", F.col("first.page_id").alias("first_id"), (F.col("bytes") >= min_bytes).alias("shared"), (F.col("times") > 1).alias("again"))
+    # the only shuffle of payloads; its partitions become the archives, and a
+    # group of copies too large for one is split by the skew join
+    joined = rows.join(shared, "sha1", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    # repeated rows are numbered; only groups that hold some meet in a window
+    numbered = joined.filter("again").withColumn(
         "copy", F.row_number().over(Window.partitionBy("sha1", "page_id").orderBy("url")) - 1)
-    rows = joined.filter("s is null").withColumn("copy", F.lit(0)).unionByName(numbered).select(
+    rows = joined.filter("not again").withColumn("copy", F.lit(0)).unionByName(numbered).select(
         "page_id", "copy", "url", "payload", "first_id", F.coalesce("shared", F.lit(False)).alias("shared"))
 
     def make(batch: pa.RecordBatch) -> dict:
@@ -141,8 +139,9 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
             out.append(pack(p, copy, u, text_bytes(text), (first, 0) if revisit else None)[:-1])
         return {"record": pa.array(out, pa.binary())}
 
-    packed = map_rows(rows.repartition(archives, F.xxhash64("page_id", "copy", "url")), make, "record binary")
-    packed.select(F.col("record").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
+    packed = map_rows(rows, make, "record binary")
+    packed.select(F.col("record").cast("string")).write.option("lineSep", "\0").option("compression", "none").option(
+        "maxRecordsPerFile", most_records).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
