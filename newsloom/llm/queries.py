@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import chat, decontaminate, licenses, near_dup, quality, secrets, warc
+from newsloom.llm import bpe, chat, decontaminate, licenses, near_dup, quality, secrets, warc
 from newsloom.llm.common import read
 from newsloom.session import cut
 
@@ -226,3 +226,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.read_back(cut(chat.windows(turns)))
     return rows.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
                        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_windows")
+
+
+@query("op6_bpe_words")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
