@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import bpe, chat, decontaminate, licenses, near_dup, quality, secrets, warc
+from newsloom.llm import bpe, chat, decontaminate, licenses, lm, near_dup, quality, secrets, warc
 from newsloom.llm.common import read
 from newsloom.session import cut
 
@@ -233,3 +233,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op9_lm_scores")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
