@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import bpe, chat, decontaminate, licenses, lm, near_dup, quality, secrets, warc
+from newsloom.llm import bpe, chat, decontaminate, licenses, line_dedup, lm, near_dup, quality, secrets, warc
 from newsloom.llm.common import read
 from newsloom.session import cut
 
@@ -239,3 +239,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.duplicate_lines(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_links",
+                       F.col("removed.no").alias("removed_lines"), F.col("removed.kept_in").alias("kept_in"))
