@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from newsloom.llm.common import map_rows, text_bytes
-from newsloom.session import checkpoint_dir
+from newsloom.session import checkpoint_dir, cut
 
 MOST_RECORDS = 20_000        # of an archive; its bytes follow from the size of a shuffle partition
 MIN_BYTES = 0
@@ -121,16 +121,17 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     times = rows.groupBy("sha1", "page_id").agg(F.count("*").alias("times"), F.max(F.octet_length("payload")).alias("bytes"))
     groups = times.groupBy("sha1").agg(F.min(order).alias("first"), F.sum("times").alias("members"),
                                        F.max("times").alias("times"), F.max("bytes").alias("bytes"))
-    shared = groups.filter("members > 1").select(
-        "sha1", F.col("first.page_id").alias("first_id"), (F.col("bytes") >= min_bytes).alias("shared"), (F.col("times") > 1).alias("again"))
+    shared = cut(groups.filter("members > 1").select(
+        "sha1", F.col("first.page_id").alias("first_id"), (F.col("bytes") >= min_bytes).alias("shared"), (F.col("times") > 1).alias("again")))
     # the only shuffle of payloads; its partitions become the archives, and a
     # group of copies too large for one is split by the skew join
-    joined = rows.join(shared, "sha1", "left").withColumn("again", F.coalesce("again", F.lit(False)))
-    # repeated rows are numbered; only groups that hold some meet in a window
-    numbered = joined.filter("again").withColumn(
-        "copy", F.row_number().over(Window.partitionBy("sha1", "page_id").orderBy("url")) - 1)
-    rows = joined.filter("not again").withColumn("copy", F.lit(0)).unionByName(numbered).select(
-        "page_id", "copy", "url", "payload", "first_id", F.coalesce("shared", F.lit(False)).alias("shared"))
+    joined = rows.join(shared, "sha1", "left").withColumn("copy", F.lit(0))
+    if not shared.filter("again").isEmpty():
+        # repeated rows are numbered; only groups that hold some meet in a window
+        again = rows.join(shared.filter("again"), "sha1").withColumn(
+            "copy", F.row_number().over(Window.partitionBy("sha1", "page_id").orderBy("url")) - 1)
+        joined = joined.filter(~F.coalesce("again", F.lit(False))).unionByName(again)
+    rows = joined.select("page_id", "copy", "url", "payload", "first_id", F.coalesce("shared", F.lit(False)).alias("shared"))
 
     def make(batch: pa.RecordBatch) -> dict:
         out = []
