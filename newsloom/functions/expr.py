@@ -229,7 +229,7 @@ def quality_parts(title, content, source, published_at, now,
     n = F.length(body)
     length = F.when(n >= 500, 30).when(n >= 200, 25).when(n >= 80, 15).otherwise(5)
     trust = F.when(in_list(source, high), 25).when(in_list(source, medium), 18).otherwise(10)
-    numbers = F.regexp_count(body, F.lit(r"\d+\.?\d*%?"))
+    numbers = F.regexp_count(body, F.lit(r"\p{Nd}+\.?\p{Nd}*%?"))
     density = F.least(F.lit(20), F.floor(numbers / F.greatest(n / 100, F.lit(1.0)) * 10).cast("int"))
     at = F.when(text_or_empty(published_at).startswith("202"), parse_time(published_at))
     age = hours_between(as_time(now), at)

@@ -14,7 +14,8 @@ from newsloom.operators import listing
 from newsloom.operators.ranking import attach, keep_first, page
 from newsloom.session import cut
 
-MAX_ENTITIES, MAX_RELATIONS, MAX_REFS = 50, 20, 50
+SHOWN_REFS = 50   # articles listed with a node; its ref_count counts all
+GUESSED = 5       # names on either side of guessed relations
 RELATION_TYPE = "array<struct<source:string,target:string,relation:string,description:string>>"
 
 
@@ -28,12 +29,12 @@ class Graph:
 
 # --- reading responses -------------------------------------------------------
 
-def entity_list(response) -> Column:
+def entity_list(response, most: int | None = None) -> Column:
     """Entity names of one response: trimmed lines longer than one character
-    without function characters, at most 50."""
+    without function characters, the first `most` of them if it is given."""
     lines = F.transform(F.split(e.text_or_empty(response), "\n"), lambda x: F.trim(x))
     clean = F.filter(lines, lambda x: (F.length(x) > 1) & ~e.contains_any(x, fv.ENTITY_FUNCTION_CHARS, fold=False))
-    return F.slice(clean, 1, MAX_ENTITIES)
+    return clean if most is None else F.slice(clean, 1, most)
 
 
 def normalize_entity(name, longest_first: bool = False) -> Column:
@@ -48,25 +49,26 @@ def normalize_entity(name, longest_first: bool = False) -> Column:
     return F.trim(rule.otherwise(bare))
 
 
-def parse_entities(responses: DataFrame) -> DataFrame:
+def parse_entities(responses: DataFrame, most: int | None = None) -> DataFrame:
     keep = [c for c in ("id", "article_id", "title", "source", "published_at", "content_hash") if c in responses.columns]
-    return responses.select(*keep, F.posexplode(entity_list("entities_text")).alias("pos", "entity")).withColumn(
+    return responses.select(*keep, F.posexplode(entity_list("entities_text", most)).alias("pos", "entity")).withColumn(
         "norm", normalize_entity("entity"))
 
 
-def parse_relations(responses: DataFrame, created_at: str = "") -> DataFrame:
+def parse_relations(responses: DataFrame, created_at: str = "", most: int | None = None) -> DataFrame:
     """Relations of every response: its JSON array if it is one, else the
-    pairs of the first five and the next five entities. Both are lists inside
-    the row, at most 20 entries long."""
+    pairs of the first five and the next five entities; the first `most` if it
+    is given."""
     names = entity_list("entities_text")
     text = F.trim(e.text_or_empty("relations_text"))
     listed = F.when(text.startswith("["), F.from_json(text, RELATION_TYPE))
-    guessed = F.flatten(F.transform(F.slice("_names", 1, 5), lambda a: F.transform(
-        F.slice("_names", 6, 5), lambda b: F.struct(
+    guessed = F.flatten(F.transform(F.slice("_names", 1, GUESSED), lambda a: F.transform(
+        F.slice("_names", GUESSED + 1, GUESSED), lambda b: F.struct(
             a.alias("source"), b.alias("target"), F.lit(fv.FALLBACK_RELATION).alias("relation"),
             F.lit(fv.FALLBACK_DESCRIPTION).alias("description")))))
     guessed = F.filter(guessed, lambda r: r["source"] != r["target"]).cast(RELATION_TYPE)
-    chosen = F.when(F.size("_names") >= 2, F.slice(F.coalesce(listed, guessed), 1, MAX_RELATIONS))
+    found = F.coalesce(listed, guessed)
+    chosen = F.when(F.size("_names") >= 2, found if most is None else F.slice(found, 1, most))
     return responses.withColumn("_names", names).select(
         "id", "article_id", F.posexplode(chosen).alias("pos", "r")
     ).select("id", "article_id", "pos", F.col("r.source").alias("src"), F.col("r.target").alias("dst"),
@@ -76,18 +78,19 @@ def parse_relations(responses: DataFrame, created_at: str = "") -> DataFrame:
 
 # --- merging -----------------------------------------------------------------
 
-def merge_nodes(mentions: DataFrame, created_at: str = "") -> DataFrame:
-    """One node per normalised name, shown as first seen. It keeps the last 50
-    articles that mention it; more are never collected."""
+def merge_nodes(mentions: DataFrame, created_at: str = "", shown: int = SHOWN_REFS) -> DataFrame:
+    """One node per normalised name, shown as first seen. `ref_count` is the
+    number of articles that mention it; the last `shown` of them are listed."""
     first = keep_first(mentions, ["norm"], [F.asc("id"), F.asc("pos")]).select(
         "norm", F.col("entity").alias("name"), "article_id", "title", "source")
     refs = mentions.groupBy("norm", "article_id").agg(F.min("id").alias("seq"), F.first("content_hash").alias("hash"))
-    recent = keep_first(refs, ["norm"], [F.desc("seq")], MAX_REFS).groupBy("norm").agg(
+    recent = keep_first(refs, ["norm"], [F.desc("seq")], shown).groupBy("norm").agg(
         F.array_sort(F.collect_list(F.struct("seq", "article_id", "hash"))).alias("r"))
-    return first.join(recent, "norm").select(
+    counts = refs.groupBy("norm").agg(F.count("*").cast("int").alias("ref_count"))
+    return first.join(recent, "norm").join(counts, "norm").select(
         "name", "norm", F.lit("entity").alias("type"), "article_id", "title", "source",
         F.lit(created_at).alias("created_at"),
-        F.transform("r", lambda x: x["article_id"]).alias("ref_articles"), F.size("r").alias("ref_count"),
+        F.transform("r", lambda x: x["article_id"]).alias("ref_articles"), "ref_count",
         F.element_at("r", -1)["hash"].alias("content_hash"))
 
 
@@ -224,16 +227,17 @@ def relevant_entities(graph: Graph, question: str, k: int = 20) -> DataFrame:
         "name", "named", F.coalesce("ref_count", F.lit(0)).alias("ref_count"))
 
 
-def mentions_any(a: DataFrame, entities: DataFrame, limit: int = 20) -> DataFrame:
-    """Articles that contain one of the names (a list of at most 20), ignoring case."""
-    listed = entities.limit(limit).agg(F.collect_list(F.lower("name")).alias("_names"))
+def mentions_any(a: DataFrame, entities: DataFrame) -> DataFrame:
+    """Articles that contain one of the names (a ranked list, short by
+    `relevant_entities`), ignoring case."""
+    listed = entities.agg(F.collect_list(F.lower("name")).alias("_names"))
     body = F.lower(F.concat(e.text_or_empty("title"), F.lit(" "), e.text_or_empty("content")))
     return attach(a, listed).withColumn("_body", body).filter(
         F.exists("_names", lambda n: F.contains(F.col("_body"), n))).drop("_names", "_body")
 
 
-def collect_context(graph: Graph, a: DataFrame, entities: DataFrame, start: str | None = None, end: str | None = None,
-                    now: str | None = None, news: int = 20, max_parts: int = 3) -> DataFrame:
+def collect_context(graph: Graph, a: DataFrame, entities: DataFrame, now: str, start: str | None = None,
+                    end: str | None = None, news: int = 20, max_parts: int = 3) -> DataFrame:
     """One row with the text a question is answered from: what the graph says
     on up to ten entities, then the latest articles that mention one, the first
     `max_parts` parts."""
@@ -245,7 +249,8 @@ def collect_context(graph: Graph, a: DataFrame, entities: DataFrame, start: str
         F.lit(0).alias("kind"), F.struct((-F.col("ref_count")).alias("n"), F.col("name").alias("s")).alias("seq"),
         F.concat(F.lit("实体 '"), F.col("name"), F.lit("' 的相关信息:\n"), F.coalesce(
             F.array_join(F.transform("l", lambda x: x["line"]), ""), F.lit(""))).alias("part"))
-    latest = page(a, [F.desc("published_at"), F.asc("id")], news)
+    latest = page(a.withColumn("_score", e.latest_score("published_at", "hotness_score", "tags", now)),
+                  [F.desc("_score"), F.asc("id")], news).drop("_score")
     at = e.parse_time("published_at")
     if start:
         latest = latest.filter(at >= e.as_time(start))
@@ -262,16 +267,15 @@ def collect_context(graph: Graph, a: DataFrame, entities: DataFrame, start: str
 
 
 def entity_articles(graph: Graph, a: DataFrame, name: str) -> DataFrame:
-    """Articles kept as references of the entity, found by normalised name."""
-    wanted = keep_first(graph.nodes.filter(F.col("norm") == normalize_entity(F.lit(name))), ["norm"], [F.asc("name")])
-    refs = wanted.select(F.explode("ref_articles").alias("article_id"))  # at most 50
-    return a.join(F.broadcast(refs), "article_id", "left_semi")
+    """Articles that mention the entity, found by normalised name."""
+    refs = graph.mentions.filter(F.col("norm") == normalize_entity(F.lit(name))).select("article_id")
+    return a.join(refs, "article_id", "left_semi")
 
 
-def entity_timeline(graph: Graph, a: DataFrame, name: str, now: str, days: int = 7) -> DataFrame:
+def entity_timeline(graph: Graph, a: DataFrame, name: str, now: str, days: int = 7, most_lines: int | None = None) -> DataFrame:
     """One row (entity, days, article_count, summary, lines): the entity's
-    recent articles in order. One article is its own summary; more are listed
-    in at most 20 lines for a later summary."""
+    recent articles in order. One article is its own summary; more are listed,
+    the first `most_lines` if it is given, for a later summary."""
     rows = listing.within_days(entity_articles(graph, a, name), now, days)
     line = F.concat(F.lit("- ["), F.substring("published_at", 1, 10), F.lit("] "), e.text_or_empty("title"),
                     F.lit(": "), F.substring(e.first_filled("summary", "content"), 1, 100))
@@ -280,4 +284,4 @@ def entity_timeline(graph: Graph, a: DataFrame, name: str, now: str, days: int =
         F.lit(name).alias("entity"), F.lit(days).alias("days"), "article_count",
         F.when(F.col("article_count") == 1, F.element_at("r", 1)["own"]).otherwise("").alias("summary"),
         F.when(F.col("article_count") > 1, F.array_join(F.transform(
-            F.slice("r", 1, 20), lambda x: x["line"]), "\n")).otherwise("").alias("lines"))
+            "r" if most_lines is None else F.slice("r", 1, most_lines), lambda x: x["line"]), "\n")).otherwise("").alias("lines"))

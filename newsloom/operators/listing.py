@@ -172,17 +172,20 @@ def per_group_head(df: DataFrame, keys: list, order: list, k: int) -> DataFrame:
     return keep_first(df, keys, order, k)
 
 
-def materialize_pages(a: DataFrame, media_sources=fv.MEDIA_SOURCES, pages=3, sizes=(12, 24),
+def materialize_pages(a: DataFrame, now: str, media_sources=fv.MEDIA_SOURCES, pages=3, sizes=(12, 24),
                       exclude=None) -> DataFrame:
-    """First pages of the latest list and of the media list for every page
-    size: (listing, page_size, page, pos, article…, total)."""
+    """First pages of the latest list (by its score) and of the media list (by
+    time) for every page size: (listing, page_size, page, pos, article…, total)."""
     reach = pages * max(sizes)
     parts = []
     listings = {"latest": exclude_sources(a, exclude), "media": a.filter(e.in_list("source", media_sources))}
+    scored = e.latest_score("published_at", "hotness_score", "tags", now)
+    orders = {"latest": [F.desc("_score"), F.asc("id")], "media": newest()}
     for name, rows in listings.items():
-        top = page(light(rows), newest(), reach)
+        rows = rows.withColumn("_score", scored)
+        top = page(rows.select(*light(rows).columns, "_score"), orders[name], reach)
         # the frame is already cut to a few pages, so this window is bounded
-        ranked = top.withColumn("rn", F.row_number().over(Window.orderBy(*newest())))
+        ranked = top.withColumn("rn", F.row_number().over(Window.orderBy(*orders[name]))).drop("_score")
         parts.append(with_total(ranked, rows).withColumn("listing", F.lit(name)))
     both = parts[0].unionByName(parts[1])
     sized = both.withColumn("page_size", F.explode(F.array(*[F.lit(s) for s in sizes])))

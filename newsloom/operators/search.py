@@ -183,16 +183,16 @@ def search_news(index: Index, a: DataFrame, terms: list[str], page_no: int = 1,
 
 # --- consistency -------------------------------------------------------------
 
-def missing_from_index(a: DataFrame, index: Index, last: int | None = 10000) -> DataFrame:
-    """Stored articles the index does not hold, among the last inserted."""
+def missing_from_index(a: DataFrame, index: Index, last: int | None = None) -> DataFrame:
+    """Stored articles the index does not hold; `last` looks at the latest ones only."""
     recent = a if last is None else a.join(listing.recent_ids(a, last).select("id"), "id", "left_semi")
     return recent.join(index.docs.filter("live").select("article_id"), "article_id", "left_anti")
 
 
-def index_lag(a: DataFrame, index: Index, last: int | None = 10000, warn: int = 50) -> DataFrame:
+def index_lag(a: DataFrame, index: Index, last: int | None = None, warn: int = 50) -> DataFrame:
     return missing_from_index(a, index, last).agg(F.count("*").alias("lag")).withColumn(
         "warning", F.col("lag") > warn)
 
 
-def repair_index(a: DataFrame, index: Index, version: int, last: int | None = 10000) -> Index:
+def repair_index(a: DataFrame, index: Index, version: int, last: int | None = None) -> Index:
     return update_index(index, missing_from_index(a, index, last), version)

@@ -44,7 +44,7 @@ def _s(name):
     return F.col(name).cast("string")
 
 
-@query("feed_jinshi", out_sql(STRIP.format("title"), "substr(" + STRIP.format("content") + ",1,2000)",
+@query("feed_jinshi", out_sql(STRIP.format("title"), STRIP.format("content"),
                               "'https://www.jinshi.cn/news/' || id", "published_at",
                               STRIP.format("title") + " <> '' and " + VALID.format(STRIP.format("content"))))
 def feed_jinshi(spark, sf):
@@ -53,7 +53,7 @@ def feed_jinshi(spark, sf):
     return article_out(feeds.normalize_feed(raw, "jinshi", NOW))
 
 
-@query("feed_wallstreetcn", out_sql("title", "substr(" + STRIP.format("content") + ",1,8000)",
+@query("feed_wallstreetcn", out_sql("title", STRIP.format("content"),
                                     "'https://wallstreetcn.com/live/' || id", "published_at",
                                     "length(" + STRIP.format("content") + ") >= 20"))
 def feed_wallstreetcn(spark, sf):
@@ -63,7 +63,7 @@ def feed_wallstreetcn(spark, sf):
     return article_out(feeds.normalize_feed(raw, "wallstreetcn", NOW))
 
 
-@query("feed_ths", out_sql("title", "substr(" + STRIP.format("content") + ",1,8000)",
+@query("feed_ths", out_sql("title", STRIP.format("content"),
                            "'https://news.10jqka.com.cn/detail/pid/' || id", "published_at",
                            "title <> '' and length(" + STRIP.format("content") + ") >= 20"))
 def feed_ths(spark, sf):
@@ -74,7 +74,7 @@ def feed_ths(spark, sf):
 
 @query("feed_cls", ART + """, n as (select *, trim(regexp_replace(regexp_replace(replace(title,'<',' '),'<[^>]+>','','g'),'\\s+',' ','g')) c from articles),
  d as (select *, row_number() over (partition by id // 20, c order by id) rn from n where length(c) >= 20)
- select substr(md5('https://www.cls.cn/detail/' || id),1,16) article_id, substr(c,1,200) title, md5(substr(c,1,2000)) body,
+ select substr(md5('https://www.cls.cn/detail/' || id),1,16) article_id, substr(c,1,200) title, md5(c) body,
    md5(substr(c,1,300)) lead, 'https://www.cls.cn/detail/' || id url, '2024-01-31T00:00:00' published_at from d where rn = 1""")
 def feed_cls(spark, sf):
     a = v.corpus(spark, sf).withColumn("batch", F.floor(F.col("id") / BATCH))
@@ -97,7 +97,7 @@ def feed_eastmoney(spark, sf):
         "article_id", "title", F.array_join("tags", " ").alias("tags"), "category", "published_at")
 
 
-@query("feed_36kr", out_sql("title", "substr(" + STRIP.format("content") + ",1,5000)", "'https://www.36kr.com/newsflashes/' || id",
+@query("feed_36kr", out_sql("title", STRIP.format("content"), "'https://www.36kr.com/newsflashes/' || id",
                             "published_at", "length(" + STRIP.format("content") + ") >= 20"))
 def feed_36kr(spark, sf):
     item = F.struct(_s("id").alias("id"), "title", F.lit("").alias("description"), "content", "published_at")
@@ -106,7 +106,7 @@ def feed_36kr(spark, sf):
 
 
 @query("feed_xueqiu", out_sql("case when title <> '' then title else substr(" + STRIP.format("content") + ",1,100) end",
-                              "substr(" + STRIP.format("content") + ",1,8000)", "'https://xueqiu.com/' || id || '/'",
+                              STRIP.format("content"), "'https://xueqiu.com/' || id || '/'",
                               "substr(published_at,1,10)", "length(" + STRIP.format("content") + ") >= 30"))
 def feed_xueqiu(spark, sf):
     """Every document appears in two payloads; the later copy must be dropped."""
@@ -122,7 +122,7 @@ FLAT = "trim(regexp_replace(replace(replace(content,'<',' '),'&','+'),'\\s+',' '
 
 
 @query("feed_rss", ART + f""", n as (select *, {FLAT} c from articles where title <> '')
- select substr(md5('http://rss.test/' || id),1,16) article_id, md5(substr(c,1,10000)) body, author_x author, published_at from (
+ select substr(md5('http://rss.test/' || id),1,16) article_id, md5(c) body, author_x author, published_at from (
    select *, 'src' || (id % 3) author_x from n) where length(c) >= 500""")
 def feed_rss(spark, sf):
     a = v.corpus(spark, sf).filter("title <> ''").withColumn("batch", F.floor(F.col("id") / BATCH))
@@ -137,7 +137,7 @@ def feed_rss(spark, sf):
 
 
 @query("stock_rows", ART + """
- select substr(md5(case when url <> '' then url else title end),1,16) article_id, md5(substr(content,1,10000)) body,
+ select substr(md5(case when url <> '' then url else title end),1,16) article_id, md5(content) body,
    md5(case when title <> '' then title else substr(content,1,200) end) lead, '600519 个股' tags, published_at from articles""")
 def stock_rows(spark, sf):
     a = v.corpus(spark, sf).select(F.col("title").alias("新闻标题"), F.col("content").alias("新闻内容"), F.col("url").alias("新闻链接"),
@@ -167,23 +167,17 @@ def link_extract(spark, sf):
     return feeds.extract_links(v.pages(spark, sf), "href like '/%'", 10)
 
 
-def page_bodies(spark, sf):
-    return pages.extract_articles(v.spread(v.pages(spark, sf), "page_id"))
-
-
-@query("article_body")
-def article_body(spark, sf):
-    return page_bodies(spark, sf).select("url", F.length("body").alias("chars"), F.md5("body").alias("body"))
-
-
-@query("page_articles")
+@query("page_articles", ART + f"""
+ select substr(md5(url),1,16) article_id, title, md5(content) body, url from articles
+ where title <> '' and url <> '' and {VALID.format("content")}""")
 def page_articles(spark, sf):
-    """Roll entries joined to the bodies of their pages."""
-    p = v.pages(spark, sf)
-    item = F.struct(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"), "url", F.lit("").alias("ctime"))
-    raw = p.groupBy(F.floor(F.col("page_id") / BATCH).alias("batch")).agg(
-        F.to_json(F.struct(F.struct(F.collect_list(item).alias("data")).alias("result"))).alias("payload"))
-    return feeds.sina_roll(raw, page_bodies(spark, sf), NOW).select("article_id", "title", F.length("content").alias("chars"), "url")
+    """Roll entries joined to the bodies of their pages; exact copies
+    share a page."""
+    a = v.articles(spark, sf)
+    item = F.struct("title", "url", F.col("published_at").alias("ctime"))
+    raw = landed(spark, sf, item, lambda xs: F.struct(F.struct(xs.alias("data")).alias("result")))
+    bodies = keep_first(a.filter("url <> ''").select("id", "url", F.col("content").alias("body")), ["url"], [F.asc("id")])
+    return feeds.sina_roll(raw, bodies, NOW).select("article_id", "title", F.md5("content").alias("body"), "url")
 
 
 @query("adjacent_repeats", ART + """
@@ -203,7 +197,7 @@ def social_filter(spark, sf):
 
 
 @query("make_article", ART + """
- select substr(md5(case when url <> '' then url else title end),1,16) article_id, title, md5(substr(content,1,10000)) body,
+ select substr(md5(case when url <> '' then url else title end),1,16) article_id, title, md5(content) body,
    md5(case when content <> '' then substr(content,1,300) else title end) lead, '综合财经' category, published_at from articles
  where not regexp_matches(lower(content), 'fed|gdp|cpi|ppi')""")
 def make_article(spark, sf):

@@ -16,7 +16,13 @@ EXCLUDE = ["src0", "src2"]
 TRUSTED = ["src0", "src4", "src7"]
 SCORE_SQL = """(case when published_ts >= timestamp '2024-01-30' then 1.0::double
  when published_ts >= timestamp '2024-01-24' then 0.5::double else 0.1::double end) * 0.5::double
- + 0.0::double * 0.3::double + 1 * 0.02::double"""
+ + (id * 7 % 11) / 10.0::double * 0.3::double + least(1 + id % 13, 10) * 0.02::double"""
+
+
+def ranked(a):
+    """Articles whose reader activity and number of tags differ."""
+    return a.withColumn("hotness_score", F.col("id") * 7 % 11 / F.lit(10.0)).withColumn(
+        "tags", F.transform(F.sequence(F.lit(0), F.col("id") % 13), lambda n: n.cast("string")))
 
 
 @query("latest_page", ART + f"""
@@ -24,7 +30,7 @@ SCORE_SQL = """(case when published_ts >= timestamp '2024-01-30' then 1.0::doubl
    (select count(*) from articles where source not in ('src0','src2')) total
  from articles where source not in ('src0','src2') order by {SCORE_SQL} desc, id limit 100 offset 20""")
 def latest_page(spark, sf):
-    rows = listing.latest(v.articles(spark, sf), NOW, limit=100, offset=20, exclude=EXCLUDE)
+    rows = listing.latest(ranked(v.articles(spark, sf)), NOW, limit=100, offset=20, exclude=EXCLUDE)
     return rows.select("article_id", "source", "published_at", F.round("score", 6).alias("score"), "total")
 
 
@@ -167,9 +173,9 @@ def keep_min_id(spark, sf):
     return listing.keep_min_id(v.articles(spark, sf)).select("id")
 
 
-@query("page_tables", ART + """
+@query("page_tables", ART + f"""
  , lists as (
-   select 'latest' listing, row_number() over (order by published_at desc, id) rn, article_id,
+   select 'latest' listing, row_number() over (order by {SCORE_SQL} desc, id) rn, article_id,
      count(*) over () total from articles where source not in ('src0','src2')
    union all
    select 'media', row_number() over (order by published_at desc, id), article_id, count(*) over ()
@@ -177,7 +183,7 @@ def keep_min_id(spark, sf):
  select listing, s.page_size, (rn-1)//s.page_size + 1 page, (rn-1)%s.page_size + 1 pos, article_id, total
  from lists, (values (12),(24)) s(page_size) where (rn-1)//s.page_size + 1 <= 3""")
 def page_tables(spark, sf):
-    return listing.materialize_pages(v.articles(spark, sf), MEDIA, exclude=EXCLUDE).select(
+    return listing.materialize_pages(ranked(v.articles(spark, sf)), NOW, MEDIA, exclude=EXCLUDE).select(
         "listing", "page_size", "page", "pos", "article_id", "total")
 
 
@@ -236,7 +242,7 @@ def valid_text(spark, sf):
    case when length(title)+1+length(content) >= 500 then 30 when length(title)+1+length(content) >= 200 then 25
      when length(title)+1+length(content) >= 80 then 15 else 5 end q_length,
    case when source in ('src0','src1') then 25 when source in ('src2','src3') then 18 else 10 end q_trust,
-   least(20, cast(floor(len(regexp_extract_all(title || ' ' || content, '\\d+\\.?\\d*%?'))
+   least(20, cast(floor(len(regexp_extract_all(title || ' ' || content, '\\p{Nd}+\\.?\\p{Nd}*%?'))
      / greatest((length(title)+1+length(content))/100.0::double, 1.0) * 10) as int)) q_density,
    case when date_diff('second', published_ts, timestamp '2024-01-31') < 3600 then 15
      when date_diff('second', published_ts, timestamp '2024-01-31') < 21600 then 12

@@ -57,7 +57,7 @@ class Run:
         analysis = self.table(spark, "analysis", ANALYSIS_SCHEMA)
         fresh = cut(batch_analyze(articles, analysis, now, **self.analysis))
         store.write_table(store.upsert_analysis(analysis, fresh), self.path("analysis"))
-        store.write_table(listing.materialize_pages(articles, self.media_sources, exclude=self.exclude), self.path("pages"))
+        store.write_table(listing.materialize_pages(articles, now, self.media_sources, exclude=self.exclude), self.path("pages"))
         if responses is not None:
             self._graph(spark, responses.join(written.select("article_id"), "article_id", "left_semi"), articles, budget)
         total = stages.count()

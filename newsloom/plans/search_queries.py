@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom import views as v
+from newsloom import fixed_values as fv, views as v
 from newsloom.operators import graph as gr, metrics, search as se
 from newsloom.operators.ranking import attach
 from newsloom.plans.catalog import query
@@ -108,14 +108,14 @@ def lagging(spark, sf):
 
 
 @query("index_missing", v.with_views(v.SQL_ARTICLES) + """
- select article_id from articles where published_at >= '2024-01-26' and id in (select id from articles order by id desc limit 10000)""")
+ select article_id from articles where published_at >= '2024-01-26'""")
 def index_missing(spark, sf):
     a, old = lagging(spark, sf)
     return se.missing_from_index(a, old).select("article_id")
 
 
 @query("index_lag", v.with_views(v.SQL_ARTICLES) + """
- select count(*) lag, count(*) > 50 warning from (select id, published_at from articles order by id desc limit 10000) where published_at >= '2024-01-26'""")
+ select count(*) lag, count(*) > 50 warning from articles where published_at >= '2024-01-26'""")
 def index_lag(spark, sf):
     a, old = lagging(spark, sf)
     return se.index_lag(a, old)
@@ -151,13 +151,12 @@ RESPONSES = v.with_views(v.SQL_ARTICLES) + """, raw as (
    regexp_extract_all(content, '([A-Z][a-z]{3,})', 1) w from articles),
  uniq as (select id, article_id, token entity, min(pos) p from (
    select id, article_id, unnest(w) token, generate_subscripts(w,1) pos from raw) group by 1, 2, 3),
- men as (select *, rn - 1 pos from (select *, row_number() over (partition by id order by p) rn from uniq) where rn <= 50),
+ men as (select *, rn - 1 pos from (select *, row_number() over (partition by id order by p) rn from uniq)),
  rel as (select a.id, a.article_id, a.entity src, b.entity dst, row_number() over (partition by a.id order by a.pos, b.pos) rn
    from men a join men b on a.id = b.id and a.pos < 5 and b.pos between 5 and 9),
- rel20 as (select * from rel where rn <= 20),
- edges as (select src, dst, article_id from (select *, row_number() over (partition by src, dst order by id desc, rn desc) k from rel20) where k = 1),
+ edges as (select src, dst, article_id from (select *, row_number() over (partition by src, dst order by id desc, rn desc) k from rel) where k = 1),
  refs as (select entity, article_id, min(id) seq from men group by 1, 2),
- nodes as (select entity "name", count(*) n from (select *, row_number() over (partition by entity order by seq desc) k from refs) where k <= 50 group by 1) """
+ nodes as (select entity "name", count(*) n from refs group by 1) """
 
 
 def responses(spark, sf):
@@ -173,7 +172,7 @@ def entity_mentions(spark, sf):
     return gr.parse_entities(responses(spark, sf)).select("id", "pos", "entity")
 
 
-@query("entity_relations", RESPONSES + "select id, (rn - 1)::int pos, src, dst from rel20")
+@query("entity_relations", RESPONSES + "select id, (rn - 1)::int pos, src, dst from rel")
 def entity_relations(spark, sf):
     return gr.parse_relations(responses(spark, sf)).select("id", "pos", "src", "dst")
 
@@ -245,18 +244,32 @@ def entity_news(spark, sf):
     return gr.mentions_any(v.corpus(spark, sf), gr.relevant_entities(g, QUESTION)).select("id")
 
 
-@query("graph_context")
+@query("graph_context", RESPONSES + f"""
+ , named as (select "name", n from nodes where contains(lower('{QUESTION}'), lower("name")) order by n desc, "name" limit 20),
+ lines as (select src, string_agg('  - 和 ''' || dst || ''' 的关系: {fv.FALLBACK_RELATION}' || chr(10), '' order by dst) l from (
+   select src, dst, row_number() over (partition by src order by dst) k from edges) where k <= 5 group by 1),
+ facts as (select row_number() over (order by n desc, "name") k,
+   '实体 ''' || "name" || ''' 的相关信息:' || chr(10) || coalesce(l, '') part
+   from (select * from named order by n desc, "name" limit 10) left join lines on src = "name"),
+ top20 as (select * from articles order by case when published_ts >= timestamp '2024-01-30' then 1.0::double
+   when published_ts >= timestamp '2024-01-24' then 0.5::double else 0.1::double end desc, id limit 20),
+ told as (select row_number() over (order by published_ts desc, id) + 100 k,
+   '新闻标题: ' || title || chr(10) || '新闻摘要: ' || summary || chr(10) part
+   from top20 a where published_ts >= timestamp '2024-01-20' and published_ts < timestamp '2024-02-01'
+     and exists (select 1 from named where contains(lower(a.title || ' ' || a.content), lower("name"))))
+ select string_agg(part, chr(10) || chr(10) order by k) context from (
+   select * from (select * from facts union all select * from told) order by k limit 15)""")
 def graph_context(spark, sf):
     g = graph(spark, sf)
-    return gr.collect_context(g, v.corpus(spark, sf), gr.relevant_entities(g, QUESTION), "2024-01-20", "2024-01-31")
+    return gr.collect_context(g, v.corpus(spark, sf), gr.relevant_entities(g, QUESTION), NOW, "2024-01-20", "2024-01-31", max_parts=15)
 
 
 @query("timeline", RESPONSES + """
- , kept as (select article_id from (select *, row_number() over (order by seq desc) k from refs where entity = 'That') where k <= 50),
+ , kept as (select article_id from refs where entity = 'That'),
  rows as (select a.* from articles a join kept using (article_id) where a.published_ts >= timestamp '2024-01-01')
  select 'That' entity, 30 "days", (select count(*) from rows) article_count, (select string_agg(
    '- [' || substr(published_at,1,10) || '] ' || title || ': ' || substr(case when summary <> '' then summary else content end,1,100), chr(10)
-   order by published_at, id) from (select * from rows order by published_at, id limit 20)) lines""")
+   order by published_at, id) from rows) lines""")
 def timeline(spark, sf):
     return gr.entity_timeline(graph(spark, sf), v.corpus(spark, sf), "That", NOW, 30).select(
         "entity", "days", "article_count", "lines")

@@ -1,5 +1,5 @@
-"""Driver queries: limiter, breaker, windowed activity, batch analysis, alerts
-over derived gauges; streaming plans run on the same tables in the tests."""
+"""Driver queries: windowed activity and batch analysis; streaming plans run on
+the same tables in the tests."""
 
 from __future__ import annotations
 
@@ -10,39 +10,11 @@ from newsloom.plans import analyze as an
 from newsloom.plans.catalog import query
 from newsloom.plans.text_queries import BASE, LEXICON, STOP
 from newsloom.sources import validate
-from newsloom.streaming import breaker, hotness, limiter
+from newsloom.streaming import hotness
 
 NOW = v.NOW
 
 
-def requests(spark, sf):
-    """The access log at a hundredth of its time scale, so calls crowd."""
-    log = v.access_log(spark, sf)
-    start = F.lit("2024-01-01").cast("timestamp")
-    squeezed = F.timestamp_micros(F.unix_micros(start) + F.floor((F.unix_micros("ts") - F.unix_micros(start)) / 100))
-    return log.withColumn("ts", squeezed)
-
-
-@query("rate_limit")
-def rate_limit(spark, sf):
-    rows = requests(spark, sf).withColumn("client", F.concat(F.lit("c"), (F.col("client").cast("int") % 3).cast("string")))
-    rules = {"/api/click": (2, 60), "/api/error": (1, 60)}
-    return limiter.rate_limit(rows.select("event_id", "client", "path", "ts"), "event_id", rules, (3, 60))
-
-
-@query("source_health")
-def source_health(spark, sf):
-    log = v.crawl_log(spark, sf).withColumn("ok", F.col("event_id") % 7 < 3)
-    return breaker.source_health(log.select("event_id", "source", "ts", "ok"), "event_id")
-
-
-@query("source_health_simple")
-def source_health_simple(spark, sf):
-    log = v.crawl_log(spark, sf).withColumn("ok", F.col("event_id") % 7 < 3)
-    kind = breaker.Breaker(simple=True, cooldown=900)
-    return breaker.health_summary(breaker.source_health(log.select("event_id", "source", "ts", "ok"), "event_id", kind))
-
-
 @query("hotness_windows", v.with_views(v.SQL_EVENTS) + """,
  w as (select *, unnest(range(0, 24)) k from event_log),
  placed as (select *, date_trunc('hour', created_at) + to_hours(cast(k + 1 as int)) we from w),

@@ -35,7 +35,7 @@ EDGE_SCHEMA = _struct(
 
 LIGHT_COLUMNS = [
     "id", "article_id", "title", "summary", "url", "source", "category", "published_at",
-    "author", "read_count", "comment_count", "tags", "created_at",
+    "author", "read_count", "comment_count", "tags", "created_at", "updated_at",
 ]
 FULL_COLUMNS = LIGHT_COLUMNS + ["content", "hotness_score"]
 

@@ -40,7 +40,7 @@ def make_articles(df: DataFrame, title, content, url, source, published_at, now,
     return named.select(
         *[c for c in keep if c in df.columns],
         e.article_key("url", "_t").alias("article_id"),
-        e.head("_t", 200).alias("title"), e.head("_c", 10000).alias("content"),
+        e.head("_t", 200).alias("title"), F.col("_c").alias("content"),
         (F.col("_sum") if summary is not None else F.when(F.col("_c") != "", e.head("_c", 300)).otherwise(
             e.head("_t", 300))).alias("summary"),
         "url", "source", "category", "published_at",
@@ -50,6 +50,12 @@ def make_articles(df: DataFrame, title, content, url, source, published_at, now,
         stamp.alias("created_at"))
 
 
+def cut_content(articles: DataFrame, chars: int | None) -> DataFrame:
+    """Articles with at most `chars` characters of content, for stores that want
+    a bound; nothing is cut without one."""
+    return articles if chars is None else articles.withColumn("content", e.head("content", chars))
+
+
 def _items(landed: DataFrame, schema: str, path: str) -> DataFrame:
     """One row per entry of the list at `path` in each payload; `pos` orders
     entries over payloads, `item` holds one entry."""
@@ -78,7 +84,7 @@ def jinshi(landed: DataFrame, now, limit: int | None = None) -> DataFrame:
                        e.first_filled(i("link"), F.concat(F.lit("https://www.jinshi.cn/news/"), e.text_or_empty(i("id")))).alias("u"),
                        e.normalize_pubdate(i("time"), now).alias("p"))
     good = rows.filter((F.col("t") != "") & e.valid_text("c", 30, 0.7))
-    return make_articles(_first(good, limit), e.head("t", 200), e.head("c", 2000), "u", F.lit("金十数据"), "p", now)
+    return make_articles(_first(good, limit), e.head("t", 200), "c", "u", F.lit("金十数据"), "p", now)
 
 
 def wallstreetcn(landed: DataFrame, now, limit: int | None = None) -> DataFrame:
@@ -88,7 +94,7 @@ def wallstreetcn(landed: DataFrame, now, limit: int | None = None) -> DataFrame:
                        F.concat(F.lit("https://wallstreetcn.com/live/"), e.text_or_empty(i("id"))).alias("u"),
                        _epoch_or_now(i("created_at"), now).alias("p"))
     good = rows.filter(F.length("c") >= 20)
-    return make_articles(_first(good, limit), e.head("t", 200), e.head("c", 8000), "u", F.lit("华尔街见闻"), "p", now)
+    return make_articles(_first(good, limit), e.head("t", 200), "c", "u", F.lit("华尔街见闻"), "p", now)
 
 
 def ths(landed: DataFrame, now, limit: int | None = None) -> DataFrame:
@@ -98,7 +104,7 @@ def ths(landed: DataFrame, now, limit: int | None = None) -> DataFrame:
                        F.concat(F.lit("https://news.10jqka.com.cn/detail/pid/"), e.text_or_empty(i("pid"))).alias("u"),
                        i("ctime").alias("p"))
     good = rows.filter((F.col("t") != "") & (F.length("c") >= 20))
-    return make_articles(_first(good, limit), e.head("t", 200), e.head("c", 8000), "u", F.lit("同花顺API"), "p", now)
+    return make_articles(_first(good, limit), e.head("t", 200), "c", "u", F.lit("同花顺API"), "p", now)
 
 
 def cls(landed: DataFrame, now, limit: int | None = None) -> DataFrame:
@@ -124,8 +130,7 @@ def cls(landed: DataFrame, now, limit: int | None = None) -> DataFrame:
     ).select(F.struct("batch", "at").alias("pos"), "from_html", "x.c", "x.u")
     distinct = keep_first(rows, [F.col("pos.batch"), F.md5("c"), F.when(~F.col("from_html"), F.col("pos"))], [F.asc("pos")])
     kept = _first(distinct, limit)
-    body = F.when(F.col("from_html"), e.head("c", 2000)).otherwise(e.head("c", 8000))
-    return make_articles(kept, e.head("c", 200), body, "u", F.lit("财联社"), F.lit(""), now)
+    return make_articles(kept, e.head("c", 200), "c", "u", F.lit("财联社"), F.lit(""), now)
 
 
 def eastmoney_ann(landed: DataFrame, now, limit: int | None = None) -> DataFrame:
@@ -146,7 +151,7 @@ def kr36(landed: DataFrame, now, limit: int | None = None) -> DataFrame:
     rows = _items(landed, "data struct<items:array<struct<id:string,title:string,description:string,content:string,news_url:string,published_at:string>>>", "data.items")
     i = lambda f: F.col(f"item.{f}")
     rows = rows.select("pos", e.text_or_empty(i("title")).alias("t"),
-                       e.head(e.strip_tags(e.first_filled(i("description"), i("content"))), 5000).alias("c"),
+                       e.strip_tags(e.first_filled(i("description"), i("content"))).alias("c"),
                        e.first_filled(i("news_url"), F.concat(F.lit("https://www.36kr.com/newsflashes/"), e.text_or_empty(i("id")))).alias("u"),
                        e.normalize_pubdate(e.head(i("published_at"), 19), now).alias("p"))
     return make_articles(_first(rows.filter(F.length("c") >= 20), limit), e.head("t", 200), "c", "u", F.lit("36氪"), "p", now)
@@ -159,7 +164,7 @@ def xueqiu(landed: DataFrame, now, limit: int | None = None) -> DataFrame:
     inner = F.from_json("item.data", "id string, title string, text string, description string, target string, created_at string")
     rows = rows.withColumn("d", inner).filter("d is not null")
     d = lambda f: F.col(f"d.{f}")
-    rows = rows.select("pos", e.head(e.strip_tags(e.first_filled(d("text"), d("description"))), 8000).alias("c"),
+    rows = rows.select("pos", e.strip_tags(e.first_filled(d("text"), d("description"))).alias("c"),
                        e.first_filled(d("id"), F.col("item.id")).alias("aid"), e.text_or_empty(d("title")).alias("t"),
                        e.text_or_empty(d("target")).alias("target"), e.head(d("created_at"), 10).alias("at"))
     seen = keep_first(rows.filter(F.length("c") >= 30), ["aid"], [F.asc("pos")])
@@ -182,36 +187,54 @@ def sina_roll(landed: DataFrame, bodies: DataFrame, now, limit: int | None = Non
 def attach_bodies(links: DataFrame, bodies: DataFrame, source, now) -> DataFrame:
     """Articles from links (pos, t, u) and page bodies (url, body)."""
     joined = links.join(bodies.select(F.col("url").alias("u"), "body"), "u").filter(e.valid_text("body", 30, 0.7))
-    return make_articles(joined, e.head("t", 200), e.head("body", 8000), "u", source, F.lit(""), now)
+    return make_articles(joined, e.head("t", 200), "body", "u", source, F.lit(""), now)
 
 
 # --- XML feeds ---------------------------------------------------------------
 
-RSS_SCHEMA = ("channel struct<item:array<struct<title:string,link:string,description:string,summary:string,"
-              "pubDate:string,updated:string,author:string>>>")
+# RSS keeps its items in the channel, RDF beside it, Atom has entries; prefixes
+# are dropped, so `date` is dc:date and `encoded` is content:encoded
+_LINK = "array<struct<_VALUE:string,_href:string,_rel:string>>"
+_ENTRY = (f"array<struct<title:string,link:{_LINK},description:string,summary:string,encoded:string,content:string,"
+          "pubDate:string,published:string,updated:string,date:string,creator:string,author:struct<_VALUE:string,name:string>>>")
+FEED_SCHEMA = f"channel struct<item:{_ENTRY}>, item {_ENTRY}, entry {_ENTRY}"
+
+
+def feed_time(value, now) -> Column:
+    """Publish time of a feed entry as ISO text in UTC; a time without a zone is
+    UTC already."""
+    kept = e.normalize_pubdate(value, now)
+    zoned = kept.rlike(r"([+-]\d{2}:?\d{2}|Z)$")
+    return F.when(zoned, F.coalesce(e.iso(kept.try_cast("timestamp")), kept)).otherwise(kept)
 
 
 def rss(landed: DataFrame, source: str, now, bodies: DataFrame | None = None, limit: int | None = None,
         short: int = 500) -> DataFrame:
     """Feed entries. A text under `short` characters with a link is replaced by
-    the body of the linked page where one was extracted, else it drops out."""
-    doc = F.from_xml("payload", RSS_SCHEMA)
+    the body of the linked page where one was extracted, else it drops out.
+    Under a limit whole entries come first and extracted ones fill up."""
+    doc = F.from_xml("payload", FEED_SCHEMA, {"ignoreNamespace": "true"})
     batch = F.col("batch") if "batch" in landed.columns else F.lit(0).alias("batch")
-    rows = landed.select(batch, doc.alias("doc")).select("batch", F.posexplode("doc.channel.item").alias("at", "item")).withColumn(
+    none = F.array().cast(_ENTRY)
+    entries = F.concat(*[F.coalesce(F.col(f"doc.{c}"), none) for c in ("channel.item", "item", "entry")])
+    rows = landed.select(batch, doc.alias("doc")).select("batch", F.posexplode(entries).alias("at", "item")).withColumn(
         "pos", F.struct("batch", "at"))
     i = lambda f: F.col(f"item.{f}")
-    rows = rows.select("pos", e.text_or_empty(i("title")).alias("t"), e.text_or_empty(i("link")).alias("u"),
-                       e.strip_tags(e.first_filled(i("summary"), i("description"))).alias("c"),
-                       e.normalize_pubdate(e.first_filled(i("pubDate"), i("updated")), now).alias("p"),
-                       e.text_or_empty(i("author")).alias("author")).filter("t <> '' or c <> ''")
+    links = F.filter(F.coalesce(i("link"), F.array().cast(_LINK)), lambda x: e.first_filled(x["_rel"], F.lit("alternate")) == "alternate")
+    link = e.first_filled(F.trim(F.get(links, 0)["_VALUE"]), F.get(links, 0)["_href"])
+    rows = rows.select("pos", e.text_or_empty(i("title")).alias("t"), link.alias("u"),
+                       e.strip_tags(e.first_filled(i("summary"), i("description"), i("encoded"), i("content"))).alias("c"),
+                       feed_time(e.first_filled(i("pubDate"), i("published"), i("updated"), i("date")), now).alias("p"),
+                       e.first_filled(F.trim(i("author._VALUE")), i("author.name"), i("creator")).alias("author")).filter("t <> '' or c <> ''")
     is_short = (F.col("u") != "") & (F.length("c") < short)
-    whole = rows.filter(~is_short & (F.col("c") != ""))
+    whole = rows.filter(~is_short & (F.col("c") != "")).withColumn("fetched", F.lit(0))
     kept = whole
     if bodies is not None:
         found = rows.filter(is_short).join(bodies.select(F.col("url").alias("u"), "body"), "u").filter(
-            e.valid_text("body", 30, 0.7)).withColumns({"c": e.head("body", 8000), "author": F.lit("")})
-        kept = whole.select(*whole.columns).unionByName(found.select(*whole.columns))
-    kept = _first(kept, limit)
+            e.valid_text("body", 30, 0.7)).withColumns({"c": F.col("body"), "author": F.lit(""), "fetched": F.lit(1)})
+        kept = whole.unionByName(found.select(*whole.columns))
+    if limit is not None:
+        kept = keep_first(kept.withColumn("_b", F.col("pos.batch")), ["_b"], [F.asc("fetched"), F.asc("pos")], limit)
     return make_articles(kept, e.head(e.first_filled("t", e.head("c", 100)), 200), "c", "u", F.lit(source), "p", now,
                          author=F.col("author"))
 
@@ -266,7 +289,7 @@ def social_text_filter(df: DataFrame, now, limit: int | None = 15) -> DataFrame:
     rows = df.withColumn("t", title).filter(F.length(F.trim(e.text_or_empty("title"))) > 10)
     rows = keep_first(rows, [e.head("t", 30)], [F.asc("pos")])
     good = rows.filter((F.length("content") >= 100) & (e.count_chars("content", e.HAN) > 50))
-    return make_articles(page(good, [F.asc("pos")], limit), "t", e.head("content", 8000), "url", F.lit("微信公众号"), F.lit(""), now)
+    return make_articles(page(good, [F.asc("pos")], limit), "t", "content", "url", F.lit("微信公众号"), F.lit(""), now)
 
 
 # --- registry and collection -------------------------------------------------

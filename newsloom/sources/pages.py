@@ -1,186 +1,9 @@
-"""Article text from landed web pages.
-
-Pages are parsed inside tasks, one Arrow batch at a time, because nested markup
-is beyond built-in expressions; each distinct URL is parsed once. The helper
-below builds a plain element tree with the standard library parser and looks
-for the text in four ways, the first good one wins: known selectors, the
-densest container, long form values, text areas.
-"""
+"""Rules for the text of article pages."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urlsplit
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom import fixed_values as fv
-
-NO_TEXT = {"script", "style", "iframe", "noscript"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-BLOCKS = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "div", "span"}
-CONTAINERS = {"div", "section", "aside", "ul", "ol", "table"}
-DENSE = {"div", "section", "article", "main", "td", "ul"}
-SKIP = re.compile(fv.SKIP_NAME_PATTERN, re.I)
-GENERIC = [
-    ("div", "class", re.compile(fv.BODY_CLASS_PATTERN, re.I)), ("article", None, None), ("main", None, None),
-    ("div", "id", re.compile(fv.BODY_ID_PATTERN, re.I)), ("div", "class", re.compile(fv.BODY_CLASS_SIMPLE_PATTERN, re.I)),
-]
-
-
-class Element:
-    __slots__ = ("name", "attrs", "parent", "children")
-
-    def __init__(self, name, attrs, parent):
-        self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
-
-    def walk(self) -> Iterator["Element"]:
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Element))
-
-    def text(self) -> str:
-        parts, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                parts.append(node.strip())
-            elif node.name not in NO_TEXT:
-                stack.extend(reversed(node.children))
-        return "".join(parts)
-
-    def classes(self) -> str:
-        return self.attrs.get("class") or ""
-
-
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        node = Element(tag, dict(attrs), self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Element(tag, dict(attrs), self.at))
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.name != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def parse(html: str) -> Element:
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    return tree.root
-
-
-def han(text: str) -> int:
-    return sum("一" <= c <= "鿿" for c in text)
-
-
-def link_length(node: Element) -> int:
-    return sum(len(a.text()) for a in node.walk() if a.name == "a" and a is not node)
-
-
-def clean_body(top: Element, max_chars: int | None = 15000) -> str:
-    """Paragraphs of a container without navigation and link lists; equal
-    neighbours count once."""
-    paragraphs, stack = [], [top]
-    while stack:
-        node = stack.pop()
-        if node.name in NO_TEXT:
-            continue
-        if node.name in CONTAINERS and (SKIP.search(node.classes()) or SKIP.search(node.attrs.get("id") or "")):
-            inner = node.text()
-            if len(inner) < 50 or han(inner) / len(inner) < 0.05:
-                continue
-        if node.name in BLOCKS:
-            text = node.text()
-            around = node.parent.classes() if node.parent is not None else ""
-            if len(text) >= 5 and not SKIP.search(around):
-                mostly_links = len(text) < 200 and link_length(node) > len(text) * 0.5
-                if not mostly_links and (not paragraphs or paragraphs[-1] != text):
-                    paragraphs.append(text)
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Element))
-    text = "\n\n".join(paragraphs) if paragraphs else top.text()
-    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
-    return text[:max_chars]
-
-
-def _select(root: Element, name: str, attr: str | None, value) -> Element | None:
-    for node in root.walk():
-        if node.name != name:
-            continue
-        if attr is None:
-            return node
-        have = node.attrs.get(attr) or ""
-        options = [*have.split(), have] if attr == "class" else [have]
-        if any(value.search(o) if isinstance(value, re.Pattern) else o == value for o in options if o):
-            return node
-    return None
-
-
-def article_body(url: str, html: str, max_chars: int | None = 15000) -> str:
-    root = parse(html or "")
-    host = urlsplit(url or "").netloc
-    own = next((rules for site, rules in fv.SITE_SELECTORS.items() if site in host), [])
-    for name, attr, value in [*own, *GENERIC]:
-        node = _select(root, name, attr, value)
-        if node is not None:
-            body = clean_body(node, max_chars)
-            if len(body) > 100:
-                return body
-    best, best_score = None, 50
-    for node in root.walk():
-        if node.name in DENSE:
-            text = node.text()
-            if len(text) >= 100:
-                dense, links = han(text), link_length(node)
-                score = dense - 2 * links - int(links / len(text) * dense)
-                if score > best_score:
-                    best, best_score = node, score
-    if best is not None:
-        body = clean_body(best, max_chars)
-        if len(body) > 100:
-            return body
-    forms = [n for n in root.walk() if n.name in ("input", "textarea")]
-    held = [n.attrs["value"] for n in forms if n.attrs.get("value")]
-    typed = [n.text() for n in forms if n.name == "textarea"]
-    for value, is_markup in [(v, "<" in v and ">" in v) for v in held] + [(v, False) for v in typed]:
-        if len(value) >= 200:
-            text = parse(value).text() if is_markup else value.strip()
-            if han(text) > 30:
-                return text[:max_chars]
-    return ""
-
-
-def extract_articles(pages: DataFrame, max_chars: int | None = 15000) -> DataFrame:
-    """(url, body) of every distinct URL of a frame (url, html)."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bodies = [article_body(u, h, max_chars) for u, h in zip(batch["url"], batch["html"])]
-            yield pd.DataFrame({"url": batch["url"], "body": bodies})
-
-    distinct = pages.groupBy("url").agg(F.max("html").alias("html"))
-    return distinct.mapInPandas(read, "url string, body string")
-
 
 def drop_adjacent_repeats(df: DataFrame, text: str, key: str = "id", out: str = "body") -> DataFrame:
     """Paragraphs of a text without neighbours equal to the one before them,

@@ -132,7 +132,7 @@ def reconcile(source: DataFrame, target: DataFrame, key: str, columns: list[str]
     """One row: counts of both tables, rows only in one of them, rows whose
     content differs, and whether both are equal."""
     def hashed(df, name):
-        return df.select(key, F.lit(True).alias(f"_in_{name}"), F.xxhash64(*columns).alias(f"_h_{name}"))
+        return df.select(key, F.lit(True).alias(f"_in_{name}"), F.xxhash64(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})).alias(f"_h_{name}"))
 
     both = hashed(source, "a").join(hashed(target, "b"), key, "full_outer")
     a, b = F.col("_in_a").isNotNull(), F.col("_in_b").isNotNull()

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from newsloom.operators import graph as gr, search as se
-from newsloom.sources import feeds, pages
+from newsloom.sources import feeds
 
 NOW = "2024-01-31 00:00:00"
 BODY = "央行宣布降息，市场普遍认为这将推动经济复苏并提振投资者信心，股市全线上涨，成交额明显放大。"
@@ -71,7 +71,26 @@ def test_rss_short_entries_take_the_page(spark):
            f"<item><title>无页</title><link>http://c</link><description>short</description></item></channel></rss>")
     bodies = spark.createDataFrame([("http://b", BODY)], "url string, body string")
     a, b = rows(feeds.rss(landed(spark, xml), "财新", NOW, bodies))
-    assert (a["author"], a["published_at"], b["content"], b["title"]) == ("作者", "2024-01-01T10:00:00+08:00", BODY, "短")
+    assert (a["author"], a["published_at"], b["content"], b["title"]) == ("作者", "2024-01-01T02:00:00", BODY, "短")
+
+
+def test_rss_under_a_limit_takes_whole_entries_first(spark):
+    item = "<item><title>{0}</title><link>http://{0}</link><description>{1}</description></item>"
+    xml = "<rss><channel>" + "".join(item.format(t, c) for t, c in (("a", "short"), ("b", BODY * 12), ("c", "short"), ("d", BODY * 12))) + "</channel></rss>"
+    bodies = spark.createDataFrame([("http://a", BODY), ("http://c", BODY)], "url string, body string")
+    got = lambda n: sorted(r["title"] for r in feeds.rss(landed(spark, xml), "s", NOW, bodies, n).collect())
+    assert got(1) == ["b"] and got(3) == ["a", "b", "d"] and got(None) == ["a", "b", "c", "d"]
+
+
+def test_atom_and_rdf(spark):
+    long = BODY * 12
+    atom = (f'<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>甲</title><link rel="self" href="http://self"/><link href="http://a"/>'
+            f"<content type=\"html\">{long}</content><published>2024-01-01T10:00:00+08:00</published><author><name>名</name></author></entry></feed>")
+    rdf = (f'<rdf:RDF xmlns:rdf="r" xmlns:dc="d" xmlns:content="c"><channel><title>x</title></channel><item><title>乙</title><link>http://b</link>'
+           f"<content:encoded>{long}</content:encoded><dc:date>2024-01-02T00:00:00Z</dc:date><dc:creator>人</dc:creator></item></rdf:RDF>")
+    for xml, want in ((atom, ("甲", "http://a", "名", "2024-01-01T02:00:00")), (rdf, ("乙", "http://b", "人", "2024-01-02T00:00:00"))):
+        r, = feeds.rss(landed(spark, xml), "s", NOW).collect()
+        assert (r["title"], r["url"], r["author"], r["published_at"]) == want and r["content"] == long
 
 
 def test_links(spark):
@@ -102,28 +121,6 @@ def test_stock_rows(spark):
     assert feeds.stock_rows(df, "600519", NOW).first()["summary"] == "题"
 
 
-def body_of(spark, url, html):
-    return pages.extract_articles(spark.createDataFrame([(url, html)], "url string, html string")).first()["body"]
-
-
-def test_page_strategies(spark):
-    para = "<p>" + BODY + "</p>"
-    site = f'<div class="article">{"别" * 120}</div><div id="endText">{para}{para}<p>{BODY}尾</p><script>x</script></div>'
-    got = body_of(spark, "https://money.163.com/1", site)
-    assert got.split("\n\n")[1:] == [BODY, BODY + "尾"]  # the block itself comes first, repeats once
-    links = "".join(f'<a href="{i}">导航链接文字</a>' for i in range(30))
-    dense = f"<div class='zz'>{links}</div><section class='yy'>{para * 2}<p>{BODY}二</p><p>{BODY}三</p></section>"
-    assert "二" in body_of(spark, "http://x/", dense) and "导航" not in body_of(spark, "http://x/", dense)
-    assert body_of(spark, "http://x/", f'<input value="{BODY * 6}">') == BODY * 6
-    assert body_of(spark, "http://x/", f"<textarea>{BODY * 6}</textarea>") == BODY * 6
-    assert body_of(spark, "http://x/", "<p>nothing</p>") == ""
-
-
-def test_navigation_is_skipped(spark):
-    html = f'<article><div class="nav-bar"><ul><li>Home page</li></ul></div><p>{BODY * 2}</p><p>{BODY}二</p></article>'
-    assert body_of(spark, "http://x/", html) == f"{BODY * 2}\n\n{BODY}二"
-
-
 def graph_of(spark, *responses):
     df = spark.createDataFrame([(i, f"a{i}", f"t{i}", "s", "2024-01-30T00:00:00", f"h{i}", e, r) for i, (e, r) in enumerate(responses)],
                                "id long, article_id string, title string, source string, published_at string, content_hash string, entities_text string, relations_text string")
@@ -196,7 +193,7 @@ def test_context_for_a_question(spark, articles):
                  {"i": 2, "title": "名字0旧闻", "published_at": "2024-01-01T00:00:00"}, {"i": 3, "title": "无关"})
     named = gr.relevant_entities(g, "名字0 怎么样")
     assert [r["name"] for r in named.collect()] == ["名字0"]
-    text = gr.collect_context(g, a, named, "2024-01-20", "2024-01-31").first()["context"]
+    text = gr.collect_context(g, a, named, NOW, "2024-01-20", "2024-01-31").first()["context"]
     first, second = text.split("\n\n新闻标题: ")
     assert first.startswith("实体 '名字0' 的相关信息:\n  - 和 '名字5' 的关系: 提及关系\n") and second.startswith("关于名字0\n新闻摘要: s")
 

@@ -1,12 +1,9 @@
-import random
 import tempfile
 
-import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from newsloom import views as v
-from newsloom.streaming import articles as sa, breaker as br, dedup as sd, hotness as sh, limiter as lm
+from newsloom.streaming import articles as sa, dedup as sd, hotness as sh
 from newsloom.plans.runs import Run
 from newsloom.sources import store
 
@@ -37,97 +34,6 @@ def run_to_table(spark, out, name, mode="append"):
     return spark.table(name)
 
 
-def test_limit_of_five(spark):
-    rows = [(i, "c", "/api/guest/submit", float(i)) for i in range(6)] + [(6, "c", "/api/guest/submit", 60.5)]
-    df = at(spark.createDataFrame(rows, "n long, client string, path string, t double"))
-    got = {r["n"]: (r["allowed"], r["remaining"], r["retry_after"]) for r in lm.rate_limit(df, "n").collect()}
-    assert [got[i][0] for i in range(7)] == [True] * 5 + [False, True]
-    assert got[4][1] == 0 and got[5][2] == 55 and got[6][1] == 0  # call 6 was not counted
-
-
-def brute_limit(rows, rules, default):
-    held, out = {}, {}
-    for n, client, path, t in sorted(rows, key=lambda r: (r[3], r[0])):
-        limit, window = rules.get(path, default)
-        held[client] = [x for x in held.get(client, []) if x > t - window]
-        out[n] = len(held[client]) < limit
-        if out[n]:
-            held[client].append(t)
-    return out
-
-
-def random_calls(seed, n=600):
-    rng = random.Random(seed)
-    return [(i, rng.choice("xxxy"), rng.choice(["/a", "/b"]), rng.randrange(0, 12000) * 0.5) for i in range(n)]
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_limiter_batch_and_stream_equal_brute_force(spark, seed):
-    rows, rules = random_calls(seed), {"/a": (2, 60)}
-    df = at(spark.createDataFrame(rows, "n long, client string, path string, t double")).drop("t")
-    want = brute_limit(rows, rules, (4, 60))
-    got = {r["n"]: r["allowed"] for r in lm.rate_limit(df, "n", rules, (4, 60)).collect()}
-    assert got == want
-    if seed == 1:
-        table = run_to_table(spark, lm.stream_rate_limit(stream_of(spark, df, "calls"), "n", rules, (4, 60)), "limited")
-        assert {r["tie"]: r["allowed"] for r in table.collect()} == want
-
-
-class Replayed:
-    """The breaker driven attempt by attempt, as the batch must reproduce it."""
-
-    def __init__(self, breaker):
-        self.breaker, self.held = breaker, {}
-
-    def __call__(self, source, t, ok):
-        return self.breaker.attempt(self.held.setdefault(source, br.Health()), START + t, ok)
-
-
-def test_breaker_cases():
-    b, h = br.Breaker(), br.Health()
-    assert b.admit(h, 0) == "closed"
-    for t in range(3):
-        b.record(h, t, False)
-    assert b.admit(h, 10) == "open"
-    assert b.admit(h, 303) == "half_open" and b.admit(h, 304) == "open"  # one probe only
-    b.record(h, 305, True)
-    assert b.admit(h, 306) == "closed" and h.failures == 0
-    for t in range(310, 313):
-        b.record(h, t, False)
-    assert b.admit(h, 620) == "half_open"
-    b.record(h, 621, False)
-    assert b.admit(h, 900) == "open" and b.admit(h, 922) == "half_open"
-    assert b.admit(h, 960) == "open" and b.admit(h, 1200) == "open"  # the probe timed out: open for another cooldown
-    assert b.admit(h, 1261) == "half_open"
-
-
-def test_simple_breaker_starts_anew():
-    b, h = br.Breaker(simple=True), br.Health()
-    for t in range(3):
-        b.record(h, t, False)
-    assert b.admit(h, 100) == "open" and b.admit(h, 302) == "closed" and h.failures == 0
-
-
-@pytest.mark.parametrize("kind, silent", [(br.Breaker(), 0.0), (br.Breaker(), 0.05), (br.Breaker(simple=True), 0.0)])
-def test_health_batch_equals_replay(spark, kind, silent):
-    rng = random.Random(3)
-    rows, t = [], 0
-    for i in range(800):
-        t += rng.choice([5, 20, 60, 200])
-        bad = 0.7 if (i // 100) % 2 else 0.1
-        ok = None if rng.random() < silent else rng.random() > bad
-        rows.append((i, rng.choice("ab"), ok, float(t)))
-    df = at(spark.createDataFrame(rows, "n long, source string, ok boolean, t double")).drop("t")
-    play = Replayed(kind)
-    want = {n: play(s, t, ok) for n, s, ok, t in rows}
-    got = {r["n"]: (r["state"], r["allowed"]) for r in br.source_health(df, "n", kind).collect()}
-    assert got == want
-    assert {s for s, _ in want.values()} >= {"closed", "open"}
-    if kind == br.Breaker() and not silent:
-        table = run_to_table(spark, br.stream_source_health(stream_of(spark, df, "tries"), "n", kind), "health")
-        assert {r["tie"]: (r["state"], r["allowed"]) for r in table.collect()} == want
-
-
 def test_hotness_stream_equals_batch(spark, sf):
     events = v.event_log(spark, sf).drop("event_id")
     late = events.agg(F.max("created_at")).first()[0]

@@ -64,7 +64,7 @@ def test_global_rank_with_one_hot_key(spark):
 
 def test_pages(spark, articles):
     df = articles(*[{"source": "虎嗅" if i % 2 else "x", "published_at": f"2024-01-{i + 1:02d}T00:00:00"} for i in range(30)])
-    got = listing.materialize_pages(df)
+    got = listing.materialize_pages(df, "2024-01-31 00:00:00")
     assert got.filter("listing = 'media' and page_size = 12 and page = 2").count() == 3
     assert got.filter("listing = 'latest'").agg(F.max("total")).first()[0] == 30
 
