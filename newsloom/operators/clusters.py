@@ -116,7 +116,7 @@ def _exact(vectors: DataFrame, candidates: DataFrame, threshold: float) -> DataF
     return scored.select("a", "b", cosine.alias("cosine")).filter(F.col("cosine") >= threshold)
 
 
-def cluster_members(a: DataFrame, threshold: float = 0.4, chars: int | None = 500,
+def cluster_members(a: DataFrame, threshold: float = 0.4, chars: int | None = None,
                     stop_words=fv.CLUSTER_STOP_WORDS, crowd: int = 5000) -> tuple[DataFrame, DataFrame]:
     """(members, terms): members are (id, cluster) of clusters of at least two,
     named by their first id; terms is the term table for further use."""
@@ -137,7 +137,7 @@ def cluster_members(a: DataFrame, threshold: float = 0.4, chars: int | None = 50
     return bags.join(kept.select("bag", "cluster"), "bag").select("id", "cluster"), terms
 
 
-def cluster_articles(a: DataFrame, threshold: float = 0.4, chars: int | None = 500, top: int = 20,
+def cluster_articles(a: DataFrame, threshold: float = 0.4, chars: int | None = None, top: int = 20,
                      stop_words=fv.CLUSTER_STOP_WORDS) -> tuple[DataFrame, DataFrame]:
     """(clusters, members): the largest clusters with label, size and five
     keywords, and the membership table (cluster, id, article_id)."""

@@ -177,7 +177,7 @@ def fingerprint_components(fps: DataFrame, threshold: int = MATCH_THRESHOLD, cro
 
 # --- clusters and stages -----------------------------------------------------
 
-def with_clusters(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str = "lead", crowd: int = 2000,
+def with_clusters(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str = "full", crowd: int = 2000,
                   prints: DataFrame | None = None) -> DataFrame:
     """Add `fp` and `root` (the cluster's name) to every row."""
     prints = cut(fingerprints(a, rule)) if prints is None else prints
@@ -186,7 +186,7 @@ def with_clusters(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str = "l
     return a.join(named, "id")
 
 
-def near_dup_clusters(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str = "lead", crowd: int = 2000) -> DataFrame:
+def near_dup_clusters(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str = "full", crowd: int = 2000) -> DataFrame:
     """(id, article_id, cluster, representative): a cluster carries its first
     row's id; its longest text, ties to the earliest, represents it."""
     slim = a.select("id", "article_id", "title", "summary", "content")
@@ -202,13 +202,13 @@ def near_dup_clusters(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str
     )
 
 
-def deduplicate(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str = "lead") -> DataFrame:
+def deduplicate(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str = "full") -> DataFrame:
     """One row per cluster, in the order of the clusters' first rows."""
     kept = near_dup_clusters(a, threshold, rule).filter("representative").select("id", "cluster")
     return a.join(kept, "id").orderBy("cluster").drop("cluster")
 
 
-def duplicate_groups(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str = "lead") -> tuple[DataFrame, DataFrame]:
+def duplicate_groups(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str = "full") -> tuple[DataFrame, DataFrame]:
     """All duplicate pairs with their distance, in a form that stays small when
     one text has many copies: `members` (fp, id, article_id) and `pairs`
     (fp_a, fp_b, distance, articles_a, articles_b, article_pairs), where
@@ -248,7 +248,7 @@ def matches_stored(prints: DataFrame, stored: DataFrame, threshold: int = CROSS_
     return prints.join(hit, "fp", "left_semi")
 
 
-def drop_stored(batch: DataFrame, stored: DataFrame, rule: str = "lead", threshold: int = CROSS_THRESHOLD) -> DataFrame:
+def drop_stored(batch: DataFrame, stored: DataFrame, rule: str = "full", threshold: int = CROSS_THRESHOLD) -> DataFrame:
     seen = matches_stored(fingerprints(batch, rule), stored, threshold).select("id")
     return batch.join(seen, "id", "left_anti")
 
@@ -267,7 +267,7 @@ def valid_fingerprints(table: DataFrame, now, rule: str, hours: int = 24, recent
     return live if recent is None else live.join(recent.select("article_id"), "article_id", "left_semi")
 
 
-def dedup_stages(batch: DataFrame, stored: DataFrame, rule: str = "lead",
+def dedup_stages(batch: DataFrame, stored: DataFrame, rule: str = "full",
                  threshold: int = MATCH_THRESHOLD, cross: int = CROSS_THRESHOLD) -> DataFrame:
     """(id, article_id, stage): the step that removes each row, null if it is
     kept. Steps: near duplicate in the batch, repeated URL, and, for rows

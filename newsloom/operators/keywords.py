@@ -44,7 +44,7 @@ def corpus_keywords(df: DataFrame, text, k: int = 20, key: str = "id",
     return corpus_terms(terms, key).orderBy(F.desc("n"), "first_doc", "first_pos").limit(k).select("token", "n")
 
 
-def hot_topics(a: DataFrame, k: int = 10, chars: int | None = 200, first_words: int = 50,
+def hot_topics(a: DataFrame, k: int = 10, chars: int | None = None, first_words: int = 50,
                stop_words=fv.TOPIC_STOP_WORDS) -> DataFrame:
     """Words of the newer half of the articles against the older half. The
     candidates are the first distinct words met in each half."""

@@ -39,7 +39,7 @@ def analyze_articles(a: DataFrame, **options) -> DataFrame:
                             "auto_summary": F.col("analysis.summary")})
 
 
-def batch_analyze(a: DataFrame, an: DataFrame, now, lead: int | None = 300, k: int = 8, sentences: int = 3,
+def batch_analyze(a: DataFrame, an: DataFrame, now, lead: int | None = None, k: int = 8, sentences: int = 3,
                   stop: str = "。", stop_words=fv.KEYWORD_STOP_WORDS, sentiment_args: dict | None = None,
                   model: str = MODEL) -> DataFrame:
     """Analysis rows for the articles that have none. Sentiment reads the title

@@ -20,7 +20,7 @@ class Run:
     """Settings of the runs over the tables under `root`."""
 
     root: str
-    rule: str = "lead"
+    rule: str = "full"
     media_sources: list[str] = field(default_factory=lambda: list(listing.fv.MEDIA_SOURCES))
     exclude: list[str] = field(default_factory=lambda: list(listing.fv.EXCLUDED_SOURCES))
     analysis: dict = field(default_factory=dict)

@@ -69,11 +69,6 @@ def hot_topics(spark, sf):
     return kw.hot_topics(v.corpus(spark, sf), 15, None, stop_words=STOP)
 
 
-@query("hot_topics_lead", hot_sql(200, 10))
-def hot_topics_lead(spark, sf):
-    return kw.hot_topics(v.corpus(spark, sf), 10, 200, stop_words=STOP)
-
-
 # --- fingerprints ------------------------------------------------------------
 
 def fp_views(rule):
@@ -103,11 +98,6 @@ def simhash(spark, sf):
     return segments(dedup.fingerprints(v.corpus(spark, sf), "full"), "id")
 
 
-@query("simhash_lead", fp_views("lead") + "select id, s0, s1, s2, s3 from seg")
-def simhash_lead(spark, sf):
-    return segments(dedup.fingerprints(v.corpus(spark, sf), "lead"), "id")
-
-
 def dup_pairs_sql(rule, threshold):
     return fp_views(rule) + PAIRS.format(t=threshold) + """
  select d::int distance, count(*) article_pairs from pairs group by 1"""
@@ -121,7 +111,7 @@ def dup_pairs_build(rule, threshold):
     return build
 
 
-query("dup_pair_counts", dup_pairs_sql("lead", 4))(dup_pairs_build("lead", 4))
+query("dup_pair_counts", dup_pairs_sql("full", 4))(dup_pairs_build("full", 4))
 query("dup_pair_counts_wide", dup_pairs_sql("full", 10))(dup_pairs_build("full", 10))
 
 
@@ -152,11 +142,6 @@ def near_dup_clusters(spark, sf):
     return dedup.near_dup_clusters(v.corpus(spark, sf), rule="full").select("id", "cluster", "representative")
 
 
-@query("near_dup_lead", clusters_sql("lead"))
-def near_dup_lead(spark, sf):
-    return dedup.near_dup_clusters(v.corpus(spark, sf), rule="lead").select("id", "cluster", "representative")
-
-
 def cross_batch(spark, sf):
     """The last days' articles arrive, the earlier ones are stored."""
     a = v.corpus(spark, sf)
@@ -173,18 +158,21 @@ def cross_batch_matches(spark, sf):
     return dedup.matches_stored(fresh, stored).select("id")
 
 
-STAGES = clusters_sql("lead").rsplit("\n select", 1)[0] + """,
+STAGES = clusters_sql("full").rsplit("\n select", 1)[0] + """,
  kept1 as (select s.id, s.url, b.cluster, s.fp from best b join seg s on s.id = b.best),
  kept2 as (select * from (select *, row_number() over (partition by url, case when url = '' then id end order by cluster) rn from kept1) where rn = 1),
  staged as (select s.id, case when s.id not in (select id from kept1) then 'near'
-   when s.id not in (select id from kept2) then 'url' end stage from seg s) """
+   when s.id not in (select id from kept2) then 'url'
+   when s.url = '' and s.fp <> 0 and exists (select 1 from seg b where b.id % 10 = 7 and b.fp <> 0
+     and (s.s0 = b.s0 or s.s1 = b.s1 or s.s2 = b.s2 or s.s3 = b.s3)
+     and bit_count(xor(s.fp, b.fp)::uhugeint::varchar::hugeint) <= 3) then 'cross' end stage from seg s) """
 
 
 @query("dedup_stages", STAGES + "select id, stage from staged")
 def dedup_stages(spark, sf):
     a = v.corpus(spark, sf)
-    nothing = dedup.fingerprints(a, "lead").filter("fp is null")
-    return dedup.dedup_stages(a, nothing).select("id", "stage")
+    stored = dedup.fingerprints(a.filter(F.col("id") % 10 == 7)).select("fp")
+    return dedup.dedup_stages(a, stored).select("id", "stage")
 
 
 @query("dedup_stats", STAGES + """
@@ -217,12 +205,6 @@ def topic_members(spark, sf):
     return members
 
 
-@query("topic_members_lead", topic_sql(500, 0.4) + "select id, cluster from comp")
-def topic_members_lead(spark, sf):
-    members, _ = cl.cluster_members(v.corpus(spark, sf), 0.4, 500, STOP)
-    return members
-
-
 @query("clusters", topic_sql(None, 0.35) + """,
  top as (select cluster, count(*) "size" from comp group by 1 order by "size" desc, cluster limit 20),
  words as (select cluster, token, sum(tf) n, min((f.id, k.pos)) seen

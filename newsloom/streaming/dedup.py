@@ -16,7 +16,7 @@ def stream_unique_urls(articles: DataFrame, at: str = "arrived", hours: int = 24
     return keyed.withWatermark(at, f"{hours} hours").dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
-def drop_seen(batch: DataFrame, table: str, now, rule: str = "lead", hours: int = 24) -> DataFrame:
+def drop_seen(batch: DataFrame, table: str, now, rule: str = "full", hours: int = 24) -> DataFrame:
     """Rows of a micro-batch that are not near duplicates of a fingerprint of
     the last hours. The seen fingerprints live in a stored table, so the state
     of a crowded segment is spread over files instead of one task's memory."""
@@ -27,7 +27,7 @@ def drop_seen(batch: DataFrame, table: str, now, rule: str = "lead", hours: int
     return dedup.drop_stored(batch, dedup.valid_fingerprints(known, now, rule, hours), rule)
 
 
-def remember(batch: DataFrame, table: str, now, rule: str = "lead", hours: int = 24) -> None:
+def remember(batch: DataFrame, table: str, now, rule: str = "full", hours: int = 24) -> None:
     """Add a batch's fingerprints and let expired ones go."""
     fresh = dedup.store_fingerprints(batch, now, rule)
     known = store.read_table(batch.sparkSession, table)

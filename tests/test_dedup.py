@@ -115,9 +115,9 @@ def test_three_stages(spark, articles):
         {"title": "lonely item without any link", "url": ""},
     )
     lonely = dedup.fingerprints(df, "lead").filter("id = 5").select("fp")
-    got = {r["id"]: r["stage"] for r in dedup.dedup_stages(df, lonely).collect()}
+    got = {r["id"]: r["stage"] for r in dedup.dedup_stages(df, lonely, "lead").collect()}
     assert got == {1: "near", 2: None, 3: None, 4: "url", 5: "cross"}
-    kept = [r["id"] for r in dedup.deduplicate(df).collect()]
+    kept = [r["id"] for r in dedup.deduplicate(df, rule="lead").collect()]
     assert kept == [2, 3, 4, 5]
 
 

@@ -56,7 +56,7 @@ def test_article_stream(spark, articles):
     path, root = folder(), folder()
     first = articles({"title": "alpha beta gamma delta", "content": "经济增长，公司宣布回购股份"}, {"title": "other news item today"})
     again = articles({"i": 1, "title": "alpha beta gamma delta", "content": "经济增长，公司宣布回购股份"},
-                     {"i": 3, "title": "alpha beta gamma delta", "url": "", "article_id": "copy"},
+                     {"i": 3, "title": "alpha beta gamma delta", "content": "经济增长，公司宣布回购股份", "url": "", "article_id": "copy"},
                      {"i": 4, "title": "third story is fresh", "url": ""})
     first.coalesce(1).write.parquet(path + "/in/1")
     reports = []
