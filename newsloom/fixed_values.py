@@ -145,6 +145,11 @@ SOURCES = [
     ("10jqka", "同花顺", "slow"),
     ("baidu_finance", "百度财经API", "slow"),
 ]
+# --- fixed values: names that articles of feeds and list pages carry
+RSS_NAMES = {"rss_xinhua": "中新网财经", "rss_caixin": "财新RSS", "rss_ce": "华尔街见闻RSS", "rss_huxiu": "虎嗅", "rss_sspai": "少数派",
+             "rss_guancha": "观察者网"}
+WEB_NAMES = {"eastmoney_web": "东方财富", "sina_finance": "新浪财经", "netease_finance": "网易财经", "yicai": "第一财经", "10jqka": "同花顺",
+             "baidu_finance": "百度财经", "tmtpost": "钛媒体", "caixin": "财新网", "jiemian": "界面新闻"}
 MEDIA_SOURCES = ["微信公众号", "雪球", "虎嗅", "少数派", "36氪", "钛媒体", "观察者网"]
 EXCLUDED_SOURCES = MEDIA_SOURCES + ["知乎"]
 QUALITY_SOURCES = ["金十数据", "华尔街见闻", "财联社", "第一财经", "东方财富"]

@@ -115,7 +115,7 @@ def rank_documents(index: Index, terms: list[str], boosts: dict[str, float] | No
     searched = index.postings.filter(F.col("field").isin(fields))
     live = index.docs.filter("live").select("id", "version")
     if fuzzy:
-        hits = searched.join(F.broadcast(fuzzy_terms(index, terms, fuzzy)), "term")
+        hits = searched.join(fuzzy_terms(index, terms, fuzzy), "term")
     else:  # a literal list, so the terms prune the scan of stored postings
         hits = searched.filter(F.col("term").isin(terms)).withColumn("query_term", F.col("term"))
     hits = hits.join(live, ["id", "version"])

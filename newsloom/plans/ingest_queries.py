@@ -190,10 +190,15 @@ def adjacent_repeats(spark, sf):
     return pages.drop_adjacent_repeats(v.corpus(spark, sf), "content").select("id", F.md5("body").alias("body"))
 
 
-@query("social_filter", "select 0::bigint n where false union all select count(*) from documents where length(regexp_replace(text,'[^一-鿿]','','g')) > 50")
+@query("social_filter", ART + """
+ , p as (select *, substr(trim(title), 1, 80) t, content || repeat('市场', (id % 60)::int) c from articles where length(trim(title)) > 10),
+ once as (select * from (select *, row_number() over (partition by substr(t, 1, 30) order by id) rn from p) where rn = 1)
+ select substr(md5(case when url <> '' then url else t end),1,16) article_id, t title, md5(c) body from once
+ where length(c) >= 100 and length(regexp_replace(c,'[^一-鿿]','','g')) > 50""")
 def social_filter(spark, sf):
-    posts = v.corpus(spark, sf).withColumn("pos", F.col("id"))
-    return feeds.social_text_filter(posts, NOW, None).agg(F.count("*").alias("n"))
+    posts = v.corpus(spark, sf).withColumn("pos", F.col("id")).withColumn(
+        "content", F.concat("content", F.repeat(F.lit("市场"), (F.col("id") % 60).cast("int"))))
+    return feeds.social_text_filter(posts, NOW, None).select("article_id", "title", F.md5("content").alias("body"))
 
 
 @query("make_article", ART + """

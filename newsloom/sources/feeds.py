@@ -294,19 +294,35 @@ def social_text_filter(df: DataFrame, now, limit: int | None = 15) -> DataFrame:
 
 # --- registry and collection -------------------------------------------------
 
+def web_pages(landed: DataFrame, key: str, now, bodies: DataFrame, limit: int | None = None) -> DataFrame:
+    """Articles of a source that is read from list pages (payload, url): the
+    links its rule takes, joined to the bodies of the pages they lead to."""
+    batch = F.col("batch") if "batch" in landed.columns else F.lit(0)
+    links = extract_links(landed.select(batch.alias("page_id"), "url", F.col("payload").alias("html")), fv.LINK_RULES[key], None)
+    rows = links.select(F.struct(F.col("page_id").alias("batch"), F.col("pos").alias("at")).alias("pos"),
+                        F.col("text").alias("t"), F.col("url").alias("u"))
+    found = rows.join(bodies.select(F.col("url").alias("u"), "body"), "u").filter(e.valid_text("body", 30, 0.7))
+    return make_articles(_first(found, limit), e.head("t", 200), "body", "u", F.lit(fv.WEB_NAMES[key]), F.lit(""), now)
+
+
+# every source is a function (landed, now, limit, bodies); bodies (url, body) are
+# the texts of linked pages, which some sources need
 SOURCES: dict[str, Callable[..., DataFrame]] = {
-    "jinshi": jinshi, "wallstreetcn": wallstreetcn, "ths_api": ths, "cls_api": cls, "eastmoney_api": eastmoney_ann,
-    "36kr": kr36, "xueqiu": xueqiu,
-}
+    key: (lambda read: lambda landed, now, limit, bodies: read(landed, now, limit))(read)
+    for key, read in {"jinshi": jinshi, "wallstreetcn": wallstreetcn, "ths_api": ths, "cls_api": cls, "eastmoney_api": eastmoney_ann,
+                      "36kr": kr36, "xueqiu": xueqiu, "akshare": stock_rows_many, "wechat_sogou": social_text_filter}.items()}
+SOURCES |= {key: (lambda name: lambda landed, now, limit, bodies: rss(landed, name, now, bodies, limit))(name)
+            for key, name in fv.RSS_NAMES.items()}
+SOURCES |= {key: (lambda key: lambda landed, now, limit, bodies: web_pages(landed, key, now, bodies, limit))(key) for key in fv.WEB_NAMES}
 
 
 def add_source(name: str, read: Callable[..., DataFrame]) -> None:
     """Plug in a source: a function (landed payloads, now) -> article rows."""
-    SOURCES[name] = read
+    SOURCES[name] = lambda landed, now, limit, bodies: read(landed, now)
 
 
-def normalize_feed(landed: DataFrame, name: str, now, limit: int | None = None) -> DataFrame:
-    return SOURCES[name](landed, now, limit)
+def normalize_feed(landed: DataFrame, name: str, now, limit: int | None = None, bodies: DataFrame | None = None) -> DataFrame:
+    return SOURCES[name](landed, now, limit, bodies)
 
 
 def source_dim(spark: SparkSession, sources=fv.SOURCES) -> DataFrame:

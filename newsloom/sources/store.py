@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.functions import expr as e
-from newsloom.operators.ranking import keep_first
+from newsloom.operators.ranking import global_rank, keep_first
 
 WRITTEN = ["title", "content", "summary", "url", "source", "category", "published_at", "author",
            "read_count", "comment_count", "tags", "created_at", "updated_at"]
@@ -22,17 +22,21 @@ COMPARED = ["content", "title", "summary"]
 
 # --- versioned tables --------------------------------------------------------
 
-def _pointer(spark: SparkSession, path: str):
+def _pointers(spark: SparkSession, path: str):
+    """The pointer files of a table by number, and its file system. A pointer
+    `_at-<number>` holds the name of a version; the highest one counts."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/_at-*")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(pattern) or []
+    return {int(x.getPath().getName().removeprefix("_at-")): x.getPath() for x in found}, fs
 
 
 def current_version(spark: SparkSession, path: str) -> str | None:
-    at, fs = _pointer(spark, path)
-    if not fs.exists(at):
+    pointers, fs = _pointers(spark, path)
+    if not pointers:
         return None
-    stream = fs.open(at)
+    stream = fs.open(pointers[max(pointers)])
     try:
         return stream.readUTF()
     finally:
@@ -45,20 +49,25 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """Write a new version and make it current; returns its name."""
+    """Write a new version and make it current; returns its name. The new pointer
+    appears under a higher number by one rename, before the old one goes: a stop
+    at any point leaves the old version or the new one."""
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(f"{path}/{version}")
-    at, fs = _pointer(spark, path)
-    staged = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_next-{version}")
+    pointers, fs = _pointers(spark, path)
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    staged = named(f"{path}/_next-{version}")
     stream = fs.create(staged, True)
     try:
         stream.writeUTF(version)
     finally:
         stream.close()
-    fs.delete(at, False)
-    fs.rename(staged, at)
+    if not fs.rename(staged, named(f"{path}/_at-{max(pointers, default=0) + 1:012d}")):
+        raise RuntimeError(f"another writer changed {path} at the same time")
+    for old in pointers.values():
+        fs.delete(old, False)
     return version
 
 
@@ -84,7 +93,7 @@ def classify_batch(target: DataFrame, batch: DataFrame) -> DataFrame:
 def upsert_articles(target: DataFrame, batch: DataFrame, now, order: str = "pos") -> DataFrame:
     """Target after the batch, with `action` per written row (null for rows the
     batch did not write). Changed rows keep id and hotness_score; new ones get
-    ids after the largest one."""
+    ids after the largest one, without gaps."""
     rows = classify_batch(target, last_of_batch(batch, order)).filter("action <> 'skip'")
     stamp = e.iso(e.as_time(now))
     rows = rows.withColumn("updated_at", stamp)
@@ -96,9 +105,8 @@ def upsert_articles(target: DataFrame, batch: DataFrame, now, order: str = "pos"
         "id", "article_id", *WRITTEN, "hotness_score", F.lit(None).cast("string").alias("action"))
     top = target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     value = top.select("_top").scalar()
-    # gaps between ids are fine; they only have to be new and unique
-    fresh = F.monotonically_increasing_id() + value + 1
-    return untouched.unionByName(merged.withColumn("id", F.coalesce("id", fresh)))
+    new = global_rank(merged.filter("id is null"), [F.asc("article_id")], "_nth").withColumn("id", F.col("_nth") + value).drop("_nth")
+    return untouched.unionByName(merged.filter("id is not null")).unionByName(new)
 
 
 def written_count(result: DataFrame) -> DataFrame:

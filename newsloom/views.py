@@ -6,7 +6,7 @@ filters and column pruning still reach the parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions.expr import md5_id
 
@@ -88,9 +88,9 @@ def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_NAMES = {"click": "article_click", "view": "article_view", "purchase": "search_click", "signup": "search_query"}
 
 
-def document_count(spark: SparkSession, sf_dir: str) -> int:
-    """Row count, read from the parquet footers."""
-    return table(spark, sf_dir, "documents").count()
+def document_count(spark: SparkSession, sf_dir: str) -> Column:
+    """Row count as a scalar subquery, read from the parquet footers."""
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n")).scalar()
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(
         "event_id",
         kind.alias("event_type"),
-        doc_key(F.col("event_id") % F.lit(document_count(spark, sf_dir))).alias("article_id"),
+        doc_key(F.col("event_id") % document_count(spark, sf_dir)).alias("article_id"),
         F.col("user_id").cast("string").alias("client_id"),
         F.concat(F.lit('{"duration_ms": '), millis.cast("string"), F.lit("}")).alias("payload"),
         F.col("ts").cast("timestamp").alias("created_at"),

@@ -107,6 +107,19 @@ def test_all_link_rules_parse(spark):
     assert counts["baidu_finance"] == 1 and counts["yicai"] == 0
 
 
+def test_every_source_resolves_and_three_kinds_meet(spark):
+    from newsloom import fixed_values as fv
+    assert {k for k, _, _ in fv.SOURCES} <= set(feeds.SOURCES)
+    page = '<a href="https://www.yicai.com/news/1.html">a story on a list page</a><a href="https://www.yicai.com/news/2.html">no body for it</a>'
+    html = spark.createDataFrame([(page, "https://www.yicai.com/")], "payload string, url string")
+    bodies = spark.createDataFrame([("https://www.yicai.com/news/1.html", BODY)], "url string, body string")
+    xml = f"<rss><channel><item><title>feed</title><link>http://f</link><description>{BODY * 12}</description></item></channel></rss>"
+    flash = landed(spark, {"data": [{"id": 1, "title": "flash", "content": BODY, "time": "2024-01-01 00:00:00"}]})
+    parts = [feeds.normalize_feed(x, k, NOW, None, bodies) for k, x in (("yicai", html), ("rss_huxiu", landed(spark, xml)), ("jinshi", flash))]
+    got = {r["source"]: r["title"] for p in parts for r in p.collect()}
+    assert got == {"第一财经": "a story on a list page", "虎嗅": "feed", "金十数据": "flash"}
+
+
 def test_collect(spark, articles):
     base = articles(*[{"url": f"u{i % 18}" if i != 3 else "", "content": "x" * i, "source": "s"} for i in range(40)])
     landing = base.withColumns({"pos": F.col("id"), "source_key": F.lit("k"), "tier": F.lit("slow")})

@@ -164,3 +164,17 @@ def test_crawl_failure_alert(spark):
     log = spark.createDataFrame(rows, "t long, source string, ok boolean").select(
         F.timestamp_seconds(F.col("t") + 1704067200).alias("ts"), "source", "ok")
     assert {r["source"] for r in metrics.crawl_failure_alerts(log).select("source").distinct().collect()} == {"bad"}
+
+
+def test_a_stop_before_the_switch_keeps_the_old_table(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    store.write_table(spark.range(3), path)
+    monkeypatch.setattr(store, "_pointers", lambda *a: (_ for _ in ()).throw(RuntimeError("stop")))
+    try:
+        store.write_table(spark.range(5), path)
+    except RuntimeError:
+        pass
+    monkeypatch.undo()
+    assert store.read_table(spark, path).count() == 3
+    store.write_table(spark.range(7), path)
+    assert store.read_table(spark, path).count() == 7 and len(list((tmp_path / "t").glob("_at-*"))) == 1
