@@ -179,9 +179,11 @@ def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = stars.join(groups, "fp").join(degree, "fp")
     least = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = members.join(least, "component").select("fp", "component", "component_id", "n_links")
-    classes = groups.join(linked, "fp", "left").select(
+    # stored, so that both sides of the last join are plain scans and the skew join
+    # can split the rows of a fingerprint that very many texts share
+    classes = cut(groups.join(linked, "fp", "left").select(
         "fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("n_links").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.coalesce("n_links", F.lit(0)).alias("n_links")))
     return fps.join(classes, "fp").select("key", "doc_id", "fp", "component", "component_id", "n_links")
 
 
