@@ -1,11 +1,11 @@
 """Byte-level BPE over a table of distinct words.
 
-Texts are split into words as the tokenizer's own splitter does. The distinct
-words are counted, and each is encoded once. Ids go back by position: the words
-of the largest counts, at most `frequent` of them, go to every task as a table
-of bounded size; every other occurrence is joined to the word table by its word
-(none of them is frequent, so no key is hot) and returns to its place in the
-text by row and position. Decoding looks every id up in the id-to-piece table,
+Texts are split into words as the tokenizer's own splitter does. The words of
+the largest counts, at most `frequent` of them, make a table of bounded size
+that goes to every task, and a text becomes the ranks of its words in it. All
+other occurrences are brought together by word (none of them is frequent, so no
+key is hot), each distinct word is encoded once, and its ids return to their
+places in the texts by row and position. Decoding looks every id up in the id-to-piece table,
 whose size is that of the vocabulary, and joins the pieces' bytes.
 
 Ids are carried as little-endian unsigned 32-bit integers in one binary value.
@@ -21,7 +21,7 @@ import json
 import os
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -33,6 +33,7 @@ from newsloom.llm.common import map_rows, row_key
 from newsloom.session import cut
 
 FREQUENT = 1 << 19      # most words that go to every task
+STRETCH = 300_000       # distinct words that a task counts at once
 
 
 def vocabulary_text(path: str | None = None) -> str:
@@ -75,14 +76,6 @@ def word_pattern(pieces: Callable[[str], list]) -> re.Pattern:
     return re.compile(f" ?[{letters}]++|{_TAIL}| ?[{numbers}]++| ?[^{spaces}{letters}{numbers}]++|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
 
 
-@cache
-def _library(text: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_str(text)
-
-
 class Vocabulary:
     """Special tokens and pieces of a tokenizer file."""
 
@@ -103,8 +96,18 @@ class Vocabulary:
             self.pieces[i] = p.encode("utf-8")
         self._plane = word_pattern(self._tokenizer().pre_tokenizer.pre_tokenize_str)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_held"}
+
     def _tokenizer(self):
-        return _library(self.text)
+        """The library's tokenizer, held by this object: it goes with it, so that a
+        resting worker does not keep it."""
+        if "_held" not in self.__dict__:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
+            from tokenizers import Tokenizer
+
+            self._held = Tokenizer.from_str(self.text)
+        return self._held
 
     def split_words(self, text: str | None) -> list[str]:
         """The words of a text that holds no special token."""
@@ -146,116 +149,156 @@ def _vocabulary(text: str | None) -> Vocabulary:
     return Vocabulary(text or vocabulary_text())
 
 
-_last: list = [None, None, None]
-
+# --- the words of the largest counts ---------------------------------------------------
 
-def _of(value, make: Callable):
-    """What `make` builds from a broadcast value, built once as long as a worker
-    is asked for the same."""
-    if _last[0] is not value or _last[1] is not make:
-        _last[:] = [value, make, make(value)]
-    return _last[2]
-
-
-# --- the word table --------------------------------------------------------------
-
-def word_table(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
-    """(word, n, ids): every distinct word with its count and its ids."""
+def word_counts(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
+    """(word, n) of the words that stand twice or more in some stretch of a
+    partition; stretches end when they hold `STRETCH` strings. In texts with
+    single spaces only, the strings between them are counted and each distinct
+    one is split into words once. These counts choose the table that every task
+    gets; what they leave out is looked up like any rare word."""
     sent = docs.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary))
 
-    def count(batch: pa.RecordBatch) -> dict:
-        vocabulary, found = sent.value, Counter()
-        for value in batch.column(0).to_pylist():
-            found.update(vocabulary.split(value))
-        return {"word": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())}
-
-    def encode(batch: pa.RecordBatch) -> dict:
-        ids = _of(sent.value, Vocabulary.encoder)(batch.column(0).to_pylist())
-        return {"word": batch.column(0), "n": batch.column(1),
-                "ids": pa.array([np.array(x, dtype="<u4").tobytes() for x in ids], pa.binary())}
-
-    words = map_rows(docs.select(F.col(text).alias("text")), count, "word string, n long")
-    return map_rows(words.groupBy("word").agg(F.sum("n").alias("n")), encode, "word string, n long, ids binary")
-
-
-def frequent_words(table: DataFrame, most: int = FREQUENT) -> tuple[pa.Table, int]:
-    """The words of the largest counts, at most `most`, and the least count among
-    them. Counts are grouped by sixteenths of a power of two to find it."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # strings after a space, strings that begin a line, and words
+        after, first, words = Counter(), Counter(), Counter()
+        for batch in batches:
+            for value in filter(None, batch.column(0).to_pylist()):
+                if _WIDE.search(value):
+                    words.update(sent.value.split(value))
+                else:
+                    lines = [x.split(" ") for x in value.split("\n")]
+                    words["\n"] += len(lines) - 1
+                    first.update(x[0] for x in lines)
+                    for x in lines:
+                        after.update(x[1:])
+                if len(after) + len(first) + len(words) > STRETCH:
+                    yield _counted(after, first, words, sent.value)
+                    after, first, words = Counter(), Counter(), Counter()
+        yield _counted(after, first, words, sent.value)
+
+    words = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long")
+    return words.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+_WIDE = re.compile("  |[\t\r\x0b\x0c]")
+
+
+def _counted(after: Counter, first: Counter, words: Counter, vocabulary: Vocabulary) -> pa.RecordBatch:
+    for before, found in ((" ", after), ("", first)):
+        for string, n in found.items():
+            for word in vocabulary.split(before + string):
+                words[word] += n
+    several = {w: n for w, n in words.items() if n > 1}
+    return pa.RecordBatch.from_arrays([pa.array(list(several), pa.string()), pa.array(list(several.values()), pa.int64())], names=["word", "n"])
+
+
+def frequent_words(counts: DataFrame, vocabulary: str | None = None, most: int = FREQUENT) -> pa.Table:
+    """(word, ids) of the words of the largest counts, at most `most`, by falling
+    count. Counts are grouped by sixteenths of a power of two to find the least
+    one."""
     step = F.floor(F.log2("n") * 16).cast("int")
-    sizes = {r["s"]: (r["c"], r["least"]) for r in table.groupBy(step.alias("s")).agg(F.count("*").alias("c"), F.min("n").alias("least")).collect()}
+    sizes = {r["s"]: (r["c"], r["least"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("c"), F.min("n").alias("least")).collect()}
     total, least = 0, 1 << 62
     for s in sorted(sizes, reverse=True):
         total += sizes[s][0]
         if total > most:
             break
         least = sizes[s][1]
-    return table.filter(F.col("n") >= least).select("word", "ids").toArrow(), least
+    sent = counts.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary))
+
+    def encode(batch: pa.RecordBatch) -> dict:
+        ids = sent.value.encoder()(batch.column(0).to_pylist())
+        return {"word": batch.column(0), "n": batch.column(1), "ids": _packed(ids)}
+
+    table = map_rows(counts.filter(F.col("n") >= least).select("word", "n"), encode, "word string, n long, ids binary").toArrow()
+    return table.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"]).combine_chunks()
+
+
+def _packed(ids: list[list[int]]) -> pa.Array:
+    return pa.array([np.array(x, dtype="<u4").tobytes() for x in ids], pa.binary())
 
 
 # --- encoding and decoding ----------------------------------------------------------
 
-def _known(value: tuple[Vocabulary, pa.Table]) -> tuple[Vocabulary, dict[str, bytes]]:
-    return value[0], dict(zip(value[1]["word"].to_pylist(), value[1]["ids"].to_pylist()))
+def with_table(df: DataFrame, sent, column: str, make: Callable, schema: str) -> DataFrame:
+    """`map_rows` with what `column` of the broadcast table gives. It is built for
+    a task and goes with it, so that a resting worker keeps only the table's
+    compact form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, table = sent.value
+        known = ({w: n for n, w in enumerate(table["word"].to_pylist(), 1)} if column == "word"
+                 else [b"", *table["ids"].to_pylist()])
+        names = [x.split()[0] for x in schema.split(",")]
+        for batch in batches:
+            columns = make(batch, vocabulary.split, known)
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    return df.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, frequent: int = FREQUENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, doc_id, ids) for every row of `docs`."""
-    context = docs.sparkSession.sparkContext
-    table = cut(word_table(docs, vocabulary, text))
-    common, least = frequent_words(table, frequent)
-    sent = context.broadcast((_vocabulary(vocabulary), common))
+    counts = cut(word_counts(docs, vocabulary, text))
+    sent = docs.sparkSession.sparkContext.broadcast((_vocabulary(vocabulary), frequent_words(counts, vocabulary, frequent)))
     rows = docs.select(row_key(doc_id, text).alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    def rare(batch: pa.RecordBatch) -> dict:
-        vocabulary, ids = _of(sent.value, _known)
+    def rare(batch: pa.RecordBatch, split: Callable, ranks: dict[str, int]) -> dict:
+        """The words that are not in the table that every task has."""
         keys, places, words = [], [], []
         for key, value in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-            found = [(n, w) for n, w in enumerate(vocabulary.split(value)) if w not in ids]
+            found = [w for w in split(value) if w not in ranks]
             keys += [key] * len(found)
-            places += [n for n, _ in found]
-            words += [w for _, w in found]
+            places += range(len(found))
+            words += found
         return {"key": pa.array(keys, pa.int64()), "place": pa.array(places, pa.int32()), "word": pa.array(words, pa.string())}
 
-    def skeleton(batch: pa.RecordBatch) -> dict:
-        """The ids of common words, and before how many of them each gap stands."""
-        vocabulary, ids = _of(sent.value, _known)
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Encodes each word of the sorted rows once, for all its places."""
+        encode = sent.value[0].encoder()
+        last, last_ids = None, b""
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            new = list(dict.fromkeys(words))
+            if last in new:
+                new.remove(last)  # the batch before ended with it
+            known = {last: last_ids, **dict(zip(new, (np.array(x, dtype="<u4").tobytes() for x in encode(new))))}
+            if words:
+                last, last_ids = words[-1], known[words[-1]]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("place"), pa.array([known[w] for w in words], pa.binary())],
+                                             names=["key", "place", "ids"])
+
+    def ranked(batch: pa.RecordBatch, split: Callable, ranks: dict[str, int]) -> dict:
+        """Each text as the ranks of its words, 0 for a rare one."""
         packer, packed = zstandard.ZstdCompressor(level=3), []
         for value in batch.column("text").to_pylist():
-            parts = [ids.get(w) for w in vocabulary.split(value)]
-            gaps = [n for n, x in enumerate(parts) if x is None]
-            # lengths before each gap, then the ids themselves
-            lengths = np.fromiter((0 if x is None else len(x) // 4 for x in parts), dtype=np.int64, count=len(parts))
-            before = np.concatenate([[0], np.cumsum(lengths)])[gaps] if gaps else np.empty(0, np.int64)
-            body = np.frombuffer(b"".join(x for x in parts if x is not None), dtype="<u4")
-            kind = "<u2" if not len(body) or body.max() < 65536 else "<u4"
-            head = np.array([len(gaps), kind == "<u2"], dtype="<u4").tobytes() + np.diff(before, prepend=0).astype("<u4").tobytes()
-            packed.append(packer.compress(head + body.astype(kind).tobytes()))
+            found = [ranks.get(w, 0) for w in split(value)]
+            planes = np.array(found, dtype="<u4").view(np.uint8).reshape(len(found), 4).T
+            packed.append(packer.compress(planes.tobytes()))
         return {"key": batch.column("key"), "doc_id": batch.column("doc_id"), "packed": pa.array(packed, pa.binary())}
 
-    missing = map_rows(rows, rare, "key long, place int, word string")
-    found = missing.join(table.filter(F.col("n") < least).select("word", "ids"), "word").groupBy("key").agg(
-        F.collect_list(F.struct("place", "ids")).alias("found"))
-    whole = map_rows(rows, skeleton, "key long, doc_id long, packed binary").join(found, "key", "left")
-
-    def fill(batch: pa.RecordBatch) -> dict:
+    def fill(batch: pa.RecordBatch, split: Callable, table: list[bytes]) -> dict:
         unpacker, out = zstandard.ZstdDecompressor(), []
         for packed, found in zip(batch.column("packed").to_pylist(), batch.column("found").to_pylist()):
-            data = unpacker.decompress(packed)
-            n, short = np.frombuffer(data[:8], dtype="<u4").tolist()
-            before = np.cumsum(np.frombuffer(data[8:8 + 4 * n], dtype="<u4"))
-            body = np.frombuffer(data[8 + 4 * n:], dtype="<u2" if short else "<u4").astype("<u4").tobytes()
+            planes = np.frombuffer(unpacker.decompress(packed), dtype=np.uint8)
+            ranks = np.ascontiguousarray(planes.reshape(4, len(planes) // 4).T).view("<u4").reshape(-1)
+            parts = list(map(table.__getitem__, ranks.tolist()))
+            gaps = np.flatnonzero(ranks == 0).tolist()
             # repeated rows bring their words several times; a place counts once
-            words = [x for _, x in sorted({f["place"]: f["ids"] for f in found or ()}.items())]
-            if len(words) != n:
-                raise ValueError(f"{n} words to fill in, {len(words)} came back")
-            parts, last = [], 0
-            for at, ids in zip((4 * before).tolist(), words):
-                parts += [body[last:at], ids]
-                last = at
-            out.append(b"".join([*parts, body[last:]]))
+            words = {f["place"]: f["ids"] for f in found or ()}
+            if len(words) != len(gaps):
+                raise ValueError(f"{len(gaps)} words to fill in, {len(words)} came back")
+            for n, at in enumerate(gaps):
+                parts[at] = words[n]
+            out.append(b"".join(parts))
         return {"key": batch.column("key"), "doc_id": batch.column("doc_id"), "ids": pa.array(out, pa.binary())}
 
-    return map_rows(whole.select("key", "doc_id", "packed", "found"), fill, "key long, doc_id long, ids binary")
+    missing = with_table(rows, sent, "word", rare, "key long, place int, word string")
+    found = missing.repartition("word").sortWithinPartitions("word").mapInArrow(look_up, "key long, place int, ids binary").groupBy("key").agg(
+        F.collect_list(F.struct("place", "ids")).alias("found"))
+    whole = with_table(rows, sent, "word", ranked, "key long, doc_id long, packed binary").join(found, "key", "left")
+    return with_table(whole.select("key", "doc_id", "packed", "found"), sent, "ids", fill, "key long, doc_id long, ids binary")
 
 
 def piece_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
