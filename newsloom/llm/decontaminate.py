@@ -175,6 +175,8 @@ def apply(docs: DataFrame, benchmark: DataFrame, text: str = "text", length: str
                 out.append((*remove_spans(t, sent.value), True) if spans else (t, 1.0, False))
             return pd.DataFrame(out, columns=["text", "left", "hit"])
 
+        # else the filter below would have it run a second time
+        cleaned = cleaned.asNondeterministic()
         rows = docs.select(F.struct("*").alias("_row"), cleaned(F.col(text)).alias("_new")).filter(F.col("_new.left") >= min_left)
         docs = rows.select(*[
             F.col("_new.text").alias(c) if c == text
