@@ -8,7 +8,8 @@ words, looks it up and verifies every hit against the window's words.
 
 The set has a bound: test items are taken in blocks of at most `max_windows`
 windows (estimated from their bytes, from above). More than one block means
-more passes over the documents, each holding one block.
+more passes over the documents, each holding one block; a text is cut only when
+every block has looked at it, so the result does not depend on the blocks.
 
 Defined results: a null text has no words. An item without words has no window.
 Items with one id are one item; an item without an id hits but is not listed.
@@ -18,6 +19,7 @@ items give no hits.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -101,10 +103,14 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def block_count(benchmark: DataFrame, text: str = "text", max_windows: int = MAX_WINDOWS) -> int:
+    most = benchmark.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0  # a window takes two bytes at least
+    return max(1, math.ceil(most / 2 / max_windows))
+
+
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = SIZE, max_windows: int = MAX_WINDOWS):
     """The test items in blocks of bounded size, one at a time on the driver."""
-    most = benchmark.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0  # a window takes two bytes at least
-    count = max(1, math.ceil(most / 2 / max_windows))
+    count = block_count(benchmark, text, max_windows)
     for b in range(count):
         mine = benchmark if count == 1 else benchmark.filter(F.pmod(F.xxhash64(item_id, text), F.lit(count)) == b)
         yield Windows([tuple(r) for r in mine.select(item_id, text).collect()], size)
@@ -142,30 +148,34 @@ def _scan(rows: DataFrame, windows: Windows, more: bool) -> DataFrame:
     return map_rows(rows, make, _FOUND + ", text string")
 
 
+def cut_spans(text: str, spans: list) -> tuple[str, int, int]:
+    """The text without the words of the spans, and its words before and after."""
+    raw = text_bytes(text)
+    at = [m.span() for m in _WORD.finditer(raw.translate(PLAIN))]
+    parts, last = [], 0
+    for a, b in spans:
+        parts.append(raw[last:at[a][0]])
+        last = at[b - 1][1]
+    return b"".join([*parts, raw[last:]]).decode("utf-8", "surrogatepass"), len(at), len(at) - sum(b - a for a, b in spans)
+
+
 def remove_spans(text: str, windows: Windows) -> tuple[str, float]:
     """The text without its hit words, and the share of words left. A cut can
     bring words together that form another window, so it repeats to the end."""
-    before = None
+    before, left = None, None
     while True:
-        raw = text_bytes(text)
-        at = [m.span() for m in _WORD.finditer(raw.translate(PLAIN))]
-        before = len(at) if before is None else before
-        spans = windows.find([[raw.translate(PLAIN)[a:b] for a, b in at]])[0][0]
+        spans = windows.find([plain_words(text)])[0][0]
         if not spans:
-            return text, (len(at) / before if before else 1.0)
-        parts, last = [], 0
-        for a, b in spans:
-            parts.append(raw[last:at[a][0]])
-            last = at[b - 1][1]
-        text = b"".join([*parts, raw[last:]]).decode("utf-8", "surrogatepass")
+            return text, (left / before if before else 1.0)
+        text, n, left = cut_spans(text, spans)
+        before = n if before is None else before
 
 
 def apply(docs: DataFrame, benchmark: DataFrame, text: str = "text", length: str = "n_chars", min_left: float = MIN_LEFT, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """`docs` without hit words; documents that lose more than half go."""
     names = docs.columns
-    for n, windows in enumerate(blocks(benchmark, max_windows=max_windows)):
-        docs = cut(docs) if n else docs
-        sent = docs.sparkSession.sparkContext.broadcast(windows)
+    if block_count(benchmark, max_windows=max_windows) == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(next(blocks(benchmark, max_windows=max_windows)))
 
         @F.pandas_udf("text string, left double, hit boolean")
         def cleaned(texts: pd.Series) -> pd.DataFrame:
@@ -177,9 +187,51 @@ def apply(docs: DataFrame, benchmark: DataFrame, text: str = "text", length: str
 
         # else the filter below would have it run a second time
         cleaned = cleaned.asNondeterministic()
-        rows = docs.select(F.struct("*").alias("_row"), cleaned(F.col(text)).alias("_new")).filter(F.col("_new.left") >= min_left)
-        docs = rows.select(*[
-            F.col("_new.text").alias(c) if c == text
-            else F.when(F.col("_new.hit"), F.length("_new.text")).otherwise(F.col("_row")[c]).cast(docs.schema[c].dataType).alias(c) if c == length
-            else F.col("_row")[c].alias(c) for c in names])
-    return docs
+        rows = docs.select(F.struct("*").alias("_row"), cleaned(F.col(text)).alias("_new"))
+    else:
+        rows = _rounds(docs, benchmark, text, max_windows)
+    return rows.filter(F.col("_new.left") >= min_left).select(*[
+        F.col("_new.text").alias(c) if c == text
+        else F.when(F.col("_new.hit"), F.length("_new.text")).otherwise(F.col("_row")[c]).cast(docs.schema[c].dataType).alias(c) if c == length
+        else F.col("_row")[c].alias(c) for c in names])
+
+
+def _rounds(docs: DataFrame, benchmark: DataFrame, text: str, max_windows: int) -> DataFrame:
+    """(_row, _new) as one block gives them. In a round all blocks find their spans
+    in the same text, then it is cut once; texts that were cut have another round."""
+    none = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
+    open_rows = docs.select(F.struct("*").alias("_row"), F.struct(F.col(text).alias("text"), F.lit(1.0).alias("left"), F.lit(False).alias("hit")).alias("_new"),
+                            F.lit(0).cast("long").alias("_before"))
+    ended = []
+
+    @F.pandas_udf("text string, left double, before long")
+    def shorter(texts: pd.Series, spans: pd.Series, before: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, s, b in zip(texts, spans, before):
+            t, n, left = cut_spans(t, [(x["a"], x["b"]) for x in s])
+            out.append((t, left / (b or n), b or n))
+        return pd.DataFrame(out, columns=["text", "left", "before"])
+
+    shorter = shorter.asNondeterministic()
+    while True:
+        found = open_rows.withColumn("_spans", none)
+        for windows in blocks(benchmark, max_windows=max_windows):
+            if windows.by_length:
+                found = cut(found.withColumn("_spans", _more_spans(docs, windows)(F.col("_new.text"), F.col("_spans"))))
+        ended.append(found.filter(F.size("_spans") == 0).select("_row", "_new"))
+        hit = found.filter(F.size("_spans") > 0).select("_row", "_before", shorter(F.col("_new.text"), F.col("_spans"), F.col("_before")).alias("_cut"))
+        open_rows = cut(hit.select("_row", F.struct(F.col("_cut.text").alias("text"), F.col("_cut.left").alias("left"), F.lit(True).alias("hit")).alias("_new"),
+                                   F.col("_cut.before").alias("_before")))
+        if open_rows.isEmpty():
+            return functools.reduce(DataFrame.unionByName, ended)
+
+
+def _more_spans(docs: DataFrame, windows: Windows):
+    sent = docs.sparkSession.sparkContext.broadcast(windows)
+
+    @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
+    def more(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        found = sent.value.find([plain_words(t) for t in texts])[0]
+        return pd.Series([[{"a": a, "b": b} for a, b in merge([*new, *((x["a"], x["b"]) for x in old)])] for new, old in zip(found, spans)], dtype=object)
+
+    return more

@@ -75,3 +75,18 @@ def test_empty_tables(spark, documents):
     assert [list(r.items) for r in dc.find(docs, bench).collect()] == [[]]
     assert dc.apply(docs, bench).collect() == docs.collect()
     assert dc.find(docs.filter("false"), bench).count() == 0
+
+
+def test_apply_does_not_depend_on_the_blocks(spark, documents):
+    """Overlapping items, a document that two blocks hit, and a join made by cuts."""
+    w = [f"a{i}" for i in range(20)]
+    one, two, far = " ".join(w[:10]), " ".join(w[5:15]), " ".join(w[10:20]).replace("a", "b")
+    rest = " ".join(f"z{i}" for i in range(40))
+    bench = spark.createDataFrame([(1, one), (2, two), (3, far)], "item_id long, text string")
+    assert sum(bool(x.by_length) for x in dc.blocks(bench, max_windows=1)) == 3
+    docs = documents(
+        (1, f"{rest}. {' '.join(w[:15])}; {rest}"), (2, f"{one} {far} z1 z2 z3 z4 z5"), (3, f"{one} " * 4 + f"{far} " * 3 + " ".join(rest.split()[:35])),
+        (4, f"{rest} b10 b11 {one} b12 {' '.join(far.split()[3:])} {rest}"), (5, rest), (6, None), (7, ""))
+    many, single = (sorted(map(tuple, dc.apply(docs, bench, max_windows=m).collect())) for m in (1, dc.MAX_WINDOWS))
+    assert many == single and [r[0] for r in single] == [1, 4, 5, 6, 7]
+    assert {r[0]: r[1] for r in single}[1] == f"{rest}. ; {rest}" and "b10" not in single[1][1]
