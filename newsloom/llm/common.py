@@ -69,3 +69,20 @@ def starts_of(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, dtype=np.int64)
     np.cumsum(lengths, out=out[1:])
     return out
+
+
+def row_name(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A 128-bit name of a row; a null is apart from every value."""
+    given = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.when(F.col(text).isNull(), "-").otherwise("+"), F.coalesce(F.col(text), F.lit("")))
+    return F.unhex(F.md5(given))
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: str, share: int = 1000) -> DataFrame:
+    """`rows` joined to a stored table with one row a key, whose column `n` counts
+    the key's rows. Keys that hold over 1 / `share` of them are `share` at most, so
+    they are broadcast and their rows stay where they are; the others are shuffled."""
+    most = (table.agg(F.sum("n")).first()[0] or 0) // share
+    heavy, light = table.filter(F.col("n") > most), table.filter(F.col("n") <= most)
+    common = rows.join(F.broadcast(heavy), on)
+    rare = rows.join(F.broadcast(heavy.select(on)), on, "left_anti").join(light, on)
+    return common.unionByName(rare)

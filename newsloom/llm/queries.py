@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import bpe, chat, decontaminate, licenses, line_dedup, lm, near_dup, quality, secrets, warc
+from newsloom.llm import bpe, chat, decontaminate, licenses, line_dedup, lm, near_dup, quality, repeats, secrets, warc
 from newsloom.llm.common import read
 from newsloom.session import cut
 
@@ -246,3 +246,28 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.duplicate_lines(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_links",
                        F.col("removed.no").alias("removed_lines"), F.col("removed.kept_in").alias("kept_in"))
+
+
+_N = repeats.LENGTH
+
+
+@query("op11_suffix_array_dedup", f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n from documents),
+strings as (select doc_id, i, substr(h, 2 * i + 1, 2 * {_N}) s from d, unnest(range(0, n - {_N} + 1)) r(i)),
+least as (select s, min(doc_id) first_id from strings group by 1),
+lost as (select doc_id, i from strings join least using (s) where doc_id > first_id),
+marked as (select *, (lag(i) over w is null or i > lag(i) over w + {_N})::int new from lost window w as (partition by doc_id order by i)),
+numbered as (select doc_id, i, sum(new) over (partition by doc_id order by i) span from marked),
+spans as (select doc_id, span, min(i) a, max(i) + {_N} b from numbered group by 1, 2),
+between as (select doc_id, a, b, a - coalesce(lag(b) over (partition by doc_id order by a), 0) gap from spans),
+kept as (
+  select doc_id, sum(b - a) n_removed, count(*) n_spans, string_agg(substr(h, 2 * (a - gap) + 1, 2 * gap), '' order by a) || substr(any_value(h), 2 * max(b) + 1) left_over
+  from between join d using (doc_id) group by 1)
+select doc_id, n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans,
+  sha256(unhex(coalesce(left_over, h))) kept_sha256
+from d left join kept using (doc_id)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.find(read(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0), lambda s, x: s + x)
+    return rows.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
