@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import bpe, chat, decontaminate, licenses, line_dedup, lm, near_dup, quality, repeats, secrets, warc
+from newsloom.llm import bpe, chat, decontaminate, licenses, line_dedup, lm, near_dup, quality, ranked, repeats, secrets, warc
 from newsloom.llm.common import read
 from newsloom.session import cut
 
@@ -271,3 +271,21 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0), lambda s, x: s + x)
     return rows.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_ranked_search", f"""
+with d as (select doc_id, {_PLAIN.format("text")} w from documents where text is not null),
+sizes as (select doc_id, len(w)::bigint n from d where len(w) > 0),
+total as (select count(*)::bigint nn, sum(n)::bigint ll from sizes),
+words as (select doc_id, unnest(w) t from d),
+tf as (select doc_id, t, count(*) tf from words group by 1, 2),
+df as (select t, count(*) df from tf group by 1),
+queries as (select distinct item_id, unnest({_PLAIN.format("text")}) t from benchmark where text is not null),
+weights as (select t, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double))::bigint w from df, total),
+scores as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::bigint score
+  from queries join weights using (t) join tf using (t) join sizes using (doc_id), total group by 1, 2),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) r from scores where score > 0)
+select item_id, r::int rank, doc_id, score from ranked where r <= {ranked.K}""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
