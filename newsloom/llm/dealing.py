@@ -2,8 +2,8 @@
 
 A block is a stored row that packs many texts. It names each of its distinct
 hashes once, with a weight. The hashes are dealt by range to parts, a part adds
-up the weights of all blocks, and every block learns which of its hashes reach
-`least` in total: one bit a hash. A hash that very many texts share is one entry
+up the weights of all blocks, and every block learns for each of its hashes how
+many of the given levels the total reaches. A hash that very many texts share is one entry
 a block, so no key is hot; a part holds about as many hashes as a block.
 
 With total hashes T, blocks and parts of sqrt(PIECE * T) hashes keep the pieces
@@ -39,10 +39,10 @@ def parts_for(total: int, piece: int = PIECE) -> int:
     return max(1, math.ceil(total / max(PART, math.sqrt(piece * max(total, 1)))))
 
 
-def reached(blocks: DataFrame, make: Callable[[dict], list], parts: int, least: int) -> DataFrame:
+def reached(blocks: DataFrame, make: Callable[[dict], list], parts: int, levels: tuple[int, ...]) -> DataFrame:
     """(block, answers) for every block with a hash. `make` gives for a row of
     `blocks` a list of (order, sorted distinct hashes, weights); orders are counted
-    apart. `answer` reads the result."""
+    apart. `levels` ascend. `answer` reads the result."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,17 +64,21 @@ def reached(blocks: DataFrame, make: Callable[[dict], list], parts: int, least:
         _, at = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([_unzip(x, np.uint32) for x in rows["weights"]]))
         starts = starts_of(np.array([len(x) for x in hashes]))
-        enough = (total >= least)[at]
-        bits = [np.packbits(enough[a:b]).tobytes() for a, b in zip(starts[:-1], starts[1:])]
-        return pd.DataFrame({"order": key[0], "part": key[1], "block": rows["block"], "n": np.diff(starts), "bits": bits})
+        level = np.searchsorted(np.array(levels), total, side="right").astype(np.uint8)[at]
+        told = [_zip(level[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+        return pd.DataFrame({"order": key[0], "part": key[1], "block": rows["block"], "values": told})
 
     answers = blocks.mapInArrow(send, _SENT).groupBy("order", "part").applyInPandas(
-        add, "order int, part int, block long, n int, bits binary")
-    return answers.groupBy("block").agg(F.collect_list(F.struct("order", "part", "n", "bits")).alias("answers"))
+        add, "order int, part int, block long, values binary")
+    return gathered(answers)
 
 
-def answer(answers: list[dict] | None, order: int) -> np.ndarray:
-    """For each hash that the block named in this order whether it was reached."""
-    mine = sorted((a["part"], a["n"], a["bits"]) for a in answers or [] if a["order"] == order)
-    bits = [np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=n) for _, n, b in mine]
-    return np.concatenate(bits).astype(bool) if bits else np.zeros(0, dtype=bool)
+def gathered(answers: DataFrame) -> DataFrame:
+    """(block, answers) from (order, part, block, values)."""
+    return answers.groupBy("block").agg(F.collect_list(F.struct("order", "part", "values")).alias("answers"))
+
+
+def answer(answers: list[dict] | None, order: int, kind=np.uint8) -> np.ndarray:
+    """What a block was told of each hash that it named in this order."""
+    mine = sorted((a["part"], a["values"]) for a in answers or [] if a["order"] == order)
+    return np.concatenate([_unzip(v, kind) for _, v in mine]) if mine else np.zeros(0, dtype=kind)

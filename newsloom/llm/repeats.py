@@ -10,25 +10,29 @@ into blocks, a block names its anchors once each and learns which of them other
 documents have as well (`dealing`). Only there texts are looked at further: a run
 of strings with one anchor is a segment of at most 64 strings.
 
-Suffix order. Equal segments are one, owned by the smallest id that holds them,
-so a document that is not the owner loses the whole segment. The different
-segments of an anchor come together. Their suffixes are sorted, with the lengths
-of the common prefixes of neighbours; for each suffix the previous and the next
-one of a smaller owner in this order give the longest earlier match, cut at
-`length`. Where it reaches `length` the owner loses the string. Segments of an
-anchor with more than `crowd` of them are taken apart into their strings, which
-meet by name; that needs no order, since all that meet are equal.
+Suffix order. A block sends its different segments to the parts of the anchors'
+range, each with the smallest id that holds it. Equal segments are one there,
+owned by the smallest id of all; any other holder loses the whole segment. The
+different segments of an anchor are put into suffix order, with the lengths of
+the common prefixes of neighbours; for each suffix the previous and the next one
+of a smaller owner in this order give the longest earlier match, cut at `length`.
+Where it reaches `length` the owner loses the string. Each block gets one answer
+for each segment that it sent. Anchors with more than `crowd` segments would make
+a part too large: their segments are taken apart into strings, which are dealt by
+their own names. All that then meet are equal, so there is nothing to order.
 
 Defined results: a null text is empty and loses nothing. A row without an id
 counts as later than all others. Rows with one id take nothing from each other.
 Texts shorter than `length` stay. A very long text is a block of its own.
 `docs` may have any other columns. An empty table gives no rows. Anchors are
 64-bit hashes that only choose where to look; segments are named by 128 bits.
+What one task holds is a block, or a part of about as many anchors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -38,14 +42,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.common import join_counted, lists, row_name, starts_of, text_bytes
-from newsloom.llm.dealing import answer, block_size, parts_for, reached
+from newsloom.llm.common import lists, row_name, starts_of, text_bytes
+from newsloom.llm.dealing import answer, block_size, gathered, parts_for, reached
+from newsloom.llm.lm import _borders, _unzip, _unzip_sorted, _zip, _zip_sorted
 from newsloom.session import cut
 
 LENGTH, GRAM = 50, 16
 BLOCK_BYTES, MOST_BYTES = 8 << 20, 128 << 20
 CHUNK = 1 << 18         # bytes whose hashes are held at once, except for a longer text
-CROWD = 4096            # segments of an anchor that are sorted in one task
+CROWD = 1 << 15         # segments of an anchor that may meet in one part
 SORTED = 4 << 20        # bytes of segments that are sorted at once, about
 RUN = 64                # strings of a segment, one bit each
 NO_ID = (1 << 63) - 1
@@ -94,7 +99,8 @@ def runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarr
             stop = np.append(np.flatnonzero(new)[1:], len(least))[np.cumsum(new)[at] - 1] if len(at) else at
             text = owner[at]
             stop = np.minimum(stop, start[text + 1] - length + 1)
-            yield least[at], text + first, at - start[text], stop - at
+            anchor = least[at] * _FACTORS[0]  # least hashes are small ones; their range is dealt evenly
+            yield anchor ^ (anchor >> np.uint64(32)), text + first, at - start[text], stop - at
         first = last
 
 
@@ -211,7 +217,8 @@ def _texts(row: dict) -> list[bytes]:
 
 
 def _anchors(row: dict, length: int) -> list:
-    """The distinct anchors of a block; one that several of its texts have weighs two."""
+    """The distinct anchors of a block. An anchor in one text weighs one, else as
+    much as it has segments."""
     found = [(a, t) for a, t, _, _ in runs(_texts(row), length)]
     if not found:
         return []
@@ -220,91 +227,117 @@ def _anchors(row: dict, length: int) -> list:
     anchor, text = anchor[order], text[order]
     first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, dtype=np.int64)
     last = np.append(first[1:], len(anchor)) - 1
-    return [(0, anchor[first], 1 + (text[first] != text[last]))] if len(first) else []
-
-
-_SEGMENT = "block long, text int, at int, strings int, doc_id long, name binary, anchor long, segment binary"
-
-
-def segments(blocks: DataFrame, length: int) -> DataFrame:
-    """(block, text, at, strings, doc_id, name, anchor, segment): the runs of
-    strings whose anchor several documents have. The bytes are given at the first
-    occurrence in the block only."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return [(0, anchor[first], np.where(text[first] == text[last], 1, last - first + 1))] if len(first) else []
+
+
+class Entries:
+    """Segments or single strings of a block's texts, and the different ones of
+    them in the order in which they are sent."""
+
+    def __init__(self, texts: list[bytes], ids: list, text: np.ndarray, at: np.ndarray, strings: np.ndarray, length: int, anchor: np.ndarray | None):
+        self.texts, self.text, self.at, self.strings, self.length = texts, text, at, strings, length
+        names = b"".join(xxhash.xxh3_128_digest(texts[t][a:b]) for t, a, b in zip(text.tolist(), at.tolist(), (at + strings + length - 1).tolist()))
+        high, low = np.frombuffer(names, dtype=">u8").astype(np.uint64).reshape(-1, 2).T
+        anchor = high if anchor is None else anchor
+        self.owner = np.array([NO_ID if x is None else x for x in ids], dtype=np.int64)[text]
+        order = np.lexsort((self.owner, low, high, anchor))
+        a, h, w = anchor[order], high[order], low[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1]))[:len(order)]
+        self.number = np.zeros(len(order), dtype=np.int64)
+        self.number[order] = np.cumsum(new) - 1
+        self.first = order[new]
+        self.columns = anchor[self.first], high[self.first], low[self.first], self.owner[self.first]
+
+    def bytes_of(self, span: slice) -> list[bytes]:
+        mine = self.first[span]
+        stop = self.at[mine] + self.strings[mine] + self.length - 1
+        return [self.texts[t][a:b] for t, a, b in zip(self.text[mine].tolist(), self.at[mine].tolist(), stop.tolist())]
+
+    def lost(self, told: np.ndarray) -> np.ndarray:
+        """For each occurrence the strings that go, from what was told of the
+        different ones."""
+        every = np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - self.strings).astype(np.uint64)
+        return np.where(self.owner > self.owner[self.first][self.number], every, told[self.number] & every)
+
+
+def entries(row: dict, length: int) -> tuple[list[bytes], Entries, Entries]:
+    """The texts of a block, their segments whose anchor several documents have,
+    and, one by one, the strings of those with crowded anchors."""
+    texts, level = _texts(row), answer(row["answers"], 0)
+    pieces = list(runs(texts, length))
+    none = np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 3
+    anchor, text, at, strings = (np.concatenate(x) for x in zip(*pieces)) if pieces else none
+    level = level[np.searchsorted(np.unique(anchor), anchor)] if len(anchor) else level
+    both = []
+    for few, most in ((level == 1, RUN), (level == 2, 1)):
+        size = strings[few]
+        parts = -(-size // most)
+        nth = np.arange(int(parts.sum())) - np.repeat(starts_of(parts)[:-1], parts)
+        size = np.minimum(np.repeat(size, parts) - nth * most, most)
+        both.append(Entries(texts, row["doc_ids"], np.repeat(text[few], parts), np.repeat(at[few], parts) + nth * most, size, length,
+                            np.repeat(anchor[few], parts) if most == RUN else None))
+    return texts, *both
+
+
+_SENT = "order int, part int, block long, anchors binary, high binary, low binary, owners binary, sizes binary, bytes binary"
+
+
+def losses(blocks: DataFrame, parts: int, length: int) -> DataFrame:
+    """(block, answers): for each segment (order 0) or string (order 1) that the
+    block sends, the bits of the strings that its smallest holder there loses."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                texts = _texts(row)
-                pieces = list(runs(texts, length))
-                known = np.unique(np.concatenate([p[0] for p in pieces])) if pieces else np.zeros(0, dtype=np.uint64)
-                shared, seen = answer(row["answers"], 0), set()
-                for anchor, text, at, strings in pieces:
-                    keep = shared[np.searchsorted(known, anchor)]
-                    anchor, text, at, strings = (x[keep] for x in (anchor, text, at, strings))
-                    parts = -(-strings // RUN)
-                    nth = np.arange(int(parts.sum())) - np.repeat(starts_of(parts)[:-1], parts)
-                    anchor, text, at, strings = (np.repeat(x, parts) for x in (anchor, text, at, strings))
-                    at, strings = at + nth * RUN, np.minimum(strings - nth * RUN, RUN)
-                    data = [texts[t][a:a + s + length - 1] for t, a, s in zip(text.tolist(), at.tolist(), strings.tolist())]
-                    names = [xxhash.xxh3_128_digest(x) for x in data]
-                    once = [None if n in seen or seen.add(n) else x for n, x in zip(names, data)]
-                    ids = [row["doc_ids"][t] for t in text.tolist()]
+                for order, found in enumerate(entries(row, length)[1:]):
+                    borders = _borders(found.columns[0], parts)
+                    full = np.flatnonzero(np.diff(borders))
+                    out: list[list] = [[] for _ in range(6)]
+                    for p in full:
+                        span = slice(borders[p], borders[p + 1])
+                        data = found.bytes_of(span) if order == 0 else []
+                        anchors, *rest = (c[span] for c in found.columns)
+                        sizes = np.fromiter(map(len, data), np.uint32, len(data))
+                        packed = [_zip_sorted(anchors), *map(_zip, rest), _zip(sizes), zstandard.ZstdCompressor(level=3).compress(b"".join(data))]
+                        for column, value in zip(out, packed):
+                            column.append(value)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(at), row["block"])), pa.array(text.astype(np.int32)), pa.array(at.astype(np.int32)),
-                        pa.array(strings.astype(np.int32)), pa.array([NO_ID if x is None else x for x in ids], pa.int64()),
-                        pa.array(names, pa.binary()), pa.array(anchor.view(np.int64)), pa.array(once, pa.binary())],
-                        names=[x.split()[0] for x in _SEGMENT.split(", ")])
-
-    return blocks.mapInArrow(make, _SEGMENT)
-
-
-def _sorted_bits(distinct: DataFrame, length: int) -> DataFrame:
-    """(name, bits) of the distinct segments (name, owner, anchor, segment) whose
-    owner loses a string; an anchor's segments are sorted in one task."""
-
-    def decide(rows: list[tuple]) -> pa.RecordBatch:
-        bits = repeated_bits([r[3] for r in rows], np.array([r[1] for r in rows], dtype=np.int64), length)
-        some = np.flatnonzero(bits)
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some.tolist()], pa.binary()), pa.array(bits[some].view(np.int64))],
-                                          names=["name", "bits"])
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, group, anchor = [], 0, [], None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[2] != anchor:
-                    if len(group) > 1:  # a segment alone is nowhere else
-                        held += group
-                        size += sum(len(r[3]) for r in group)
-                    group, anchor = [], row[2]
-                    if size >= SORTED:
-                        yield decide(held)
-                        held, size = [], 0
-                group.append(row)
-        if len(group) > 1:
-            held += group
-        if held:
-            yield decide(held)
-
-    dealt = distinct.select("name", "owner", "anchor", "segment").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(make, "name binary, bits long")
-
-
-def _named_bits(distinct: DataFrame, length: int) -> DataFrame:
-    """The same for segments of crowded anchors, string by string."""
-
-    def strings(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, owners, segs = (batch.column(c).to_pylist() for c in ("name", "owner", "segment"))
-        rows = [(n, o, i, xxhash.xxh3_128_digest(s[i:i + length])) for n, o, s in zip(names, owners, segs) for i in range(len(s) - length + 1)]
-        cols = list(zip(*rows)) or [(), (), (), ()]
-        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["name", "owner", "at", "string"])
-
-    apart = cut(distinct.mapInArrow(lambda batches: map(strings, batches), "name binary, owner long, at int, string binary"))
-    least = cut(apart.groupBy("string").agg(F.min("owner").alias("least"), F.count("*").alias("n")).filter("n > 1"))
-    lost = join_counted(apart, least, "string").filter("owner > least")
-    return lost.groupBy("name").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
+                        pa.array(np.full(len(full), order, dtype=np.int32)), pa.array(full.astype(np.int32)),
+                        pa.array(np.full(len(full), row["block"], dtype=np.int64)), *(pa.array(c, pa.binary()) for c in out)],
+                        names=[x.split()[0] for x in _SENT.split(", ")])
+
+    def decide(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        columns = [[_unzip_sorted(x) for x in rows["anchors"]], *([_unzip(x, kind) for x in rows[c]] for c, kind in (("high", np.uint64), ("low", np.uint64), ("owners", np.int64)))]
+        starts = starts_of(np.array([len(x) for x in columns[0]]))
+        anchor, high, low, owner = map(np.concatenate, columns)
+        order = np.lexsort((owner, low, high, anchor))
+        a, h, w = anchor[order], high[order], low[order]
+        other = a[1:] != a[:-1]
+        new = np.append(True, other | (h[1:] != h[:-1]) | (w[1:] != w[:-1]))
+        number = np.zeros(len(order), dtype=np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = order[new]
+        bits = np.zeros(len(first), dtype=np.uint64)
+        if key[0] == 0:
+            sizes = np.concatenate([_unzip(x, np.uint32) for x in rows["sizes"]]).astype(np.int64)
+            data = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in rows["bytes"])
+            place = starts_of(sizes)
+            group = np.cumsum(np.append(True, other))[new]  # the anchor of each different segment
+            several = np.flatnonzero(np.bincount(group)[group] > 1)  # a segment alone is nowhere else
+            ends = np.append(np.flatnonzero(group[several][1:] != group[several][:-1]) + 1, len(several)) if len(several) else []
+            begin, held = 0, np.cumsum(sizes[first[several]])
+            for n, end in enumerate(ends):  # whole anchors, some megabytes at a time
+                if n == len(ends) - 1 or held[ends[n + 1] - 1] - (held[begin - 1] if begin else 0) > SORTED:
+                    some = several[begin:end]
+                    mine = first[some]
+                    bits[some] = repeated_bits([data[place[k]:place[k + 1]] for k in mine.tolist()], owner[mine], length)
+                    begin = end
+        told = np.where(owner > owner[first][number], np.uint64(0xFFFFFFFFFFFFFFFF), bits[number])
+        answers = [_zip(told[x:y]) for x, y in zip(starts[:-1], starts[1:])]
+        return pd.DataFrame({"order": key[0], "part": key[1], "block": rows["block"], "values": answers})
+
+    return gathered(blocks.mapInArrow(send, _SENT).groupBy("order", "part").applyInPandas(decide, "order int, part int, block long, values binary"))
 
 
 def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD, block_bytes: int | None = None) -> DataFrame:
@@ -314,27 +347,15 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
         raise ValueError(f"repeats of fewer than {GRAM} bytes are not looked for")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     per_anchor = (length - GRAM + 2) / 2
+    anchors = int(total / per_anchor)
     if block_bytes is None:
-        block_bytes = int(block_size(int(total / per_anchor), int(BLOCK_BYTES / per_anchor), int(MOST_BYTES / per_anchor)) * per_anchor)
+        block_bytes = int(block_size(anchors, int(BLOCK_BYTES / per_anchor), int(MOST_BYTES / per_anchor)) * per_anchor)
     blocks = cut(text_blocks(docs, block_bytes, doc_id, text))
-    shared = reached(blocks.select("block", "sizes", "bytes"), lambda row: _anchors(row, length), parts_for(int(total / per_anchor)), 2)
-    found = cut(segments(blocks.select("block", "doc_ids", "sizes", "bytes").join(shared, "block"), length))
-    distinct = cut(found.groupBy("name").agg(
-        F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.first("anchor").alias("anchor"),
-        F.first("segment", ignorenulls=True).alias("segment")))
-    crowded = cut(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("anchor"))
-    if crowded.isEmpty():
-        bits = cut(_sorted_bits(distinct, length))
-    else:
-        calm = distinct.join(crowded, "anchor", "left_anti")
-        bits = cut(_sorted_bits(calm, length).unionByName(_named_bits(distinct.join(crowded, "anchor", "left_semi"), length)))
-    losing = cut(distinct.join(bits, "name", "left").filter("last > owner or bits is not null").select(
-        "name", "owner", F.coalesce("bits", F.lit(0)).alias("bits"), "n"))
-    every = F.when(F.col("strings") == RUN, F.lit(-1)).otherwise(F.expr("shiftleft(1L, strings) - 1"))
-    lost = join_counted(found.select("block", "text", "at", "strings", "doc_id", "name"), losing, "name").select(
-        "block", "text", "at", F.when(F.col("doc_id") > F.col("owner"), every).otherwise(F.col("bits")).alias("bits")).filter("bits <> 0")
-    gathered = lost.groupBy("block").agg(F.collect_list(F.struct("text", "at", "bits")).alias("lost"))
-    return blocks.join(gathered, "block", "left").drop("block").mapInArrow(lambda batches: _spans(batches, length), _FOUND)
+    shared = reached(blocks.select("block", "sizes", "bytes"), lambda row: _anchors(row, length), parts_for(anchors), (2, crowd + 1))
+    looked = cut(blocks.select("block", "doc_ids", "sizes").join(shared, "block").select("block", "doc_ids", "answers"))
+    whole = blocks.select("block", "sizes", "bytes").join(looked, "block")
+    told = losses(whole, parts_for(2 * anchors), length).withColumnRenamed("answers", "told")
+    return blocks.join(looked.drop("doc_ids").join(told, "block", "left"), "block", "left").mapInArrow(lambda batches: _spans(batches, length), _FOUND)
 
 
 _FOUND = "name binary, doc_id long, n_bytes long, starts array<int>, ends array<int>, kept binary"
@@ -343,14 +364,13 @@ _FOUND = "name binary, doc_id long, n_bytes long, starts array<int>, ends array<
 def _spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            lost = row.column("lost").combine_chunks() if isinstance(row.column("lost"), pa.ChunkedArray) else row.column("lost")
-            flat = lost.flatten()
-            text, at, bits = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            row = batch.slice(i, 1).to_pylist()[0]
+            texts, *both = entries(row, length)
+            lost = [(e.text, e.at, e.lost(answer(row["told"], order, np.uint64))) for order, e in enumerate(both) if len(e.text)]
+            none = [np.zeros(0, dtype=np.int64)] * 2 + [np.zeros(0, dtype=np.uint64)]
+            text, at, bits = map(np.concatenate, zip(*lost)) if lost else none
             order = np.argsort(text, kind="stable")
-            text, at, bits = text[order], at[order], bits[order].view(np.uint64)
-            one = {c: row.column(c).to_pylist()[0] for c in ("names", "doc_ids", "sizes", "bytes")}
-            texts = _texts(one)
+            text, at, bits = text[order], at[order], bits[order]
             border = np.searchsorted(text, np.arange(len(texts) + 1))
             starts, ends, kept = [], [], []
             for k, data in enumerate(texts):
@@ -359,13 +379,13 @@ def _spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                 ends.append(b.tolist())
                 kept.append(without(data, starts[-1], ends[-1]))
             yield pa.RecordBatch.from_arrays([
-                pa.array(one["names"], pa.binary()), pa.array(one["doc_ids"], pa.int64()), pa.array(one["sizes"], pa.int64()),
+                pa.array(row["names"], pa.binary()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["sizes"], pa.int64()),
                 lists(starts, pa.int32()), lists(ends, pa.int32()), pa.array(kept, pa.binary())], names=[x.split()[0] for x in _FOUND.split(", ")])
 
 
 def removed(size: int, at: np.ndarray, bits: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The maximal spans covered by the strings that `bits` names behind `at`."""
-    if not len(at):
+    if not bits.any():
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     named = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     segment, nth = np.nonzero(named)
