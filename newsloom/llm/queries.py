@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import bpe, chat, decontaminate, licenses, line_dedup, lm, near_dup, quality, ranked, repeats, secrets, warc
+from newsloom.llm import bpe, chat, decontaminate, licenses, line_dedup, lm, near_dup, phrases, quality, ranked, repeats, secrets, warc
 from newsloom.llm.common import read
 from newsloom.session import cut
 
@@ -289,3 +289,30 @@ ranked as (select *, row_number() over (partition by item_id order by score desc
 select item_id, r::int rank, doc_id, score from ranked where r <= {ranked.K}""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_SPACED = "regexp_split_to_array({0}, '[.,;:!?\\x0A-\\x0D]')"
+
+
+@query("op13_phrase_collocations", f"""
+with pieces as (select coalesce(lang, 'und') lang, unnest({_SPACED.format(_LOWER.format("text"))}) p from documents),
+words as (select lang, regexp_extract_all(p, '[^\\x20\\x09]+') w from pieces),
+total as (select lang, sum(len(w))::bigint n from words group by 1),
+grams as (
+  select lang, s, array_to_string(w[i:i + s - 1], ' ') phrase, count(*) f
+  from words, unnest(range(1, {phrases.LONGEST + 1})) k(s), unnest(range(1, len(w) - s + 2)) r(i) group by 1, 2, 3 having count(*) >= {phrases.LEAST}),
+several as (select lang, phrase, s, f a, string_split(phrase, ' ') w from grams where s > 1),
+cuts as (
+  select c.lang, c.phrase, c.a, k, x.f l, y.f r, ((2000000::hugeint * c.a) // (x.f + y.f))::bigint score
+  from (select *, unnest(range(1, s)) k from several) c
+  join grams x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ')
+  join grams y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:], ' ')),
+lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_phrases as (
+  select lang, array_to_string(w[i:i + t - 1], ' ') phrase, max(a) most
+  from several, unnest(range(2, s)) k(t), unnest(range(1, s - t + 2)) r(i) group by 1, 2),
+kept as (select lowest.* from lowest left join inner_phrases using (lang, phrase) where most is null or 100::hugeint * most < {phrases.ABSORB} * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) r_ from kept)
+select lang, r_::int rank, phrase, a::bigint a, l::bigint l, r::bigint r, n, score from ranked join total using (lang) where r_ <= {phrases.TOP}""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(read(spark, sf_dir, "documents"))
