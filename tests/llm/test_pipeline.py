@@ -43,7 +43,7 @@ def test_edges_go_through(spark, documents, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(f"op{n}" for n in range(1, 14))
 
 
 def test_nothing_else_needs_the_subpackage(tmp_path):
@@ -63,6 +63,6 @@ assert "dashboard" in e.queries() and not [n for n in e.queries() if n == "pipel
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
     df = queries.QUERIES[name](spark, SF)
-    table = {"op3": None, "op10": "pages"}.get(name.split("_")[0], "documents")
+    table = {"op3": None, "op10": "pages", "op12": None, "op13": None}.get(name.split("_")[0], "documents")
     if table:
         assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
