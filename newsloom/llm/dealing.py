@@ -14,6 +14,7 @@ the square root of the input between two bounds.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -24,11 +25,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsloom.llm.common import starts_of
 from newsloom.llm.lm import _borders, _unzip, _unzip_sorted, _zip, _zip_sorted
+from newsloom.session import checkpoint_dir
 
 PIECE, PART = 256, 2_000_000
+MOST_BUCKETS = 4096
 _SENT = "order int, part int, block long, hashes binary, weights binary"
 
 
+def store_blocks(blocks: DataFrame, count: int) -> DataFrame:
+    """Blocks written once as a table in buckets of their number, in the shared
+    folder. Whatever is joined to them by number comes to the buckets; the blocks
+    themselves are never shuffled. `count` is about how many blocks there are."""
+    spark, name = blocks.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    writer = blocks.write.bucketBy(max(1, min(count, MOST_BUCKETS)), "block").sortBy("block")
+    writer.option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def block_size(total: int, least: int, most: int, piece: int = PIECE) -> int:
     """How much of `total` a block holds."""
     return int(min(most, max(least, math.sqrt(piece * max(total, 1)))))

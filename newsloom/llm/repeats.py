@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom.llm.common import lists, row_name, starts_of, text_bytes
-from newsloom.llm.dealing import answer, block_size, gathered, parts_for, reached
+from newsloom.llm.dealing import answer, block_size, gathered, parts_for, reached, store_blocks
 from newsloom.llm.lm import _borders, _unzip, _unzip_sorted, _zip, _zip_sorted
 from newsloom.session import cut
 
@@ -350,7 +350,7 @@ def find(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: st
     anchors = int(total / per_anchor)
     if block_bytes is None:
         block_bytes = int(block_size(anchors, int(BLOCK_BYTES / per_anchor), int(MOST_BYTES / per_anchor)) * per_anchor)
-    blocks = cut(text_blocks(docs, block_bytes, doc_id, text))
+    blocks = store_blocks(text_blocks(docs, block_bytes, doc_id, text), total // block_bytes)
     shared = reached(blocks.select("block", "sizes", "bytes"), lambda row: _anchors(row, length), parts_for(anchors), (2, crowd + 1))
     looked = cut(blocks.select("block", "doc_ids", "sizes").join(shared, "block").select("block", "doc_ids", "answers"))
     whole = blocks.select("block", "sizes", "bytes").join(looked, "block")
