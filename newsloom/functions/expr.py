@@ -269,3 +269,25 @@ def absolute_url(base, href) -> Column:
         .when(href == "", base)
         .otherwise(F.concat(folder, F.regexp_replace(href, r"^(\./)+", "")))
     )
+
+
+def bound(value: Column, use) -> Column:
+    """`use` applied to a value that is computed once, however often it names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(values: Column, block: int = 64) -> Column:
+    """Sums of an array of integers up to each place: inside blocks and over the
+    blocks, so a long array does not cost the square of its length."""
+
+    def sums(first: Column, part: Column) -> Column:
+        return F.aggregate(part, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def over(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
+        piece = lambda b: F.slice(v, b * block + 1, F.lit(block))
+        totals = F.transform(blocks, lambda b: F.aggregate(piece(b), F.lit(0), lambda acc, x: acc + x))
+        return bound(sums(F.lit(0), totals), lambda starts: F.flatten(F.transform(
+            blocks, lambda b: F.slice(sums(F.get(starts, b), piece(b)), F.lit(2), F.lit(block)))))
+
+    return F.when(F.size(values) > 0, bound(values, over)).otherwise(F.array().cast("array<int>"))

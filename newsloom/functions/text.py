@@ -69,11 +69,27 @@ def kept_tokens(words: Column, stop_words, drop_digits: bool = True) -> Column:
     return F.filter(words, keep)
 
 
+def term_vector(words: Column) -> Column:
+    """Array of (token, tf, pos) of an array of words, by token: frequency and
+    first position. The words are sorted with their positions and cut into runs,
+    all inside the row."""
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("token"), i.alias("pos"))))
+
+    def vector(rows: Column) -> Column:
+        token = lambda i: F.get(rows, i)["token"]
+        n = F.size(rows)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (token(i) != token(i - 1)))
+        return e.bound(F.concat(starts, F.array(n)), lambda at: F.transform(
+            F.sequence(F.lit(0), F.size(at) - 2),
+            lambda k: F.struct(token(F.get(at, k)).alias("token"), (F.get(at, k + 1) - F.get(at, k)).cast("bigint").alias("tf"),
+                               F.get(rows, F.get(at, k))["pos"].alias("pos"))))
+
+    none = F.array().cast("array<struct<token:string,tf:bigint,pos:int>>")
+    return F.when(F.size(words) > 0, e.bound(placed, vector)).otherwise(none)
+
+
 def term_table(df: DataFrame, words: Column, key: str = "id", keep_empty: bool = False) -> DataFrame:
     """(key, token, tf, pos): frequency and first position per document. The
-    documents are hash partitioned by key before they are split into words, so
-    this aggregate and every later one per document needs no other shuffle."""
-    explode = F.posexplode_outer if keep_empty else F.posexplode
-    split = df.repartition(key).select(F.col(key), words.alias("_words"))
-    return split.select(key, explode("_words").alias("_pos", "token")).groupBy(key, "token").agg(
-        F.count("token").alias("tf"), F.min("_pos").alias("pos"))
+    vectors are made inside the rows, so no text and no word is shuffled."""
+    explode = F.explode_outer if keep_empty else F.explode
+    return df.select(key, explode(term_vector(words)).alias("_t")).select(key, "_t.token", "_t.tf", "_t.pos")

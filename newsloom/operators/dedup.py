@@ -45,23 +45,37 @@ def lead_text() -> Column:
 TEXT_RULES = {"lead": lead_text, "full": t.article_text}
 
 
-def fingerprint(df: DataFrame, text: Column, key: str = "id") -> DataFrame:
-    """(key, fp): per bit the majority over the md5 of all words; no words
-    give 0. Bits j and j+32 are counted in the two halves of one sum, so 32
-    sums cover 64 bits and one small row per document is shuffled."""
-    h = F.conv(F.substring(F.md5("token"), 17, 16), 16, -10).cast("bigint")
-    hashed = df.select(key, F.explode_outer(t.tokens(text)).alias("token")).select(key, "token", h.alias("h"))
+def fingerprint_of(text: Column) -> Column:
+    """The fingerprint of a text as a signed long: per bit the majority over the
+    md5 of all words; no words give 0. It is counted inside the row over the
+    distinct words and their frequencies, with bits j and j + 32 in the two halves
+    of one sum, so a stream can carry it and nothing is shuffled."""
+    words = F.transform(t.term_vector(t.tokens(text)), lambda x: F.struct(
+        F.conv(F.substring(F.md5(x["token"]), 17, 16), 16, -10).cast("bigint").alias("h"), x["tf"].alias("tf")))
     low_bits = F.lit((1 << 32) | 1)
-    sums = [
-        F.coalesce(F.sum(F.shiftright("h", j).bitwiseAND(low_bits)), F.lit(0)).alias(f"_s{j}") for j in range(32)]
-    counted = hashed.groupBy(key).agg(F.count("token").alias("_n"), *sums)
 
-    def bit(j):
-        ones = F.col(f"_s{j}").bitwiseAND(F.lit((1 << 32) - 1)) if j < 32 else F.shiftright(F.col(f"_s{j - 32}"), 32)
-        return F.when(ones * 2 > F.col("_n"), _long(1 << j)).otherwise(F.lit(0).cast("bigint"))
+    def bits(rows: Column) -> Column:
+        n = F.aggregate(rows, F.lit(0).cast("bigint"), lambda acc, x: acc + x["tf"])
+        sums = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.aggregate(
+            rows, F.lit(0).cast("bigint"), lambda acc, x: acc + _shifted(x["h"], j).bitwiseAND(low_bits) * x["tf"]))
+        low = F.transform(sums, lambda s, j: F.when(s.bitwiseAND(F.lit((1 << 32) - 1)) * 2 > n, _one_at(j)).otherwise(F.lit(0).cast("bigint")))
+        high = F.transform(sums, lambda s, j: F.when(F.shiftrightunsigned(s, 32) * 2 > n, _one_at(j + 32)).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(F.concat(low, high), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x))
+
+    return e.bound(words, bits)
+
+
+def _shifted(value: Column, places: Column) -> Column:
+    return F.call_function("shiftright", value, places)
+
 
-    halves = [reduce(lambda a, b: a.bitwiseOR(b), [bit(j) for j in part]) for part in (range(32), range(32, 64))]
-    return counted.select(key, halves[0].bitwiseOR(halves[1]).alias("fp"))
+def _one_at(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+
+
+def fingerprint(df: DataFrame, text: Column, key: str = "id") -> DataFrame:
+    """(key, fp) for every row."""
+    return df.select(key, fingerprint_of(text).alias("fp"))
 
 
 def fingerprints(a: DataFrame, rule: str = "full", key: str = "id") -> DataFrame:
@@ -96,12 +110,15 @@ def _key_bits(threshold: int) -> list[tuple[int, list[int]]]:
     return out
 
 
+def candidate_keys(fp, threshold: int) -> Column:
+    """Array of the keys (k, v) of a fingerprint."""
+    return F.array(*[F.struct(F.lit(k).alias("k"), e.col(fp).bitwiseAND(_long(mask)).alias("v"))
+                     for k, (mask, _) in enumerate(_key_bits(threshold))])
+
+
 def _keyed(fps: DataFrame, threshold: int) -> DataFrame:
     """One row per fingerprint and key: (fp, k, v)."""
-    masks = [mask for mask, _ in _key_bits(threshold)]
-    keys = F.array(*[
-        F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(_long(m)).alias("v")) for k, m in enumerate(masks)])
-    return fps.select("fp", F.explode(keys).alias("key")).select("fp", "key.k", "key.v")
+    return fps.select("fp", F.explode(candidate_keys("fp", threshold)).alias("key")).select("fp", "key.k", "key.v")
 
 
 def _first_key(a: Column, b: Column, threshold: int) -> Column:

@@ -13,21 +13,25 @@ def keyword_tokens(text, stop_words=fv.KEYWORD_STOP_WORDS) -> Column:
     return t.kept_tokens(t.tokens(text), stop_words)
 
 
-def keyword_rows(df: DataFrame, text, k: int = 10, key: str = "id", stop_words=fv.KEYWORD_STOP_WORDS,
-                 keep_empty: bool = False) -> DataFrame:
+def top_words(text, k: int | None = 10, stop_words=fv.KEYWORD_STOP_WORDS) -> Column:
+    """Array of (token, tf): the k most frequent words of a text, ties in reading
+    order; None gives all. Everything happens inside the row."""
+    vector = t.term_vector(keyword_tokens(text, stop_words))
+    ranked = F.sort_array(F.transform(vector, lambda x: F.struct((-x["tf"]).alias("less"), x["pos"].alias("pos"), x["token"].alias("token"))))
+    best = ranked if k is None else F.slice(ranked, 1, k)
+    return F.transform(best, lambda x: F.struct(x["token"].alias("token"), (-x["less"]).alias("tf")))
+
+
+def keyword_rows(df: DataFrame, text, k: int | None = 10, key: str = "id", stop_words=fv.KEYWORD_STOP_WORDS) -> DataFrame:
     """(key, token, tf, rank): the k most frequent words of each document,
     ties in reading order."""
-    terms = t.term_table(df, keyword_tokens(text, stop_words), key, keep_empty)
-    order = Window.partitionBy(key).orderBy(F.desc("tf"), F.asc("pos"))
-    return terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("pos")
+    rows = df.select(key, F.posexplode(top_words(text, k, stop_words)).alias("_at", "_t"))
+    return rows.select(key, "_t.token", "_t.tf", (F.col("_at") + 1).alias("rank"))
 
 
-def keywords(df: DataFrame, text, k: int = 10, key: str = "id", stop_words=fv.KEYWORD_STOP_WORDS) -> DataFrame:
-    """(key, keywords): the same as a list; at most k entries are collected."""
-    rows = keyword_rows(df, text, k, key, stop_words, keep_empty=True)
-    entry = F.when(F.col("token").isNotNull(), F.struct("rank", "token"))
-    return rows.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["token"]).alias("keywords"))
+def keywords(df: DataFrame, text, k: int | None = 10, key: str = "id", stop_words=fv.KEYWORD_STOP_WORDS) -> DataFrame:
+    """(key, keywords): the same as a list."""
+    return df.select(key, F.transform(top_words(text, k, stop_words), lambda x: x["token"]).alias("keywords"))
 
 
 def corpus_terms(terms: DataFrame, key: str = "id", *group: str) -> DataFrame:

@@ -270,7 +270,36 @@ def sentiment_words(spark, sf):
         F.array_join("w.negative_words", " ").alias("neg_words"))
 
 
-@query("finance_overlay")
+def _claimed_sql(terms):
+    """The content with each term written over by its mark and fillers, longest first."""
+    text = "regexp_replace(content, '[\ue000-\uf8ff]', '\ufffd', 'g')"
+    for n, term in enumerate(terms):
+        text = f"replace({text}, '{term}', chr({0xE000 + n}) || repeat(chr({0xE000 + len(terms)}), {len(term) - 1}))"
+    return text
+
+
+def _side_sql(side, lexicon):
+    terms = sorted((w for w, _ in lexicon), key=lambda w: -len(w))
+    marks = f"[\ue000-{chr(0xE000 + len(terms) - 1)}]"
+    weights = dict(lexicon)
+    return f"""select id, {side} side, content, unnest(regexp_extract_all(c, '{marks}')) mark, unnest(regexp_split_to_array(c, '{marks}')[:-2]) gap,
+     unnest(range(0, len(regexp_extract_all(c, '{marks}')))) k, [{",".join(f"{weights[w]}::double" for w in terms)}] weights
+   from (select id, content, {_claimed_sql(terms)} c from articles)"""
+
+
+FINANCE_SQL = BASE_SQL + f""", marked as ({_side_sql(0, LEXICON["positive"])} union all {_side_sql(1, LEXICON["negative"])}),
+ placed as (select *, sum(length(gap)) over (partition by id, side order by k) + k place from marked),
+ hit as (select id, weights[unicode(mark) - {0xE000} + 1] weight, substr(content, greatest(place - 10, 0)::int + 1, least(place, 10)::int) near,
+   substr(content, greatest(place - 20, 0)::int + 1, least(place, 20)::int) wide from placed),
+ effects as (select id, count(*) hits, sum(weight * (case when contains(near, 'is ') or contains(near, 'not ') or suffix(near, '-') then -1.0::double else 1.0::double end)
+   * (case when contains(wide, 'tion') then 1.5::double when contains(wide, 'ing') then 0.5::double else 1.0::double end)) total from hit group by 1),
+ over_ as (select b.id, b.score base, coalesce(hits, 0) hits,
+   greatest(-1.0::double, least(1.0::double, round(b.score * 0.6::double + greatest(-1.0::double, least(1.0::double, coalesce(total, 0))) * 0.4::double, 4))) score
+   from base b left join effects using (id)),
+ final as (select *, case when score > 0.15 then 'positive' when score < -0.15 then 'negative' else 'neutral' end lab from over_) """
+
+
+@query("finance_overlay", FINANCE_SQL + "select id, score sentiment_score, lab sentiment_label, hits::int hits from final")
 def finance_overlay(spark, sf):
     rows = scored(spark, sf).select("id", "content", F.col("s.sentiment_score").alias("base_score"))
     return se.finance_overlay(rows, "content", **LEXICON).select(
@@ -278,7 +307,9 @@ def finance_overlay(spark, sf):
         F.size("overlay.finance_hits").alias("hits"))
 
 
-@query("sentiment_full")
+@query("sentiment_full", FINANCE_SQL + """
+ select f.id, case when trim(content) = '' then 0 else f.score end sentiment_score, case when trim(content) = '' then 'neutral' else lab end sentiment_label,
+   case when trim(content) = '' then 0 else round(least(abs(base), 1), 4) end confidence from final f join articles using (id)""")
 def sentiment_full(spark, sf):
     out = se.sentiment(v.corpus(spark, sf), "content", base_args=BASE, lexicon=LEXICON)
     return out.select("id", "sentiment.sentiment_score", "sentiment.sentiment_label", "sentiment.confidence")

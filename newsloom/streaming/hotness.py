@@ -1,25 +1,52 @@
-"""Reader activity on a stream: the last 24 hours, re-evaluated every hour."""
+"""Reader activity on a stream: the last 24 hours, re-evaluated every hour.
+
+Events are first reduced to panes: of each (hour, reader, article, kind) the
+newest event. A window is 24 panes, and its newest event of a reader, article
+and kind is that of the last pane that has one. So in a batch a pane stands for
+the windows from its own end up to the next pane of the same reader, article and
+kind, 24 at most: the panes are spread over windows after each has been decided,
+and no event is ever compared once a window.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.functions import expr as e
 from newsloom.operators.hotness import event_points
 
+READER = ["client_id", "article_id", "event_type"]
 
-def windowed_hotness(ev: DataFrame, hours: int = 24, slide: int = 1, late: str = "1 hour") -> DataFrame:
-    """(window_end, article_id, score) for events (created_at, client_id,
-    article_id, event_type, payload). A reader counts once per window, article
-    and kind of event, with the newest one; decay runs to the window's end. The
-    same plan serves a batch and, in append mode, a stream."""
+
+def panes(ev: DataFrame, slide: int = 1, late: str = "1 hour") -> DataFrame:
+    """(pane, client_id, article_id, event_type, at, duration): the newest event
+    of every pane. One aggregate that is combined before its shuffle."""
     known = ev.filter(e.text_or_empty("article_id") != "")
     if ev.isStreaming:
         known = known.withWatermark("created_at", late)
     duration = F.get_json_object("payload", "$.duration_ms").try_cast("double")
-    newest = known.groupBy(
-        F.window("created_at", f"{hours} hours", f"{slide} hour").alias("window"), "client_id", "article_id", "event_type"
-    ).agg(F.max("created_at").alias("at"), F.max_by(duration, "created_at").alias("duration"))
-    points = event_points(F.col("event_type"), F.col("duration"), e.hours_between(F.col("window.end"), F.col("at")))
-    scored = newest.groupBy("window", "article_id").agg(F.round(F.sum(points), 4).alias("score"))
-    return scored.select(F.col("window.end").alias("window_end"), "article_id", "score")
+    return known.groupBy(F.window("created_at", f"{slide} hour").alias("pane"), *READER).agg(
+        F.max("created_at").alias("at"), F.max_by(duration, "created_at").alias("duration"))
+
+
+def _points(end: Column) -> Column:
+    return event_points(F.col("event_type"), F.col("duration"), e.hours_between(end, F.col("at")))
+
+
+def windowed_hotness(ev: DataFrame, hours: int = 24, slide: int = 1, late: str = "1 hour") -> DataFrame:
+    """(window_end, article_id, score) for events (created_at, client_id,
+    article_id, event_type, payload). A reader counts once per window, article
+    and kind of event, with the newest one; decay runs to the window's end. A
+    stream in append mode gives the same rows as a batch, window by window."""
+    rows = panes(ev, slide, late)
+    if ev.isStreaming:
+        newest = rows.groupBy(F.window(F.window_time("pane"), f"{hours} hours", f"{slide} hour").alias("window"), *READER).agg(
+            F.max("at").alias("at"), F.max_by("duration", "at").alias("duration"))
+        scored = newest.groupBy("window", "article_id").agg(F.round(F.sum(_points(F.col("window.end"))), 4).alias("score"))
+        return scored.select(F.col("window.end").alias("window_end"), "article_id", "score")
+    step = F.make_interval(hours=F.lit(slide))
+    first = F.col("pane.end")
+    following = F.lead("pane.end").over(Window.partitionBy(*READER).orderBy("pane.end"))
+    last = F.least(first + F.make_interval(hours=F.lit(hours - slide)), F.coalesce(following - step, F.lit("9999-01-01").cast("timestamp")))
+    spread = rows.withColumn("last", last).withColumn("window_end", F.explode(F.sequence(first, F.col("last"), step)))
+    return spread.groupBy("window_end", "article_id").agg(F.round(F.sum(_points(F.col("window_end"))), 4).alias("score"))

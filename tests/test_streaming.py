@@ -1,8 +1,11 @@
+import datetime
+import random
 import tempfile
 
 from pyspark.sql import functions as F
 
 from newsloom import views as v
+from newsloom.operators import dedup
 from newsloom.streaming import articles as sa, dedup as sd, hotness as sh
 from newsloom.plans.runs import Run
 from newsloom.sources import store
@@ -52,6 +55,82 @@ def test_stream_unique_urls(spark, articles):
     assert table.filter("url = 'u'").count() == 1 and table.filter("url = ''").count() == 2
 
 
+# --- near repeats as keyed state ------------------------------------------------
+
+WORDS = ["market", "bank", "growth", "rate", "oil", "trade", "chip", "steel", "grain", "bond", "yen", "gold", "coal", "rail", "port"]
+
+
+def arriving(spark, seed, n=60, days=3):
+    """Articles of a few families over some days, near copies and exact ones."""
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(60)) for _ in range(6)]
+    rows = []
+    for i in range(n):
+        words = rng.choice(texts).split()
+        if rng.random() < 0.5:
+            words[rng.randrange(len(words))] = "other"
+        body = "" if i % 17 == 5 else " ".join(words)
+        rows.append((f"a{i:03d}", "", body, "", float(rng.randrange(days * 86400))))
+    df = spark.createDataFrame(rows, "article_id string, title string, content string, summary string, t double")
+    return at(df).withColumnRenamed("ts", "arrived").drop("t")
+
+
+def near_stream(spark, batches, checkpoint, source, name):
+    """Feed batches one trigger each; a query is started anew for every one."""
+    rows = []
+    for n, batch in enumerate(batches):
+        batch.coalesce(1).write.mode("append").parquet(source)
+        out = sd.stream_near_repeats(spark.readStream.schema(batch.schema).parquet(source), late="2 hours")
+        q = out.writeStream.format("parquet").option("path", checkpoint + "/out").option("checkpointLocation", checkpoint + "/at").trigger(
+            availableNow=True).start()
+        assert q.awaitTermination(300)
+    return {(r["article_id"], r["repeat"]) for r in spark.read.parquet(checkpoint + "/out").collect()}
+
+
+def test_near_repeats_batch_against_brute_force(spark):
+    df = arriving(spark, 1)
+    prints = {r["article_id"]: (r["arrived"], r["fp"]) for r in df.select("article_id", "arrived", dedup.fingerprint_of(dedup.TEXT_RULES["full"]()).alias("fp")).collect()}
+    want = set()
+    for one, (when, fp) in prints.items():
+        earlier = [(w, o) for o, (w, f) in prints.items() if (w, o) < (when, one) and (when - w).total_seconds() <= 86400
+                   and fp and f and bin((fp ^ f) & (2 ** 64 - 1)).count("1") <= 3]
+        want.add((one, bool(earlier)))
+    got = {(r["article_id"], r["repeat"]) for r in sd.near_repeats(df).collect()}
+    assert got == want and 5 < sum(r for _, r in got) < len(got) - 5
+
+
+def test_near_repeat_stream_with_restarts_late_rows_and_expiry(spark):
+    df = arriving(spark, 2, days=9).orderBy("arrived").cache()
+    rows = df.collect()
+    schema = df.schema
+    frame = lambda part: spark.createDataFrame(part, schema)
+    # neighbours within the allowed lateness change places; every batch is a query of its own
+    shuffled = list(rows)
+    for i in range(0, len(rows) - 1, 2):
+        if (rows[i + 1]["arrived"] - rows[i]["arrived"]).total_seconds() < 7000:
+            shuffled[i], shuffled[i + 1] = shuffled[i + 1], shuffled[i]
+    last = rows[-1]["arrived"]
+    end = [("zz1", "", "", "", last + datetime.timedelta(days=2)), ("zz2", "", "", "", last + datetime.timedelta(days=4))]
+    # far too late: its copy has been decided long ago, and it is dropped
+    late = [("late", "", rows[3]["content"], "", rows[3]["arrived"])]
+    folder_ = folder()
+    got = near_stream(spark, [frame(shuffled[:25]), frame(shuffled[25:50]), frame(late + shuffled[50:]), frame(end[:1]), frame(end[1:])],
+                      folder_, folder() + "/in", "near")
+    got = {x for x in got if not x[0].startswith("zz")}
+    want = {(r["article_id"], r["repeat"]) for r in sd.near_repeats(df).collect()}
+    assert got == want
+    expired = {(r["article_id"], r["repeat"]) for r in sd.near_repeats(df, hours=10 ** 6).collect()}
+    assert len(expired ^ want) > 0  # some copies are kept only because the earlier one had expired
+
+
+def test_decisions_of_one_key():
+    import numpy as np
+    none = np.zeros(0, dtype=np.int64)
+    hits, fps, seen = sd.decide(none, none, [(10, "a", 0b1111), (20, "b", 0b1110), (25, "c", 0), (31, "d", 0b1111), (50, "e", -1), (200, "f", 0b1111)], 1, 100)
+    assert hits == [False, True, False, True, False, False]
+    assert dict(zip(fps.tolist(), seen.tolist())) == {0b1111: 200, 0b1110: 20, -1: 50}
+
+
 def test_article_stream(spark, articles):
     path, root = folder(), folder()
     first = articles({"title": "alpha beta gamma delta", "content": "经济增长，公司宣布回购股份"}, {"title": "other news item today"})
