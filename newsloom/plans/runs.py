@@ -24,6 +24,7 @@ class Run:
     media_sources: list[str] = field(default_factory=lambda: list(listing.fv.MEDIA_SOURCES))
     exclude: list[str] = field(default_factory=lambda: list(listing.fv.EXCLUDED_SOURCES))
     analysis: dict = field(default_factory=dict)
+    buckets: int = 64
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -34,6 +35,15 @@ class Run:
             return spark.createDataFrame([], schema)
         return found
 
+    def articles(self, spark: SparkSession) -> DataFrame:
+        """The stored articles with the scores of the last daily run, which are a
+        table of their own."""
+        found = store.read_buckets(spark, self.path("articles"))
+        if found is None:
+            return spark.createDataFrame([], ARTICLE_SCHEMA)
+        scores = self.table(spark, "scores")
+        return found if scores is None else hot.apply_hotness(found, scores).select(*found.columns)
+
     def arrive(self, batch: DataFrame, now, responses: DataFrame | None = None, version: int = 1,
                budget: int | None = None) -> dict[str, int]:
         """One arriving batch: near duplicates, repeated URLs and texts seen
@@ -47,12 +57,9 @@ class Run:
                   else dedup.valid_fingerprints(known, now, self.rule))
         stages = cut(dedup.dedup_stages(incoming, stored, self.rule))
         kept = cut(incoming.join(stages.filter("stage is null").select("id"), "id", "left_semi"))
-        target = self.table(spark, "articles", ARTICLE_SCHEMA)
-        merged = cut(store.upsert_articles(target, kept.withColumn("pos", F.col("id")), now))
-        store.write_table(merged.drop("action"), self.path("articles"))
+        written = store.upsert_buckets(self.path("articles"), kept.withColumn("pos", F.col("id")), now, count=self.buckets).drop("action")
         seen.remember(kept, self.path("fingerprints"), now, self.rule)
-        articles = self.table(spark, "articles")
-        written = merged.filter("action is not null").drop("action")
+        articles = self.articles(spark)
         self._index(spark, written, version)
         analysis = self.table(spark, "analysis", ANALYSIS_SCHEMA)
         fresh = cut(batch_analyze(articles, analysis, now, **self.analysis))
@@ -90,7 +97,7 @@ class Run:
     def daily(self, spark: SparkSession, now, events: DataFrame | None = None, due: int = 100) -> dict[str, DataFrame]:
         """Daily refresh: analysis of what is missing, category counts, corpus
         keywords, index check and repair, reader activity, old events."""
-        articles = self.table(spark, "articles", ARTICLE_SCHEMA)
+        articles = self.articles(spark)
         analysis = self.table(spark, "analysis", ANALYSIS_SCHEMA)
         fresh = cut(batch_analyze(articles, analysis, now, **self.analysis))
         store.write_table(store.upsert_analysis(analysis, fresh), self.path("analysis"))
@@ -102,8 +109,7 @@ class Run:
             fixed = search.compact(fixed)
         self._save_index(fixed)
         if events is not None:
-            scored = hot.apply_hotness(articles, hot.hotness(events, now))
-            store.write_table(scored.select(*articles.columns), self.path("articles"))
+            store.write_table(hot.hotness(events, now), self.path("scores"))
             store.write_table(hot.purge_events(events, now), self.path("event_log"))
         return {
             "categories": stats.category_counts(articles),

@@ -3,17 +3,26 @@
 Plain Parquet has no in-place update, so a table is a folder of immutable
 versions and a small pointer file naming the current one. A write makes a new
 version and then moves the pointer; a failed job leaves the old one current.
+
+A table that takes small batches is kept in hash buckets of its key. Its version is
+a manifest: for every bucket the write that its files come from. An upsert reads
+and writes the buckets its rows fall into, all others keep their files, and the
+pointer moves to the new manifest at the end. `vacuum` removes what no manifest
+names any more.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from newsloom.functions import expr as e
 from newsloom.operators.ranking import global_rank, keep_first
+from newsloom.session import cut
 
 WRITTEN = ["title", "content", "summary", "url", "source", "category", "published_at", "author",
            "read_count", "comment_count", "tags", "created_at", "updated_at"]
@@ -52,10 +61,14 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     """Write a new version and make it current; returns its name. The new pointer
     appears under a higher number by one rename, before the old one goes: a stop
     at any point leaves the old version or the new one."""
-    spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(f"{path}/{version}")
+    _switch(df.sparkSession, path, version)
+    return version
+
+
+def _switch(spark: SparkSession, path: str, version: str) -> None:
     pointers, fs = _pointers(spark, path)
     named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     staged = named(f"{path}/_next-{version}")
@@ -68,7 +81,116 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
         raise RuntimeError(f"another writer changed {path} at the same time")
     for old in pointers.values():
         fs.delete(old, False)
-    return version
+
+
+# --- bucketed tables ---------------------------------------------------------
+
+BUCKET = "_bucket"
+
+
+def _in_bucket(key: str, count: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+
+
+def manifest(spark: SparkSession, path: str) -> dict | None:
+    """{key, buckets, schema, top, parts: {bucket: write}} of the current version."""
+    name = current_version(spark, path)
+    if name is None:
+        return None
+    rows = spark.read.option("wholetext", "true").text(f"{path}/{name}").collect()  # one small file
+    return json.loads(rows[0]["value"])
+
+
+def read_buckets(spark: SparkSession, path: str, only: list[int] | None = None, held: dict | None = None) -> DataFrame | None:
+    """The current version, or its given buckets; the others are not listed."""
+    held = held or manifest(spark, path)
+    if held is None:
+        return None
+    schema = StructType.fromJson(held["schema"])
+    parts = [f"{path}/{write}/{BUCKET}={b}" for b, write in held["parts"].items() if only is None or int(b) in only]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
+def write_buckets(df: DataFrame, path: str, key: str, count: int = 64, top: int = 0, touched: list[int] | None = None) -> dict:
+    """Write rows in buckets of their key and make them current. With `touched`
+    the rows replace those buckets and the others stay as they are. `top` is kept
+    in the manifest. Returns the new manifest."""
+    spark = df.sparkSession
+    old = manifest(spark, path) if touched is not None else None
+    if old is not None:
+        key, count, top = old["key"], old["buckets"], max(old["top"], top)
+    write = f"v-{uuid.uuid4().hex}"
+    df.withColumn(BUCKET, _in_bucket(key, count)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/{write}")
+    fs, named = _files(spark, path)
+    made = [x.getPath().getName().removeprefix(f"{BUCKET}=") for x in fs.globStatus(named(f"{path}/{write}/{BUCKET}=*")) or []]
+    parts = {b: w for b, w in (old["parts"] if old else {}).items() if int(b) not in (touched or [])}
+    parts.update({b: write for b in made})
+    new = {"key": key, "buckets": count, "schema": df.schema.jsonValue(), "top": top, "parts": parts}
+    name = f"manifest-{uuid.uuid4().hex}.json"
+    stream = fs.create(named(f"{path}/{name}"), False)
+    try:
+        stream.write(bytearray(json.dumps(new), "utf-8"))
+    finally:
+        stream.close()
+    _switch(spark, path, name)
+    return new
+
+
+def _files(spark: SparkSession, path: str):
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return named(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), named
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Remove the files that the current manifest does not name; returns how many
+    folders went. Run it when no reader holds an older version."""
+    held, name = manifest(spark, path), current_version(spark, path)
+    fs, named = _files(spark, path)
+    current = {(write, b) for b, write in held["parts"].items()}
+    writes = {write for write, _ in current}
+    gone = 0
+    for found in fs.globStatus(named(f"{path}/manifest-*")) or []:
+        if found.getPath().getName() != name:
+            fs.delete(found.getPath(), False)
+    for found in fs.globStatus(named(f"{path}/v-*")) or []:
+        write = found.getPath().getName()
+        if write not in writes:
+            gone += fs.delete(found.getPath(), True)
+            continue
+        for part in fs.globStatus(named(f"{path}/{write}/{BUCKET}=*")) or []:
+            if (write, part.getPath().getName().removeprefix(f"{BUCKET}=")) not in current:
+                gone += fs.delete(part.getPath(), True)
+    return gone
+
+
+def upsert_buckets(path: str, batch: DataFrame, now, order: str = "pos", count: int = 64) -> DataFrame:
+    """`upsert_articles` into a bucketed table; returns the rows it wrote, with
+    `action`. Rows of the batch are compared with the buckets of their ids only;
+    buckets in which nothing changes keep their files."""
+    spark = batch.sparkSession
+    held = manifest(spark, path)
+    last = cut(last_of_batch(batch, order))
+    if held is None:
+        target, top, touched = spark.createDataFrame([], batch.drop(order).schema), 0, None
+    else:
+        near = _numbers(last, held)
+        top, target = held["top"], read_buckets(spark, path, near, held)
+        changed = classify_batch(target, last).filter("action <> 'skip'")
+        touched = _numbers(changed, held)
+        target = read_buckets(spark, path, touched, held)
+        last = last.filter(_in_bucket(held["key"], held["buckets"]).isin(touched) if touched else F.lit(False))
+    merged = cut(upsert_articles(target, last, now, order, top))
+    written = merged.filter("action is not null")
+    if touched is None or touched:
+        # the largest id that a batch gave is known from its own rows
+        top = max(top, merged.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+        write_buckets(merged.drop("action"), path, "article_id", count, top, touched)
+    return written
+
+
+def _numbers(rows: DataFrame, held: dict) -> list[int]:
+    """The buckets that rows fall into: as many numbers as buckets at most."""
+    return [r[0] for r in rows.select(_in_bucket(held["key"], held["buckets"])).distinct().collect()]
 
 
 # --- upserts -----------------------------------------------------------------
@@ -90,10 +212,10 @@ def classify_batch(target: DataFrame, batch: DataFrame) -> DataFrame:
     return joined.withColumn("action", action).select(*batch.columns, "action")
 
 
-def upsert_articles(target: DataFrame, batch: DataFrame, now, order: str = "pos") -> DataFrame:
+def upsert_articles(target: DataFrame, batch: DataFrame, now, order: str = "pos", top: int | None = None) -> DataFrame:
     """Target after the batch, with `action` per written row (null for rows the
     batch did not write). Changed rows keep id and hotness_score; new ones get
-    ids after the largest one, without gaps."""
+    ids after the largest one (`top`, if it is known), without gaps."""
     rows = classify_batch(target, last_of_batch(batch, order)).filter("action <> 'skip'")
     stamp = e.iso(e.as_time(now))
     rows = rows.withColumn("updated_at", stamp)
@@ -103,8 +225,7 @@ def upsert_articles(target: DataFrame, batch: DataFrame, now, order: str = "pos"
         F.coalesce("_hot", F.lit(0.0)).alias("hotness_score"), "action")
     untouched = target.join(rows.select("article_id"), "article_id", "left_anti").select(
         "id", "article_id", *WRITTEN, "hotness_score", F.lit(None).cast("string").alias("action"))
-    top = target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    value = top.select("_top").scalar()
+    value = F.lit(top) if top is not None else target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")).scalar()
     new = global_rank(merged.filter("id is null"), [F.asc("article_id")], "_nth").withColumn("id", F.col("_nth") + value).drop("_nth")
     return untouched.unionByName(merged.filter("id is not null")).unionByName(new)
 

@@ -142,12 +142,12 @@ def test_article_stream(spark, articles):
     for n, frame in enumerate((first, again)):
         frame.coalesce(1).write.mode("append").parquet(path + "/feed")
         stream = spark.readStream.schema(frame.schema).parquet(path + "/feed")
-        q = sa.stream_articles(stream, Run(root), path + "/checkpoint", lambda: "2024-01-02 00:00:00", report=lambda i, c: reports.append(c))
+        q = sa.stream_articles(stream, Run(root, buckets=4), path + "/checkpoint", lambda: "2024-01-02 00:00:00", report=lambda i, c: reports.append(c))
         assert q.awaitTermination(300)
     assert reports[0] == {"collected": 2, "kept": 2, "written": 2, "analysed": 2}
     # the repeated article is unchanged; the copy without a URL was seen before
     assert reports[1]["collected"] == 3 and reports[1]["written"] == 1
-    table = store.read_table(spark, root + "/articles")
+    table = Run(root).articles(spark)
     assert table.count() == 3 and table.select("id").distinct().count() == 3
     done = {r["article_id"]: r["sentiment_label"] for r in store.read_table(spark, root + "/analysis").collect()}
     assert len(done) == 3 and done["a1"] == "positive"

@@ -1,5 +1,6 @@
 import math
 import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,50 @@ def test_a_stop_before_the_switch_keeps_the_old_table(spark, tmp_path, monkeypat
     assert store.read_table(spark, path).count() == 3
     store.write_table(spark.range(7), path)
     assert store.read_table(spark, path).count() == 7 and len(list((tmp_path / "t").glob("_at-*"))) == 1
+
+
+def bucket_files(path):
+    return {p.relative_to(path).as_posix() for p in Path(path).rglob("*.parquet")}
+
+
+def test_bucketed_upsert_rewrites_touched_buckets_only(spark, articles):
+    path = folder() + "/articles"
+    batch = lambda *rows: articles(*rows).withColumn("pos", F.col("id"))
+    first = store.upsert_buckets(path, batch(*[{} for _ in range(40)]), NOW, count=8)
+    assert first.filter("action = 'insert'").count() == 40
+    before, held = bucket_files(path), store.manifest(spark, path)
+    assert len(held["parts"]) == 8 and held["top"] == 40
+    # the same rows again write nothing, not even a manifest
+    assert store.upsert_buckets(path, batch({}, {}, {}), NOW).count() == 0
+    assert store.manifest(spark, path) == held
+    out = {r["article_id"]: (r["action"], r["id"]) for r in store.upsert_buckets(
+        path, batch({"title": "changed"}, {}, {"i": 3, "article_id": "fresh"}), NOW).collect()}
+    assert out == {"a1": ("update", 1), "fresh": ("insert", 41)}
+    new = store.manifest(spark, path)
+    moved = [b for b in held["parts"] if held["parts"][b] != new["parts"][b]]
+    assert 1 <= len(moved) <= 2 and new["top"] == 41
+    untouched = {f for f in before if f.split("_bucket=")[1].split("/")[0] not in moved}
+    assert untouched < bucket_files(path)
+    rows = {r["article_id"]: r for r in store.read_buckets(spark, path).collect()}
+    assert len(rows) == 41 and rows["a1"]["title"] == "changed" and rows["a2"]["title"] == "title 2"
+    assert store.vacuum(spark, path) == len(moved)
+    assert untouched < bucket_files(path) and store.read_buckets(spark, path).count() == 41
+    assert store.read_buckets(spark, path, [int(moved[0])]).count() < 41
+
+
+def test_a_stop_before_the_switch_keeps_the_old_version(spark, articles, monkeypatch):
+    path = folder() + "/articles"
+    store.upsert_buckets(path, articles({}, {}).withColumn("pos", F.col("id")), NOW, count=2)
+    held = store.manifest(spark, path)
+
+    def stop(*args):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(store, "_switch", stop)
+    with pytest.raises(RuntimeError):
+        store.upsert_buckets(path, articles({"title": "lost"}).withColumn("pos", F.col("id")), NOW)
+    monkeypatch.undo()
+    assert store.manifest(spark, path) == held
+    assert {r["title"] for r in store.read_buckets(spark, path).collect()} == {"title 1", "title 2"}
+    store.vacuum(spark, path)  # what the stopped write left goes
+    assert store.read_buckets(spark, path).count() == 2 and len({f.split("/")[0] for f in bucket_files(path)}) == 1
