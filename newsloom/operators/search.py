@@ -1,27 +1,41 @@
 """Text index and ranked search as tables.
 
-An index is two frames: `postings` (id, version, field, term, tf, field_len) and
-`docs` (id, version, article_id, category, source, published_at, live, and the
-length of each searched field). An
-update or a delete only marks old versions as dead; `compact` drops them.
-Stored postings are range partitioned by (term, id), so a search reads only the
-row groups of its terms and a frequent term still spans many files.
+An index is three frames. `postings` has a row for each (term, field, block,
+version); a block is BLOCK neighbouring ids, and the row holds its documents in id
+order as arrays (ids, tf, lens, positions) with n, the greatest tf and the shortest
+field of the block. `docs` (id, version, article_id, category, source, published_at,
+live, and the length of each searched field) tells which versions live. `variants`
+(variant, term) holds each term under itself and every way to leave one character
+out.
+
+An update or a delete only marks old versions as dead; `compact` drops them. Stored
+postings are range partitioned by (term, block), so a search reads only the row
+groups of its terms, and positions only if it asks for a phrase; a frequent term
+still spans many files.
+
+Search. The greatest tf and the shortest field bound what a block can add for a
+term, and the sum over a query's terms bounds every document of the block. The best
+blocks are scored first; their k-th score then rules out all blocks whose bound is
+lower. The hits are counted over all blocks, without scores.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions import expr as e, text as t
 from newsloom.operators import listing
-from newsloom.operators.ranking import attach, page, with_total
+from newsloom.operators.ranking import attach, page
+from newsloom.session import cut
 
 FIELDS = ["title", "content", "summary", "source", "category"]
 SEARCH_BOOSTS = {"title": 2.0, "content": 1.0, "summary": 1.0}
 LETTER_BOOSTS = {"title": 1.0, "content": 0.4, "summary": 0.2}
 K1, B = 1.2, 0.75
+BLOCK = 1024            # neighbouring ids of a posting block
+PROBED = 16             # blocks that are scored to get a first k-th score
 LENGTHS = ["title", "content", "summary"]
 DOC_COLUMNS = ["id", "version", "article_id", "category", "source", "published_at", "live",
                *[f"{f}_len" for f in LENGTHS]]
@@ -31,33 +45,75 @@ DOC_COLUMNS = ["id", "version", "article_id", "category", "source", "published_a
 class Index:
     postings: DataFrame
     docs: DataFrame
+    variants: DataFrame
 
 
+@dataclass
+class Query:
+    """What a document must hold in its searched fields: all terms of `every`, one
+    of `some` (if any are given), none of `none`, and each of `phrases` as words
+    that follow each other in one field."""
+
+    every: list[str] = field(default_factory=list)
+    some: list[str] = field(default_factory=list)
+    none: list[str] = field(default_factory=list)
+    phrases: list[list[str]] = field(default_factory=list)
+
+    def __post_init__(self):
+        clean = lambda words: list(dict.fromkeys(w.lower() for w in words if w.strip()))
+        self.every, self.some, self.none = clean(self.every), clean(self.some), clean(self.none)
+        self.phrases = [[w.lower() for w in p if w.strip()] for p in self.phrases]
+        self.phrases = [p for p in self.phrases if p]
+
+    def scored(self) -> list[str]:
+        return list(dict.fromkeys([*self.every, *self.some, *(w for p in self.phrases for w in p)]))
+
+
+def as_query(terms) -> Query:
+    return terms if isinstance(terms, Query) else Query(list(terms))
+
+
+# --- building -----------------------------------------------------------------
+
 def build_index(a: DataFrame, version: int = 0) -> Index:
-    """A fresh index; a rebuild replaces the old one."""
-    fields = F.array(*[
-        F.struct(F.lit(f).alias("field"), t.search_tokens(f).alias("words")) for f in FIELDS])
-    spread = a.repartition("id").select("id", F.explode(fields).alias("f")).select(
-        "id", "f.field", F.size("f.words").alias("field_len"), F.explode("f.words").alias("term"))
-    # partitioned by id already: this aggregate needs no further shuffle
-    postings = spread.groupBy("id", "field", "term").agg(
-        F.count("*").cast("int").alias("tf"), F.first("field_len").alias("field_len"))
-    docs = a.select("id", "article_id", "category", "source", "published_at",
-                    *[F.size(t.search_tokens(f)).alias(f"{f}_len") for f in LENGTHS])
-    return Index(
-        postings.withColumn("version", F.lit(version)),
-        docs.withColumn("version", F.lit(version)).withColumn("live", F.lit(True)).select(*DOC_COLUMNS))
+    """A fresh index; a rebuild replaces the old one. Words are placed inside the
+    rows; only postings are shuffled, to their term and block."""
+    split = a.select("id", "article_id", "category", "source", "published_at", *[t.search_tokens(f).alias(f"_{f}") for f in FIELDS])
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.size(f"_{f}").alias("len"), t.position_vector(F.col(f"_{f}")).alias("terms")) for f in FIELDS])
+    rows = split.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.len", F.explode("f.terms").alias("t")).select(
+        F.col("t.token").alias("term"), "field", F.floor(F.col("id") / BLOCK).alias("block"),
+        F.struct("id", F.size("t.positions").alias("tf"), "len", "t.positions").alias("posting"))
+    grouped = rows.groupBy("term", "field", "block").agg(F.sort_array(F.collect_list("posting")).alias("p"))
+    postings = grouped.select(
+        "term", "field", "block", F.lit(version).alias("version"), F.size("p").alias("n"),
+        F.array_max("p.tf").alias("max_tf"), F.array_min("p.len").alias("min_len"),
+        F.col("p.id").alias("ids"), F.col("p.tf").alias("tf"), F.col("p.len").alias("lens"), F.col("p.positions").alias("positions"))
+    docs = split.select("id", "article_id", "category", "source", "published_at", *[F.size(f"_{f}").alias(f"{f}_len") for f in LENGTHS])
+    return Index(postings, docs.withColumn("version", F.lit(version)).withColumn("live", F.lit(True)).select(*DOC_COLUMNS),
+                 variant_table(rows.select("term").distinct()))
+
+
+def posting_rows(index: Index, positions: bool = False) -> DataFrame:
+    """(term, field, id, version, tf, field_len[, positions]), one row a posting."""
+    return _rows(index.postings, "term", "field", "version", positions=positions)
+
+
+def _rows(postings: DataFrame, *columns: str, positions: bool = False) -> DataFrame:
+    arrays = ["ids", "tf", "lens", *(["positions"] if positions else [])]
+    rows = postings.select(*columns, F.explode(F.arrays_zip(*arrays)).alias("p"))
+    return rows.select(*columns, F.col("p.ids").alias("id"), "p.tf", F.col("p.lens").alias("field_len"), *(["p.positions"] if positions else []))
 
 
 def update_index(index: Index, batch: DataFrame, version: int) -> Index:
     """Add or replace the batch's articles; old versions of them die."""
     fresh = build_index(batch, version)
     return Index(index.postings.unionByName(fresh.postings),
-                 _kill(index.docs, fresh.docs.select("article_id")).unionByName(fresh.docs))
+                 _kill(index.docs, fresh.docs.select("article_id")).unionByName(fresh.docs),
+                 index.variants.unionByName(fresh.variants).distinct())
 
 
 def delete_from_index(index: Index, ids: DataFrame) -> Index:
-    return Index(index.postings, _kill(index.docs, ids.select("article_id")))
+    return Index(index.postings, _kill(index.docs, ids.select("article_id")), index.variants)
 
 
 def _kill(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -75,90 +131,205 @@ def index_health(index: Index, due: int = 100) -> DataFrame:
 
 
 def compact(index: Index) -> Index:
-    live = index.docs.filter("live")
-    return Index(index.postings.join(live.select("id", "version"), ["id", "version"], "left_semi"), live)
+    """Postings of dead versions go from their blocks. Blocks without any dead
+    document, which are almost all, are taken over as they are."""
+    dead = index.docs.filter(~F.col("live")).select("version", F.floor(F.col("id") / BLOCK).alias("block"), "id")
+    lists = dead.groupBy("version", "block").agg(F.collect_set("id").alias("_dead"))
+    marked = index.postings.join(lists, ["version", "block"], "left")
+    left = F.filter(F.arrays_zip("ids", "tf", "lens", "positions"), lambda x: ~F.array_contains("_dead", x["ids"]))
+    changed = marked.filter(F.col("_dead").isNotNull()).select("term", "field", "block", "version", left.alias("p")).filter(F.size("p") > 0).select(
+        "term", "field", "block", "version", F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.lens").alias("min_len"),
+        "p.ids", "p.tf", "p.lens", "p.positions")
+    postings = marked.filter(F.col("_dead").isNull()).drop("_dead").select(*changed.columns).unionByName(changed)
+    return Index(postings, index.docs.filter("live"), variant_table(postings.select("term").distinct()))
 
 
 def save_index(index: Index, path: str) -> None:
-    index.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode(
-        "overwrite").parquet(f"{path}/postings")
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    for name, frame in stored_form(index).items():
+        frame.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def stored_form(index: Index) -> dict[str, DataFrame]:
+    """The frames in the order in which look-ups prune them."""
+    return {"postings": index.postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "docs": index.docs,
+            "variants": index.variants.repartitionByRange("variant").sortWithinPartitions("variant")}
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"))
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "variants")])
+
+
+# --- near spellings -------------------------------------------------------------
 
+def variant_table(terms: DataFrame) -> DataFrame:
+    """(variant, term): each term under itself and its one-character deletions."""
+    left_out = F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.concat(
+        F.substring("term", F.lit(1), i - 1), F.substring("term", i + 1, F.length("term"))))
+    return terms.select(F.explode(F.array_distinct(F.concat(F.array("term"), left_out))).alias("variant"), "term")
 
-# --- queries -----------------------------------------------------------------
 
-def fuzzy_terms(index: Index, terms: list[str], edits: int = 1) -> DataFrame:
-    """(term, query_term): indexed words within the edit distance of a query
-    term. One pass over the vocabulary; the query terms are a literal list."""
-    wanted = F.array(*[F.lit(x.lower()) for x in terms])
+def _deletions(word: str) -> set[str]:
+    return {word, *(word[:i] + word[i + 1:] for i in range(len(word)))}
 
-    def close(q):
-        far = F.levenshtein(F.col("term"), q, edits)
-        return (F.abs(F.length("term") - F.length(q)) <= edits) & (far >= 0)
 
-    vocabulary = index.postings.select("term").distinct()
-    return vocabulary.select("term", F.explode(F.filter(wanted, close)).alias("query_term"))
+def fuzzy_terms(index: Index, terms: list[str]) -> DataFrame:
+    """(term, query_term): indexed words within one edit of a query term. Two such
+    words share a variant, so they are looked up by equality and then verified; no
+    other term is read from a stored index."""
+    spark = index.variants.sparkSession
+    asked = [(v, w) for w in dict.fromkeys(x.lower() for x in terms if x.strip()) for v in sorted(_deletions(w))]
+    wanted = spark.createDataFrame(asked, "variant string, query_term string")
+    near = index.variants.filter(F.col("variant").isin([v for v, _ in asked])).join(wanted, "variant").filter(
+        F.levenshtein("term", "query_term") <= 1)
+    return near.select("term", "query_term").distinct()
 
 
-def rank_documents(index: Index, terms: list[str], boosts: dict[str, float] | None = None,
-                   fuzzy: int = 0) -> DataFrame:
-    """(id, article_id, category, source, score) of live documents that hold
-    every query term in some searched field. The score sums BM25 over terms and
-    fields, scaled by the field's boost."""
-    boosts = boosts or SEARCH_BOOSTS
-    terms = list(dict.fromkeys(x.lower() for x in terms if x.strip()))
-    fields = list(boosts)
-    searched = index.postings.filter(F.col("field").isin(fields))
-    live = index.docs.filter("live").select("id", "version")
+# --- ranking --------------------------------------------------------------------
+
+@dataclass
+class _Hits:
+    """The posting blocks of a query, stored, and what weighs them."""
+
+    query: Query
+    blocks: DataFrame
+    dead: DataFrame
+    boosts: dict[str, float]
+
+    def rows(self, blocks: DataFrame | None = None, positions: bool = False) -> DataFrame:
+        rows = _rows(self.blocks if blocks is None else blocks, "query_term", "term", "field", "version", "block", positions=positions)
+        return rows.join(self.dead, ["id", "version"], "left_anti")
+
+
+def _hits(index: Index, terms, boosts: dict[str, float] | None, fuzzy: int) -> _Hits:
+    query, boosts = as_query(terms), boosts or SEARCH_BOOSTS
+    searched = index.postings.filter(F.col("field").isin(list(boosts)))
+    if not query.phrases:
+        searched = searched.drop("positions")
+    wanted = [*query.scored(), *query.none]
+    exact = searched.filter(F.col("term").isin(wanted)).withColumn("query_term", F.col("term"))
     if fuzzy:
-        hits = searched.join(fuzzy_terms(index, terms, fuzzy), "term")
-    else:  # a literal list, so the terms prune the scan of stored postings
-        hits = searched.filter(F.col("term").isin(terms)).withColumn("query_term", F.col("term"))
-    hits = hits.join(live, ["id", "version"])
-    found_in = hits.groupBy("term", "field").agg(F.count("*").alias("df"))
-    totals = index.docs.filter("live").agg(
-        F.count("*").alias("_n"), *[F.avg(f"{f}_len").alias(f"_avg_{f}") for f in fields])
-    # df has at most one row per query term (or its near spellings) and field
-    weighed = attach(hits.join(found_in, ["term", "field"]), totals)
-    return _score(weighed, boosts, len(terms)).join(
-        index.docs.filter("live").select("id", "article_id", "category", "source"), "id")
+        loose = [w for w in dict.fromkeys([*query.every, *query.some])]
+        near = searched.join(fuzzy_terms(index, loose), "term")
+        rest = exact.filter(~F.col("term").isin(loose)) if loose else exact
+        exact = near.unionByName(rest.select(*near.columns))
+    return _Hits(query, cut(exact), index.docs.filter(~F.col("live")).select("id", "version"), boosts)
 
 
 def _per_field(values: dict[str, Column]) -> Column:
     rule = None
-    for field, value in values.items():
-        hit = F.col("field") == field
+    for name, value in values.items():
+        hit = F.col("field") == name
         rule = F.when(hit, value) if rule is None else rule.when(hit, value)
     return rule
 
 
-def _score(weighed: DataFrame, boosts: dict[str, float], n_terms: int) -> DataFrame:
-    boost = _per_field({f: F.lit(float(w)) for f, w in boosts.items()})
-    average = _per_field({f: F.col(f"_avg_{f}") for f in boosts})
+def _weights(index: Index, hits: _Hits) -> DataFrame:
+    """(term, field, weight, average): boost and rarity of each term in a field, and
+    the field's average length. One row a query term (or near spelling) and field."""
+    found_in = hits.rows().groupBy("term", "field").agg(F.count("*").alias("df"))
+    totals = index.docs.filter("live").agg(
+        F.count("*").alias("_n"), *[F.avg(f"{f}_len").alias(f"_avg_{f}") for f in hits.boosts])
+    boost = _per_field({f: F.lit(float(w)) for f, w in hits.boosts.items()})
+    average = _per_field({f: F.col(f"_avg_{f}") for f in hits.boosts})
     idf = F.log(F.col("_n") / (F.col("df") + 1)) + 1
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("field_len") / average))
-    return weighed.groupBy("id").agg(
-        F.sum(boost * idf * tf).alias("score"), F.count_distinct("query_term").alias("_terms")
-    ).filter(F.col("_terms") == n_terms).drop("_terms")
+    return attach(found_in, totals).select("term", "field", (boost * idf).alias("weight"), average.alias("average"))
+
+
+def _bm25(tf: Column, length: Column) -> Column:
+    return F.col("weight") * (tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * length / F.col("average"))))
+
+
+def _holds(term: str) -> Column:
+    return F.coalesce(F.max(F.col("query_term") == term), F.lit(False))
+
+
+def _follow(words: list[str]) -> Column:
+    """Whether the words stand one after the other in the field of the group."""
+    places = [F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True) for w in words]
+    hit = lambda p: F.lit(True) if len(places) == 1 else _all([F.array_contains(x, p + k) for k, x in enumerate(places) if k])
+    return F.coalesce(F.exists(places[0], hit), F.lit(False))
+
+
+def _all(rules: list[Column]) -> Column:
+    out = rules[0]
+    for rule in rules[1:]:
+        out = out & rule
+    return out
+
+
+def _matching(hits: _Hits, rows: DataFrame, score: Column | None) -> DataFrame:
+    """(id, version[, score]) of the documents among `rows` that fit the query."""
+    q = hits.query
+    value = [F.sum(score).alias("score")] if score is not None else []
+    flags = {f"_t{i}": _holds(w) for i, w in enumerate([*q.every, *q.some, *q.none])}
+    by_field = rows.groupBy("id", "version", "field").agg(
+        *[f.alias(n) for n, f in flags.items()], *[_follow(p).alias(f"_p{i}") for i, p in enumerate(q.phrases)], *value)
+    named = [*flags, *(f"_p{i}" for i in range(len(q.phrases)))]
+    docs = by_field.groupBy("id", "version").agg(*[F.max(n).alias(n) for n in named], *([F.sum("score").alias("score")] if value else []))
+    flag = [F.col(n) for n in flags]
+    n, m = len(q.every), len(q.some)
+    rules = flag[:n] + [~f for f in flag[n + m:]] + [F.col(f"_p{i}") for i in range(len(q.phrases))]
+    if m:
+        rules.append(F.greatest(*flag[n:n + m], F.lit(False)))
+    return docs.filter(_all(rules) if q.scored() else F.lit(False)).select("id", "version", *(["score"] if value else []))
+
+
+def _ranked(index: Index, hits: _Hits, blocks: DataFrame | None, weights: DataFrame) -> DataFrame:
+    rows = hits.rows(blocks, bool(hits.query.phrases)).join(weights, ["term", "field"])
+    score = F.when(F.col("query_term").isin(hits.query.scored()), _bm25(F.col("tf"), F.col("field_len"))).otherwise(0.0)
+    docs = index.docs.filter("live").select("id", "version", "article_id", "category", "source")
+    return _matching(hits, rows, score).join(docs, ["id", "version"]).select("id", "article_id", "category", "source", "score")
+
+
+def rank_documents(index: Index, terms, boosts: dict[str, float] | None = None, fuzzy: int = 0) -> DataFrame:
+    """(id, article_id, category, source, score) of live documents that fit the
+    query (a list of terms asks for all of them). The score sums BM25 over terms
+    and fields, scaled by the field's boost."""
+    hits = _hits(index, terms, boosts, fuzzy)
+    return _ranked(index, hits, None, cut(_weights(index, hits)))
+
+
+def block_bounds(hits: _Hits, weights: DataFrame) -> DataFrame:
+    """(block, bound): the most a document of a block can score. Versions of one
+    block share its row. A block that lacks a required term is left out."""
+    best = hits.blocks.filter(F.col("query_term").isin(hits.query.scored())).join(weights, ["term", "field"]).groupBy(
+        "block", "query_term", "term", "field").agg(F.max(_bm25(F.col("max_tf"), F.col("min_len"))).alias("most"))
+    required = [*hits.query.every, *(w for p in hits.query.phrases for w in p)]
+    bounds = best.groupBy("block").agg(F.sum(F.greatest("most", F.lit(0.0))).alias("bound"), F.collect_set("query_term").alias("_terms"))
+    for word in dict.fromkeys(required):
+        bounds = bounds.filter(F.array_contains("_terms", word))
+    return bounds.drop("_terms")
+
+
+def _order() -> list:
+    return [F.desc(F.round("score", 9)), F.asc("id")]
+
+
+def search(index: Index, terms, page_no: int = 1, limit: int = 20, category: str | None = None,
+           source: str | None = None, boosts: dict[str, float] | None = None, fuzzy: int = 0, probed: int = PROBED) -> DataFrame:
+    """One page of ranked hits with the total number of hits. `terms` is a list of
+    required terms or a `Query`."""
+    hits = _hits(index, terms, boosts, fuzzy)
 
+    def kept(rows: DataFrame) -> DataFrame:
+        rows = rows.filter(F.col("category") == category) if category else rows
+        return rows.filter(F.col("source") == source) if source else rows
 
-def search(index: Index, terms: list[str], page_no: int = 1, limit: int = 20, category: str | None = None,
-           source: str | None = None, boosts: dict[str, float] | None = None, fuzzy: int = 0) -> DataFrame:
-    """One page of ranked hits with the total number of hits."""
-    ranked = rank_documents(index, terms, boosts, fuzzy)
-    if category:
-        ranked = ranked.filter(F.col("category") == category)
-    if source:
-        ranked = ranked.filter(F.col("source") == source)
-    order = [F.desc(F.round("score", 9)), F.asc("id")]
-    return with_total(page(ranked, order, limit, (page_no - 1) * limit), ranked)
+    weights = cut(_weights(index, hits))
+    bounds = cut(block_bounds(hits, weights))
+    first = bounds.orderBy(F.desc("bound"), "block").limit(probed).select("block")
+    wanted = page_no * limit
+    tops = kept(_ranked(index, hits, hits.blocks.join(first, "block", "left_semi"), weights)).orderBy(F.desc("score")).limit(wanted)
+    # the k-th score of the first blocks; too few hits there rule nothing out
+    least = tops.agg(F.when(F.count("*") >= wanted, F.min("score"))).first()[0]
+    open_blocks = bounds.select("block") if least is None else bounds.filter(F.col("bound") >= least - 1e-6).select("block")
+    rows = page(kept(_ranked(index, hits, hits.blocks.join(open_blocks, "block", "left_semi"), weights)), _order(), limit, wanted - limit)
+    docs = kept(index.docs.filter("live").select("id", "version", "category", "source"))
+    counted = _matching(hits, hits.rows(None, bool(hits.query.phrases)), None).join(docs, ["id", "version"], "left_semi")
+    return attach(rows, counted.agg(F.count("*").alias("total")))
 
 
-def search_weighted(index: Index, terms: list[str], page_no: int = 1, limit: int = 20,
+def search_weighted(index: Index, terms, page_no: int = 1, limit: int = 20,
                     category: str | None = None, source: str | None = None) -> DataFrame:
     """Search with title, content and summary weighted 1.0, 0.4 and 0.2."""
     return search(index, terms, page_no, limit, category, source, LETTER_BOOSTS)
@@ -168,17 +339,15 @@ def search_news(index: Index, a: DataFrame, terms: list[str], page_no: int = 1,
                 category: str | None = None, source: str | None = None, exclude=None) -> DataFrame:
     """Ranked hits as articles without the excluded sources, in rank order. If
     the index finds nothing, articles containing the typed text, newest first,
-    with `fallback` set."""
-    hits = search(index, terms, page_no, limit, category, source)
-    found = hits.select("id", "score", "total")
-    rows = listing.exclude_sources(listing.light(a), exclude)
-    ranked = rows.join(found, "id").withColumn("fallback", F.lit(False))
-    typed = listing.search_like(listing.exclude_sources(a, exclude), " ".join(terms), None, limit, (page_no - 1) * limit)
-    empty = found.agg((F.count("*") == 0).alias("_empty"))
-    second = attach(typed.withColumn("score", F.lit(0.0)).withColumn("fallback", F.lit(True)), empty).filter(
-        "_empty").drop("_empty")
-    return ranked.unionByName(second.select(*ranked.columns)).orderBy(
-        F.desc(F.round("score", 9)), F.desc(F.when(F.col("fallback"), F.col("published_at"))), "id")
+    with `fallback` set; they are looked for only then."""
+    hits = cut(search(index, terms, page_no, limit, category, source))
+    columns = listing.light(a).columns
+    if hits.isEmpty():
+        typed = listing.search_like(listing.exclude_sources(a, exclude), " ".join(terms), None, limit, (page_no - 1) * limit)
+        total = typed.select(*columns, F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("total"), F.lit(True).alias("fallback"))
+        return total.orderBy(F.desc("published_at"), "id")
+    rows = listing.exclude_sources(listing.light(a), exclude).join(hits.select("id", "score", "total"), "id")
+    return rows.withColumn("fallback", F.lit(False)).orderBy(*_order())
 
 
 # --- consistency -------------------------------------------------------------

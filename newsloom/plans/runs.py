@@ -71,17 +71,17 @@ class Run:
         return {"collected": total, "kept": kept.count(), "written": written.count(), "analysed": fresh.count()}
 
     def _index(self, spark: SparkSession, written: DataFrame, version: int) -> None:
-        postings, docs = self.table(spark, "postings"), self.table(spark, "docs")
+        postings = self.table(spark, "postings")
         index = search.build_index(written, version) if postings is None else search.update_index(
-            search.Index(postings, docs), written, version)
+            self.load_index(spark), written, version)
         self._save_index(index)
 
     def _save_index(self, index: search.Index) -> None:
-        store.write_table(index.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), self.path("postings"))
-        store.write_table(index.docs, self.path("docs"))
+        for name, frame in search.stored_form(index).items():
+            store.write_table(frame, self.path(name))
 
     def load_index(self, spark: SparkSession) -> search.Index:
-        return search.Index(self.table(spark, "postings"), self.table(spark, "docs"))
+        return search.Index(*[self.table(spark, name) for name in ("postings", "docs", "variants")])
 
     def _graph(self, spark: SparkSession, responses: DataFrame, articles: DataFrame, budget: int | None) -> None:
         hashed = gr.with_hash(responses.drop("content_hash"), articles)

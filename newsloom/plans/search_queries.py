@@ -26,11 +26,25 @@ def index(spark, sf):
     return se.build_index(v.corpus(spark, sf))
 
 
-@query("index_postings", POSTINGS + """
- select field, count(*) postings, count(distinct term) terms, sum(tf)::bigint tokens from post group by 1""")
+def postings_of(index):
+    """What an index holds of each term and field, with sums that depend on every
+    document, frequency, length and position."""
+    rows = se.posting_rows(index, True)
+    places = F.aggregate("positions", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return rows.groupBy("term", "field").agg(
+        F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.sum(F.col("id") * F.col("tf")).alias("by_id"),
+        F.sum(F.col("field_len") * F.col("tf")).alias("by_length"), F.sum(places).alias("places"))
+
+
+PLACES = """, placed as (select id, field, unnest(w) term, generate_subscripts(w, 1) - 1 pos, len(w) flen from fields),
+ held as (select id, term, field, count(*) tf, any_value(flen) flen, sum(pos) places from placed group by 1, 2, 3) """
+HELD = """select term, field, count(*) postings, sum(tf)::bigint tokens, sum(id * tf)::bigint by_id, sum(flen * tf)::bigint by_length,
+ sum(places)::bigint places from held"""
+
+
+@query("index_postings", POSTINGS + PLACES + HELD + " group by 1, 2")
 def index_postings(spark, sf):
-    return se.build_index(v.corpus(spark, sf)).postings.groupBy("field").agg(
-        F.count("*").alias("postings"), F.count_distinct("term").alias("terms"), F.sum("tf").alias("tokens"))
+    return postings_of(index(spark, sf))
 
 
 def bm25(terms, boosts, where="true"):
@@ -76,11 +90,44 @@ def fuzzy(spark, sf):
     return se.fuzzy_terms(index(spark, sf), ["thea", "under", "nation"])
 
 
-@query("search_fuzzy")
+@query("search_fuzzy", POSTINGS + """, near as (
+   select distinct term, q from post, (values ('thea'),('tioning')) v(q) where abs(length(term) - length(q)) <= 1 and levenshtein(term, q) <= 1),
+ hit as (select * from post join near using (term) where field in ('title','content','summary')),
+ dfs as (select term, field, count(*) df from hit group by 1, 2),
+ good as (select id, sum((case field when 'title' then 2.0::double else 1.0::double end) * (ln((select count(*) from articles) / (df + 1)) + 1)
+     * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * field_len / avg_len))) score
+   from hit join dfs using (term, field) join lens using (field) group by id having count(distinct q) = 2) """ + page_sql(50, 0))
 def search_fuzzy(spark, sf):
     return hits(se.search(index(spark, sf), ["thea", "tioning"], 1, 50, fuzzy=1))
 
 
+def told(condition):
+    """The scored words of the query below, in the documents that fit `condition`."""
+    return bm25(["the", "and", "tion"], {"title": 2.0, "content": 1.0, "summary": 1.0}).replace(
+        "having count(distinct term) = 3", "").replace("where true", f"where {condition}") + f"""
+ , texts as (select id, list(' ' || array_to_string(w, ' ') || ' ') t, list_distinct(flatten(list(w))) words
+   from fields where field in ('title','content','summary') group by id) """
+
+
+FITS = """ good2 as (select g.* from good g join texts using (id) where list_contains(words, 'the')
+   and (list_contains(words, 'and') or list_contains(words, 'tion')) and not list_contains(words, 'with'))
+ select id, round(score, 6) score, (select count(*) from good2) total from good2 order by round(score, 9) desc, id limit 25 offset 25"""
+
+
+@query("search_boolean", POSTINGS + told("true") + "," + FITS)
+def search_boolean(spark, sf):
+    asked = se.Query(every=["the"], some=["and", "tion"], none=["with"])
+    return hits(se.search(index(spark, sf), asked, 2, 25))
+
+
+@query("search_phrase", POSTINGS + bm25(["of", "the"], {"title": 2.0, "content": 1.0, "summary": 1.0}) + """
+ , texts as (select id, ' ' || array_to_string(w, ' ') || ' ' t from fields where field in ('title','content','summary')),
+ good2 as (select * from good where id in (select id from texts where contains(t, ' of the ')))
+ select id, round(score, 6) score, (select count(*) from good2) total from good2 order by round(score, 9) desc, id limit 40""")
+def search_phrase(spark, sf):
+    return hits(se.search(index(spark, sf), se.Query(phrases=[["of", "the"]]), 1, 40))
+
+
 NEWS = ["title", "content", "summary"]
 
 
@@ -121,11 +168,10 @@ def index_lag(spark, sf):
     return se.index_lag(a, old)
 
 
-@query("index_repair", POSTINGS + "select field, count(*) postings, sum(tf)::bigint tokens from post group by 1")
+@query("index_repair", POSTINGS + PLACES + HELD + " group by 1, 2")
 def index_repair(spark, sf):
     a, old = lagging(spark, sf)
-    fixed = se.repair_index(a, old, 1, None)
-    return fixed.postings.groupBy("field").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+    return postings_of(se.repair_index(a, old, 1, None))
 
 
 @query("index_update", v.with_views(v.SQL_ARTICLES) + """
@@ -136,12 +182,10 @@ def index_update(spark, sf):
     return se.index_health(se.update_index(se.build_index(a), a.filter("category = 'de'"), 1))
 
 
-@query("index_compaction", POSTINGS + """
- select field, count(*) postings, count(distinct id) docs from post where id not in (select id from articles where category = 'es') group by 1""")
+@query("index_compaction", POSTINGS + PLACES + HELD + " where id not in (select id from articles where category = 'es') group by 1, 2")
 def index_compaction(spark, sf):
     a = v.corpus(spark, sf)
-    small = se.compact(se.delete_from_index(se.build_index(a), a.filter("category = 'es'")))
-    return small.postings.groupBy("field").agg(F.count("*").alias("postings"), F.count_distinct("id").alias("docs"))
+    return postings_of(se.compact(se.delete_from_index(se.build_index(a), a.filter("category = 'es'"))))
 
 
 # --- entity graph ------------------------------------------------------------
