@@ -291,3 +291,19 @@ def running_sums(values: Column, block: int = 64) -> Column:
             blocks, lambda b: F.slice(sums(F.get(starts, b), piece(b)), F.lit(2), F.lit(block)))))
 
     return F.when(F.size(values) > 0, bound(values, over)).otherwise(F.array().cast("array<int>"))
+
+
+def grouped(pairs: Column) -> Column:
+    """Array of (key, values) from an array of (key, value): keys ascending, the
+    values of each ascending. Sorted and cut into runs inside the row; an empty or
+    null array gives null."""
+
+    def groups(rows: Column) -> Column:
+        key = lambda i: F.get(rows, i)["key"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | (key(i) != key(i - 1)))
+        return bound(F.concat(starts, F.array(F.size(rows))), lambda at: F.transform(
+            F.sequence(F.lit(0), F.size(at) - 2),
+            lambda k: F.struct(key(F.get(at, k)).alias("key"), F.transform(
+                F.slice(rows, F.get(at, k) + 1, F.get(at, k + 1) - F.get(at, k)), lambda x: x["value"]).alias("values"))))
+
+    return F.when(F.size(pairs) > 0, bound(F.sort_array(pairs), groups))

@@ -69,35 +69,18 @@ def kept_tokens(words: Column, stop_words, drop_digits: bool = True) -> Column:
     return F.filter(words, keep)
 
 
-def _runs(words: Column, entry) -> Column:
-    """The distinct words of an array in order, each as `entry` makes it from the
-    word, its first position, how often it occurs and where its run begins in the
-    sorted (word, position) pairs. All inside the row."""
-    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("token"), i.alias("pos"))))
-
-    def vector(rows: Column) -> Column:
-        token = lambda i: F.get(rows, i)["token"]
-        n = F.size(rows)
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (token(i) != token(i - 1)))
-        return e.bound(F.concat(starts, F.array(n)), lambda at: F.transform(
-            F.sequence(F.lit(0), F.size(at) - 2), lambda k: entry(rows, F.get(at, k), F.get(at, k + 1))))
-
-    return F.when(F.size(words) > 0, e.bound(placed, vector))
+def position_vector(words: Column) -> Column:
+    """Array of (token, positions) of an array of words, by token: sorted with their
+    positions and cut into runs, all inside the row."""
+    none = F.array().cast("array<struct<token:string,positions:array<int>>>")
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("key"), i.alias("value")))
+    return F.coalesce(F.transform(e.grouped(placed), lambda x: F.struct(x["key"].alias("token"), x["values"].alias("positions"))), none)
 
 
 def term_vector(words: Column) -> Column:
-    """Array of (token, tf, pos) of an array of words, by token: frequency and
-    first position."""
-    none = F.array().cast("array<struct<token:string,tf:bigint,pos:int>>")
-    return F.coalesce(_runs(words, lambda rows, first, end: F.struct(
-        F.get(rows, first)["token"].alias("token"), (end - first).cast("bigint").alias("tf"), F.get(rows, first)["pos"].alias("pos"))), none)
-
-
-def position_vector(words: Column) -> Column:
-    """Array of (token, positions), by token."""
-    none = F.array().cast("array<struct<token:string,positions:array<int>>>")
-    return F.coalesce(_runs(words, lambda rows, first, end: F.struct(
-        F.get(rows, first)["token"].alias("token"), F.transform(F.slice(rows, first + 1, end - first), lambda x: x["pos"]).alias("positions"))), none)
+    """Array of (token, tf, pos), by token: frequency and first position."""
+    return F.transform(position_vector(words), lambda x: F.struct(
+        x["token"].alias("token"), F.size(x["positions"]).cast("bigint").alias("tf"), F.get(x["positions"], F.lit(0)).alias("pos")))
 
 
 def term_table(df: DataFrame, words: Column, key: str = "id", keep_empty: bool = False) -> DataFrame:

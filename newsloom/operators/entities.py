@@ -14,17 +14,19 @@ def _ends_like(word: Column, marks) -> Column:
     return word.rlike(r"^\p{IsHan}{2,}$") & e.contains_any(word, marks, fold=False)
 
 
-def entities(text, k: int = 15, companies=fv.COMPANIES, organizations=fv.ORGANIZATIONS,
-             indicators=fv.INDICATORS, people=(), places=(), minor: int = 5) -> Column:
+def entities(text, k: int | None = None, companies=fv.COMPANIES, organizations=fv.ORGANIZATIONS,
+             indicators=fv.INDICATORS, people=(), places=(), minor: int | None = None) -> Column:
     """Struct of five sorted lists. A word belongs to the first gazetteer that
     holds it; names of people and places come from their gazetteers, since
-    there is no tagger. Words in capitals count as indicators."""
+    there is no tagger. Words in capitals count as indicators. `k` companies and
+    `minor` names of each other kind are kept if they are given."""
     extra = [*companies, *organizations, *indicators, *people, *places]
     words = t.tokens(text, tuple(dict.fromkeys([*t.DICTIONARY, *extra])))
     listed = [*companies, *organizations, *indicators]
 
     def pick(rule, cap):
-        return F.slice(F.array_sort(F.array_distinct(F.filter(words, rule))), 1, cap)
+        found = F.array_sort(F.array_distinct(F.filter(words, rule)))
+        return found if cap is None else F.slice(found, 1, cap)
 
     def unlisted(word):
         return ~word.isin(listed)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom import fixed_values as fv
-from newsloom.functions import text as t
+from newsloom.functions import expr as e, text as t
 from newsloom.operators.ranking import attach, global_rank
 
 
@@ -31,7 +31,11 @@ def keyword_rows(df: DataFrame, text, k: int | None = 10, key: str = "id", stop_
 
 def keywords(df: DataFrame, text, k: int | None = 10, key: str = "id", stop_words=fv.KEYWORD_STOP_WORDS) -> DataFrame:
     """(key, keywords): the same as a list."""
-    return df.select(key, F.transform(top_words(text, k, stop_words), lambda x: x["token"]).alias("keywords"))
+    return df.select(key, keyword_list(text, k, stop_words).alias("keywords"))
+
+
+def keyword_list(text, k: int | None = 10, stop_words=fv.KEYWORD_STOP_WORDS) -> Column:
+    return F.transform(top_words(text, k, stop_words), lambda x: x["token"])
 
 
 def corpus_terms(terms: DataFrame, key: str = "id", *group: str) -> DataFrame:
@@ -48,24 +52,29 @@ def corpus_keywords(df: DataFrame, text, k: int = 20, key: str = "id",
     return corpus_terms(terms, key).orderBy(F.desc("n"), "first_doc", "first_pos").limit(k).select("token", "n")
 
 
-def hot_topics(a: DataFrame, k: int = 10, chars: int | None = None, first_words: int = 50,
+def hot_topics(a: DataFrame, k: int = 10, chars: int | None = None, first_words: int | None = None,
                stop_words=fv.TOPIC_STOP_WORDS) -> DataFrame:
-    """Words of the newer half of the articles against the older half. The
-    candidates are the first distinct words met in each half."""
-    ranked = global_rank(
-        a.select("id", "published_at", t.article_text(chars).alias("body")),
-        [F.desc("published_at"), F.asc("id")])
+    """Words of the newer half of the articles against the older half. All words
+    are candidates, or the `first_words` distinct ones met first in each half.
+
+    Only ids and times are ranked; the last article of the newer half is the border,
+    and every text tells by itself on which side it is."""
+    ranked = global_rank(a.select("id", "published_at"), [F.desc("published_at"), F.asc("id")])
     size = ranked.agg(F.count("*").alias("_n"))
-    words = t.kept_tokens(t.tokens("body"), stop_words)
-    halves = attach(ranked, size).filter("_n >= 10").withColumn(
-        "newer", F.col("rank") <= F.floor(F.col("_n") / 2))
-    terms = t.term_table(halves.withColumn("key", F.struct("newer", "rank")), words, "key").select(
-        "key.newer", "key.rank", "token", "tf", "pos")
-    counts = corpus_terms(terms, "rank", "newer").select("newer", "token", "n", "first_doc", "first_pos")
-    order = ["first_doc", "first_pos"]
-    picked = counts.filter("newer").orderBy(*order).limit(first_words).select("token").union(
-        counts.filter("not newer").orderBy(*order).limit(first_words).select("token")).distinct()
-    both = counts.join(F.broadcast(picked), "token", "left_semi").groupBy("token").agg(
+    border = attach(ranked, size).filter((F.col("_n") >= 10) & (F.col("rank") == F.floor(F.col("_n") / 2))).select(
+        F.struct("published_at", "id").alias("b")).scalar()
+    vector = t.term_vector(t.kept_tokens(t.tokens(t.article_text(chars)), stop_words))
+    newer = (F.col("published_at") > F.col("_b.published_at")) | (
+        (F.col("published_at") == F.col("_b.published_at")) & (F.col("id") <= F.col("_b.id")))
+    terms = a.withColumn("_b", border).filter(F.col("_b").isNotNull()).select(
+        F.coalesce(newer, F.lit(False)).alias("newer"), (-F.unix_micros(e.parse_time("published_at"))).alias("age"), "id",
+        F.explode(vector).alias("t")).select("newer", "age", "id", "t.*")
+    counts = terms.groupBy("newer", "token").agg(F.sum("tf").alias("n"), *(
+        [] if first_words is None else [F.min(F.struct("age", "id", "pos")).alias("seen")]))
+    if first_words is not None:
+        first = [counts.filter(side).orderBy("seen").limit(first_words).select("token") for side in (F.col("newer"), ~F.col("newer"))]
+        counts = counts.join(first[0].union(first[1]).distinct(), "token", "left_semi")
+    both = counts.groupBy("token").agg(
         F.coalesce(F.sum(F.when(F.col("newer"), F.col("n"))), F.lit(0)).alias("current_count"),
         F.coalesce(F.sum(F.when(~F.col("newer"), F.col("n"))), F.lit(0)).alias("prev_count"))
     cur, prev = F.col("current_count"), F.col("prev_count")

@@ -74,9 +74,9 @@ def sentiment_summary(scored: DataFrame) -> DataFrame:
         F.lit("neutral"), F.col("neutral")))
 
 
-def sentiment_breakdown(scored: DataFrame, companies: str | None = None) -> DataFrame:
+def sentiment_breakdown(scored: DataFrame, companies: str | None = None, most: int | None = None) -> DataFrame:
     """Score by source and by category in one pass, and by company when the
-    frame carries the array column `companies` (its first five count)."""
+    frame carries the array column `companies` (its first `most` if given)."""
     base = scored.select(
         e.first_filled("source", F.lit("未知")).alias("source"),
         e.first_filled("category", F.lit("未分类")).alias("category"),
@@ -90,7 +90,7 @@ def sentiment_breakdown(scored: DataFrame, companies: str | None = None) -> Data
         "avg_score", "positive", "negative", "neutral", "n")
     if companies:
         by_company = scored.select(
-            F.explode(F.slice(companies, 1, 5)).alias("key"), "sentiment_score"
+            F.explode(companies if most is None else F.slice(companies, 1, most)).alias("key"), "sentiment_score"
         ).groupBy("key").agg(F.round(F.avg("sentiment_score"), 4).alias("avg_score"), F.count("*").alias("n"))
         nothing = F.lit(None).cast("bigint")
         out = out.unionByName(by_company.select(

@@ -9,26 +9,22 @@ from newsloom import fixed_values as fv
 from newsloom.functions import expr as e, text as t
 from newsloom.operators import keywords as kw, sentiment as se, summary
 from newsloom.operators.stats import unanalysed
-from newsloom.session import cut
 
 MODEL = "dictionary+finance"
 
 
-def analyze(df: DataFrame, text, key: str = "id", k: int = 10, sentences: int = 3, stop: str = "。",
+def analyze(df: DataFrame, text, k: int = 10, sentences: int = 3, stop: str = "。",
             stop_words=fv.KEYWORD_STOP_WORDS, sentiment_args: dict | None = None) -> DataFrame:
     """Add `analysis`: word and character counts, sentiment, keywords and
     summary. An empty text has zero counts and no sentiment."""
     body = e.text_or_empty(text)
     words = F.size(F.filter(F.split(body, r"\s+"), lambda w: w != ""))
     scored = se.sentiment(df.withColumn("_body", body), "_body", name="_s", **(sentiment_args or {}))
-    keyed = kw.keywords(df, body, k, key, stop_words)
-    joined = scored.join(keyed.withColumnRenamed("keywords", "_k"), key, "left")
-    none = F.array().cast("array<string>")
     record = F.struct(
         words.alias("word_count"), F.length("_body").alias("char_count"),
         F.when(F.col("_body") != "", F.col("_s")).alias("sentiment"),
-        F.coalesce("_k", none).alias("keywords"), summary.summary_lead("_body", sentences, stop).alias("summary"))
-    return joined.withColumn("analysis", record).drop("_body", "_s", "_k")
+        kw.keyword_list("_body", k, stop_words).alias("keywords"), summary.summary_lead("_body", sentences, stop).alias("summary"))
+    return scored.withColumn("analysis", record).drop("_body", "_s")
 
 
 def analyze_articles(a: DataFrame, **options) -> DataFrame:
@@ -46,11 +42,9 @@ def batch_analyze(a: DataFrame, an: DataFrame, now, lead: int | None = None, k:
     and the beginning of the text (`lead` characters, None for all of it);
     keywords and summary read the whole text."""
     todo = unanalysed(a.select("id", "article_id", "title", "content", "summary"), an)
-    todo = cut(todo)
     scored = se.sentiment(todo.withColumn("_text", t.article_text(lead)), "_text", name="s", **(sentiment_args or {}))
     whole = e.first_filled("content", "summary")
-    words = kw.keywords(todo, whole, k, "id", stop_words)
-    rows = scored.join(words, "id", "left").withColumn("summary", summary.summary_lead(whole, sentences, stop))
+    rows = scored.withColumns({"keywords": kw.keyword_list(whole, k, stop_words), "summary": summary.summary_lead(whole, sentences, stop)})
     result = F.to_json(F.struct("s.*", "keywords", "summary"))
     return rows.select(
         "article_id", F.lit(model).alias("model_used"), F.col("s.sentiment_score").alias("sentiment_score"),

@@ -3,6 +3,8 @@ run. Payloads are built by Spark from the document table."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsloom import views as v
@@ -10,6 +12,7 @@ from newsloom.functions import expr as e
 from newsloom.operators import translate as tr
 from newsloom.operators.ranking import keep_first
 from newsloom.plans.catalog import query
+from newsloom.session import checkpoint_dir
 from newsloom.sources import feeds, pages, store
 
 NOW = v.NOW
@@ -266,6 +269,20 @@ def upsert_articles(spark, sf):
     return out.select("article_id", "title", "action", F.when(e.text_or_empty("action") != "insert", F.col("id")).alias("id"))
 
 
+@query("upsert_stored", ART + """
+ select article_id, title || case when category = 'fr' then '!' else '' end title,
+   case when published_at >= '2024-01-24' then null else id end id from articles""")
+def upsert_stored(spark, sf):
+    """The same batch into a table in buckets, read back."""
+    target, batch = arriving(spark, sf)
+    path = f"{checkpoint_dir(spark)}/articles-{uuid.uuid4().hex}"
+    top = target.agg(F.max("id")).first()[0]
+    store.write_buckets(target, path, "article_id", 64, top)
+    store.upsert_buckets(path, batch, NOW)
+    rows = store.read_buckets(spark, path)
+    return rows.select("article_id", "title", F.when(F.col("id") <= top, F.col("id")).alias("id"))
+
+
 @query("upsert_analysis", v.with_views(v.SQL_ANALYSIS) + """
  select article_id, case when substr(article_id,1,1) < '8' then 1.0::double else sentiment_score end sentiment_score from analysis""")
 def upsert_analysis(spark, sf):

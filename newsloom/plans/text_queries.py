@@ -54,11 +54,9 @@ def hot_sql(chars, k):
  tok as (select rk, rk <= n // 2 newer, unnest(w) token, generate_subscripts(w,1) pos from (
    select rk, n, regexp_extract_all({text}, '[\\p{{L}}\\p{{Nd}}]{{2,}}') w from ranked)),
  good as (select * from tok where {KEPT}),
- counts as (select newer, token, count(*) c, min((rk, pos)) seen from good group by 1, 2),
- picked as (select token from (select token from counts where newer order by seen limit 50)
-   union select token from (select token from counts where not newer order by seen limit 50)),
+ counts as (select newer, token, count(*) c from good group by 1, 2),
  agg as (select token keyword, coalesce(sum(c) filter (newer), 0)::bigint current_count,
-   coalesce(sum(c) filter (not newer), 0)::bigint prev_count from counts where token in (select token from picked) group by 1)
+   coalesce(sum(c) filter (not newer), 0)::bigint prev_count from counts group by 1)
  select keyword, current_count, prev_count, case when current_count > prev_count * 1.5 then 'rising'
    when current_count < prev_count * 0.5 then 'falling' else 'stable' end trend
  from agg where current_count >= 3 or prev_count >= 3 order by current_count - prev_count desc, keyword limit {k}"""
@@ -235,16 +233,20 @@ def _list(words):
     return ",".join(f"'{w}'" for w in words)
 
 
-BASE_SQL = v.with_views(v.SQL_ARTICLES) + f""", w as (
- select id, unnest(w) token, generate_subscripts(w,1) pos from (
-   select id, regexp_extract_all(content, '[\\p{{L}}\\p{{Nd}}]+') w from articles)),
+def base_sql(text):
+    return v.with_views(v.SQL_ARTICLES) + f""", bodies as (select id, source, category, {text} body from articles),
+ w as (select id, unnest(w) token, generate_subscripts(w,1) pos from (
+   select id, regexp_extract_all(body, '[\\p{{L}}\\p{{Nd}}]+') w from bodies)),
  p as (select id, token, lag(token) over (partition by id order by pos) prev from w),
  s as (select id, sum((case when token in ({_list(POS)}) then 1.0::double when token in ({_list(NEG)}) then -1.0::double else 0.0::double end)
    * (case when prev in ({_list(NEGATIONS)}) then -1.0::double else 1.0::double end)
    * (case prev when 'very' then 2.0::double when 'in' then 1.5::double when 'on' then 0.5::double when 'en' then 1.2::double
       else 1.0::double end)) total from p group by id),
  base as (select a.id, a.source, a.category, coalesce(round(case when abs(total) >= 10 then sign(total) else tanh(total / 5) end, 4), 0)::double score
-   from articles a left join s using (id)) """
+   from bodies a left join s using (id)) """
+
+
+BASE_SQL = base_sql("content")
 
 
 def scored(spark, sf):
@@ -260,8 +262,8 @@ def sentiment_base(spark, sf):
 
 
 @query("sentiment_words", ART + f"""
- select id, array_to_string(list_sort(list_distinct(list_filter(w, lambda x: x in ({_list(POS)}))))[1:10], ' ') pos_words,
-   array_to_string(list_sort(list_distinct(list_filter(w, lambda x: x in ({_list(NEG)}))))[1:10], ' ') neg_words
+ select id, array_to_string(list_sort(list_distinct(list_filter(w, lambda x: x in ({_list(POS)})))), ' ') pos_words,
+   array_to_string(list_sort(list_distinct(list_filter(w, lambda x: x in ({_list(NEG)})))), ' ') neg_words
  from (select id, regexp_extract_all(content, '[\\p{{L}}\\p{{Nd}}]{{2,}}') w from articles)""")
 def sentiment_words(spark, sf):
     words = se.sentiment_words(t.tokens("content"), POS, NEG)
@@ -271,8 +273,8 @@ def sentiment_words(spark, sf):
 
 
 def _claimed_sql(terms):
-    """The content with each term written over by its mark and fillers, longest first."""
-    text = "regexp_replace(content, '[\ue000-\uf8ff]', '\ufffd', 'g')"
+    """The body with each term written over by its mark and fillers, longest first."""
+    text = "regexp_replace(body, '[\ue000-\uf8ff]', '\ufffd', 'g')"
     for n, term in enumerate(terms):
         text = f"replace({text}, '{term}', chr({0xE000 + n}) || repeat(chr({0xE000 + len(terms)}), {len(term) - 1}))"
     return text
@@ -282,15 +284,16 @@ def _side_sql(side, lexicon):
     terms = sorted((w for w, _ in lexicon), key=lambda w: -len(w))
     marks = f"[\ue000-{chr(0xE000 + len(terms) - 1)}]"
     weights = dict(lexicon)
-    return f"""select id, {side} side, content, unnest(regexp_extract_all(c, '{marks}')) mark, unnest(regexp_split_to_array(c, '{marks}')[:-2]) gap,
+    return f"""select id, {side} side, body, unnest(regexp_extract_all(c, '{marks}')) mark, unnest(regexp_split_to_array(c, '{marks}')[:-2]) gap,
      unnest(range(0, len(regexp_extract_all(c, '{marks}')))) k, [{",".join(f"{weights[w]}::double" for w in terms)}] weights
-   from (select id, content, {_claimed_sql(terms)} c from articles)"""
+   from (select id, body, {_claimed_sql(terms)} c from bodies)"""
 
 
-FINANCE_SQL = BASE_SQL + f""", marked as ({_side_sql(0, LEXICON["positive"])} union all {_side_sql(1, LEXICON["negative"])}),
+def finance_sql(text):
+    return base_sql(text) + f""", marked as ({_side_sql(0, LEXICON["positive"])} union all {_side_sql(1, LEXICON["negative"])}),
  placed as (select *, sum(length(gap)) over (partition by id, side order by k) + k place from marked),
- hit as (select id, weights[unicode(mark) - {0xE000} + 1] weight, substr(content, greatest(place - 10, 0)::int + 1, least(place, 10)::int) near,
-   substr(content, greatest(place - 20, 0)::int + 1, least(place, 20)::int) wide from placed),
+ hit as (select id, weights[unicode(mark) - {0xE000} + 1] weight, substr(body, greatest(place - 10, 0)::int + 1, least(place, 10)::int) near,
+   substr(body, greatest(place - 20, 0)::int + 1, least(place, 20)::int) wide from placed),
  effects as (select id, count(*) hits, sum(weight * (case when contains(near, 'is ') or contains(near, 'not ') or suffix(near, '-') then -1.0::double else 1.0::double end)
    * (case when contains(wide, 'tion') then 1.5::double when contains(wide, 'ing') then 0.5::double else 1.0::double end)) total from hit group by 1),
  over_ as (select b.id, b.score base, coalesce(hits, 0) hits,
@@ -299,6 +302,9 @@ FINANCE_SQL = BASE_SQL + f""", marked as ({_side_sql(0, LEXICON["positive"])} un
  final as (select *, case when score > 0.15 then 'positive' when score < -0.15 then 'negative' else 'neutral' end lab from over_) """
 
 
+FINANCE_SQL = finance_sql("content")
+
+
 @query("finance_overlay", FINANCE_SQL + "select id, score sentiment_score, lab sentiment_label, hits::int hits from final")
 def finance_overlay(spark, sf):
     rows = scored(spark, sf).select("id", "content", F.col("s.sentiment_score").alias("base_score"))
@@ -365,15 +371,35 @@ def economic_trend(spark, sf):
 
 # --- summaries and entities --------------------------------------------------
 
-@query("summary_lead", ART + """
- select id, case when trim(content) = '' then '' when length(content) < 50 then trim(content) else
+LEAD_SQL = """case when trim(content) = '' then '' when length(content) < 50 then trim(content) else
    array_to_string(list_filter(list_transform(string_split(replace(content, chr(10), ' '), '.')[1:3], lambda p: trim(p)), lambda p: p <> ''), '.')
-   || '.' end summary from articles""")
+   || '.' end"""
+
+
+@query("summary_lead", ART + f"select id, {LEAD_SQL} summary from articles")
 def summary_lead(spark, sf):
     return v.corpus(spark, sf).select("id", summary.summary_lead("content", 3, ".").alias("summary"))
 
 
-@query("summary_rank")
+def rank_sql(rounds=10, damping=0.85):
+    """The walk over shared words, one pair of steps a round."""
+    steps = "".join(f""",
+ x{k} as (select id, word, sum(r / d) / any_value(n) x from edge join r{k - 1} using (id, i) group by 1, 2),
+ r{k} as (select t.id, t.i, {1 - damping!r}::double + {damping!r}::double * coalesce(sum(x), 0) r
+   from sent t left join edge using (id, i) left join x{k} using (id, word) group by 1, 2)""" for k in range(1, rounds + 1))
+    return ART + f""", cut_up as (select id, list_filter(list_transform(regexp_split_to_array(content, '[。！？!?.\n]+'), lambda p: trim(p)), lambda p: p <> '') p
+   from articles),
+ sent as (select id, generate_subscripts(p, 1) - 1 i, unnest(p) said from cut_up),
+ words as (select id, i, unnest(list_distinct(regexp_extract_all(lower(said), '[\\p{{L}}\\p{{Nd}}]{{2,}}'))) word from sent),
+ deg as (select id, i, count(*) d from words group by 1, 2),
+ held as (select id, word, count(*) n from words group by 1, 2 having count(*) > 1),
+ edge as (select id, i, word, d, n from words join deg using (id, i) join held using (id, word)),
+ r0 as (select id, i, 1.0::double r from sent){steps},
+ best as (select id, i, said, row_number() over (partition by id order by round(r, 9) desc, i) rn from r{rounds} join sent using (id, i))
+ select a.id, coalesce(string_agg(said, '. ' order by i), '') summary from articles a left join best on best.id = a.id and rn <= 3 group by 1"""
+
+
+@query("summary_rank", rank_sql())
 def summary_rank(spark, sf):
     return summary.summary_rank(v.corpus(spark, sf), "content", 3, joiner=". ")
 
@@ -381,9 +407,9 @@ def summary_rank(spark, sf):
 COMPANIES = ["The", "Que", "Und", "Der", "Les"]
 PEOPLE = ["Of", "And", "Le"]
 ENT_SQL = ART + f""", ent as (
- select id, article_id, title, source, list_sort(list_distinct(list_filter(w, lambda x: x in ({_list(COMPANIES)}))))[1:15] companies,
-   list_sort(list_distinct(list_filter(w, lambda x: x in ({_list(PEOPLE)}))))[1:5] people,
-   list_sort(list_distinct(list_filter(w, lambda x: regexp_full_match(x, '[A-Z]{{2,6}}'))))[1:5] indicators
+ select id, article_id, title, source, list_sort(list_distinct(list_filter(w, lambda x: x in ({_list(COMPANIES)})))) companies,
+   list_sort(list_distinct(list_filter(w, lambda x: x in ({_list(PEOPLE)})))) people,
+   list_sort(list_distinct(list_filter(w, lambda x: regexp_full_match(x, '[A-Z]{{2,6}}')))) indicators
  from (select *, regexp_extract_all(content, '[\\p{{L}}\\p{{Nd}}]{{2,}}') w from articles)) """
 GAZETTEERS = {"companies": COMPANIES, "people": PEOPLE, "organizations": [], "indicators": []}
 
@@ -407,7 +433,7 @@ def entities_report(spark, sf):
 
 @query("breakdown_entity", ENT_SQL + """, lab as (select doc_id id, (quality - toxic) * 0.5::double s from labels)
  select c "key", round(avg(coalesce(s,0)),4) avg_score, count(*) n
- from (select id, unnest(companies[1:5]) c from ent) left join lab using (id) group by 1""")
+ from (select id, unnest(companies) c from ent) left join lab using (id) group by 1""")
 def breakdown_entity(spark, sf):
     a = v.corpus(spark, sf)
     rows = stats.with_analysis(a, v.analysis(spark, sf)).withColumn(
