@@ -172,16 +172,21 @@ def _deletions(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1:] for i in range(len(word)))}
 
 
-def fuzzy_terms(index: Index, terms: list[str]) -> DataFrame:
-    """(term, query_term): indexed words within one edit of a query term. Two such
-    words share a variant, so they are looked up by equality and then verified; no
-    other term is read from a stored index."""
+def fuzzy_terms(index: Index, terms: list[str], edits: int = 1) -> DataFrame:
+    """(term, query_term): indexed words within `edits` edits of a query term. Words
+    one edit apart share a variant, so they are looked up by equality and then
+    verified, and no other term is read from a stored index. The table holds single
+    deletions; for more edits all terms are compared."""
     spark = index.variants.sparkSession
-    asked = [(v, w) for w in dict.fromkeys(x.lower() for x in terms if x.strip()) for v in sorted(_deletions(w))]
-    wanted = spark.createDataFrame(asked, "variant string, query_term string")
-    near = index.variants.filter(F.col("variant").isin([v for v, _ in asked])).join(wanted, "variant").filter(
-        F.levenshtein("term", "query_term") <= 1)
-    return near.select("term", "query_term").distinct()
+    words = list(dict.fromkeys(x.lower() for x in terms if x.strip()))
+    asked = [(v, w) for w in words for v in sorted(_deletions(w))]
+    if edits <= 1:
+        wanted = spark.createDataFrame(asked, "variant string, query_term string")
+        near = index.variants.filter(F.col("variant").isin([v for v, _ in asked])).join(wanted, "variant")
+    else:
+        wanted = F.explode(F.array(*[F.lit(w) for w in words]))
+        near = index.variants.filter("variant = term").select("term", wanted.alias("query_term"))
+    return near.filter(F.levenshtein("term", "query_term") <= edits).select("term", "query_term").distinct()
 
 
 # --- ranking --------------------------------------------------------------------
@@ -209,7 +214,7 @@ def _hits(index: Index, terms, boosts: dict[str, float] | None, fuzzy: int) -> _
     exact = searched.filter(F.col("term").isin(wanted)).withColumn("query_term", F.col("term"))
     if fuzzy:
         loose = [w for w in dict.fromkeys([*query.every, *query.some])]
-        near = searched.join(fuzzy_terms(index, loose), "term")
+        near = searched.join(fuzzy_terms(index, loose, fuzzy), "term")
         rest = exact.filter(~F.col("term").isin(loose)) if loose else exact
         exact = near.unionByName(rest.select(*near.columns))
     return _Hits(query, cut(exact), index.docs.filter(~F.col("live")).select("id", "version"), boosts)

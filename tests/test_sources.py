@@ -1,11 +1,21 @@
 import json
+import math
+import random
+import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import graph as gr, search as se
 from newsloom.sources import feeds
 
 NOW = "2024-01-31 00:00:00"
+
+
+def folder():
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 BODY = "央行宣布降息，市场普遍认为这将推动经济复苏并提振投资者信心，股市全线上涨，成交额明显放大。"
 
 
@@ -200,6 +210,83 @@ def test_search(spark, articles):
     assert se.index_lag(df, se.build_index(df.filter("id = 1"))).first()["lag"] == 2
 
 
+def _corpus(seed, n=70):
+    rng = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "delta", "news", "bank", "oil", "rate"]
+    say = lambda m: " ".join(words[min(int(rng.expovariate(0.5)), 7)] for _ in range(m))
+    return [{"title": say(3), "content": say(rng.randrange(1, 25)), "summary": say(2), "i": 1 + i * 331} for i in range(n)]
+
+
+def _fits(row, q):
+    texts = [row[f].split() for f in ("title", "content", "summary")]
+    has = lambda w: any(w in x for x in texts)
+    near = lambda p: any(x[i:i + len(p)] == p for x in texts for i in range(len(x)))
+    return (all(map(has, q.every)) and (not q.some or any(map(has, q.some))) and not any(map(has, q.none)) and all(map(near, q.phrases)))
+
+
+def _score(rows, row, words):
+    total = 0.0
+    for f, boost in se.SEARCH_BOOSTS.items():
+        average = sum(len(r[f].split()) for r in rows) / len(rows)
+        mine = row[f].split()
+        for w in words:
+            df = sum(w in r[f].split() for r in rows)
+            if w in mine:
+                tf = mine.count(w)
+                total += boost * (math.log(len(rows) / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(mine) / average))
+    return total
+
+
+@pytest.mark.parametrize("query", [
+    se.Query(every=["Alpha", "beta"]), se.Query(some=["oil", "rate"]), se.Query(every=["alpha"], none=["beta", "news"]),
+    se.Query(phrases=[["alpha", "beta"]]), se.Query(every=["news"], some=["oil", "gamma"], none=["rate"], phrases=[["alpha", "alpha"], ["beta"]]),
+    se.Query(none=["alpha"]), se.Query(phrases=[["beta", "alpha", "beta"]])])
+def test_structured_queries_against_brute_force(spark, articles, query):
+    rows = _corpus(3)
+    index = se.build_index(articles(*rows))
+    fitting = [r for r in rows if _fits(r, query)] if query.scored() else []
+    want = sorted(((-round(_score(rows, r, query.scored()), 9), r["i"]) for r in fitting))
+    for probed in (1, 16):  # few blocks probed: most are ruled out by their bounds or scored after all
+        got = se.search(index, query, 1, 5, probed=probed).collect()
+        assert [r["id"] for r in got] == [i for _, i in want[:5]]
+        assert all(r["total"] == len(fitting) for r in got)
+        assert [round(r["score"], 6) for r in got] == [round(-s, 6) for s, _ in want[:5]]
+    every = se.rank_documents(index, query).count()
+    assert every == len(fitting)
+
+
+def test_blocks_are_ruled_out_by_their_bounds(spark, articles):
+    rows = [{"i": 1 + 2000 * k, "title": "", "content": ("word " * (20 if k == 3 else 1)) + "filler " * 30, "summary": ""} for k in range(12)]
+    index = se.build_index(articles(*rows))
+    hits = se._hits(index, ["word"], None, 0)
+    weights = se._weights(index, hits)
+    bounds = {r["block"]: r["bound"] for r in se.block_bounds(hits, weights).collect()}
+    scores = {r["id"] // se.BLOCK: r["score"] for r in se.rank_documents(index, ["word"]).collect()}
+    assert len(bounds) == 12 and all(bounds[b] >= scores[b] - 1e-9 for b in scores)
+    best = (1 + 2000 * 3) // se.BLOCK
+    assert all(b < scores[best] for block, b in bounds.items() if block != best)
+    assert [r["id"] for r in se.search(index, ["word"], 1, 1, probed=1).collect()] == [6001]
+
+
+def test_near_spellings_share_a_variant(spark, articles):
+    rng = random.Random(9)
+    vocabulary = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 7))) for _ in range(200)})
+    index = se.build_index(articles({"content": " ".join(vocabulary), "title": "", "summary": "", "source": "", "category": ""}))
+    asked = ["abca", "bb", "CCAB", "aaaaaa"]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row = [last := i + 1] + [last := min(row[j] + (x != y), row[j + 1] + 1, last + 1) for j, y in enumerate(b)]
+        return row[-1]
+
+    want = {(w, q.lower()) for q in asked for w in vocabulary if edits(w, q.lower()) <= 1}
+    assert {tuple(r) for r in se.fuzzy_terms(index, asked).collect()} == want
+    path = folder()
+    se.save_index(index, path)
+    assert {tuple(r) for r in se.fuzzy_terms(se.load_index(spark, path), asked).collect()} == want
+
+
 def test_context_for_a_question(spark, articles):
     _, g = graph_of(spark, ("\n".join(f"名字{i}" for i in range(8)), ""))
     a = articles({"i": 1, "title": "关于名字0", "summary": "s", "published_at": "2024-01-30T00:00:00"},

@@ -54,6 +54,67 @@ def test_overlay_matching_against_brute_force(spark):
         assert Counter(h["word"] for h in r["h"]) == Counter(w for w, _ in greedy(r["content"], words))
 
 
+def test_overlay_effects_against_brute_force(spark):
+    rng = random.Random(8)
+    words, bad = [("up", 0.5), ("upper", 0.7), ("per", 0.2)], [("down", 0.6), ("own", 0.1)]
+    scales, turns = {"very": 1.5, "very much": 2.0}, ("not ", "no ")
+    pieces = ["up", "upper", "per", "down", "own", "very ", "much ", "not ", "no ", "x", " ", "-", "é", "\ue001", "日"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(60))) for _ in range(80)] + ["up" * 3000]
+    df = docs(spark, *texts).withColumn("h", se.lexicon_hits("content", words, bad, scales, turns, "-"))
+    for r in df.collect():
+        want = []
+        for side in (words, bad):
+            order = sorted(side, key=lambda x: -len(x[0]))
+            found = sorted((order.index((w, dict(side)[w])), at, w) for w, at in greedy(r["content"], side))
+            for _, at, w in found:
+                near, wide = r["content"][max(at - 10, 0):at], r["content"][max(at - 20, 0):at]
+                turned = near[-1:] == "-" or "not " in near or "no " in near
+                scale = 2.0 if "very much" in wide else 1.5 if "very" in wide else 1.0
+                effect = -dict(side)[w] if turned else dict(side)[w]
+                want.append((w, effect * scale, turned, scale))
+        assert [tuple(h) for h in r["h"]] == want
+
+
+def test_term_vectors_against_counting(spark):
+    rng = random.Random(6)
+    lists = [[rng.choice(["b", "a", "é", "zz", "日"]) for _ in range(n)] for n in (0, 1, 2, 7, 300)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "id long, w array<string>")
+    for r in df.select("id", t.term_vector(F.col("w")).alias("v"), t.position_vector(F.col("w")).alias("p")).collect():
+        words = lists[r["id"]]
+        assert {x["token"]: (x["tf"], x["pos"]) for x in r["v"]} == {w: (words.count(w), words.index(w)) for w in set(words)}
+        assert {x["token"]: x["positions"] for x in r["p"]} == {w: [i for i, x in enumerate(words) if x == w] for w in set(words)}
+
+
+def test_no_text_is_shuffled_for_words(spark):
+    df = docs(spark, "one two two", "two three")
+    for made in (t.term_table(df, t.tokens("content")), keywords.keyword_rows(df, "content", 2), keywords.keywords(df, "content"),
+                 summary.summary_rank(df, "content"), se.finance_overlay(df.withColumn("base_score", F.lit(0.0)), "content")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Python" not in plan and "InPandas" not in plan
+
+
+def test_running_sums(spark):
+    from newsloom.functions import expr as e
+    lists = [[], [5], list(range(200)), [1] * 64, [2] * 65]
+    df = spark.createDataFrame([(x,) for x in lists], "v array<int>").select("v", e.running_sums(F.col("v")).alias("s"))
+    for r in df.collect():
+        assert r["s"] == [sum(r["v"][:i + 1]) for i in range(len(r["v"]))]
+
+
+def test_sentence_ranks_against_the_formula(spark):
+    rng = random.Random(7)
+    texts = [". ".join(" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff"]) for _ in range(rng.randrange(1, 6))) for _ in range(n)) for n in (1, 4, 9)]
+    df = docs(spark, *texts).select("id", summary.sentence_ranks(summary.sentences("content")).alias("r"))
+    for r in df.collect():
+        words = [set(x.split()) for x in texts[r["id"]].split(". ")]
+        holders = {w: [i for i, x in enumerate(words) if w in x] for x in words for w in x}
+        ranks = [1.0] * len(words)
+        for _ in range(10):
+            share = {w: sum(ranks[i] / len(words[i]) for i in at) / len(at) for w, at in holders.items() if len(at) > 1}
+            ranks = [0.15 + 0.85 * sum(share.get(w, 0) for w in x) for x in words]
+        assert r["r"] == pytest.approx(ranks)
+
+
 def test_base_score(spark):
     df = docs(spark, "经济增长", "经济不增长", "非常乐观", "风险", "天气", "增长" * 12)
     rows = [r["s"] for r in df.select("id", se.base_score(t.all_tokens("content")).alias("s")).orderBy("id").collect()]
