@@ -169,32 +169,6 @@ LINK_RULES = {
     "jiemian": "href like '%jiemian.com/article%' or href like '%jiemian.com/news%'",
 }
 
-# --- fixed values: page body selectors (tag, attribute, value) ---------------
-SITE_SELECTORS = {
-    "sina.com.cn": [("div", "id", "artibody"), ("div", "class", "article"), ("div", "class", "main-article")],
-    "eastmoney.com": [("div", "class", "Body"), ("div", "id", "ContentBody"), ("div", "class", "newsContent")],
-    "10jqka.com.cn": [("div", "class", "txtContent"), ("div", "class", "detail-txt"), ("div", "class", "article-content")],
-    "yicai.com": [("div", "class", "article-detail"), ("div", "class", "m-detail-content")],
-    "cls.cn": [("div", "class", "detail-content"), ("div", "class", "article-detail")],
-    "wallstreetcn.com": [("div", "class", "article__content"), ("div", "class", "live-item-detail")],
-    "163.com": [("div", "id", "endText"), ("div", "class", "post_body")],
-    "finance.sina.com.cn": [("div", "id", "artibody"), ("div", "class", "article")],
-    "caixin.com": [("div", "id", "Main_Content_Val"), ("div", "class", "article-content"), ("div", "class", "textbox")],
-    "jiemian.com": [("div", "class", "article-content"), ("div", "class", "article-main"), ("div", "class", "main-content")],
-    "tmtpost.com": [("div", "class", "article-body"), ("div", "class", "post-content"), ("div", "class", "inner")],
-    "36kr.com": [("div", "class", "article-body"), ("div", "class", "common-width")],
-}
-SKIP_NAME_PATTERN = (
-    r"(nav|menu|sidebar|footer|comment|share|related|ad[_-]|banner|toolbar|"
-    r"recommend|subscribe|login|register|breadcrumb|pager|page[_-]?nav|hot[_-]|rank[_-])"
-)
-BODY_CLASS_PATTERN = (
-    r"^(article[-_]?body|article[-_]?content|news[-_]?content|post[-_]?content|"
-    r"story[-_]?content|detail[-_]?content|content[-_]?detail|article-box)"
-)
-BODY_ID_PATTERN = r"^(article|content|newsContent|detail|arcBody|storyBody)"
-BODY_CLASS_SIMPLE_PATTERN = r"^(article|news-content|post-content|detail|story|content-wrap)"
-
 # --- fixed values: entity graph ----------------------------------------------
 ENTITY_FUNCTION_CHARS = ["是", "的", "了", "在", "和", "与", "被", "为"]
 ENTITY_SUFFIXES = ["公司", "有限公司", "股份有限公司", "集团", "科技"]
@@ -203,22 +177,6 @@ FALLBACK_DESCRIPTION = "在新闻中被同时提及"
 
 # --- fixed values: events, limits, metrics -----------------------------------
 EVENT_TYPES = ["article_click", "article_view", "search_click", "search_query"]
-# path -> (accepted calls, window in seconds)
-RATE_RULES = {
-    "/api/guest/submit": (5, 60),
-    "/api/guest/message": (5, 60),
-    "/api/guest/login": (10, 60),
-    "/api/guest/assign-id": (20, 60),
-    "/api/news/latest": (120, 60),
-    "/api/news/fresh": (120, 60),
-    "/api/news/search": (60, 60),
-    "/api/analysis": (60, 60),
-    "/api/analysis/hero": (120, 60),
-    "/api/graph-rag/query": (30, 60),
-    "/api/graph-rag/entity-timeline": (30, 60),
-    "/api/health": (120, 60),
-}
-DEFAULT_RATE = (100, 60)
 LATENCY_BUCKETS_MS = [5, 10, 25, 50, 100, 250, 500, 1000, 2000, 5000]
 SUPPORTED_LANGUAGES = {"zh": "中文", "en": "英文", "ja": "日文", "ko": "韩文", "fr": "法文", "de": "德文"}
 TRANSLATE_MARK = "[Translate required] "

@@ -249,10 +249,6 @@ def quality_parts(title, content, source, published_at, now,
 
 # --- URLs --------------------------------------------------------------------
 
-def url_host(url) -> Column:
-    return F.coalesce(F.try_parse_url(col(url), F.lit("HOST")), F.lit(""))
-
-
 def absolute_url(base, href) -> Column:
     """`href` as seen from the page `base`."""
     base, href = col(base), col(href)

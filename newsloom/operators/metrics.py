@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom import fixed_values as fv
 from newsloom.operators.ranking import attach
+from newsloom.session import cut
 
 
 def request_counts(log: DataFrame) -> DataFrame:
@@ -23,8 +24,47 @@ def latency_histogram(log: DataFrame, buckets=fv.LATENCY_BUCKETS_MS) -> DataFram
     return wide.select("method", "path", "total", "sum_ms", F.inline(rows))
 
 
-def latency_quantile(log: DataFrame, q: float = 0.95, accuracy: int = 10000) -> DataFrame:
-    return log.groupBy("method", "path").agg(F.percentile_approx("duration_ms", q, accuracy).alias("latency"))
+def exact_quantile(rows: DataFrame, keys: list[str], value: str, q: float, cells: int = 1024, rounds: int = 2) -> DataFrame:
+    """(keys…, quantile): the least value of each group that a share of at least q
+    of its values does not exceed, without holding a group's values together.
+
+    A round counts the group's values in `cells` cells between its bounds, finds the
+    cell that holds the wanted rank, and makes its least and greatest value the next
+    bounds. Values of the last cell are counted one by one."""
+    rows = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    state = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).withColumn(
+        "_want", F.greatest(F.ceil(F.col("_n") * q), F.lit(1)))
+    order = Window.partitionBy(*keys)
+    for step in range(rounds + 1):
+        inside = rows.join(state, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        width = (F.col("_hi") - F.col("_lo")) / cells
+        cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(cells - 1))).otherwise(F.lit(0))
+        last = step == rounds
+        counted = inside.groupBy(*keys, (F.col("_v") if last else cell).alias("_cell")).agg(
+            F.count("*").alias("_c"), F.first("_want").alias("_want"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.sum("_c").over(order.orderBy("_cell"))
+        found = counted.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_c") < F.col("_want")))
+        state = cut(found.select(*keys, "_lo", "_hi", (F.col("_want") - (F.col("_upto") - F.col("_c"))).alias("_want")))
+    return state.select(*keys, F.col("_lo").alias("quantile"))
+
+
+def latency_quantile(log: DataFrame, q: float = 0.95) -> DataFrame:
+    """The exact quantile of every method and path."""
+    return exact_quantile(log, ["method", "path"], "duration_ms", q).withColumnRenamed("quantile", "latency")
+
+
+def latency_sketches(log: DataFrame, window: str = "1 hour", k: int = 800) -> DataFrame:
+    """(window, method, path, n, sketch): a mergeable KLL sketch of the durations of
+    every window. Its size depends on k, not on the events."""
+    return log.groupBy(F.window("ts", window).alias("window"), "method", "path").agg(
+        F.count("duration_ms").alias("n"), F.kll_sketch_agg_double(F.col("duration_ms").cast("double"), F.lit(k)).alias("sketch"))
+
+
+def sketched_quantile(sketches: DataFrame, q: float = 0.95, *keys: str) -> DataFrame:
+    """(keys…, n, latency) over all windows of the given sketches: they are merged,
+    and events are not read again."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_s"))
+    return merged.select(*keys, "n", F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias("latency"))
 
 
 def crawl_article_counts(log: DataFrame) -> DataFrame:

@@ -81,22 +81,3 @@ def previous_where(df: DataFrame, keys: list[str], at: str, tie: str, flag: Colu
         .withColumn(name, F.coalesce("_inside", "_carry"))
         .drop("_mark", "_bucket", "_inside", "_carry")
     )
-
-
-def running_count(df: DataFrame, keys: list[str], at: str, tie: str, flag: Column,
-                  name: str, bucket_seconds: int = 3600) -> DataFrame:
-    """Number of rows up to and including this one for which `flag` holds,
-    per key in time order; bucketed like `previous_where`."""
-    marked = df.withColumn("_one", F.when(flag, 1).otherwise(0)).withColumn(
-        "_bucket", F.floor(F.unix_seconds(at) / bucket_seconds)
-    )
-    sums = marked.groupBy(*keys, "_bucket").agg(F.sum("_one").alias("_sum"))
-    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*keys, "_bucket", F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_carry"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        marked.withColumn("_inside", F.sum("_one").over(inside))
-        .join(carry, [*keys, "_bucket"])
-        .withColumn(name, F.col("_inside") + F.col("_carry"))
-        .drop("_one", "_bucket", "_inside", "_carry")
-    )

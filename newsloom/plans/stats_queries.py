@@ -83,9 +83,11 @@ def home_stats(spark, sf):
 @query("sentiment_summary", v.with_views(v.SQL_ANALYSIS) + """
  select count(*) total, count(*) filter (sentiment_label = 'positive') positive,
    count(*) filter (sentiment_label = 'negative') negative, count(*) filter (sentiment_label = 'neutral') neutral,
-   round(avg(sentiment_score),4) average from analysis""")
+   round(avg(sentiment_score),4) average, 'negative=' || count(*) filter (sentiment_label = 'negative') || ' neutral='
+   || count(*) filter (sentiment_label = 'neutral') || ' positive=' || count(*) filter (sentiment_label = 'positive') distribution from analysis""")
 def sentiment_summary(spark, sf):
-    return stats.sentiment_summary(v.analysis(spark, sf)).drop("distribution")
+    entries = F.transform(F.array_sort(F.map_entries("distribution")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    return stats.sentiment_summary(v.analysis(spark, sf)).withColumn("distribution", F.array_join(entries, " "))
 
 
 @query("breakdown_source_category", JOINED + """

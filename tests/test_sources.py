@@ -303,3 +303,29 @@ def test_roll_entries_take_page_bodies(spark):
     bodies = spark.createDataFrame([("http://b", BODY)], "url string, body string")
     got = rows(feeds.sina_roll(landed(spark, {"result": {"data": items}}), bodies, NOW))
     assert [(r["title"], r["content"], r["source"]) for r in got] == [("题", BODY, "新浪财经")]
+
+
+def test_graph_is_saved_and_loaded(spark):
+    _, g = graph_of(spark, ("甲乙公司\n丙丁集团", ""), ("甲乙", ""))
+    path = folder()
+    gr.save_graph(g, path)
+    again = gr.load_graph(spark, path)
+    for part in gr.PARTS:
+        assert sorted(map(str, getattr(again, part).collect())) == sorted(map(str, getattr(g, part).collect()))
+    assert gr.graph_statistics(again).first() == gr.graph_statistics(g).first()
+
+
+def test_plugged_in_source(spark):
+    feeds.add_source("mine", lambda frame, now: frame.select(F.col("payload").alias("title"), F.lit(now).alias("published_at")))
+    try:
+        got = feeds.normalize_feed(landed(spark, "one", "two"), "mine", NOW).collect()
+        assert sorted((r["title"], r["published_at"]) for r in got) == [("one", NOW), ("two", NOW)]
+    finally:
+        feeds.SOURCES.pop("mine")
+
+
+def test_lists_are_split(spark):
+    from newsloom.operators import listing
+    df = spark.createDataFrame([("a,b", "x"), ("", "y,z"), (None, "")], "tags string, keywords string")
+    got = [tuple(r) for r in listing.split_lists(df, "tags", "keywords").collect()]
+    assert got == [(["a", "b"], ["x"]), ([], ["y", "z"]), ([], [])]

@@ -226,3 +226,30 @@ def test_a_stop_before_the_switch_keeps_the_old_version(spark, articles, monkeyp
     assert {r["title"] for r in store.read_buckets(spark, path).collect()} == {"title 1", "title 2"}
     store.vacuum(spark, path)  # what the stopped write left goes
     assert store.read_buckets(spark, path).count() == 2 and len({f.split("/")[0] for f in bucket_files(path)}) == 1
+
+
+def test_exact_quantiles_against_sorting(spark):
+    import random
+    rng = random.Random(4)
+    groups = {"a": [rng.gauss(50, 20) for _ in range(3001)], "b": [7.0] * 50, "c": [1.0], "d": [rng.randrange(5) for _ in range(400)],
+              "e": [0.001 * i * i for i in range(2000)] + [1e9]}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in groups.items() for x in xs] + [("a", None)], "k string, v double")
+    for q in (0.01, 0.5, 0.95, 1.0):
+        for cells, rounds in ((4, 1), (16, 2), (1024, 2)):
+            got = {r["k"]: r["quantile"] for r in metrics.exact_quantile(df, ["k"], "v", q, cells, rounds).collect()}
+            assert got == {k: sorted(map(float, xs))[max(math.ceil(len(xs) * q), 1) - 1] for k, xs in groups.items()}
+
+
+def test_sketches_merge_within_their_error(spark):
+    log = spark.range(20000).select(F.lit("GET").alias("method"), F.when(F.col("id") % 3 == 0, "/a").otherwise("/b").alias("path"),
+                                    ((F.col("id") * 7919) % 20000).cast("double").alias("duration_ms"),
+                                    F.timestamp_seconds(F.col("id") * 11).alias("ts"))
+    sketches = metrics.latency_sketches(log)
+    assert sketches.count() > 100
+    for q in (0.1, 0.5, 0.95, 0.99):
+        for r in metrics.sketched_quantile(sketches, q, "path").collect():
+            values = log.filter(F.col("path") == r["path"])
+            rank = values.filter(F.col("duration_ms") <= r["latency"]).count() / r["n"]
+            assert r["n"] == values.count() and abs(rank - q) < 0.01
+    merged = metrics.sketched_quantile(sketches, 0.5).first()
+    assert merged["n"] == 20000 and abs(merged["latency"] - 10000) < 250
