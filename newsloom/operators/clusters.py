@@ -9,7 +9,11 @@ The similarity join is exact and never compares all pairs:
    those are its rare words.
 3. A word in very many prefixes is joined only between vectors that it and the
    commoner words dominate.
-4. The join on the other prefix words sums the part of the cosine it sees. Words it does
+4. Clusters need links, not all pairs. First each prefix word ties its vectors to
+   the one that it weighs most in, which is linear and joins families of near
+   copies; after that only words that are still in several components make pairs,
+   and only across them. A pair inside a component would add nothing.
+5. The join on the other prefix words sums the part of the cosine it sees. Words it does
    not see lie behind one of the prefixes, so their part is at most the length
    of that tail times the other vector's length behind the last shared word.
    Pairs below the threshold even with that part are dropped; only the few left
@@ -42,30 +46,57 @@ def weighted_terms(terms: DataFrame, documents: DataFrame) -> DataFrame:
     return raw.withColumn("w", F.col("w") / norm)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, crowd: int = 5000) -> DataFrame:
-    """(a, b, cosine) of all vectors (id, token, df, w) at or above the
-    threshold, a < b."""
+def _prefixes(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(id, token, w, rest, after, tail): the prefix words of all vectors."""
     rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
     square = F.col("w") * F.col("w")
     left = vectors.withColumn("rest", F.sqrt(F.sum(square).over(rest))).withColumn(
         "after", F.sqrt(F.greatest(F.col("rest") * F.col("rest") - square, F.lit(0.0))))
-    per_vector = Window.partitionBy("id")
-    prefix = left.filter(F.col("rest") >= threshold - SLACK).withColumn("tail", F.min("after").over(per_vector))
-    prefix = cut(prefix.select("id", "token", "w", "rest", "after", "tail"))
+    prefix = left.filter(F.col("rest") >= threshold - SLACK).withColumn("tail", F.min("after").over(Window.partitionBy("id")))
+    return cut(prefix.select("id", "token", "w", "rest", "after", "tail"))
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, crowd: int = 5000) -> DataFrame:
+    """(a, b, cosine) of all vectors (id, token, df, w) at or above the
+    threshold, a < b."""
+    prefix = _prefixes(vectors, threshold).withColumn("component", F.col("id"))
+    return _exact(vectors, _candidates(prefix, threshold, crowd), threshold)
+
+
+def similar_components(vectors: DataFrame, threshold: float, crowd: int = 5000) -> DataFrame:
+    """(node, component) of the vectors that are linked to another one: the
+    components of all similar pairs, from few of them."""
+    prefix = _prefixes(vectors, threshold)
+    heaviest = prefix.groupBy("token").agg(F.max(F.struct("w", "id", "after")).alias("c")).select(
+        "token", F.col("c.id").alias("centre"), F.col("c.w").alias("w_c"), F.col("c.after").alias("after_c"))
+    tied = prefix.join(heaviest, "token").filter(
+        (F.col("id") != F.col("centre")) & (F.col("w") * F.col("w_c") + F.col("after") * F.col("after_c") >= threshold - SLACK))
+    # of all its centres a vector meets those of its three heaviest prefix words
+    best = keep_first(tied, ["id"], [F.desc(F.col("w") * F.col("w_c")), F.asc("token")], 3)
+    pairs = best.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    links = cut(_exact(vectors, pairs, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    stars = connected_components(links).withColumnRenamed("node", "id")
+    named = cut(prefix.join(stars, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    open_tokens = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
+    across = _candidates(cut(named.join(open_tokens, "token", "left_semi")), threshold, crowd)
+    more = _exact(vectors, across, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return connected_components(links.unionByName(more))
+
+
+def _candidates(prefix: DataFrame, threshold: float, crowd: int) -> DataFrame:
+    """(a, b) across components that may reach the threshold."""
     often = prefix.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd)
     if not often.limit(1).count():
-        candidates = _rare_candidates(prefix.withColumn("common", F.lit(0.0)), threshold)
-    else:
-        marked = prefix.join(often.select("token", F.lit(True).alias("crowded")), "token", "left")
-        share = F.sum(F.when(F.col("crowded"), square).otherwise(0.0)).over(per_vector)
-        marked = cut(marked.withColumn("common", F.sqrt(share)))
-        candidates = _rare_candidates(marked.filter("crowded is null"), threshold).union(
-            _crowded_candidates(marked.filter("crowded"), threshold)).distinct()
-    return _exact(vectors, candidates, threshold)
+        return _rare_candidates(prefix.withColumn("common", F.lit(0.0)), threshold)
+    marked = prefix.join(often.select("token", F.lit(True).alias("crowded")), "token", "left")
+    share = F.sum(F.when(F.col("crowded"), F.col("w") * F.col("w")).otherwise(0.0)).over(Window.partitionBy("id"))
+    marked = cut(marked.withColumn("common", F.sqrt(share)))
+    return _rare_candidates(marked.filter("crowded is null"), threshold).union(
+        _crowded_candidates(marked.filter("crowded"), threshold)).distinct()
 
 
 def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
-    columns = ("w", "rest", "after", "tail", "common")
+    columns = ("w", "rest", "after", "tail", "common", "component")
     return rows.select("token", *more, F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
 
@@ -77,7 +108,7 @@ def _first_bound():
 def _rare_candidates(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs that share a word of both prefixes, unless what they share there,
     in crowded words and behind the prefixes cannot reach the threshold."""
-    met = _side(rows, "a").join(_side(rows, "b"), "token").filter("a < b").groupBy("a", "b").agg(
+    met = _side(rows, "a").join(_side(rows, "b"), "token").filter("a < b and component_a <> component_b").groupBy("a", "b").agg(
         F.sum(F.col("w_a") * F.col("w_b")).alias("dot"), F.max(_first_bound()).alias("first"),
         F.min("after_a").alias("after_a"), F.min("after_b").alias("after_b"),
         F.max("tail_a").alias("tail_a"), F.max("tail_b").alias("tail_b"),
@@ -99,7 +130,7 @@ def _crowded_candidates(rows: DataFrame, threshold: float, levels: int = 8) -> D
     two = _side(placed, "b", "level").withColumnRenamed("level", "reach")
     # spread a crowded word over its levels and, at run time, over split partitions
     return one.join(two, ["token", "reach"]).filter(
-        (F.col("a") < F.col("b")) & (_first_bound() >= threshold - SLACK)).select("a", "b").distinct()
+        (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (_first_bound() >= threshold - SLACK)).select("a", "b").distinct()
 
 
 def _exact(vectors: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
@@ -128,8 +159,7 @@ def cluster_members(a: DataFrame, threshold: float = 0.4, chars: int | None = No
     bags = cut(bags)
     first = bags.groupBy("bag").agg(F.min("id").alias("rep"), F.count("*").alias("_n"))
     vectors = cut(weighted_terms(terms, documents).join(first.select(F.col("rep").alias("id")), "id", "left_semi"))
-    pairs = similar_pairs(vectors, threshold, crowd)
-    roots = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    roots = similar_components(vectors, threshold, crowd)
     grouped = first.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "cluster", F.coalesce("component", "rep"))
     # a bag of copies is a cluster by itself; a lone article is none

@@ -10,20 +10,17 @@ differ, so cutting those into threshold + 1 blocks leaves one block equal.
 Segment and block together form a key of about 26 bits instead of 16: the join
 stays complete and its buckets are a thousand times smaller.
 
-Crowded buckets. For clustering only, a bucket with more than `crowd` distinct
-fingerprints is not paired at all. Two fingerprints differ in at most t bits
-exactly when some value lies within ceil(t/2) bits of one and floor(t/2) bits
-of the other; so each member names all values around it and is tied to the
-smallest member around the same value. That is linear in the bucket and gives
-the same components.
+Clusters need links, not all pairs. In every bucket each fingerprint is tied to the
+bucket's smallest one and to its neighbour in numeric order, if they are near, which
+is linear and joins families; after that only buckets that still hold several
+components make pairs, and only across them. One way for every threshold.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.functions import expr as e, text as t
 from newsloom.operators.components import connected_components
@@ -140,74 +137,41 @@ def fingerprint_pairs(fps: DataFrame, threshold: int = MATCH_THRESHOLD, keyed: D
     ).select("fp_a", "fp_b", distance(a, b).alias("distance"))
 
 
-def _around(spark, threshold: int) -> DataFrame:
-    """(k, flip, d): all changes of up to ceil(t/2) free bits per key. Its size
-    depends on the threshold only."""
-    radius = (threshold + 1) // 2
-    frames = []
-    for k, (_, free) in enumerate(_key_bits(threshold)):
-        bits = F.array(*[_long(1 << b) for b in free])
-        base = spark.range(1).select(F.lit(k).alias("k"), bits.alias("bits"))
-        level = base.select("k", "bits", F.lit(0).cast("bigint").alias("flip"), F.lit(0).alias("d"), F.lit(-1).alias("last"))
-        frames.append(level)
-        for _ in range(radius):
-            level = level.select("k", "bits", "flip", "d", "last", F.posexplode("bits").alias("i", "bit")).filter(
-                "i > last").select("k", "bits", F.col("flip").bitwiseOR(F.col("bit")).alias("flip"),
-                                   (F.col("d") + 1).alias("d"), F.col("i").alias("last"))
-            frames.append(level)
-    return reduce(DataFrame.union, frames).select("k", "flip", "d")
-
-
-def crowd_edges(keyed: DataFrame, threshold: int) -> DataFrame:
-    """Edges that connect all near duplicates inside the given buckets without
-    forming pairs; see the module text."""
-    flips = F.broadcast(_around(keyed.sparkSession, threshold))
-    near = keyed.join(flips, "k").select(
-        "k", "fp", "d", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
-    centre = near.groupBy("k", "value").agg(
-        F.min(F.when(F.col("d") <= threshold // 2, F.col("fp"))).alias("centre"), F.count("*").alias("_n")
-    ).filter("_n > 1 and centre is not null")
-    return near.join(centre, ["k", "value"]).filter("fp <> centre").select(
-        F.col("fp").alias("src"), F.col("centre").alias("dst")).distinct()
-
-
-def fingerprint_components(fps: DataFrame, threshold: int = MATCH_THRESHOLD, crowd: int = 2000) -> DataFrame:
+def fingerprint_components(fps: DataFrame, threshold: int = MATCH_THRESHOLD) -> DataFrame:
     """(fp, root) for the distinct fingerprints that have a near duplicate."""
-    if threshold > 6:
-        pairs = fingerprint_pairs(fps, threshold)
-        edges = pairs.select(F.col("fp_a").alias("src"), F.col("fp_b").alias("dst"))
-    else:
-        keyed = _keyed(fps, threshold)
-        sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("_n")).filter("_n > 1")
-        crowded = sizes.filter(F.col("_n") > crowd).select("k", "v")
-        # a pair may share a crowded and an ordinary bucket; both ways agree
-        shared = keyed.join(sizes.filter(F.col("_n") <= crowd).select("k", "v"), ["k", "v"], "left_semi")
-        left = shared.select("k", "v", F.col("fp").alias("src"))
-        right = shared.select("k", "v", F.col("fp").alias("dst"))
-        plain = left.join(right, ["k", "v"]).filter(
-            (F.col("src") > F.col("dst")) & (distance("src", "dst") <= threshold)).select("src", "dst")
-        edges = plain
-        if crowded.limit(1).count():
-            edges = plain.union(crowd_edges(keyed.join(crowded, ["k", "v"], "left_semi"), threshold))
-    return connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    keyed = cut(_keyed(fps, threshold))
+    smallest = keyed.groupBy("k", "v").agg(F.min("fp").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    shared = keyed.join(smallest, ["k", "v"])
+    before = F.lag("fp").over(Window.partitionBy("k", "v").orderBy("fp"))
+    ties = shared.withColumn("_before", before).select(F.col("fp").alias("src"), F.explode(F.array("_first", "_before")).alias("dst"))
+    near = (F.col("src") != F.col("dst")) & (distance("src", "dst") <= threshold)
+    links = cut(ties.filter(near).distinct())
+    stars = connected_components(links).withColumnRenamed("node", "fp")
+    named = cut(shared.select("k", "v", "fp").join(stars, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    several = named.groupBy("k", "v").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("k", "v")
+    open_rows = cut(named.join(several, ["k", "v"], "left_semi"))
+    side = lambda c: open_rows.select("k", "v", F.col("fp").alias(c), F.col("component").alias(f"_{c}"))
+    across = side("src").join(side("dst"), ["k", "v"]).filter(
+        (F.col("src") > F.col("dst")) & (F.col("_src") != F.col("_dst")) & (distance("src", "dst") <= threshold)).select("src", "dst")
+    return connected_components(links.union(across)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
 # --- clusters and stages -----------------------------------------------------
 
-def with_clusters(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str = "full", crowd: int = 2000,
+def with_clusters(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str = "full",
                   prints: DataFrame | None = None) -> DataFrame:
     """Add `fp` and `root` (the cluster's name) to every row."""
     prints = cut(fingerprints(a, rule)) if prints is None else prints
-    roots = fingerprint_components(prints.select("fp").distinct(), threshold, crowd)
+    roots = fingerprint_components(prints.select("fp").distinct(), threshold)
     named = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return a.join(named, "id")
 
 
-def near_dup_clusters(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str = "full", crowd: int = 2000) -> DataFrame:
+def near_dup_clusters(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str = "full") -> DataFrame:
     """(id, article_id, cluster, representative): a cluster carries its first
     row's id; its longest text, ties to the earliest, represents it."""
     slim = a.select("id", "article_id", "title", "summary", "content")
-    members = with_clusters(slim, threshold, rule, crowd).select(
+    members = with_clusters(slim, threshold, rule).select(
         "id", "article_id", "root", F.length(e.text_or_empty("content")).alias("len"))
     members = cut(members)
     first = members.groupBy("root").agg(F.min("id").alias("cluster"))

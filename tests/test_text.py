@@ -198,6 +198,24 @@ def test_clusters_against_all_pairs(spark, articles, threshold, crowd):
     assert got == brute_clusters(texts, threshold)
 
 
+def test_near_copies_make_linearly_many_pairs(spark, articles, monkeypatch):
+    rng = random.Random(12)
+    base = [f"word{i}" for i in range(40)]
+    rows = []
+    for i in range(250):
+        words = list(base)
+        words[rng.randrange(40)] = f"other{i}"
+        rows.append({"title": "", "content": " ".join(words)})
+    rows += [{"title": "", "content": f"lonely{i} text{i} of{i} its{i} own{i}"} for i in range(20)]
+    made = []
+    exact = clusters._exact
+    monkeypatch.setattr(clusters, "_exact", lambda vectors, pairs, threshold: made.append(pairs.count()) or exact(vectors, pairs, threshold))
+    members, _ = clusters.cluster_members(articles(*rows), 0.4)
+    got = [(r["id"], r["cluster"]) for r in members.collect()]
+    assert sorted(i for i, _ in got) == list(range(1, 251)) and {c for _, c in got} == {1}
+    assert sum(made) <= 3 * 250
+
+
 def test_cluster_report(spark, articles):
     df = articles({"title": "long title of one", "content": "market rises today again"}, {"title": "one", "content": "market rises today again"},
                   {"title": "other", "content": "weather stays calm tomorrow"}, {"title": "zz", "content": "nothing shared whatsoever"})
