@@ -230,6 +230,54 @@ def collect_feeds(spark, sf):
         "article_id", "source", F.round("quality", 6).alias("quality"))
 
 
+def xml_feed(spark, sf, keep, entry, before, after):
+    """Feed documents of 20 articles each, from an entry's expression."""
+    a = v.corpus(spark, sf).filter(keep & (F.col("title") != "")).withColumn("batch", F.floor(F.col("id") / BATCH))
+    return a.groupBy("batch").agg(F.concat(F.lit(before), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("id", entry.alias("b")))), lambda s: s["b"]), ""), F.lit(after)).alias("payload"))
+
+
+LANDED = ART + f""", n as (select *, {FLAT} c, case id % 3 when 0 then 'jinshi' when 1 then 'caixin_rss' else 'yicai' end source_key from articles),
+ landed as (
+  select id, 'https://www.jinshi.cn/news/' || id u, {STRIP.format("title")} t, {STRIP.format("content")} body, source_key, '金十数据' named, published_at p
+  from n where id % 3 = 0 and {STRIP.format("title")} <> '' and {VALID.format(STRIP.format("content"))}
+  union all select id, 'http://rss.test/' || id, 't' || id, c, source_key, '财新RSS', strftime(published_ts - interval 8 hours, '%Y-%m-%dT%H:%M:%S')
+  from n where id % 3 = 1 and title <> '' and length(c) >= 500
+  union all select id, 'http://atom.test/' || id, 't' || id, c, source_key, '第一财经', published_at from n where id % 3 = 2 and title <> '' and length(c) >= 500),
+ numbered as (select *, row_number() over (partition by source_key order by id) rn,
+   least(length(body) / 100.0::double, 10) + least(length(t[:200]) / 10.0::double, 5) + case when source_key = 'jinshi' then 2 else 0 end quality from landed)
+ select substr(md5(u),1,16) article_id, named source, p published_at, md5(body) body, round(quality, 6) quality from numbered
+ where rn <= case when source_key = 'jinshi' then 50 else 33 end order by quality desc, source_key, id limit 100"""
+
+
+@query("collect_landed", LANDED)
+def collect_landed(spark, sf):
+    """One collection run from payloads: a JSON feed, an RSS feed with zoned times
+    and an Atom feed, to the best articles of all."""
+    flat = lambda c: F.trim(F.regexp_replace(F.replace(F.replace(c, F.lit("<"), F.lit(" ")), F.lit("&"), F.lit("+")), r"\s+", " "))
+    is_third = lambda n: F.col("id") % 3 == n
+    item = F.struct(_s("id").alias("id"), "title", "content", F.lit("").alias("link"), F.col("published_at").alias("time"))
+    a = v.corpus(spark, sf).filter(is_third(0)).withColumn("batch", F.floor(F.col("id") / BATCH))
+    entries = a.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", item.alias("x")))), lambda s: s["x"]).alias("xs"))
+    json = entries.select("batch", F.to_json(F.struct(F.col("xs").alias("data"))).alias("payload"))
+    stamp = F.date_format(e.parse_time("published_at"), "dd MMM yyyy HH:mm:ss")
+    rss = xml_feed(spark, sf, is_third(1), F.concat(
+        F.lit("<item><title>t"), _s("id"), F.lit("</title><link>http://rss.test/"), _s("id"), F.lit("</link><description>"), flat(F.col("content")),
+        F.lit("</description><pubDate>Mon, "), stamp, F.lit(" +0800</pubDate></item>")), "<rss><channel>", "</channel></rss>")
+    atom = xml_feed(spark, sf, is_third(2), F.concat(
+        F.lit("<entry><title>t"), _s("id"), F.lit('</title><link rel="alternate" href="http://atom.test/'), _s("id"), F.lit('"/><summary>'), flat(F.col("content")),
+        F.lit("</summary><published>"), F.col("published_at"), F.lit("Z</published></entry>")), '<feed xmlns="http://www.w3.org/2005/Atom">', "</feed>")
+    rows = [
+        feeds.normalize_feed(json, "jinshi", NOW).withColumns({"source_key": F.lit("jinshi"), "tier": F.lit("fast")}),
+        feeds.rss(rss, "财新RSS", NOW).withColumns({"source_key": F.lit("caixin_rss"), "tier": F.lit("slow")}),
+        feeds.rss(atom, "第一财经", NOW).withColumns({"source_key": F.lit("yicai"), "tier": F.lit("slow")})]
+    columns = ["article_id", "title", "content", "url", "source", "published_at", "source_key", "tier"]
+    union = rows[0].select(*columns).unionByName(rows[1].select(*columns)).unionByName(rows[2].select(*columns)).withColumn(
+        "pos", F.regexp_extract("url", r"(\d+)$", 1).cast("long"))
+    return feeds.collect_feeds(union, 200, ["金十数据"]).orderBy(F.desc("quality"), "source_key", "pos").limit(100).select(
+        "article_id", "source", "published_at", F.md5("content").alias("body"), F.round("quality", 6).alias("quality"))
+
+
 @query("source_tiers", ART + """
  select case when cast(substr(source,4) as int) % 24 < 14 then 'fast' else 'slow' end tier, count(*) n from articles group by 1""")
 def source_tiers(spark, sf):
