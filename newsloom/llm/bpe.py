@@ -12,7 +12,8 @@ Ids are carried as little-endian unsigned 32-bit integers in one binary value.
 
 Defined results: a null text is empty and has no ids. Strings of special tokens
 inside a text get their special id. Repeated rows get equal results. Bytes that
-are no UTF-8 decode to U+FFFD. An empty table gives no rows.
+are no UTF-8 decode to U+FFFD. A very long text is one row of ids. `docs` may have
+any other columns. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ every block has looked at it, so the result does not depend on the blocks.
 
 Defined results: a null text has no words. An item without words has no window.
 Items with one id are one item; an item without an id hits but is not listed.
-Repeated rows get equal results. Empty tables: no documents give no rows, no
-items give no hits.
+Repeated rows get equal results. A very long text is looked through by one task.
+`docs` may have any other columns; `apply` keeps them. Empty tables: no documents
+give no rows, no items give no hits.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ and the corpus counts of their words go to every task.
 Beside this stand the fixed phrases, counted wherever their words follow each
 other in the text.
 
-Defined results: a null text has no words. Repeated rows get equal results. An
-empty table gives no rows; without templates only phrases are found.
+Defined results: a null text has no words. Repeated rows get equal results. A very
+long text is scanned by one task. `docs` may have any other columns. An empty table
+gives no rows; without templates only phrases are found.
 """
 
 from __future__ import annotations

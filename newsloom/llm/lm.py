@@ -19,7 +19,9 @@ because their number grows with the tokens.
 
 Defined results: a null text is empty and has the end token only. A null id
 counts as empty text for the fold. Repeated rows count each and get equal
-results. N-grams are 64-bit hashes. An empty table gives no rows.
+results. N-grams are 64-bit hashes. A text of more than BLOCK_TOKENS tokens makes its
+block that much longer. `docs` may have any other columns. An empty table gives no
+rows.
 """
 
 from __future__ import annotations

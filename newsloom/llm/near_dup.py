@@ -15,7 +15,9 @@ first in bounded pieces.
 Defined results: a null or wordless text has fingerprint 0 and is linked like
 any other. Rows with a null id are fingerprinted and linked; the smallest id
 ignores them and is null only if a component has no id. Repeated rows each get
-the row of their text. An empty table gives no rows.
+the row of their text. A very long text is hashed in one task, its bits are counted
+in pieces. `docs` may have any other columns, also with the names used here. An empty
+table gives no rows.
 """
 
 from __future__ import annotations

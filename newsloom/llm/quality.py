@@ -13,7 +13,8 @@ stored, and only that is shuffled.
 
 Defined results: a null text has no words; it fails the base rules. A null host
 is a host of its own. Repeated rows get equal results. A 64-bit collision
-counts two lines as one. An empty table gives no rows.
+counts two lines as one. A very long text is measured by one task. `docs` may have
+any other columns; `apply` keeps them. An empty table gives no rows.
 """
 
 from __future__ import annotations

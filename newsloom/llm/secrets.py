@@ -12,7 +12,8 @@ gaps and matches are added up.
 
 Defined results: a null text is empty and has no match. Rows are keyed by a hash
 of id and text; a collision only makes an extra candidate. Repeated rows get
-equal results. An empty table gives no rows.
+equal results. A very long text is searched whole. `docs` may have any other
+columns. An empty table gives no rows.
 """
 
 from __future__ import annotations
