@@ -32,12 +32,12 @@ MOST_BUCKETS = 4096
 _SENT = "order int, part int, block long, hashes binary, weights binary"
 
 
-def store_blocks(blocks: DataFrame, count: int) -> DataFrame:
-    """Blocks written once as a table in buckets of their number, in the shared
-    folder. Whatever is joined to them by number comes to the buckets; the blocks
-    themselves are never shuffled. `count` is about how many blocks there are."""
+def store_blocks(blocks: DataFrame, count: int, key: str = "block") -> DataFrame:
+    """Blocks written once as a table in buckets of their number (`key`), in the
+    shared folder. Whatever is joined to them by number comes to the buckets; the
+    blocks themselves are never shuffled. `count` is about how many blocks there are."""
     spark, name = blocks.sparkSession, f"blocks_{uuid.uuid4().hex}"
-    writer = blocks.write.bucketBy(max(1, min(count, MOST_BUCKETS)), "block").sortBy("block")
+    writer = blocks.write.bucketBy(max(1, min(count, MOST_BUCKETS)), key).sortBy(key)
     writer.option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 

@@ -21,7 +21,9 @@ Defined results: a null text has no lines. Rows with a null id come after all
 others. Rows that agree in id and text are one document. Lines without a word
 take no part and stay. A given `min_bytes` is a floor for all of it: shorter
 lines take no part, all others are also linked. Lines are named by 64-bit hashes.
-An empty table gives no rows.
+A very long text is held by one task while it is split; a very long line is a line
+like any other. `docs` may have any other columns; `apply` keeps them, also those
+named like columns used here. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom.llm.common import LOWER, lists, map_rows, row_key, text_bytes
+from newsloom.llm.dealing import store_blocks
 from newsloom.operators.components import connected_components
 from newsloom.session import cut
 
@@ -172,24 +175,30 @@ def occurrences(docs: DataFrame, min_bytes: int = MIN_BYTES, doc_id: str = "doc_
     return map_rows(rows, make, "key long, doc_id long, n_lines long, line_nos array<int>, lines array<bigint>")
 
 
-def _distinct_lines(batch: pa.RecordBatch, min_bytes: int) -> dict[int, bytes]:
-    """The lines of a batch of texts that take part, once each."""
-    out = {}
-    for value in batch.column(0).to_pylist():
-        for line in map(normalised, text_bytes(value).split(b"\n")):
-            if len(line) >= min_bytes:
-                out[line_id(line)] = line
-    return out
+def distinct_lines(docs: DataFrame, min_bytes: int = LINK_BYTES, text: str = "text") -> DataFrame:
+    """(line, bytes): every different line of at least `min_bytes`, once. A batch
+    sends its own different lines, and the aggregate combines them before its
+    shuffle, so a line that stands everywhere is not hot."""
+
+    def lines(batch: pa.RecordBatch) -> dict:
+        out = {}
+        for value in batch.column(0).to_pylist():
+            for line in map(normalised, text_bytes(value).split(b"\n")):
+                if len(line) >= min_bytes:
+                    out[line_id(line)] = line
+        return {"line": pa.array(list(out), pa.int64()), "bytes": pa.array(list(out.values()), pa.binary())}
+
+    rows = map_rows(docs.select(F.col(text).alias("text")), lines, "line long, bytes binary")
+    return rows.groupBy("line").agg(F.first("bytes").alias("bytes"))
 
 
-def shared_keys(docs: DataFrame, tau: int = TAU, min_bytes: int = LINK_BYTES, text: str = "text") -> DataFrame:
+def shared_keys(lines: DataFrame, tau: int = TAU) -> DataFrame:
     """(key, line, probe): index entries and probes whose key is held by different
-    lines, one of them as an index entry."""
+    ones of the distinct `lines`, one of them as an index entry."""
 
     def keys(batch: pa.RecordBatch) -> dict:
-        lines = _distinct_lines(batch, min_bytes)
-        both = [line_keys(x, tau) for x in lines.values()]
-        own = np.fromiter(lines, np.int64, len(lines))
+        both = [line_keys(x, tau) for x in batch.column(1).to_pylist()]
+        own = batch.column(0).to_numpy(zero_copy_only=False)
         out = {"key": [], "line": [], "probe": []}
         for part in (0, 1):
             sizes = np.fromiter((len(x[part]) for x in both), np.int64, len(both))
@@ -198,7 +207,7 @@ def shared_keys(docs: DataFrame, tau: int = TAU, min_bytes: int = LINK_BYTES, te
             out["probe"].append(np.full(int(sizes.sum()), bool(part)))
         return {k: np.concatenate(v) for k, v in out.items()}
 
-    rows = map_rows(docs.select(F.col(text).alias("text")), keys, "key long, line long, probe boolean")
+    rows = map_rows(lines.select("line", "bytes"), keys, "key long, line long, probe boolean")
     dealt = rows.repartition("key").sortWithinPartitions("key", "line")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,17 +252,13 @@ def _shared(columns: list[np.ndarray], open_key) -> list[np.ndarray]:
 
 def line_links(docs: DataFrame, tau: int = TAU, min_bytes: int = LINK_BYTES, crowd: int = CROWD, text: str = "text") -> DataFrame:
     """(src, dst) for every pair of different lines within tau edits, once each."""
-    shared = cut(shared_keys(docs, tau, min_bytes, text))
+    # in buckets by line, so that the few lines looked up below come to them
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = store_blocks(distinct_lines(docs, min_bytes, text), parts, "line")
+    shared = cut(shared_keys(every, tau))
     crowded = shared.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select(
         "key", F.ceil(F.col("n") / crowd).cast("int").alias("blocks"))
-    involved = shared.select("line").distinct()
-
-    def texts(batch: pa.RecordBatch) -> dict:
-        lines = _distinct_lines(batch, min_bytes)
-        return {"line": pa.array(list(lines), pa.int64()), "bytes": pa.array(list(lines.values()), pa.binary())}
-
-    lines = map_rows(docs.select(F.col(text).alias("text")), texts, "line long, bytes binary")
-    lines = cut(lines.join(involved, "line", "left_semi").groupBy("line").agg(F.first("bytes").alias("bytes")))
+    lines = cut(every.join(shared.select("line").distinct(), "line", "left_semi"))
     blocks = F.coalesce("blocks", F.lit(1))
     dealt = shared.join(crowded, "key", "left").select("key", "line", "probe", blocks.alias("blocks")).withColumn(
         "block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
