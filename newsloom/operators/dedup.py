@@ -5,22 +5,26 @@ four 16-bit segments and differ in at most `threshold` bits. Work is done on
 *distinct* fingerprints, so any number of exact copies costs one row; members
 are joined back at the end.
 
-Candidate keys. With segment s equal, at most `threshold` of the other 48 bits
-differ, so cutting those into threshold + 1 blocks leaves one block equal.
-Segment and block together form a key of about 26 bits instead of 16: the join
-stays complete and its buckets are a thousand times smaller.
-
-Clusters need links, not all pairs. In every bucket each fingerprint is tied to the
-bucket's smallest one and to its neighbour in numeric order, if they are near, which
-is linear and joins families; after that only buckets that still hold several
-components make pairs, and only across them. One way for every threshold.
+Pairs. A fingerprint goes to its four segments, and where a segment's value is the
+same the fingerprints meet as arrays: a pair costs an exclusive or and a count of
+bits, about a nanosecond, and is not a row. What leaves a task is what is asked for:
+numbers of pairs, the matched ones, a tree of each component, or the pairs. A value
+that very many share is cut into parts that meet pairwise.
+
+A stream has keys instead (`candidate_keys`). With segment s equal, at most
+`threshold` of the other 48 bits differ, so cutting those into threshold + 1 blocks
+leaves one block equal. Segment and block together form a key of about 26 bits.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from newsloom.functions import expr as e, text as t
 from newsloom.operators.components import connected_components
@@ -30,6 +34,10 @@ from newsloom.session import cut
 BITS, SEGMENTS, WIDTH = 64, 4, 16
 MATCH_THRESHOLD = 4
 CROSS_THRESHOLD = 3
+CROWD = 1 << 14     # fingerprints of a place that one task gets
+PIECE = 1 << 16     # words whose bits are summed at once
+MEET = 1 << 20      # pairs that a task looks at at once
+LONG = 1 << 9       # a fingerprint that meets so many is compared with them alone
 
 
 # --- fingerprints ------------------------------------------------------------
@@ -44,39 +52,42 @@ TEXT_RULES = {"lead": lead_text, "full": t.article_text}
 
 def fingerprint_of(text: Column) -> Column:
     """The fingerprint of a text as a signed long: per bit the majority over the
-    md5 of all words; no words give 0. It is counted inside the row over the
-    distinct words and their frequencies, with bits j and j + 32 in the two halves
-    of one sum, so a stream can carry it and nothing is shuffled."""
-    words = F.transform(t.term_vector(t.tokens(text)), lambda x: F.struct(
-        F.conv(F.substring(F.md5(x["token"]), 17, 16), 16, -10).cast("bigint").alias("h"), x["tf"].alias("tf")))
-    low_bits = F.lit((1 << 32) | 1)
-
-    def bits(rows: Column) -> Column:
-        n = F.aggregate(rows, F.lit(0).cast("bigint"), lambda acc, x: acc + x["tf"])
-        sums = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.aggregate(
-            rows, F.lit(0).cast("bigint"), lambda acc, x: acc + _shifted(x["h"], j).bitwiseAND(low_bits) * x["tf"]))
-        low = F.transform(sums, lambda s, j: F.when(s.bitwiseAND(F.lit((1 << 32) - 1)) * 2 > n, _one_at(j)).otherwise(F.lit(0).cast("bigint")))
-        high = F.transform(sums, lambda s, j: F.when(F.shiftrightunsigned(s, 32) * 2 > n, _one_at(j + 32)).otherwise(F.lit(0).cast("bigint")))
-        return F.aggregate(F.concat(low, high), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x))
-
-    return e.bound(words, bits)
-
-
-def _shifted(value: Column, places: Column) -> Column:
-    return F.call_function("shiftright", value, places)
-
-
-def _one_at(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
-
-
-def fingerprint(df: DataFrame, text: Column, key: str = "id") -> DataFrame:
+    md5 of all words; no words give 0. Each row is counted by itself, so a stream
+    can carry it and nothing is shuffled."""
+    return _majority(t.tokens(text))
+
+
+@F.arrow_udf(LongType())
+def _majority(words: pa.Array) -> pa.Array:
+    """Fingerprints of rows of words: bits are looked up by distinct word and summed
+    over the rows, some rows at a time; a longer row in pieces."""
+    return pa.array(majority_bits(words).view(np.int64))
+
+
+def majority_bits(words: pa.Array) -> np.ndarray:
+    coded = words.flatten().dictionary_encode()
+    hashes = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[8:], "big") for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+    bits = np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1)
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    sizes = np.asarray(words.value_lengths().fill_null(0), dtype=np.int64)
+    counts = np.zeros((len(sizes), BITS), dtype=np.int64)
+    ends = np.cumsum(sizes)
+    for at in range(0, len(code), PIECE):
+        stop = min(at + PIECE, len(code))
+        rows = np.arange(np.searchsorted(ends, at, side="right"), np.searchsorted(ends, stop - 1, side="right") + 1)
+        rows = rows[sizes[rows] > 0]
+        begin = np.maximum(ends[rows] - sizes[rows], at) - at
+        counts[rows] += np.add.reduceat(bits[code[at:stop]], begin, axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > sizes[:, None], axis=1).reshape(-1).view(np.uint64).byteswap()
+
+
+def fingerprint(df: DataFrame, text: Column, *keys: str) -> DataFrame:
     """(key, fp) for every row."""
-    return df.select(key, fingerprint_of(text).alias("fp"))
+    return df.select(*(keys or ["id"]), fingerprint_of(text).alias("fp"))
 
 
-def fingerprints(a: DataFrame, rule: str = "full", key: str = "id") -> DataFrame:
-    return fingerprint(a, TEXT_RULES[rule](), key)
+def fingerprints(a: DataFrame, rule: str = "full", *keys: str) -> DataFrame:
+    return fingerprint(a, TEXT_RULES[rule](), *keys)
 
 
 def _long(value: int) -> Column:
@@ -113,47 +124,162 @@ def candidate_keys(fp, threshold: int) -> Column:
                      for k, (mask, _) in enumerate(_key_bits(threshold))])
 
 
-def _keyed(fps: DataFrame, threshold: int) -> DataFrame:
-    """One row per fingerprint and key: (fp, k, v)."""
-    return fps.select("fp", F.explode(candidate_keys("fp", threshold)).alias("key")).select("fp", "key.k", "key.v")
-
-
-def _first_key(a: Column, b: Column, threshold: int) -> Column:
-    """Number of the first key on which two fingerprints agree."""
-    differing = a.bitwiseXOR(b)
-    return F.coalesce(*[
-        F.when(differing.bitwiseAND(_long(m)) == 0, F.lit(k)) for k, (m, _) in enumerate(_key_bits(threshold))])
-
-
-def fingerprint_pairs(fps: DataFrame, threshold: int = MATCH_THRESHOLD, keyed: DataFrame | None = None) -> DataFrame:
-    """(fp_a, fp_b, distance) of distinct fingerprints; each pair comes out of
-    the first key it shares, so no pair is ever produced twice."""
-    rows = _keyed(fps, threshold) if keyed is None else keyed
-    left = rows.select("k", "v", F.col("fp").alias("fp_a"))
-    right = rows.select("k", "v", F.col("fp").alias("fp_b"))
-    a, b = F.col("fp_a"), F.col("fp_b")
-    return left.join(right, ["k", "v"]).filter(
-        (a < b) & (distance(a, b) <= threshold) & (_first_key(a, b, threshold) == F.col("k"))
-    ).select("fp_a", "fp_b", distance(a, b).alias("distance"))
-
-
-def fingerprint_components(fps: DataFrame, threshold: int = MATCH_THRESHOLD) -> DataFrame:
-    """(fp, root) for the distinct fingerprints that have a near duplicate."""
-    keyed = cut(_keyed(fps, threshold))
-    smallest = keyed.groupBy("k", "v").agg(F.min("fp").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    shared = keyed.join(smallest, ["k", "v"])
-    before = F.lag("fp").over(Window.partitionBy("k", "v").orderBy("fp"))
-    ties = shared.withColumn("_before", before).select(F.col("fp").alias("src"), F.explode(F.array("_first", "_before")).alias("dst"))
-    near = (F.col("src") != F.col("dst")) & (distance("src", "dst") <= threshold)
-    links = cut(ties.filter(near).distinct())
-    stars = connected_components(links).withColumnRenamed("node", "fp")
-    named = cut(shared.select("k", "v", "fp").join(stars, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    several = named.groupBy("k", "v").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("k", "v")
-    open_rows = cut(named.join(several, ["k", "v"], "left_semi"))
-    side = lambda c: open_rows.select("k", "v", F.col("fp").alias(c), F.col("component").alias(f"_{c}"))
-    across = side("src").join(side("dst"), ["k", "v"]).filter(
-        (F.col("src") > F.col("dst")) & (F.col("_src") != F.col("_dst")) & (distance("src", "dst") <= threshold)).select("src", "dst")
-    return connected_components(links.union(across)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+# --- pairs -------------------------------------------------------------------
+
+def _placed(fps: DataFrame, *more: str) -> DataFrame:
+    """(place, fp, *more): one row per fingerprint and segment; the place is the
+    segment's number and value."""
+    places = F.array(*[segment("fp", i) + (i << WIDTH) for i in range(SEGMENTS)])
+    return fps.select(F.explode(places).alias("place"), "fp", *more)
+
+
+def _dealt(placed: DataFrame, *more: str, crowd: int | None = None) -> DataFrame:
+    """(place, low, high, part, fp, *more): a place that holds more than `crowd`
+    fingerprints is cut into parts that meet pairwise, so no task gets a whole
+    crowded place. low = high = part where it is one part."""
+    crowd = crowd or CROWD
+    crowded = placed.groupBy("place").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd).select(
+        "place", F.ceil(F.col("_n") / crowd).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    part = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    met = placed.join(crowded, "place", "left").select("place", "fp", *more, part.alias("part"), F.explode(
+        F.sequence(F.lit(0), parts - 1)).alias("other"))
+    return met.select("place", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "fp", *more)
+
+
+class _Meeting:
+    """The fingerprints of some places, and the near pairs among them."""
+
+    def __init__(self, table: pa.Table, threshold: int):
+        one = lambda c: table.column(c).to_numpy()
+        place, low, high, part = (one(c).astype(np.int64) for c in ("place", "low", "high", "part"))
+        order = np.lexsort((part, high, low, place))
+        self.fp = one("fp")[order].view(np.uint64)
+        self.order, self.threshold = order, threshold
+        self.segment = (place[order] >> WIDTH).astype(np.int64)
+        key = np.stack([place, low, high])[:, order]
+        fresh = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if len(order) else np.zeros(0, np.int64)
+        size = np.diff(np.append(fresh, len(order)))
+        first = part[order] == low[order]
+        mine = np.add.reduceat(first, fresh) if len(fresh) else size
+        # each fingerprint meets those behind it, or all of the other part
+        at = np.arange(len(order))
+        group = np.repeat(np.arange(len(fresh)), size)
+        end = (fresh + size)[group]
+        one_part = (low == high)[order]
+        border = (fresh + mine)[group]
+        self.begin = np.where(one_part, at + 1, np.maximum(border, at + 1))
+        self.end = np.where(one_part | first, end, self.begin)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, distance), some at a time. A pair that shares several segments
+        comes out of the first."""
+        shift = np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(WIDTH)
+        for i, j in self._near():
+            differing = self.fp[i] ^ self.fp[j]
+            equal = ((differing[:, None] >> shift) & np.uint64((1 << WIDTH) - 1)) == 0
+            once = equal.argmax(axis=1) == self.segment[i]
+            yield i[once], j[once], np.bitwise_count(differing[once]).astype(np.int64)
+
+    def _near(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        wide = np.maximum(self.end - self.begin, 0)
+        short = np.flatnonzero((wide > 0) & (wide < LONG))
+        upto = np.cumsum(wide[short])
+        row = 0
+        while row < len(short):
+            stop = max(row + 1, int(np.searchsorted(upto, (upto[row - 1] if row else 0) + MEET, side="right")))
+            rows, n = short[row:stop], wide[short[row:stop]]
+            i = np.repeat(rows, n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + self.begin[i]
+            near = np.bitwise_count(self.fp[i] ^ self.fp[j]) <= self.threshold
+            yield i[near], j[near]
+            row = stop
+        found, n = [], 0  # many to meet: one fingerprint against all of them
+        for i in np.flatnonzero(wide >= LONG):
+            j = np.flatnonzero(np.bitwise_count(self.fp[self.begin[i]:self.end[i]] ^ self.fp[i]) <= self.threshold) + self.begin[i]
+            found.append((np.full(len(j), i), j))
+            n += len(j)
+            if n >= MEET:
+                yield tuple(np.concatenate(x) for x in zip(*found))
+                found, n = [], 0
+        if n:
+            yield tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _met(fps: DataFrame, threshold: int, make, schema: str, *more: str, crowd: int | None = None) -> DataFrame:
+    """`make` of the meetings of each shuffle partition: (columns of `more` in
+    order of the meeting, meeting) to lists of columns."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            table = pa.Table.from_batches(held)
+            meeting = _Meeting(table, threshold)
+            for columns in make([table.column(c).to_numpy()[meeting.order] for c in more], meeting):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    dealt = _dealt(_placed(fps, *more), *more, crowd=crowd)
+    # few bytes but much work per row: keep all shuffle partitions
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "place", "low", "high").mapInArrow(walk, schema)
+
+
+def fingerprint_pairs(fps: DataFrame, threshold: int = MATCH_THRESHOLD, crowd: int | None = None) -> DataFrame:
+    """(fp_a, fp_b, distance) of distinct fingerprints, each pair once."""
+
+    def make(_, meeting: _Meeting):
+        for i, j, distance in meeting.pairs():
+            a, b = meeting.fp[i].view(np.int64), meeting.fp[j].view(np.int64)
+            yield np.minimum(a, b), np.maximum(a, b), distance.astype(np.int32)
+
+    return _met(fps.select("fp"), threshold, make, "fp_a long, fp_b long, distance int", crowd=crowd)
+
+
+def pair_counts(sizes: DataFrame, threshold: int = MATCH_THRESHOLD, crowd: int | None = None) -> DataFrame:
+    """(distance, article_pairs) of fingerprints with the number n of their
+    articles. Pairs are counted where they meet and none leaves its task."""
+
+    def make(columns, meeting: _Meeting):
+        n, total = columns[0].astype(np.int64), np.zeros(BITS + 1, dtype=np.int64)
+        for i, j, distance in meeting.pairs():
+            np.add.at(total, distance, n[i] * n[j])
+        found = np.flatnonzero(total)
+        yield found.astype(np.int32), total[found]
+
+    across = _met(sizes.select("fp", "n"), threshold, make, "distance int, article_pairs long", "n", crowd=crowd)
+    inside = sizes.filter("n > 1").select(F.lit(0).alias("distance"), F.expr("n * (n - 1) div 2").alias("article_pairs"))
+    return across.unionByName(inside).groupBy("distance").agg(F.sum("article_pairs").alias("article_pairs"))
+
+
+def _forest(n: int, pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (i, j) in pieces enough to join what they all join: a node is tied
+    to the smallest of its component."""
+    label = np.arange(n)
+    for i, j in pieces:
+        while True:
+            across = label[i] != label[j]
+            if not across.any():
+                break
+            i, j = i[across], j[across]
+            np.minimum.at(label, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
+            while (label[label] != label).any():
+                label = label[label]
+    tied = np.flatnonzero(label != np.arange(n))
+    return tied, label[tied]
+
+
+def fingerprint_components(fps: DataFrame, threshold: int = MATCH_THRESHOLD, crowd: int | None = None) -> DataFrame:
+    """(fp, root) for the distinct fingerprints that have a near duplicate. A task
+    joins the pairs it meets and sends a tree of each component, not the pairs."""
+
+    def make(_, meeting: _Meeting):
+        fp, at = np.unique(meeting.fp.view(np.int64), return_inverse=True)
+        a, b = _forest(len(fp), ((at[i], at[j]) for i, j, _ in meeting.pairs()))
+        yield fp[a], fp[b]
+
+    links = _met(fps.select("fp"), threshold, make, "src long, dst long", crowd=crowd)
+    return connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
 # --- clusters and stages -----------------------------------------------------
@@ -194,7 +320,7 @@ def duplicate_groups(a: DataFrame, threshold: int = MATCH_THRESHOLD, rule: str =
     one text has many copies: `members` (fp, id, article_id) and `pairs`
     (fp_a, fp_b, distance, articles_a, articles_b, article_pairs), where
     fp_a = fp_b stands for all pairs inside a group of equal fingerprints."""
-    members = cut(fingerprints(a, rule).join(a.select("id", "article_id"), "id"))
+    members = cut(fingerprints(a, rule, "id", "article_id"))
     sizes = members.groupBy("fp").agg(F.count("*").alias("n"))
     pairs = fingerprint_pairs(sizes.select("fp"), threshold)
     n_a, n_b = sizes.select(F.col("fp").alias("fp_a"), F.col("n").alias("articles_a")), sizes.select(
@@ -222,10 +348,18 @@ def matches_stored(prints: DataFrame, stored: DataFrame, threshold: int = CROSS_
     """Rows of `prints` (key, fp) with a stored fingerprint within `threshold`
     bits; fingerprint 0 never matches. Complete for thresholds up to 3, where
     four segments must leave one equal."""
-    fresh = _keyed(prints.filter("fp <> 0").select("fp").distinct(), threshold)
-    known = _keyed(stored.filter("fp <> 0").select("fp").distinct(), threshold).withColumnRenamed("fp", "fp_b")
-    hit = fresh.join(known, (fresh["k"] == known["k"]) & (fresh["v"] == known["v"])
-                     & (distance(fresh["fp"], known["fp_b"]) <= threshold), "left_semi").select("fp").distinct()
+    live = lambda df, side: df.filter("fp <> 0").select("fp", F.lit(side).alias("side")).distinct()
+    both = live(prints, 1).union(live(stored, 2)).groupBy("fp").agg(F.sum("side").alias("sides"))
+
+    def make(columns, meeting: _Meeting):
+        fresh, known = columns[0] & 1 > 0, columns[0] & 2 > 0
+        hit = known & fresh
+        for i, j, _ in meeting.pairs():
+            hit[i[fresh[i] & known[j]]] = True
+            hit[j[fresh[j] & known[i]]] = True
+        yield (np.unique(meeting.fp[hit].view(np.int64)),)
+
+    hit = _met(both, threshold, make, "fp long", "sides").distinct()
     return prints.join(hit, "fp", "left_semi")
 
 

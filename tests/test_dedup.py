@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from newsloom import views as v
@@ -71,6 +72,58 @@ def test_pairs_are_complete_for_small_and_large_thresholds(spark):
         assert len(got) == len(set(got))
 
 
+def test_crowded_places_are_cut_and_nothing_is_lost(spark):
+    """One segment value that all share, cut into parts; places and runs of every size."""
+    rng = random.Random(5)
+    values = sorted({signed(x & 2 ** 64 - 1 & ~0xFFFF | 77) for x in families(9, 6, 40, 4)} | {signed(rng.getrandbits(64)) for _ in range(200)})
+    df = spark.createDataFrame([(x, 1 + i % 3) for i, x in enumerate(values)], "fp long, n long")
+    edges, n = brute_edges(values, 4), {x: 1 + i % 3 for i, x in enumerate(values)}
+    counts = {0: sum(k * (k - 1) // 2 for k in n.values())}
+    for a, b in edges:
+        d = bin((a ^ b) & (2 ** 64 - 1)).count("1")
+        counts[d] = counts.get(d, 0) + n[a] * n[b]
+    want = brute_components(values, edges)
+    for crowd in (1 << 14, 30):
+        pairs = [(r["fp_a"], r["fp_b"]) for r in dedup.fingerprint_pairs(df, 4, crowd).collect()]
+        assert sorted(pairs) == sorted(tuple(sorted(p)) for p in edges)
+        assert {r["distance"]: r["article_pairs"] for r in dedup.pair_counts(df, 4, crowd).collect()} == counts
+        got = {r["fp"]: r["root"] for r in dedup.fingerprint_components(df, 4, crowd).collect()}
+        assert {x: got.get(x, x) for x in values} == want
+
+
+def test_long_and_short_runs_meet_alike(monkeypatch):
+    values = families(9, 6, 40, 4)
+    table = pa.table({"place": [s << 16 | (x >> 16 * s & 0xFFFF) for x in values for s in range(4)], "low": [0] * 4 * len(values),
+                      "high": [0] * 4 * len(values), "part": [0] * 4 * len(values), "fp": [x for x in values for _ in range(4)]})
+    want = sorted(tuple(sorted(p)) for p in brute_edges(values, 4))
+    for long, meet in ((512, 1 << 20), (4, 1 << 20), (4, 9), (512, 9)):
+        monkeypatch.setattr(dedup, "LONG", long)
+        monkeypatch.setattr(dedup, "MEET", meet)
+        m = dedup._Meeting(table, 4)
+        fp = m.fp.view("i8").tolist()
+        assert sorted(tuple(sorted((fp[a], fp[b]))) for i, j, _ in m.pairs() for a, b in zip(i, j)) == want
+
+
+def test_counts_leave_a_task_as_counts(spark):
+    """A family of near copies makes more pairs than rows; only sums are rows."""
+    values = sorted({signed(1 << a | 1 << b | 1 << c) for a in range(17, 64) for b in range(a) for c in (0, 1, 2)})
+    df = spark.createDataFrame([(x, 1) for x in values], "fp long, n long")
+    plan = dedup.pair_counts(df, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "fp_a" not in plan and "Join" not in plan.split("mapInArrow")[0].split("MapInArrow")[0]
+    assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 1
+    assert sum(r["article_pairs"] for r in dedup.pair_counts(df, 4).collect()) == len(brute_edges(values, 4))
+
+
+def test_long_texts_are_summed_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    rows = [[f"w{rng.randrange(50)}" for _ in range(n)] for n in (0, 3, 900, 1, 0, 40, 0)] + [None]
+    whole = dedup.majority_bits(pa.array(rows, pa.list_(pa.string()))).tolist()
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(dedup, "PIECE", piece)
+        assert dedup.majority_bits(pa.array(rows, pa.list_(pa.string()))).tolist() == whole
+    assert whole[0] == whole[4] == whole[7] == 0 != whole[1]
+
+
 def test_components_of_families_for_every_threshold(spark):
     for seed, threshold in ((3, 4), (4, 3), (6, 2), (7, 6), (8, 10)):
         values = families(seed, 6, 8, 3 if threshold > 3 else 2)
