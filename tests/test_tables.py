@@ -253,3 +253,8 @@ def test_sketches_merge_within_their_error(spark):
             assert r["n"] == values.count() and abs(rank - q) < 0.01
     merged = metrics.sketched_quantile(sketches, 0.5).first()
     assert merged["n"] == 20000 and abs(merged["latency"] - 10000) < 250
+
+
+def test_unions_take_sides_with_unlike_partitions(spark):
+    """The graph update over 256 410 documents failed on a union whose sides the run time had split unlike."""
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
