@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import bpe, decontaminate, jaccard, line_dedup, quality
+from newsloom.llm import bpe, decontaminate, jaccard, line_dedup, near_dup, quality
 from newsloom.session import cut, prepare
 
 
@@ -34,9 +34,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word Jaccard of 0.8) stays."""
+    """One document of each group that the SimHash trie links (2 differing bits)
+    stays, then one of each group of near copies by the exact 5-word Jaccard
+    similarity of 0.8, most of which lie further apart than 2 bits."""
     prepare(spark)
-    return jaccard.drop_near_duplicates(docs)
+    return jaccard.drop_near_duplicates(cut(near_dup.drop_near_duplicates(docs)))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

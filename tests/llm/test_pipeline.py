@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from newsloom.llm import bpe, queries
+from newsloom.llm import bpe, jaccard, near_dup, queries
 
 ROOT = Path(__file__).resolve().parents[2]
 SF = "/root/testdata/sf0.001"
@@ -42,6 +42,32 @@ def test_edges_go_through(spark, documents, tmp_path):
     assert cp.run(spark, f"file://{tmp_path}").count() == 0
 
 
+def test_near_duplicates_go_by_both_links(spark, documents):
+    """Copies with other spacing and order of words (equal fingerprints) and near copies that are far apart in bits."""
+    base = [f"w{i}" for i in range(200)]
+    near = base[:100] + ["other"] + base[101:]
+    same_bits = ["a", "b", "c"] * 40, ["a", "b", "c"] * 40 + ["a"]
+    docs = documents((1, " ".join(base)), (2, " ".join(near)), (3, " ".join(same_bits[0])), (4, " ".join(same_bits[1])), (5, "short one"))
+    fps = near_dup.fingerprints([r.text for r in docs.orderBy("doc_id").collect()])
+    assert np.bitwise_count(fps[0] ^ fps[1]) > 2
+    assert sorted(r.doc_id for r in cp.near_duplicates(spark, docs, SF).collect()) == [1, 3, 5]
+    # one changed word of seven is under 0.8, yet all shingles' majority agrees in 62 bits or more: the trie's link alone
+    found = _pair_within_two_bits()
+    docs = documents((1, found[0]), (2, found[1]))
+    assert jaccard.drop_near_duplicates(docs).count() == 2
+    assert [r.doc_id for r in cp.near_duplicates(spark, docs, SF).collect()] == [1]
+
+
+def _pair_within_two_bits():
+    """Two texts with unlike sets of 5-word shingles whose frequent 3-word shingles decide all bits."""
+    for n in range(1000):
+        often = f"x{n} y{n} z{n} " * 200
+        a, b = (often + " ".join(f"{c}{i}" for i in range(12)) for c in "ab")
+        one, two = near_dup.fingerprints([a, b])
+        if np.bitwise_count(one ^ two) <= 2:
+            return a, b
+
+
 def test_every_operator_has_a_query():
     assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(f"op{n}" for n in range(1, 14))
 
