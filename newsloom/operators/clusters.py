@@ -1,39 +1,40 @@
 """Topic clusters: articles whose TF-IDF vectors have a cosine of at least a
 threshold, joined transitively.
 
-The similarity join is exact and never compares all pairs:
+The similarity join is exact. At the thresholds in use most texts of a language share
+words enough that a join on words makes nearly all pairs as rows, so none is made:
 1. Articles with equal word counts are one vector, so copies cost one row.
-2. Words are ordered by rarity. A vector's prefix ends where the rest of it is
-   shorter than the threshold; two vectors with a cosine at or above it must
-   share a word of both prefixes, so only prefix words make candidates, and
-   those are its rare words.
-3. A word in very many prefixes is joined only between vectors that it and the
-   commoner words dominate.
-4. Clusters need links, not all pairs. First each prefix word ties its vectors to
-   the one that it weighs most in, which is linear and joins families of near
-   copies; after that only words that are still in several components make pairs,
-   and only across them. A pair inside a component would add nothing.
-5. The join on the other prefix words sums the part of the cosine it sees. Words it does
-   not see lie behind one of the prefixes, so their part is at most the length
-   of that tail times the other vector's length behind the last shared word.
-   Pairs below the threshold even with that part are dropped; only the few left
-   get their exact cosine computed.
+2. Vectors are packed into blocks of bounded size, one row each, and every two blocks
+   meet in a task that reads them from the stored table (a nested loop over blocks, no
+   shuffle). The words that most vectors of both blocks have are multiplied as matrices,
+   all others through the postings of one block.
+3. Clusters need links, not all pairs: a task joins the links it finds and sends a tree
+   of each component. Only pairs within rounding of the threshold leave it as pairs, to
+   get their cosine in one fixed way.
+Memory is bounded by two blocks and disk by the vectors; the work is still the square of
+the number of distinct vectors.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from newsloom import fixed_values as fv
 from newsloom.functions import text as t
-from newsloom.operators.components import connected_components
+from newsloom.operators.components import connected_components, forest
 from newsloom.operators.keywords import corpus_terms
 from newsloom.operators.ranking import attach, keep_first
 from newsloom.session import cut
 
-SLACK = 1e-9  # floating point room when pruning, so that no pair is lost
+SLACK = 1e-5            # far above the rounding of a sum of single-precision products
+BLOCK = 8192            # vectors of a block
+POSTINGS = 3_000_000    # and its words
+STRIP, PRODUCTS = 256, 4_000_000  # rows and products worked on at once
+DENSE, COMMON = 4096, 0.001       # columns of a matrix; share of all pairs that a word must touch to be one
 
 
 def weighted_terms(terms: DataFrame, documents: DataFrame) -> DataFrame:
@@ -46,91 +47,156 @@ def weighted_terms(terms: DataFrame, documents: DataFrame) -> DataFrame:
     return raw.withColumn("w", F.col("w") / norm)
 
 
-def _prefixes(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(id, token, w, rest, after, tail): the prefix words of all vectors."""
-    rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
-    square = F.col("w") * F.col("w")
-    left = vectors.withColumn("rest", F.sqrt(F.sum(square).over(rest))).withColumn(
-        "after", F.sqrt(F.greatest(F.col("rest") * F.col("rest") - square, F.lit(0.0))))
-    prefix = left.filter(F.col("rest") >= threshold - SLACK).withColumn("tail", F.min("after").over(Window.partitionBy("id")))
-    return cut(prefix.select("id", "token", "w", "rest", "after", "tail"))
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, crowd: int = 5000) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, crowd: int = BLOCK) -> DataFrame:
     """(a, b, cosine) of all vectors (id, token, df, w) at or above the
     threshold, a < b."""
-    prefix = _prefixes(vectors, threshold).withColumn("component", F.col("id"))
-    return _exact(vectors, _candidates(prefix, threshold, crowd), threshold)
+    met = _met(vectors, threshold, crowd, _all_pairs, "src long, dst long")
+    return _exact(vectors, met.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")), threshold)
 
 
-def similar_components(vectors: DataFrame, threshold: float, crowd: int = 5000) -> DataFrame:
+def similar_components(vectors: DataFrame, threshold: float, crowd: int = BLOCK) -> DataFrame:
     """(node, component) of the vectors that are linked to another one: the
-    components of all similar pairs, from few of them."""
-    prefix = _prefixes(vectors, threshold)
-    heaviest = prefix.groupBy("token").agg(F.max(F.struct("w", "id", "after")).alias("c")).select(
-        "token", F.col("c.id").alias("centre"), F.col("c.w").alias("w_c"), F.col("c.after").alias("after_c"))
-    tied = prefix.join(heaviest, "token").filter(
-        (F.col("id") != F.col("centre")) & (F.col("w") * F.col("w_c") + F.col("after") * F.col("after_c") >= threshold - SLACK))
-    # of all its centres a vector meets those of its three heaviest prefix words
-    best = keep_first(tied, ["id"], [F.desc(F.col("w") * F.col("w_c")), F.asc("token")], 3)
-    pairs = best.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    links = cut(_exact(vectors, pairs, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    stars = connected_components(links).withColumnRenamed("node", "id")
-    named = cut(prefix.join(stars, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    open_tokens = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
-    across = _candidates(cut(named.join(open_tokens, "token", "left_semi")), threshold, crowd)
-    more = _exact(vectors, across, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return connected_components(links.unionByName(more))
-
-
-def _candidates(prefix: DataFrame, threshold: float, crowd: int) -> DataFrame:
-    """(a, b) across components that may reach the threshold."""
-    often = prefix.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd)
-    if not often.limit(1).count():
-        return _rare_candidates(prefix.withColumn("common", F.lit(0.0)), threshold)
-    marked = prefix.join(often.select("token", F.lit(True).alias("crowded")), "token", "left")
-    share = F.sum(F.when(F.col("crowded"), F.col("w") * F.col("w")).otherwise(0.0)).over(Window.partitionBy("id"))
-    marked = cut(marked.withColumn("common", F.sqrt(share)))
-    return _rare_candidates(marked.filter("crowded is null"), threshold).union(
-        _crowded_candidates(marked.filter("crowded"), threshold)).distinct()
-
-
-def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
-    columns = ("w", "rest", "after", "tail", "common", "component")
-    return rows.select("token", *more, F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
-
-
-def _first_bound():
-    """Upper bound of the cosine if this is the first word two vectors share."""
-    return F.col("w_a") * F.col("w_b") + F.col("after_a") * F.col("after_b")
-
-
-def _rare_candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that share a word of both prefixes, unless what they share there,
-    in crowded words and behind the prefixes cannot reach the threshold."""
-    met = _side(rows, "a").join(_side(rows, "b"), "token").filter("a < b and component_a <> component_b").groupBy("a", "b").agg(
-        F.sum(F.col("w_a") * F.col("w_b")).alias("dot"), F.max(_first_bound()).alias("first"),
-        F.min("after_a").alias("after_a"), F.min("after_b").alias("after_b"),
-        F.max("tail_a").alias("tail_a"), F.max("tail_b").alias("tail_b"),
-        F.max(F.col("common_a") * F.col("common_b")).alias("common"))
-    unseen = F.col("common") + F.greatest(F.col("tail_a") * F.col("after_b"), F.col("tail_b") * F.col("after_a"))
-    low = threshold - SLACK
-    return met.filter((F.col("first") >= low) & (F.col("dot") + unseen >= low)).select("a", "b")
-
-
-def _crowded_candidates(rows: DataFrame, threshold: float, levels: int = 8) -> DataFrame:
-    """Pairs whose first shared word is a crowded one. The lengths of both
-    vectors from that word on must multiply to the threshold, so lengths are
-    put on a logarithmic scale and only levels that can reach it are joined:
-    a vector that is mostly rare words meets few others here."""
-    step = -math.log(max(min(threshold, 0.999), 1e-6)) / levels
-    level = F.greatest(F.floor(-F.log(F.least("rest", F.lit(1.0))) / step), F.lit(0))
-    placed = rows.withColumn("level", level).filter(F.col("level") <= levels)
-    one = _side(placed.withColumn("reach", F.explode(F.sequence(F.lit(0), levels - F.col("level")))), "a", "reach")
-    two = _side(placed, "b", "level").withColumnRenamed("level", "reach")
-    # spread a crowded word over its levels and, at run time, over split partitions
-    return one.join(two, ["token", "reach"]).filter(
-        (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (_first_bound() >= threshold - SLACK)).select("a", "b").distinct()
+    components of all similar pairs."""
+    met = cut(_met(vectors, threshold, crowd, _trees, "src long, dst long, sure boolean"))
+    links, close = met.filter("sure").select("src", "dst"), met.filter("not sure")
+    if close.limit(1).count():
+        pairs = close.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+        links = links.unionByName(_exact(vectors, pairs, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return connected_components(links)
+
+
+PACKED = "block long, ids array<long>, sizes array<int>, tokens array<long>, codes array<int>, weights array<double>"
+
+
+def _pack(rows: pa.Table) -> pa.Table:
+    """One row of a block's vectors: its distinct words in order, and the words of
+    its vectors as places in that list."""
+    words = rows.column("tokens").combine_chunks()
+    tokens, codes = np.unique(words.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    lists = [rows.column("id").combine_chunks(), pa.array(words.value_lengths()).cast(pa.int32()), pa.array(tokens),
+             pa.array(codes.astype(np.int32)), rows.column("weights").combine_chunks().flatten()]
+    packed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+    return pa.Table.from_arrays([rows.column("block").slice(0, 1).combine_chunks(), *packed], names=[x.split()[0] for x in PACKED.split(", ")])
+
+
+def _packed(vectors: DataFrame, crowd: int) -> DataFrame:
+    """The blocks of all vectors. A word of one vector only adds to no pair."""
+    spark = vectors.sparkSession
+    rows = cut(vectors.filter("df > 1").groupBy("id").agg(
+        F.collect_list(F.struct(F.xxhash64("token").alias("token"), "w")).alias("_words")).select(
+        "id", F.col("_words.token").alias("tokens"), F.col("_words.w").alias("weights")))
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("words")).first()
+    # enough blocks for all cores to have pairs of them, where they do not get tiny
+    spread = min(int((8 * spark.sparkContext.defaultParallelism) ** 0.5), size["n"] // 1024)
+    blocks = max(-(-size["n"] // crowd), -(-(size["words"] or 0) // POSTINGS), spread, 1)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).repartition(min(blocks, 2000), "block")
+    return cut(dealt.groupBy("block").applyInArrow(_pack, PACKED))
+
+
+def _met(vectors: DataFrame, threshold: float, crowd: int, make, schema: str) -> DataFrame:
+    """What `make` finds in every two blocks, and in every block."""
+    packed = _packed(vectors, crowd)
+    left = packed.select(*[F.col(c).alias(f"a_{c}") for c in packed.columns])
+    right = packed.select(*[F.col(c).alias(f"b_{c}") for c in packed.columns])
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one, two = ({c: batch.column(f"{side}_{c}")[row] for c in packed_columns} for side in "ab")
+                for columns in make(_Meeting(one, two, threshold)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    packed_columns = packed.columns
+    pairs = left.join(right.hint("shuffle_replicate_nl"), F.col("a_block") <= F.col("b_block"))
+    return pairs.mapInArrow(walk, schema)
+
+
+class _Meeting:
+    """Two blocks, or a block with itself, and the similar pairs among them."""
+
+    def __init__(self, one: dict, two: dict, threshold: float):
+        self.alone = one["block"].as_py() == two["block"].as_py()
+        self.threshold = threshold
+        values = lambda side, c: side[c].values.to_numpy(zero_copy_only=False)
+        self.ids = values(one, "ids"), values(two, "ids")
+        tokens = values(one, "tokens"), values(two, "tokens")
+        shared = np.intersect1d(*tokens, assume_unique=True)
+        self.sides = []
+        for side, mine in zip((one, two), tokens):
+            place = np.full(len(mine), -1, dtype=np.int64)
+            place[np.searchsorted(mine, shared)] = np.arange(len(shared))
+            code = place[values(side, "codes")]
+            row = np.repeat(np.arange(len(side["ids"].values)), values(side, "sizes"))
+            kept = code >= 0
+            self.sides.append((row[kept], code[kept], values(side, "weights")[kept]))
+        self.words = len(shared)
+
+    def near(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, cosine) of the pairs that may reach the threshold, a strip of
+        rows at a time; i counts in the first block and j in the second."""
+        (row, code, w), (row2, code2, w2) = self.sides
+        n, n2 = len(self.ids[0]), len(self.ids[1])
+        held, held2 = (np.bincount(c, minlength=self.words) for c in (code, code2))
+        touched = held * held2
+        common = np.argsort(-touched, kind="stable")[:DENSE]
+        common = common[touched[common] > COMMON * n * n2]
+        column = np.full(self.words, -1, dtype=np.int64)
+        column[common] = np.arange(len(common))
+
+        def split(rows, row, code, w):
+            matrix, at = np.zeros((rows, len(common)), dtype=np.float32), column[code]
+            matrix[row[at >= 0], at[at >= 0]] = w[at >= 0]
+            return matrix, row[at < 0], code[at < 0], w[at < 0]
+
+        dense, row, code, w = split(n, row, code, w)
+        dense2, row2, code2, w2 = split(n2, row2, code2, w2)
+        order = np.argsort(code2, kind="stable")
+        row2, w2 = row2[order], w2[order]
+        count2 = np.bincount(code2, minlength=self.words)
+        begin2 = np.cumsum(count2) - count2
+        begin = np.searchsorted(row, np.arange(n + 1))
+        made = np.concatenate([[0], np.cumsum(count2[code])])[begin]
+        at = 0
+        while at < n:
+            stop = min(max(at + 1, int(np.searchsorted(made, made[at] + PRODUCTS, side="right")) - 1), at + STRIP, n)
+            mine = slice(begin[at], begin[stop])
+            times = count2[code[mine]]
+            each = np.repeat(np.arange(begin[at], begin[stop]), times)
+            other = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + begin2[code[each]]
+            cosine = np.bincount((row[each] - at) * n2 + row2[other], weights=w[each] * w2[other], minlength=(stop - at) * n2)
+            cosine = cosine.reshape(stop - at, n2) + dense[at:stop] @ dense2.T
+            i, j = np.nonzero(cosine >= self.threshold - SLACK)
+            found = cosine[i, j]
+            i += at
+            if self.alone:
+                i, j, found = (x[i < j] for x in (i, j, found))
+            yield i, j, found
+            at = stop
+
+
+def _all_pairs(meeting: _Meeting):
+    for i, j, _ in meeting.near():
+        yield meeting.ids[0][i], meeting.ids[1][j]
+
+
+def _trees(meeting: _Meeting):
+    """Links that join what all surely similar pairs join, and the pairs that are
+    too close to the threshold to tell."""
+    ids = np.unique(np.concatenate(meeting.ids))
+    one, two = (np.searchsorted(ids, x) for x in meeting.ids)
+    close = []
+
+    def sure():
+        for i, j, cosine in meeting.near():
+            clear = cosine >= meeting.threshold + SLACK
+            close.append((one[i[~clear]], two[j[~clear]]))
+            yield one[i[clear]], two[j[clear]]
+
+    a, b = forest(len(ids), sure())
+    yield ids[a], ids[b], np.ones(len(a), dtype=bool)
+    a, b = (np.concatenate(x) for x in zip(*close)) if close else (a[:0], b[:0])
+    yield ids[a], ids[b], np.zeros(len(a), dtype=bool)
 
 
 def _exact(vectors: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
@@ -148,7 +214,7 @@ def _exact(vectors: DataFrame, candidates: DataFrame, threshold: float) -> DataF
 
 
 def cluster_members(a: DataFrame, threshold: float = 0.4, chars: int | None = None,
-                    stop_words=fv.CLUSTER_STOP_WORDS, crowd: int = 5000) -> tuple[DataFrame, DataFrame]:
+                    stop_words=fv.CLUSTER_STOP_WORDS, crowd: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(members, terms): members are (id, cluster) of clusters of at least two,
     named by their first id; terms is the term table for further use."""
     words = t.kept_tokens(t.tokens(t.article_text(chars)), stop_words, drop_digits=False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom.session import cut, discard
@@ -55,3 +56,20 @@ def _tie_smaller(pairs: DataFrame) -> DataFrame:
     tied = pairs.join(smallest, "src")
     return tied.select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(
         smallest.select("src", F.col("m").alias("dst"))).filter("src <> dst").distinct()
+
+
+def forest(n: int, pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (i, j) in pieces enough to join what they all join: a node is tied
+    to the smallest of its component."""
+    label = np.arange(n)
+    for i, j in pieces:
+        while True:
+            across = label[i] != label[j]
+            if not across.any():
+                break
+            i, j = i[across], j[across]
+            np.minimum.at(label, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
+            while (label[label] != label).any():
+                label = label[label]
+    tied = np.flatnonzero(label != np.arange(n))
+    return tied, label[tied]

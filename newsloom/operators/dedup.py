@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from newsloom.functions import expr as e, text as t
-from newsloom.operators.components import connected_components
+from newsloom.operators.components import connected_components, forest
 from newsloom.operators.ranking import keep_first
 from newsloom.session import cut
 
@@ -252,30 +252,13 @@ def pair_counts(sizes: DataFrame, threshold: int = MATCH_THRESHOLD, crowd: int |
     return across.unionByName(inside).groupBy("distance").agg(F.sum("article_pairs").alias("article_pairs"))
 
 
-def _forest(n: int, pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs (i, j) in pieces enough to join what they all join: a node is tied
-    to the smallest of its component."""
-    label = np.arange(n)
-    for i, j in pieces:
-        while True:
-            across = label[i] != label[j]
-            if not across.any():
-                break
-            i, j = i[across], j[across]
-            np.minimum.at(label, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
-            while (label[label] != label).any():
-                label = label[label]
-    tied = np.flatnonzero(label != np.arange(n))
-    return tied, label[tied]
-
-
 def fingerprint_components(fps: DataFrame, threshold: int = MATCH_THRESHOLD, crowd: int | None = None) -> DataFrame:
     """(fp, root) for the distinct fingerprints that have a near duplicate. A task
     joins the pairs it meets and sends a tree of each component, not the pairs."""
 
     def make(_, meeting: _Meeting):
         fp, at = np.unique(meeting.fp.view(np.int64), return_inverse=True)
-        a, b = _forest(len(fp), ((at[i], at[j]) for i, j, _ in meeting.pairs()))
+        a, b = forest(len(fp), ((at[i], at[j]) for i, j, _ in meeting.pairs()))
         yield fp[a], fp[b]
 
     links = _met(fps.select("fp"), threshold, make, "src long, dst long", crowd=crowd)

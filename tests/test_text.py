@@ -216,6 +216,19 @@ def test_near_copies_make_linearly_many_pairs(spark, articles, monkeypatch):
     assert sum(made) <= 3 * 250
 
 
+def test_texts_that_only_share_words_make_no_pairs(spark, articles, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(150)]
+    rows = [{"title": "", "content": " ".join(rng.choices(vocabulary, k=60))} for _ in range(120)]
+    rows += [{"title": "", "content": rows[0]["content"] + " own"}]
+    made = []
+    exact = clusters._exact
+    monkeypatch.setattr(clusters, "_exact", lambda vectors, pairs, threshold: made.append(pairs.count()) or exact(vectors, pairs, threshold))
+    members, _ = clusters.cluster_members(articles(*rows), 0.7, crowd=50)
+    assert sorted((r["id"], r["cluster"]) for r in members.collect()) == [(1, 1), (121, 1)]
+    assert sum(made) <= 10
+
+
 def test_cluster_report(spark, articles):
     df = articles({"title": "long title of one", "content": "market rises today again"}, {"title": "one", "content": "market rises today again"},
                   {"title": "other", "content": "weather stays calm tomorrow"}, {"title": "zz", "content": "nothing shared whatsoever"})
