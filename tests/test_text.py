@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -229,6 +230,26 @@ def test_texts_that_only_share_words_make_no_pairs(spark, articles, monkeypatch)
     assert sum(made) <= 10
 
 
+def test_lexicon_hits_of_a_long_text(spark):
+    rules = {"positive": [("gain", 0.5)], "negative": [("loss", -0.5)], "modifiers": {"very": 2.0}, "negations": ("not ",), "close_negation": "-"}
+    pieces, expected, text = ["very gain ", "not loss é ", "x" * 30 + " gain ", "-gain ", "\n\U0001f600 very not loss "], [], ""
+    rng = random.Random(4)
+    for _ in range(60000):
+        text += rng.choice(pieces)
+    for word, weight in (("gain", 0.5), ("loss", -0.5)):
+        at = text.find(word)
+        while at >= 0:
+            near, wide = text[max(at - 10, 0):at], text[max(at - 20, 0):at]
+            turned = "not " in near or near.endswith("-")
+            expected.append((word, (-weight if turned else weight) * (2.0 if "very" in wide else 1.0), turned))
+            at = text.find(word, at + 1)
+    started = time.time()
+    hits = docs(spark, text).select(se.lexicon_hits("content", **rules).alias("h")).first()["h"]
+    # with every place counted from the start of the text this took minutes
+    assert time.time() - started < 25
+    assert [(h["word"], h["effect"], h["negated"]) for h in hits] == expected
+
+
 def test_cluster_report(spark, articles):
     df = articles({"title": "long title of one", "content": "market rises today again"}, {"title": "one", "content": "market rises today again"},
                   {"title": "other", "content": "weather stays calm tomorrow"}, {"title": "zz", "content": "nothing shared whatsoever"})
