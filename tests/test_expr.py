@@ -82,3 +82,13 @@ def test_tokens_keep_dictionary_terms_whole(spark):
     got = one(spark, t.tokens(F.lit("央行加息，市场不及预期 GDP 3 a ok")))
     assert "央行" in got and "不及预期" in got and "GDP" in got and "ok" in got and "a" not in got
     assert one(spark, t.all_tokens(F.lit("不上涨"))) == ["不", "上涨"]
+
+
+def test_valid_text_counts_without_an_array_and_derives_the_text_once(spark):
+    rows = [("<b>" + "𝟙é中a1" * 8 + "</b>",), ("é?中a1" * 8,), (None,)]
+    df = spark.createDataFrame(rows, "s string").select(e.strip_tags("s").alias("c"))
+    kept = df.filter(e.valid_text("c"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("<[^>]+>") == 2  # in the filter and in the projection
+    assert [r["c"] for r in kept.collect()] == ["𝟙é中a1" * 8]
+    assert [r["n"] for r in df.select(e.count_chars("c", r"\p{Nd}").alias("n")).collect()] == [16, 8, 0]
