@@ -299,3 +299,14 @@ def test_near_spellings_name_their_postings_before_they_are_built(spark, monkeyp
     built = next(p for p in plans if "collect_list" in p)
     assert "token IN (" in built or "token = " in built
     assert built.index("RepartitionByExpression") < max(built.rfind("token IN ("), built.rfind("token = "))
+
+
+def test_bayes_splits_labelled_texts_only(spark, monkeypatch):
+    from newsloom.operators import sentiment
+    texts = spark.createDataFrame([(1, "good good day"), (2, "bad day"), (3, "good")], "id long, content string")
+    labels = spark.createDataFrame([(1, True), (2, False)], "id long, positive boolean")
+    plans = plans_of_stored(monkeypatch, sentiment)
+    model = sentiment.nb_train(texts.join(labels, "id"), "content")
+    got = {r["id"]: r["sentiment_label"] for r in sentiment.nb_sentiment(model, texts, "content").collect()}
+    assert got == {1: "positive", 2: "negative", 3: "positive"}
+    assert len(plans) == 2 and "regexp_extract_all" not in plans[0][plans[0].index("Join"):]
