@@ -310,3 +310,11 @@ def test_bayes_splits_labelled_texts_only(spark, monkeypatch):
     got = {r["id"]: r["sentiment_label"] for r in sentiment.nb_sentiment(model, texts, "content").collect()}
     assert got == {1: "positive", 2: "negative", 3: "positive"}
     assert len(plans) == 2 and "regexp_extract_all" not in plans[0][plans[0].index("Join"):]
+
+
+def test_words_are_the_same_with_ascii_first(spark):
+    df = spark.createDataFrame([("Größe x2 über沪深300涨停abc １２ a b1 ﬁn 𝟙𝟚 é",)], "s string")
+    slow = t._pattern(t.DICTIONARY, r"[\p{L}\p{Nd}&&[^\p{IsHan}]]{2,}")
+    row = df.select(t.tokens("s").alias("a"), F.regexp_extract_all("s", F.lit(slow), F.lit(0)).alias("b")).first()
+    assert row["a"] == row["b"] and "über" in row["a"]
+    assert t.WORD.startswith("[A-Za-z0-9")  # a Latin letter is not looked up by script
