@@ -16,6 +16,7 @@ from newsloom.functions import expr as e
 from newsloom.operators.hotness import event_points
 
 READER = ["client_id", "article_id", "event_type"]
+SPAN = 24           # windows that are summed side by side
 
 
 def panes(ev: DataFrame, slide: int = 1, late: str = "1 hour") -> DataFrame:
@@ -44,9 +45,26 @@ def windowed_hotness(ev: DataFrame, hours: int = 24, slide: int = 1, late: str =
             F.max("at").alias("at"), F.max_by("duration", "at").alias("duration"))
         scored = newest.groupBy("window", "article_id").agg(F.round(F.sum(_points(F.col("window.end"))), 4).alias("score"))
         return scored.select(F.col("window.end").alias("window_end"), "article_id", "score")
-    step = F.make_interval(hours=F.lit(slide))
-    first = F.col("pane.end")
-    following = F.lead("pane.end").over(Window.partitionBy(*READER).orderBy("pane.end"))
-    last = F.least(first + F.make_interval(hours=F.lit(hours - slide)), F.coalesce(following - step, F.lit("9999-01-01").cast("timestamp")))
-    spread = rows.withColumn("last", last).withColumn("window_end", F.explode(F.sequence(first, F.col("last"), step)))
-    return spread.groupBy("window_end", "article_id").agg(F.round(F.sum(_points(F.col("window_end"))), 4).alias("score"))
+    return _spread(rows, hours, slide)
+
+
+def _spread(rows: DataFrame, hours: int, slide: int) -> DataFrame:
+    """Scores from panes. Neighbouring windows of an article are the columns of one
+    row, SPAN of them: what is shuffled are rows an article and span, with a sum a
+    window, and not a row for each window of each event."""
+    step, span = slide * 3600, slide * 3600 * SPAN
+    first = F.unix_seconds("pane.end")
+    following = F.lead(first).over(Window.partitionBy(*READER).orderBy("pane.end"))
+    last = F.least(first + (hours * 3600 - step), F.coalesce(following - step, F.lit(2 ** 62)))
+    at = F.floor(F.col("first") / span), F.floor(F.col("last") / span)
+    placed = rows.select("article_id", "event_type", "duration", "at", first.alias("first"), last.alias("last")).select(
+        "*", F.explode(F.sequence(*at)).alias("span"))
+
+    def score(k: int) -> Column:
+        end = F.col("span") * span + k * step
+        return F.sum(F.when(end.between(F.col("first"), F.col("last")), _points(F.timestamp_seconds(end))))
+
+    sums = placed.groupBy("article_id", "span").agg(*[score(k).alias(f"_s{k}") for k in range(SPAN)])
+    windows = F.array(*[F.struct((F.col("span") * span + k * step).alias("end"), F.col(f"_s{k}").alias("score")) for k in range(SPAN)])
+    return sums.select("article_id", F.explode(windows).alias("w")).filter("w.score is not null").select(
+        F.timestamp_seconds("w.end").alias("window_end"), "article_id", F.round("w.score", 4).alias("score"))

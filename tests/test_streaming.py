@@ -155,3 +155,29 @@ def test_article_stream(spark, articles):
     assert run.load_index(spark).docs.filter("live").count() == 3
     report = run.daily(spark, "2024-01-03 00:00:00")
     assert report["lag"].first()["lag"] == 0 and report["analysed"].first()["n"] == 0
+
+
+def test_windows_are_summed_side_by_side(spark):
+    from datetime import datetime, timedelta
+    from math import exp
+    from newsloom.streaming import hotness as h
+    start = datetime(2024, 1, 1, 22, 30)
+    events = [("r", "a", "article_click", start), ("r", "a", "article_click", start + timedelta(hours=3)),
+              ("s", "a", "search_click", start + timedelta(hours=30)), ("s", "b", "search_query", start)]
+    df = spark.createDataFrame([(*x, None) for x in events],
+                               "client_id string, article_id string, event_type string, created_at timestamp, payload string")
+    out = h.windowed_hotness(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate [window_end" in line for line in plan.splitlines())  # no row a window is shuffled
+    want = {}
+    for k in range(1, 80):
+        end = datetime(2024, 1, 1, 22) + timedelta(hours=k)
+        newest = {}
+        for c, a, kind, at in events:
+            if end - timedelta(hours=24) <= at < end:
+                newest[c, a, kind] = max(at, newest.get((c, a, kind), at))
+        for (_, a, kind), at in newest.items():
+            weight = {"article_click": 1.0, "search_click": 2.0, "search_query": 0.0}[kind]
+            want[end, a] = want.get((end, a), 0.0) + weight * exp(-(end - at).total_seconds() / 3600 / 24)
+    got = {(r["window_end"], r["article_id"]): r["score"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-4 for x in want)
