@@ -179,7 +179,7 @@ def upsert_buckets(path: str, batch: DataFrame, now, order: str = "pos", count:
         touched = _numbers(changed, held)
         target = read_buckets(spark, path, touched, held)
         last = last.filter(_in_bucket(held["key"], held["buckets"]).isin(touched) if touched else F.lit(False))
-    merged = cut(upsert_articles(target, last, now, order, top))
+    merged = cut(_merged(target, last, now, top))
     written = merged.filter("action is not null")
     if touched is None or touched:
         # the largest id that a batch gave is known from its own rows
@@ -200,14 +200,20 @@ def last_of_batch(batch: DataFrame, order: str = "pos") -> DataFrame:
     return keep_first(batch, ["article_id"], [F.desc(order)])
 
 
+def _digest(value) -> Column:
+    return F.unhex(F.sha2(value, 256))
+
+
 def classify_batch(target: DataFrame, batch: DataFrame) -> DataFrame:
     """Batch rows with `action`: insert, update, or skip when content, title
-    and summary are unchanged."""
-    old = target.select("article_id", F.lit(True).alias("_known"), *[F.col(c).alias(f"_old_{c}") for c in COMPARED])
-    joined = batch.join(old, "article_id", "left")
+    and summary are unchanged. Both sides bring digests (SHA-256), so the target's
+    texts are not shuffled, and the batch's only if they are asked for."""
+    old = target.select("article_id", F.lit(True).alias("_known"), *[_digest(F.col(c)).alias(f"_old_{c}") for c in COMPARED])
+    new = batch.select("*", *[_digest(e.text_or_empty(c)).alias(f"_new_{c}") for c in COMPARED])
+    joined = new.join(old, "article_id", "left")
     same = F.lit(True)
     for c in COMPARED:
-        same = same & F.col(f"_old_{c}").eqNullSafe(e.text_or_empty(c))
+        same = same & F.col(f"_old_{c}").eqNullSafe(F.col(f"_new_{c}"))
     action = F.when(F.col("_known").isNull(), "insert").when(same, "skip").otherwise("update")
     return joined.withColumn("action", action).select(*batch.columns, "action")
 
@@ -216,18 +222,25 @@ def upsert_articles(target: DataFrame, batch: DataFrame, now, order: str = "pos"
     """Target after the batch, with `action` per written row (null for rows the
     batch did not write). Changed rows keep id and hotness_score; new ones get
     ids after the largest one (`top`, if it is known), without gaps."""
-    rows = classify_batch(target, last_of_batch(batch, order)).filter("action <> 'skip'")
+    return _merged(target, last_of_batch(batch, order), now, top)
+
+
+def _merged(target: DataFrame, last: DataFrame, now, top: int | None) -> DataFrame:
+    """`upsert_articles` for a batch with one row an article_id."""
+    rows = classify_batch(target, last).filter("action <> 'skip'")
     stamp = e.iso(e.as_time(now))
     rows = rows.withColumn("updated_at", stamp)
     keep = target.select("article_id", F.col("id").alias("_id"), F.col("hotness_score").alias("_hot"))
-    merged = rows.drop("id", "hotness_score").join(keep, "article_id", "left").select(
-        F.col("_id").alias("id"), "article_id", *WRITTEN,
+    # new ids are given to names alone; the texts meet them where they already lie by name
+    value = F.lit(top) if top is not None else target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")).scalar()
+    unnumbered = rows.select("article_id").join(target.filter("id is not null").select("article_id"), "article_id", "left_anti")
+    given = global_rank(unnumbered, [F.asc("article_id")], "_nth").select("article_id", (F.col("_nth") + value).alias("_given"))
+    merged = rows.drop("id", "hotness_score").join(keep, "article_id", "left").join(given, "article_id", "left").select(
+        F.coalesce("_id", "_given").alias("id"), "article_id", *WRITTEN,
         F.coalesce("_hot", F.lit(0.0)).alias("hotness_score"), "action")
     untouched = target.join(rows.select("article_id"), "article_id", "left_anti").select(
         "id", "article_id", *WRITTEN, "hotness_score", F.lit(None).cast("string").alias("action"))
-    value = F.lit(top) if top is not None else target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")).scalar()
-    new = global_rank(merged.filter("id is null"), [F.asc("article_id")], "_nth").withColumn("id", F.col("_nth") + value).drop("_nth")
-    return untouched.unionByName(merged.filter("id is not null")).unionByName(new)
+    return untouched.unionByName(merged)
 
 
 def written_count(result: DataFrame) -> DataFrame:
