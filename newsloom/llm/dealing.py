@@ -52,10 +52,12 @@ def parts_for(total: int, piece: int = PIECE) -> int:
     return max(1, math.ceil(total / max(PART, math.sqrt(piece * max(total, 1)))))
 
 
-def reached(blocks: DataFrame, make: Callable[[dict], list], parts: int, levels: tuple[int, ...]) -> DataFrame:
+def reached(blocks: DataFrame, make: Callable[[dict], list], parts: int, levels: tuple[int, ...], elect: bool = False) -> DataFrame:
     """(block, answers) for every block with a hash. `make` gives for a row of
     `blocks` a list of (order, sorted distinct hashes, weights); orders are counted
-    apart. `levels` ascend. `answer` reads the result."""
+    apart. `levels` ascend. `answer` reads the result. With `elect` an answer is an
+    unsigned 64-bit number: 0 below the first level, the total and 1 in the block of
+    the smallest number that names the hash, 1 in the others; keep the result (`cut`)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,11 +75,18 @@ def reached(blocks: DataFrame, make: Callable[[dict], list], parts: int, levels:
                         names=["order", "part", "block", "hashes", "weights"])
 
     def add(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
         hashes = [_unzip_sorted(x) for x in rows["hashes"]]
-        _, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        _, first, at = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([_unzip(x, np.uint32) for x in rows["weights"]]))
         starts = starts_of(np.array([len(x) for x in hashes]))
-        level = np.searchsorted(np.array(levels), total, side="right").astype(np.uint8)[at]
+        if elect:
+            level = (total >= levels[0]).astype(np.uint64)
+            told = level[at]
+            told[first] += level * total.astype(np.uint64)
+            level = told
+        else:
+            level = np.searchsorted(np.array(levels), total, side="right").astype(np.uint8)[at]
         told = [_zip(level[a:b]) for a, b in zip(starts[:-1], starts[1:])]
         return pd.DataFrame({"order": key[0], "part": key[1], "block": rows["block"], "values": told})
 

@@ -8,7 +8,8 @@ Join. A line of n bytes is cut into tau + 1 segments of even length. A partner
 within tau edits holds one of them unchanged, so each line probes the index with
 its substrings: for every partner length n, n - 1, ... n - tau and every
 segment, those start positions that the edits allow (by the length difference
-and by the edits that must lie on either side). Only keys held by an index entry
+and by the edits that must lie on either side). Lines stay packed in blocks; only
+the hashes of their keys are counted (`dealing`), and keys held by an index entry
 and a probe of different lines go on. Pairs inside a key are verified by banded
 bit-parallel edit distance, many pairs at a time, and only links leave the task.
 Keys with many lines are cut into blocks of lines that meet pairwise in tasks of
@@ -34,16 +35,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.common import LOWER, lists, map_rows, row_key, text_bytes
-from newsloom.llm.dealing import store_blocks
+from newsloom.llm.common import LOWER, lists, map_rows, row_key, starts_of, text_bytes
+from newsloom.llm.dealing import answer, parts_for, reached, store_blocks
+from newsloom.llm.lm import _unzip, _unzip_sorted, _zip, _zip_sorted
 from newsloom.operators.components import connected_components
 from newsloom.session import cut
 
 TAU, MIN_BYTES, LINK_BYTES = 2, 1, 40
 CROWD = 2048            # lines of a key that one task compares with each other
 PAIRS = 1 << 16         # pairs that are verified at once
+BLOCK_LINES, BLOCK_BYTES = 1 << 16, 1 << 26  # of a block of packed lines
+ENTRY = 1 << 20         # weight of an index entry; a probe weighs 1
+_SHORT = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def normalised(line: bytes) -> bytes:
@@ -175,106 +182,137 @@ def occurrences(docs: DataFrame, min_bytes: int = MIN_BYTES, doc_id: str = "doc_
     return map_rows(rows, make, "key long, doc_id long, n_lines long, line_nos array<int>, lines array<bigint>")
 
 
-def distinct_lines(docs: DataFrame, min_bytes: int = LINK_BYTES, text: str = "text") -> DataFrame:
-    """(line, bytes): every different line of at least `min_bytes`, once. A batch
-    sends its own different lines, and the aggregate combines them before its
-    shuffle, so a line that stands everywhere is not hot."""
+_PACKED = "block long, n long, ids binary, sizes binary, bytes binary"
 
-    def lines(batch: pa.RecordBatch) -> dict:
-        out = {}
-        for value in batch.column(0).to_pylist():
-            for line in map(normalised, text_bytes(value).split(b"\n")):
-                if len(line) >= min_bytes:
-                    out[line_id(line)] = line
-        return {"line": pa.array(list(out), pa.int64()), "bytes": pa.array(list(out.values()), pa.binary())}
 
-    rows = map_rows(docs.select(F.col(text).alias("text")), lines, "line long, bytes binary")
-    return rows.groupBy("line").agg(F.first("bytes").alias("bytes"))
+def line_blocks(docs: DataFrame, min_bytes: int = LINK_BYTES, text: str = "text", block_lines: int = BLOCK_LINES) -> DataFrame:
+    """The lines of at least `min_bytes`, packed; a block has a line once, in the
+    order of its id as an unsigned number."""
 
-
-def shared_keys(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """(key, line, probe): index entries and probes whose key is held by different
-    ones of the distinct `lines`, one of them as an index entry."""
-
-    def keys(batch: pa.RecordBatch) -> dict:
-        both = [line_keys(x, tau) for x in batch.column(1).to_pylist()]
-        own = batch.column(0).to_numpy(zero_copy_only=False)
-        out = {"key": [], "line": [], "probe": []}
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, {}, 0
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                for line in map(normalised, text_bytes(value).split(b"\n")):
+                    if len(line) >= min_bytes:
+                        name = xxhash.xxh64_intdigest(line)
+                        if name not in held:
+                            held[name] = line
+                            size += len(line)
+                if len(held) >= block_lines or size >= BLOCK_BYTES:
+                    yield _packed(number, held)
+                    number, held, size = number + 1, {}, 0
+        if held:
+            yield _packed(number, held)
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(make, _PACKED)
+
+
+def _packed(number: int, held: dict[int, bytes]) -> pa.RecordBatch:
+    ids = sorted(held)
+    lines = [held[x] for x in ids]
+    row = [[number], [len(ids)], [_zip_sorted(np.array(ids, dtype=np.uint64))], [_zip(np.array([len(x) for x in lines], dtype=np.uint32))],
+           [zstandard.ZstdCompressor(level=3).compress(b"".join(lines))]]
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=[x.split()[0] for x in _PACKED.split(", ")])
+
+
+def _own(row: dict) -> tuple[np.ndarray, list[bytes]]:
+    """(ids, lines) that this block was told to be the first to name."""
+    mine = np.flatnonzero(answer(row["answers"], 0, np.uint64) > 1)
+    data = zstandard.ZstdDecompressor().decompress(row["bytes"])
+    starts = starts_of(_unzip(row["sizes"], np.uint32))
+    return _unzip_sorted(row["ids"])[mine], [data[a:b] for a, b in zip(starts[mine].tolist(), starts[mine + 1].tolist())]
+
+
+def _keys(lines: list[bytes], tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, place of the line, whether it is an index entry) of the keys of `lines`,
+    sorted, once each; an index entry is a probe of its own line, too."""
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    for a in range(0, len(lines), 4096):
+        both = [line_keys(x, tau) for x in lines[a:a + 4096]]
         for part in (0, 1):
             sizes = np.fromiter((len(x[part]) for x in both), np.int64, len(both))
-            out["key"].append(np.fromiter((k for x in both for k in x[part]), np.uint64, int(sizes.sum())).view(np.int64))
-            out["line"].append(np.repeat(own, sizes))
-            out["probe"].append(np.full(int(sizes.sum()), bool(part)))
-        return {k: np.concatenate(v) for k, v in out.items()}
-
-    rows = map_rows(lines.select("line", "bytes"), keys, "key long, line long, probe boolean")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "line")
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, open_key = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)], None
-        for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            held = [np.concatenate(x) for x in zip(held, new)]
-            if not len(held[0]):
-                continue
-            end = int(np.searchsorted(held[0], held[0][-1]))
-            if len(held[0]) - end > 1 << 20 and _shared([x[end:] for x in held], None)[0].size:
-                open_key, end = held[0][-1], len(held[0])  # a key known to go on need not be held back
-            yield _rows(_shared([x[:end] for x in held], open_key))
-            held = [x[end:] for x in held]
-        yield _rows(_shared(held, open_key))
-
-    return dealt.mapInArrow(runs, "key long, line long, probe boolean")
-
-
-def _rows(columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "line", "probe"])
-
-
-def _shared(columns: list[np.ndarray], open_key) -> list[np.ndarray]:
-    """The rows, once each, of those keys that different lines hold."""
-    key, line, probe = columns
+            key = np.fromiter((k for x in both for k in x[part]), np.uint64, int(sizes.sum()))
+            out.append((key, np.repeat(np.arange(a, a + len(both)), sizes), np.full(len(key), not part)))
+    key, line, entry = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((~entry, line, key))
+    key, line, entry = key[order], line[order], entry[order]
+    first = np.ones(len(key), dtype=bool)  # of a line's equal keys the index entry
+    first[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    return key[first], line[first], entry[first]
+
+
+def _asked(row: dict, tau: int) -> list:
+    """The distinct keys of a block's own lines, without their last bits: a key can
+    only link lines if it is an index entry of one and a key of another."""
+    key, _, entry = _keys(_own(row)[1], tau)
     if not len(key):
-        return columns
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    several = np.minimum.reduceat(line, first) != np.maximum.reduceat(line, first)
-    keep = several & np.logical_or.reduceat(~probe, first) & np.logical_or.reduceat(probe, first)
-    if open_key is not None:
-        keep |= key[first] == open_key
-    rows = np.flatnonzero(np.repeat(keep, np.diff(np.append(first, len(key)))))
-    key, line, probe = key[rows], line[rows], probe[rows]
-    order = np.lexsort((probe, line, key))
-    key, line, probe = key[order], line[order], probe[order]
-    once = np.ones(len(key), dtype=bool)
-    once[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1]) | (probe[1:] != probe[:-1])
-    return [key[once], line[once], probe[once]]
+        return []
+    short = key & _SHORT
+    first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
+    weights = np.add.reduceat(np.where(entry, ENTRY, 1), first)
+    return [(0, short[first], np.minimum(weights, 1 << 31))]
+
+
+def shared_keys(blocks: DataFrame, tau: int = TAU) -> DataFrame:
+    """(line, bytes, keys, entries): the different lines of `blocks` that have a key
+    which may link them to others, with these keys and whether each is an index
+    entry. Keys are named to the parts of their range without lines and texts, and
+    only those that reach an index entry and another line come back as rows."""
+    n = blocks.agg(F.sum("n")).first()[0] or 0
+    first = cut(reached(blocks.select("block", "ids"), lambda row: [(0, x := _unzip_sorted(row["ids"]), np.ones(len(x)))], parts_for(n), (1,), elect=True))
+    known = blocks.join(first, "block")
+    told = reached(known, lambda row: _asked(row, tau), parts_for(n * len(sum(line_keys(bytes(LINK_BYTES), tau), []))), (ENTRY + 1,))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                ids, lines = _own(row)
+                key, line, entry = _keys(lines, tau)
+                short = key & _SHORT
+                keep = (answer(row["told"], 0) > 0)[np.cumsum(np.concatenate([[False], short[1:] != short[:-1]]))] if len(key) else entry
+                order = np.argsort(line[keep], kind="stable")
+                key, line, entry = (x[keep][order] for x in (key, line, entry))
+                some, sizes = np.unique(line, return_counts=True)
+                for a in range(0, len(some), 4096):
+                    at = starts_of(sizes)[a:a + 4097]
+                    offsets = pa.array((at - at[0]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(ids[some[a:a + 4096]].view(np.int64)), pa.array([lines[x] for x in some[a:a + 4096]], pa.binary()),
+                        pa.ListArray.from_arrays(offsets, pa.array(key[at[0]:at[-1]].view(np.int64))),
+                        pa.ListArray.from_arrays(offsets, pa.array(entry[at[0]:at[-1]]))], names=["line", "bytes", "keys", "entries"])
+
+    return known.join(told.withColumnRenamed("answers", "told"), "block").mapInArrow(
+        rows, "line long, bytes binary, keys array<bigint>, entries array<boolean>")
 
 
 def line_links(docs: DataFrame, tau: int = TAU, min_bytes: int = LINK_BYTES, crowd: int = CROWD, text: str = "text") -> DataFrame:
     """(src, dst) for every pair of different lines within tau edits, once each."""
-    # in buckets by line, so that the few lines looked up below come to them
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = store_blocks(distinct_lines(docs, min_bytes, text), parts, "line")
-    shared = cut(shared_keys(every, tau))
+    lines = cut(shared_keys(store_blocks(line_blocks(docs, min_bytes, text), parts), tau))
+    # an index entry is a probe, too
+    held = lines.select("line", F.explode(F.arrays_zip("keys", "entries")).alias("x"))
+    shared = held.select(F.col("x.keys").alias("key"), "line", F.col("x.entries").alias("entry"))
     crowded = shared.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select(
         "key", F.ceil(F.col("n") / crowd).cast("int").alias("blocks"))
-    lines = cut(every.join(shared.select("line").distinct(), "line", "left_semi"))
     blocks = F.coalesce("blocks", F.lit(1))
-    dealt = shared.join(crowded, "key", "left").select("key", "line", "probe", blocks.alias("blocks")).withColumn(
+    dealt = shared.join(crowded, "key", "left").select("key", "line", "entry", blocks.alias("blocks")).withColumn(
         "block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
     meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("key", "line", "probe", "block", meet).select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "line", "probe")
-    dealt = dealt.join(lines, "line").select("key", "low", "high", "block", "line", "probe", "bytes")
+    dealt = dealt.select("key", "line", "entry", "block", meet).select(
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "line", "entry")
+    dealt = dealt.join(lines.select("line", "bytes"), "line").select("key", "low", "high", "block", "line", "entry", "bytes")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, group, name = _Pairs(tau), [], None
         for batch in batches:
-            for key, low, high, block, line, probe, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, low, high, block, line, entry, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if name != (key, low, high):
                     yield from pairs.add(group, name)
                     group, name = [], (key, low, high)
-                group.append((block, line, probe, data))
+                group.append((block, line, entry, data))
         yield from pairs.add(group, name)
         yield pairs.flush()
 
@@ -291,15 +329,14 @@ class _Pairs:
 
     def add(self, group: list, name: tuple | None) -> Iterator[pa.RecordBatch]:
         if len(group) > 1:
-            entries = [(b, line, data) for b, line, probe, data in group if not probe]
+            entries = [(b, line, data) for b, line, entry, data in group if entry]
             across = name[1] != name[2]
-            for b, line, probe, data in group:
-                if probe:
-                    for other_b, other, short in entries:
-                        if other != line and not (across and b == other_b) and 0 <= len(data) - len(short) <= self.tau:
-                            self.pairs[(line, other) if line < other else (other, line)] = (short, data)
-                    if len(self.pairs) >= PAIRS:
-                        yield self.flush()
+            for b, line, _, data in group:
+                for other_b, other, short in entries:
+                    if other != line and not (across and b == other_b) and 0 <= len(data) - len(short) <= self.tau:
+                        self.pairs[(line, other) if line < other else (other, line)] = (short, data)
+                if len(self.pairs) >= PAIRS:
+                    yield self.flush()
 
     def flush(self) -> pa.RecordBatch:
         near = within([a for a, _ in self.pairs.values()], [b for _, b in self.pairs.values()], self.tau)

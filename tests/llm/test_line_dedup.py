@@ -114,3 +114,18 @@ def test_equal_short_lines_are_removed(documents):
     rows = {r.doc_id: [tuple(x) for x in r.removed] for r in ld.duplicate_lines(docs).collect()}
     assert rows == {1: [], 2: [(0, 1)], 3: [(1, 1), (3, 3)]}
     assert {r.doc_id: r.text for r in ld.apply(docs).collect()} == {1: docs.first().text, 2: "yet\n\nsecond", 3: "x\n "}
+
+
+def test_keys_of_lines_without_a_partner_do_not_become_rows(spark):
+    """Lines stay packed: of many lines, one of them in several blocks, only the two
+    that may be linked leave their blocks, with the keys that they share."""
+    r = random.Random(3)
+    lines = ["".join(r.choice("abcdefghij") for _ in range(50)) for _ in range(60)]
+    near = lines[7][:20] + "#" + lines[7][20:]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*lines, near, *lines[:9]])], "doc_id long, text string").repartition(5)
+    blocks = ld.line_blocks(docs, 40, block_lines=4).localCheckpoint()
+    assert blocks.count() > 10
+    rows = ld.shared_keys(blocks).collect()
+    assert {bytes(x.bytes) for x in rows} == {lines[7].encode(), near.encode()}
+    keys = [set(x["keys"]) for x in rows]
+    assert len(rows) == 2 and keys[0] & keys[1] and all(len(k) < 15 for k in keys)
