@@ -55,9 +55,9 @@ def parts_for(total: int, piece: int = PIECE) -> int:
 def reached(blocks: DataFrame, make: Callable[[dict], list], parts: int, levels: tuple[int, ...], elect: bool = False) -> DataFrame:
     """(block, answers) for every block with a hash. `make` gives for a row of
     `blocks` a list of (order, sorted distinct hashes, weights); orders are counted
-    apart. `levels` ascend. `answer` reads the result. With `elect` an answer is an
-    unsigned 64-bit number: 0 below the first level, the total and 1 in the block of
-    the smallest number that names the hash, 1 in the others; keep the result (`cut`)."""
+    apart. `levels` ascend. `answer` reads the result. With `elect` there is a
+    second answer in order ~order, an unsigned 64-bit number: the total of a hash that
+    reaches the first level in the block of the smallest number that names it, else 0."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,15 +80,14 @@ def reached(blocks: DataFrame, make: Callable[[dict], list], parts: int, levels:
         _, first, at = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([_unzip(x, np.uint32) for x in rows["weights"]]))
         starts = starts_of(np.array([len(x) for x in hashes]))
+        level = np.searchsorted(np.array(levels), total, side="right").astype(np.uint8)
+        told = [(key[0], level[at])]
         if elect:
-            level = (total >= levels[0]).astype(np.uint64)
-            told = level[at]
-            told[first] += level * total.astype(np.uint64)
-            level = told
-        else:
-            level = np.searchsorted(np.array(levels), total, side="right").astype(np.uint8)[at]
-        told = [_zip(level[a:b]) for a, b in zip(starts[:-1], starts[1:])]
-        return pd.DataFrame({"order": key[0], "part": key[1], "block": rows["block"], "values": told})
+            own = np.zeros(len(at), dtype=np.uint64)
+            own[first] = np.where(level > 0, total, 0).astype(np.uint64)
+            told.append((~key[0], own))
+        return pd.concat([pd.DataFrame({"order": order, "part": key[1], "block": rows["block"], "values": [
+            _zip(x[a:b]) for a, b in zip(starts[:-1], starts[1:])]}) for order, x in told])
 
     answers = blocks.mapInArrow(send, _SENT).groupBy("order", "part").applyInPandas(
         add, "order int, part int, block long, values binary")

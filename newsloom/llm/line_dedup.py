@@ -219,7 +219,7 @@ def _packed(number: int, held: dict[int, bytes]) -> pa.RecordBatch:
 
 def _own(row: dict) -> tuple[np.ndarray, list[bytes]]:
     """(ids, lines) that this block was told to be the first to name."""
-    mine = np.flatnonzero(answer(row["answers"], 0, np.uint64) > 1)
+    mine = np.flatnonzero(answer(row["answers"], ~0, np.uint64) > 0)
     data = zstandard.ZstdDecompressor().decompress(row["bytes"])
     starts = starts_of(_unzip(row["sizes"], np.uint32))
     return _unzip_sorted(row["ids"])[mine], [data[a:b] for a, b in zip(starts[mine].tolist(), starts[mine + 1].tolist())]

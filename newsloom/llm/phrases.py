@@ -16,11 +16,16 @@ where all pairs do. The occurrence pointer of a fingerprint is the block and its
 place in the block's sorted list, so it needs no bytes on the way, and the answer
 returns along it.
 
-Verification. A block then looks at its text behind each fingerprint that reached
-`least`: occurrences are compared word by word with the first one, and different
-n-grams of one fingerprint part there. Only these n-grams become strings, once a
-block; summing them over the table by their text gives exact counts, whatever
-fingerprints collided.
+Strings. Of the blocks that name a frequent fingerprint the first is told the total,
+and it alone makes the n-gram a string; so a phrase is one row however many blocks
+hold it, and rows grow with the phrases.
+
+Verification. Every block sums a second hash of the words, of all occurrences of
+frequent fingerprints of a size, and takes off what the n-grams that it made strings
+would give. Over all blocks nothing is left if the occurrences of each fingerprint
+are one n-gram. Otherwise that size is counted by text: every block compares its
+occurrences word by word with the first one, different n-grams of one fingerprint
+part there, and their strings are summed over the table.
 
 Defined results: a null text has no words, a null language is `und`. Repeated rows
 count each. Ties in score go by count, then by phrase in UTF-8 byte order. A very
@@ -170,34 +175,93 @@ def _strings(grams: Grams, n: int, pairs: np.ndarray) -> Iterator[tuple[str, str
         yield grams.langs[lang], b" ".join([grams.words[w] for w in words]).decode("utf-8", "surrogatepass"), count
 
 
+def _witness(grams: Grams, places: np.ndarray, n: int) -> np.ndarray:
+    """A second hash of the n-grams at `places`, from their words and language."""
+    words = np.fromiter((xxhash.xxh64_intdigest(w, 2) for w in grams.words), np.uint64, len(grams.words))
+    value = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 3) for x in grams.langs], dtype=np.uint64)[grams.lang[places]]
+    for k in range(n):
+        value = (value ^ words[grams.tokens[places + k]]) * np.uint64(0x94D049BB133111EB)
+        value ^= value >> np.uint64(31)
+    return value
+
+
+def _elected(grams: Grams, n: int, pairs: np.ndarray) -> tuple[list[tuple[str, str, int]], int]:
+    """(language, phrase, occurrences in the table) of the frequent n-grams that this
+    block was told to name, and what is left of its second hashes, as a signed number."""
+    places = grams.open_places(n, pairs)
+    if not len(places):
+        return [], 0
+    _, first, at = np.unique(grams.fingerprints(places, n), return_index=True, return_inverse=True)
+    total = answer(grams.answers, ~n, np.uint64)
+    mine = np.flatnonzero(total)
+    shown = places[first[mine]]
+    seen = _witness(grams, places[answer(grams.answers, n)[at] > 0], n).sum(dtype=np.uint64)
+    left = (int(seen) - int((_witness(grams, shown, n) * total[mine]).sum(dtype=np.uint64))) % (1 << 64)
+    rows = [(grams.langs[grams.lang[p]], b" ".join([grams.words[w] for w in grams.tokens[p:p + n]]).decode("utf-8", "surrogatepass"), c)
+            for p, c in zip(shown.tolist(), total[mine].tolist())]
+    return rows, left - (1 << 64) if left >> 63 else left
+
+
+def _rows(rows: list[tuple], n: int) -> pa.RecordBatch:
+    columns = [list(x) for x in zip(*rows)]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(np.full(len(rows), n, dtype=np.int32)),
+                                       pa.array(columns[2], pa.int64())], names=["lang", "phrase", "size", "n"])
+
+
+def named_phrases(told: DataFrame, sizes: range) -> DataFrame:
+    """(lang, phrase, size, n): every frequent phrase once, with its count, and a row
+    without phrase a block and size, with what is left of the block's second hashes."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                grams = Grams(batch.slice(i, 1).to_pylist()[0])
+                pairs = grams.frequent_pairs()
+                for n in sizes:
+                    rows, left = _elected(grams, n, pairs)
+                    yield _rows([*rows, (None, None, left)], n)
+
+    return told.mapInArrow(name, _GRAM)
+
+
+def phrases_by_text(told: DataFrame, sizes: list[int], least: int) -> DataFrame:
+    """(lang, phrase, size, n) of the frequent phrases, summed by their text."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                grams = Grams(batch.slice(i, 1).to_pylist()[0])
+                pairs = grams.frequent_pairs()
+                for n in sizes:
+                    rows = list(_strings(grams, n, pairs))
+                    if rows:
+                        yield _rows(rows, n)
+
+    return told.mapInArrow(strings, _GRAM).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+
+
 def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, lang: str = "lang", text: str = "text",
-             block_words: int | None = None) -> tuple[DataFrame, DataFrame]:
+             block_words: int | None = None, by_text: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, n): the phrases of 1 to `longest` words that occur at
-    least `least` times, with their exact counts; and (lang, n): all words."""
+    least `least` times, with their exact counts; and (lang, n): all words. Sizes in
+    `by_text` are counted by text whether or not fingerprints collide."""
     total = (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 5  # words, about
     block_words = block_words or block_size(total, BLOCK_WORDS, MOST_WORDS)
     blocks = store_blocks(word_blocks(docs, block_words, lang, text), total // block_words)
     packed = blocks.select("block", "langs", "lang_of", "sizes", "tokens", "words")
     short, long = range(1, min(longest, 2) + 1), range(3, longest + 1)
-    told = cut(reached(packed, lambda row: _named(row, short), parts_for(total), (least,)))
+    told = cut(reached(packed, lambda row: _named(row, short), parts_for(total), (least,), True))
     if long:
-        more = reached(packed.join(told, "block"), lambda row: _named(row, long), parts_for(total), (least,)).withColumnRenamed("answers", "more")
+        more = reached(packed.join(told, "block"), lambda row: _named(row, long), parts_for(total), (least,), True).withColumnRenamed("answers", "more")
         every = F.concat("answers", F.coalesce("more", F.slice("answers", 1, 0)))
         told = cut(told.join(more, "block", "left").select("block", every.alias("answers")))
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                grams = Grams(batch.slice(i, 1).to_pylist()[0])
-                pairs = grams.frequent_pairs()
-                for n in range(1, longest + 1):
-                    columns = list(zip(*_strings(grams, n, pairs)))
-                    if columns:
-                        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(np.full(len(columns[0]), n, dtype=np.int32)),
-                                                          pa.array(columns[2], pa.int64())], names=["lang", "phrase", "size", "n"])
-
-    found = packed.join(told, "block").mapInArrow(strings, _GRAM)
-    counted = cut(found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    told = packed.join(told, "block")
+    named = cut(named_phrases(told, range(1, longest + 1)))
+    left = named.filter("phrase is null").groupBy("size").agg(F.sum(F.col("n").cast("decimal(38, 0)")).alias("n")).collect()
+    again = sorted({*by_text, *(r["size"] for r in left if int(r["n"]) % (1 << 64))})
+    counted = named.filter(F.col("phrase").isNotNull() & (F.col("n") >= least))
+    if again:
+        counted = cut(counted.filter(~F.col("size").isin(again)).unionByName(phrases_by_text(told, again, least)))
     words = blocks.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(
         F.sum("x.lang_words").alias("n"))
     return counted, words

@@ -109,3 +109,34 @@ def test_fingerprint_depends_on_words_and_language_only():
     grams = phrases.Grams(row)
     values = grams.fingerprints(grams.places(2), 2)
     assert grams.places(2).tolist() == [0, 1, 2, 5] and values[0] == values[2] == values[3] != values[1]
+
+
+def test_a_phrase_is_one_row_however_many_blocks_hold_it(spark):
+    """Rows before the sums grow with the phrases, not with phrases and blocks; sizes
+    that are counted by text give the same."""
+    rows = _rows(4)
+    df = spark.createDataFrame(rows, DOC).repartition(3)
+    blocks = phrases.store_blocks(phrases.word_blocks(df, 40), 8).select("block", "langs", "lang_of", "sizes", "tokens", "words")
+    assert blocks.count() > 20
+    told = phrases.reached(blocks, lambda row: phrases._named(row, range(1, 3)), 2, (5,), True)
+    named = phrases.named_phrases(blocks.join(told, "block"), range(1, 3)).collect()
+    texts = [(r["lang"], r["phrase"]) for r in named if r["phrase"] is not None]
+    assert texts and len(texts) == len(set(texts))
+    both = [sorted(tuple(r) for r in phrases.frequent(df, least=5, block_words=40, by_text=x)[0].collect()) for x in ((), (1, 2, 3, 4))]
+    assert both[0] == both[1] and {(r[0], r[1]) for r in both[0] if r[2] < 3} == set(texts)
+
+
+def test_second_hashes_show_colliding_fingerprints(monkeypatch):
+    seen = {b".": 0, b"a": 1, b"b": 2, b"c": 3}
+    tokens = np.array([1, 2, 3, 1, 2, 0, 2, 2, 0], dtype=np.uint32)
+    exact = phrases.Grams.fingerprints
+    for mask, clean in ((2 ** 64 - 1, True), (1, False)):
+        monkeypatch.setattr(phrases.Grams, "fingerprints", lambda self, places, n: exact(self, places, n) & np.uint64(mask))
+        row = phrases._block(5, {"en": 0}, [(0, tokens)], seen).to_pylist()[0]
+        row["answers"] = [{"order": o, "part": 0, "values": _zip(x)} for n, v, c in phrases._named(row, range(1, 3))
+                          for o, x in ((n, np.ones(len(v), dtype=np.uint8)), (~n, c.astype(np.uint64)))]
+        grams = phrases.Grams(row)
+        rows, left = phrases._elected(grams, 1, grams.frequent_pairs())
+        assert (left == 0) == clean
+        if clean:
+            assert sorted(rows) == [("en", "a", 2), ("en", "b", 4), ("en", "c", 1)]
