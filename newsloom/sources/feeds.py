@@ -251,11 +251,14 @@ def stock_rows(df: DataFrame, code: str, now) -> DataFrame:
         summary=e.head(e.first_filled(t, e.head(c, 200)), 300))
 
 
-def stock_rows_many(df: DataFrame, now, limit: int | None = None) -> DataFrame:
-    """News of several stocks (column `code`), each URL once."""
+def stock_rows_many(df: DataFrame, now, limit: int | None = None, empty: bool = False) -> DataFrame:
+    """News of several stocks (column `code`), each URL once; a missing URL is another
+    one than an empty one. Rows without title and text go unless `empty`."""
     c, t = e.text_or_empty("新闻内容"), e.text_or_empty("新闻标题")
-    rows = keep_first(df, [e.text_or_empty("新闻链接")], [F.asc("pos")]).filter((c != "") | (t != ""))
-    rows = page(rows, [F.asc("pos")], limit)
+    # told before the shuffle, which then carries only the columns asked for
+    rows = keep_first(df.withColumn("_told", (c != "") | (t != "")), ["新闻链接"], [F.asc("pos")])
+    rows = rows if empty else rows.filter("_told")
+    rows = rows if limit is None else page(rows, [F.asc("pos")], limit)
     return make_articles(rows, e.head(e.first_filled(t, e.head(c, 100)), 200), c, e.text_or_empty("新闻链接"),
                          e.first_filled("文章来源", F.lit("东方财富")), e.normalize_pubdate("发布时间", now), now,
                          tags=F.array(F.col("code"), F.lit("财经")))

@@ -144,6 +144,27 @@ def test_stock_rows(spark):
     assert feeds.stock_rows(df, "600519", NOW).first()["summary"] == "题"
 
 
+def test_stock_rows_many_follows_its_sql(spark):
+    import duckdb
+    from newsloom.plans import ingest_queries as q
+    from newsloom.plans.catalog import ORACLES
+
+    rows = [(0, "", "a"), (1, "", "b"), (2, None, "c"), (3, None, "d"), (10, "ten", "e"), (20, None, "f"), (7, "same", None), (17, "same", "g"),
+            (5, "\nbody", "h"), (6, " ", "i")]
+    sf = folder()
+    spark.createDataFrame([(i, x, "en", s) for i, x, s in rows], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(
+        f"{sf}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{sf}/documents.parquet/*.parquet'")
+    want = db.execute(f"select pos, url, tags from ({ORACLES['stock_rows_many']})").fetchall()
+    got = [tuple(r) for r in q.stock_rows_many(spark, sf).select("pos", "url", "tags").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) == 6
+    a = spark.createDataFrame([(1, "", "", "http://a", "", "", "x"), (2, "t", "", "http://a", "", "", "x"), (3, "t", "", None, "", "", "x"), (4, "t", "", "", "", "", "x")],
+                              "pos long, `新闻标题` string, `新闻内容` string, `新闻链接` string, `文章来源` string, `发布时间` string, code string")
+    # the source still takes no row without title and text, and its URL counts as seen
+    assert sorted(r["pos"] for r in feeds.stock_rows_many(a, NOW).collect()) == [3, 4]
+
+
 def graph_of(spark, *responses):
     df = spark.createDataFrame([(i, f"a{i}", f"t{i}", "s", "2024-01-30T00:00:00", f"h{i}", e, r) for i, (e, r) in enumerate(responses)],
                                "id long, article_id string, title string, source string, published_at string, content_hash string, entities_text string, relations_text string")
