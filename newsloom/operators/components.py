@@ -58,18 +58,24 @@ def _tie_smaller(pairs: DataFrame) -> DataFrame:
         smallest.select("src", F.col("m").alias("dst"))).filter("src <> dst").distinct()
 
 
+def join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the components of the pairs (i, j), in place: `label` has one node of its
+    component for each node, the same for all of them."""
+    while True:
+        across = label[i] != label[j]
+        if not across.any():
+            break
+        i, j = i[across], j[across]
+        np.minimum.at(label, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def forest(n: int, pieces) -> tuple[np.ndarray, np.ndarray]:
     """Of pairs (i, j) in pieces enough to join what they all join: a node is tied
     to the smallest of its component."""
     label = np.arange(n)
     for i, j in pieces:
-        while True:
-            across = label[i] != label[j]
-            if not across.any():
-                break
-            i, j = i[across], j[across]
-            np.minimum.at(label, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
-            while (label[label] != label).any():
-                label = label[label]
+        join(label, i, j)
     tied = np.flatnonzero(label != np.arange(n))
     return tied, label[tied]

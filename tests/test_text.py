@@ -3,11 +3,13 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
 from newsloom.functions import text as t
+from newsloom.operators.components import join
 from newsloom.operators import clusters, entities, keywords, sentiment as se, summary
 
 
@@ -199,6 +201,60 @@ def test_clusters_against_all_pairs(spark, articles, threshold, crowd):
     assert got == brute_clusters(texts, threshold)
 
 
+def test_blocks_multiply_few_pairs_in_full(monkeypatch):
+    rng = np.random.default_rng(3)
+    words, n = 1500, 500
+    weight = 1 / np.arange(4, words + 4)
+    full = np.zeros((2 * n, words))
+    for k in range(2 * n):
+        mine = np.roll(weight, 40 * (k % 3))  # three kinds of texts
+        drawn, count = np.unique(rng.choice(words, rng.integers(5, 400), p=mine / mine.sum()), return_counts=True)
+        full[k, drawn] = count
+    full[n:n + 60] = full[:60]
+    full[n:n + 60, 700] += 1
+    idf = np.log((2 * n + 1) / ((full > 0).sum(0) + 1)) + 1
+    norms = np.sqrt(((full * idf) ** 2).sum(1))
+
+    def block(at):
+        tf = full[at]
+        tokens = np.flatnonzero((tf > 0).any(0))
+        row, column = np.nonzero(tf)
+        return {"ids": np.arange(at.start, at.stop), "sizes": np.bincount(row, minlength=len(tf)), "tokens": tokens, "idf": idf[tokens],
+                "codes": np.searchsorted(tokens, column), "tfs": tf[row, column], "norms": norms[at], "roots": np.arange(len(tf))}
+
+    def parts(links):
+        label = np.arange(len(links))
+        join(label, *np.nonzero(links))
+        return [np.flatnonzero(label == x).tolist() for x in np.unique(label)]
+
+    def found(label):
+        return sorted(np.flatnonzero(label == x).tolist() for x in np.unique(label))
+
+    made, shares = [], []
+    products = clusters._products
+    monkeypatch.setattr(clusters, "_products", lambda strip, other, i, j: made.append(len(i)) or products(strip, other, i, j))
+    unit = full * idf / norms[:, None]
+    for threshold in (0.35, 0.5, 0.8):
+        links = unit @ unit.T >= threshold
+        one, two = block(slice(0, n)), block(slice(n, 2 * n))
+        assert found(clusters._Meeting(one, None, threshold).joined()) == sorted(parts(links[:n, :n]))
+        links[:n, :n], links[n:, n:] = False, False
+        made.clear()
+        assert found(clusters._Meeting(one, two, threshold).joined()) == sorted(parts(links))
+        shares.append(sum(made) / (n * n))
+    # few pairs are left by the bounds where few are similar
+    assert 0 < shares[2] < 0.2, shares
+
+
+def test_pairs_at_the_threshold(spark, articles):
+    # equal frequencies and weights: two of four words shared are a cosine of one half
+    texts = ["aa bb cc dd", "cc dd ee ff", "gg hh ii jj", "gg ii aa ee", "ff bb jj hh"]
+    members, _ = clusters.cluster_members(articles(*[{"title": "", "content": x} for x in texts]), 0.5 - 1e-7)
+    assert sorted((r["id"], r["cluster"]) for r in members.collect()) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)]
+    members, _ = clusters.cluster_members(articles(*[{"title": "", "content": x} for x in texts]), 0.5 + 1e-7)
+    assert members.count() == 0
+
+
 def test_near_copies_make_linearly_many_pairs(spark, articles, monkeypatch):
     rng = random.Random(12)
     base = [f"word{i}" for i in range(40)]
